@@ -1,0 +1,4 @@
+"""Registered flight-log queries and their SQL counterparts."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
