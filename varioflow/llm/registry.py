@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "language_id",
     "packing",
+    "decontamination",
 )
 
 
