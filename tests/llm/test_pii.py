@@ -1,0 +1,56 @@
+import re
+
+from varioflow.llm import pii as P
+
+from .helpers import ODD, docs
+
+ROWS = [
+    (10, "mail Bob.Smith_42@mail8.example.com, or +1 (269) 555-7859.\nIP 42.144.35.254. Card 4041894974608795 end", "en"),
+    (11, "same bob.smith_42@mail8.example.com and 269-555-7859; card 4041-8949-7460-8795", "en"),
+    (12, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x password=5519F407e409a51a76 y', "en"),
+    (13, "Mrs. Anna Schmidt met Mr Schmidt, Frau Ötzi and г-жа Иванова at 10:30, ratio=3", "de"),
+    (14, "version 1.2.3.4.5 of 1234 and 99999999999999999999999 or a@b, 300.1.1.1, x=1", "en"),
+    (15, "4041894974608795", "en"),
+]
+
+
+def run(spark, rows, key="k"):
+    return {(r.doc_id, r.lang): r for r in P.pseudonymise(docs(spark, rows), key, count="n_entities").collect()}
+
+
+def test_replacements_keep_kind_format_and_coreference(spark):
+    got = {k[0]: r for k, r in run(spark, ROWS).items()}
+    email = re.compile(P.EMAIL)
+    one, two = email.findall(got[10].text)[0], email.findall(got[11].text)[0]
+    assert one.lower() == two.lower() and "bob" not in one.lower() and re.fullmatch(r"[a-z]{3}\.[a-z]{5}_\d\d@mail\d\.example\.org", two)
+    phone = re.search(r"or (\+1 \((\d{3})\) (\d{3})-(\d{4}))\.\n", got[10].text)
+    assert phone and f"{phone[2]}-{phone[3]}-{phone[4]};" in got[11].text and "7859" not in got[11].text
+    card = re.search(r"Card (\d{16}) end", got[10].text)[1]
+    assert card[0] == "4" and re.search(r"card (\S+)$", got[11].text)[1].replace("-", "") == card == got[15].text
+    assert sum(sum(map(int, str(int(d) * (1 + k % 2)))) for k, d in enumerate(reversed(card))) % 10 == 0
+    assert re.search(r"IP 10(\.\d{1,3}){3}\. Card", got[10].text)
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" x password=\d{4}[A-Z]\d{3}[a-z]\d{3}[a-z]\d\d[a-z]\d\d y', got[12].text)
+    assert "1beb58b8" not in got[12].text
+    assert re.fullmatch(r"Mrs\. [A-Z][a-z]+la [A-Z][a-z]+n met Mr [A-Z][a-z]+n, Frau [A-Z][a-z]+n and г-жа [А-Я][а-я]+ at 10:30, ratio=3", got[13].text)
+    assert got[14].text == ROWS[4][1] and [got[k].n_entities for k in (10, 11, 12, 13, 14, 15)] == [4, 3, 2, 4, 0, 1]
+
+
+def test_other_key_other_surrogates(spark):
+    assert run(spark, ROWS, "a")[10, "en"].text != run(spark, ROWS, "b")[10, "en"].text
+    assert run(spark, ROWS, "a")[10, "en"].text == run(spark, ROWS[:1], "a")[10, "en"].text
+
+
+def test_collisions_are_drawn_again(spark):
+    # one-letter local parts have 26 first surrogates and 10 mail hosts
+    rows = [(k, f"write to {chr(97 + k % 26)}@h{k}.example.com now", "en") for k in range(400)]
+    got = [re.search(P.EMAIL, r.text)[0] for r in run(spark, rows).values()]
+    assert len(set(got)) == 400 and not set(got) & {re.search(P.EMAIL, t)[0] for _, t, _ in rows}
+
+
+def test_nothing_lost(spark):
+    table = docs(spark, ODD)
+    out = P.pseudonymise(table, "k")
+    assert out.columns == table.columns
+    same = lambda rows: sorted((str(r.doc_id), str(r.text)) for r in rows)
+    assert same(out.collect()) == same(table.collect())
+    assert P.pseudonymise(docs(spark, []), "k").collect() == []

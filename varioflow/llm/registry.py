@@ -8,6 +8,7 @@ MODULES = (
     "language_id",
     "packing",
     "decontamination",
+    "pii",
 )
 
 
