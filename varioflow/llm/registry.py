@@ -9,6 +9,7 @@ MODULES = (
     "packing",
     "decontamination",
     "pii",
+    "jaccard_join",
 )
 
 
