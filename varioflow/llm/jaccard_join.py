@@ -362,11 +362,11 @@ QUERIES = {"op2_jaccard_join": op2_jaccard_join}
 ORACLES = {
     "op2_jaccard_join": r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as ws
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from documents
 ), s as (
   select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
-    else list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) end) as g
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g
   from w
 ), n as (
   select w.doc_id, count(g) as n from w left join s using (doc_id) group by 1
