@@ -10,6 +10,7 @@ MODULES = (
     "decontamination",
     "pii",
     "jaccard_join",
+    "substring_dedup",
 )
 
 
