@@ -11,6 +11,7 @@ MODULES = (
     "pii",
     "jaccard_join",
     "substring_dedup",
+    "quality_rules",
 )
 
 
