@@ -12,6 +12,7 @@ MODULES = (
     "jaccard_join",
     "substring_dedup",
     "quality_rules",
+    "quality_classifier",
 )
 
 
