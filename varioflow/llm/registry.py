@@ -13,6 +13,7 @@ MODULES = (
     "substring_dedup",
     "quality_rules",
     "quality_classifier",
+    "url_filter",
 )
 
 
