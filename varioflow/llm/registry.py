@@ -14,6 +14,7 @@ MODULES = (
     "quality_rules",
     "quality_classifier",
     "url_filter",
+    "warc",
 )
 
 
