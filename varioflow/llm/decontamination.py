@@ -116,27 +116,36 @@ class Matcher:
         item, row = self.item[each], np.repeat(row, n)
         diagonal = np.repeat(seen, n) - self.at[each] + int(max((len(x) for x in self.text), default=0))
         band = diagonal // (self.edits[item] + 1)
-        key = np.rec.fromarrays([np.concatenate((row, row)), np.concatenate((item, item)), np.concatenate((band, band - 1))], names="r,i,b")
-        order = np.lexsort((key.b, key.i, key.r))
-        r, i, b = key.r[order], key.i[order], key.b[order]
+        r, i, b, d = np.tile(row, 2), np.tile(item, 2), np.concatenate((band, band - 1)), np.tile(diagonal, 2)
+        order = np.lexsort((d, b, i, r))
+        r, i, b, d = r[order], i[order], b[order], d[order]
         new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])))) if len(r) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate((new, [len(r)])))
-        full = new[count >= self.bound[i[new]]]
+        enough = count >= self.bound[i[new]]
+        full, n_hits = new[enough], dict(zip(new[enough].tolist(), count[enough].tolist()))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         shift = int(max((len(x) for x in self.text), default=0))
-        for k in full:
+        for k in full.tolist():
             one, e = int(i[k]), int(self.edits[i[k]])
             low = int(b[k]) * (e + 1) - shift
             a, z = int(rows[r[k]]), int(rows[r[k] + 1])
-            found = aligned(points, self.text[one], low, low + 2 * (e + 1), a, z, e)
+            if best.get((int(r[k]), one), (1,))[0] == 0:
+                continue  # an overlapping band has the whole item already
+            found = self._unedited(points, one, int(np.median(d[k : k + n_hits[k]])) - shift, a, z) or aligned(points, self.text[one], low, low + 2 * (e + 1), a, z, e)
             if found:
-                s, t, d = found
-                mine = (d, int(place[s]), int(place[t - 1]) + 1)
+                s, t, edits = found
+                mine = (edits, int(place[s]), int(place[t - 1]) + 1)
                 if mine < best.get((int(r[k]), one), (1 << 60, 0, 0)):
                     best[int(r[k]), one] = mine
         return [(r, i, s, t, d) for (r, i), (d, s, t) in sorted(best.items())]
 
 
+    def _unedited(self, points: np.ndarray, one: int, diagonal: int, a: int, z: int) -> tuple[int, int, int] | None:
+        """The item itself on that diagonal, where no alignment is needed."""
+        end = diagonal + len(self.text[one])
+        return (diagonal, end, 0) if a <= diagonal and end <= z and np.array_equal(points[diagonal:end], self.text[one]) else None
+
+
 def aligned(points: np.ndarray, item: np.ndarray, low: int, high: int, a: int, z: int, e: int) -> tuple[int, int, int] | None:
     """Align the item within text[a:z], starting on diagonals low..high-1, with at most ``e`` edits.
 
@@ -160,21 +169,25 @@ def aligned(points: np.ndarray, item: np.ndarray, low: int, high: int, a: int, z
 
 def _band(points: np.ndarray, item: np.ndarray, base: int, width: int, a: int, z: int, open_at: np.ndarray) -> np.ndarray:
     """Edit distances after the whole item, per diagonal base + 0..width-1, text limited to [a, z)."""
-    far = 1 << 20
+    far, m = 1 << 20, len(item)
+    at = np.arange(base, base + width + m + 1)
+    outside = (at < a) | (at >= z)
+    text = np.full(len(at), -1, np.int64)
+    text[~outside] = points[at[~outside]]
+    # what it costs to read the place, and to stand before it
+    reading, standing = np.where(outside, far, 0), np.where((at < a) | (at > z), far, 0)
     step = np.arange(width)
     cost = np.full(width, far)
-    cost[open_at[(base + open_at >= a) & (base + open_at <= z)]] = 0
-    cost = np.minimum.accumulate(cost - step) + step if len(open_at) == 1 else cost
-    for k, symbol in enumerate(item):
-        at = base + step + k
-        inside = (at >= a) & (at < z)
-        over = np.where(inside, points[np.clip(at, 0, len(points) - 1)] != symbol, far)
-        down = np.append(cost[1:], far) + 1
-        # a text place exists after this step only up to z
-        now = np.minimum(cost + over, np.where(at + 1 <= z, down, far))
-        now = np.where(at + 1 < a, far, now)
-        cost = np.minimum.accumulate(now - step) + step
-        cost = np.where(at + 1 > z, far, cost)
+    cost[open_at] = standing[open_at]
+    if len(open_at) == 1:
+        cost = np.minimum.accumulate(cost - step) + step
+    for k, symbol in enumerate(item.tolist()):
+        now = cost + (text[k : k + width] != symbol) + reading[k : k + width]
+        np.minimum(now[:-1], cost[1:] + 1, out=now[:-1])
+        now += standing[k + 1 : k + 1 + width] - step
+        np.minimum.accumulate(now, out=cost)
+        cost += step + standing[k + 1 : k + 1 + width]
+        np.minimum(cost, far, out=cost)
     return cost
 
 
