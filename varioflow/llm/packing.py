@@ -39,6 +39,10 @@ class WordTokens:
     arrays, up to ``max_words``; a worker encodes a word once.
     """
 
+    #: Split off the end of a word of letters, as the vocabulary's own rule does; no apostrophe.
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Letters that stay single letters however they are normalised.
+    PLAIN = "^[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
     #: Never part of a word that goes through the joined path.
     SEPARATOR = "\ue000"
 
@@ -85,13 +89,30 @@ class WordTokens:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
+    def pieces(self, names: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pieces, and each word's core and tail among them; most tails are empty.
+
+        Case goes first, as the vocabulary drops it, but not from words that may hold a special token.
+        """
+        names = pc.if_else(pc.match_substring(names, "<|"), names, pc.ascii_lower(names))
+        core = pc.utf8_rtrim(names, characters=self.TAIL)
+        cut = pc.and_(pc.match_substring_regex(core, self.PLAIN), pc.not_equal(pc.binary_length(core), pc.binary_length(names)))
+        core = pc.if_else(cut, core, names)
+        tails = pc.replace_substring_regex(names.filter(cut), r"^\pL+", "")
+        tail = pc.replace_with_mask(pa.array([""] * len(names), pa.string()), cut, tails)
+        coded = pc.dictionary_encode(pa.concat_arrays([core, tail]))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return coded.dictionary, at[: len(names)], at[len(names) :]
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the rows' offsets into them."""
         flat, rows = C.words(texts)
         coded = pc.dictionary_encode(flat)
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        names, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        names, core, tail = self.pieces(coded.dictionary)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        place = np.stack((core[word], tail[word]), axis=1).reshape(-1)
         at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
@@ -108,7 +129,7 @@ class WordTokens:
         n = (self.bounds[1:] - self.bounds[:-1])[word]
         ends = np.concatenate(([0], np.cumsum(n)))
         out = self.ids[np.repeat(self.bounds[word] - ends[:-1], n) + np.arange(ends[-1])]
-        return out, ends[rows]
+        return out, ends[2 * rows]
 
 
 _TOKENS: dict[str, WordTokens] = {}
