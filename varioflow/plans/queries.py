@@ -1,4 +1,380 @@
-"""Registered flight-log queries and their SQL counterparts."""
+"""Registered flight-log queries over the driver's tables, and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import units
+from ..operators import climbs as C
+from ..operators import diff, kinematics, launch, links, lookup, parse, phase, polars, task
+from ..sources import logs
+from .debrief import Debrief, Options
+from .export import bundle_name, flight_documents
+from .oracle import sql
+from .trace_binding import DATE, log_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its own name; doubles are rounded alike on both sides."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 5) -> DataFrame:
+    # adding zero makes one zero of the two
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def debrief(spark: SparkSession, sf_dir: str, **options) -> Debrief:
+    """The results branch from the fixes many times, so those are kept; equal plans of later queries find them."""
+    return Debrief(log_lines(spark, sf_dir), Options(**options), keep=lambda fixes: fixes.persist())
+
+
+def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.fixes(log_lines(spark, sf_dir))
+
+
+def r(*columns: str) -> str:
+    return ", ".join(f"round({c}, 5) + 0e0 as {c}" for c in columns)
+
+
+@query("select flight_id, idx, t, lat_mm, lon_mm, round(lat, 5) as lat, round(lon, 5) as lon, palt, galt, valid from fx")
+def parsed_fixes(spark, sf_dir):
+    return rounded(_fixes(spark, sf_dir).drop("line_no"))
+
+
+@query("""
+select t.flight_id, t.glider_type, 'G-C' || t.k as glider_id, case when t.k % 2 = 0 then 'receiver' end as gps, s_name as pilot, 'XYZ' || t.k as logger_id, '2024-01-01' as date
+from types t join supplier on s_suppkey = t.k""")
+def log_headers(spark, sf_dir):
+    return parse.headers(log_lines(spark, sf_dir)).select("flight_id", "glider_type", "glider_id", "gps", "pilot", "logger_id", "date")
+
+
+@query("select flight_id, 'TASK ' || k as description, '2024-01-01' as declared_date, 34200 as declared_time_s, case when k % 3 = 1 then turns end as turnpoints from tk")
+def task_declarations(spark, sf_dir):
+    return parse.declarations(log_lines(spark, sf_dir))
+
+
+@query("select flight_id, seq, round(lat, 5) as lat, round(lon, 5) as lon, name, role from points")
+def declared_points(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    return rounded(parse.task_points(lines, parse.declarations(lines)))
+
+
+@query("select flight_id, 40 as declared, 38 as actual from types where k % 4 = 2")
+def extension_warnings(spark, sf_dir):
+    return parse.extension_warnings(log_lines(spark, sf_dir)).select("flight_id", "declared", "actual")
+
+
+@query("select flight_id, altitude_source, min(alt) as low, max(alt) as high, count(*) as n from kin group by all")
+def altitude_choice(spark, sf_dir):
+    return kinematics.choose_altitude(_fixes(spark, sf_dir)).groupBy("flight_id", "altitude_source").agg(F.min("alt").alias("low"), F.max("alt").alias("high"), F.count("*").alias("n"))
+
+
+@query("select flight_id, idx, alt, " + r("x", "y") + " from kin")
+def projection(spark, sf_dir):
+    return rounded(kinematics.project(kinematics.choose_altitude(_fixes(spark, sf_dir))).select("flight_id", "idx", "alt", "x", "y"))
+
+
+@query("select flight_id, idx, dt, good, " + r("step", "vx", "vy", "gs", "vz") + " from kin")
+def step_kinematics(spark, sf_dir):
+    return rounded(kinematics.add_kinematics(_fixes(spark, sf_dir)).select("flight_id", "idx", "dt", "good", "step", "vx", "vy", "gs", "vz"))
+
+
+@query("select flight_id, idx, " + r("trk", "tr", "trs") + " from kin")
+def turn_rates(spark, sf_dir):
+    return rounded(kinematics.add_kinematics(_fixes(spark, sf_dir)).select("flight_id", "idx", "trk", "tr", "trs"))
+
+
+@query("""
+select flight_id, band, sum(dt)::bigint as seconds, round(sum(step), 5) as metres from (
+  select *, (v > -2.5)::integer + (v > -1)::integer + (v > 0)::integer + (v > 1)::integer + (v > 2)::integer + (v > 3)::integer as band from (
+    select *, case when t3 - t2 > 0 then (a3 - a2) * 1e0 / (t3 - t2) else 0e0 end as v from (
+      select *, coalesce(lead(alt, 3) over w, last_value(alt) over e) as a3, coalesce(lag(alt, 2) over w, first_value(alt) over e) as a2, coalesce(lead(t, 3) over w, last_value(t) over e) as t3, coalesce(lag(t, 2) over w, first_value(t) over e) as t2
+      from kin window w as (partition by flight_id order by idx), e as (partition by flight_id order by idx rows between unbounded preceding and unbounded following))))
+where dt > 0 group by all""")
+def vertical_speed_bands(spark, sf_dir):
+    return rounded(kinematics.band_times(kinematics.add_kinematics(_fixes(spark, sf_dir))).drop("label"))
+
+
+@query("""
+select flight_id, round(min(lat), 5) as min_lat, round(max(lat), 5) as max_lat, round(min(lon), 5) as min_lon, round(max(lon), 5) as max_lon, round(max(lat) - min(lat), 5) as lat_span,
+  round((max(lon) - min(lon)) * cos(radians((min(lat) + max(lat)) / 2)), 5) as lon_span
+from (select flight_id, lat, lon from fx union all select flight_id, lat, lon from sc) group by 1""")
+def bounding_boxes(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    points = task.scoring_points(parse.task_points(lines, parse.declarations(lines)))
+    return rounded(kinematics.bounding_box(parse.fixes(lines), points).drop("mid_lat"))
+
+
+@query("select flight_id, run_id, a, b, t_a, t_b, alt_a, alt_b, circ from runs")
+def circling_runs(spark, sf_dir):
+    return debrief(spark, sf_dir).runs
+
+
+@query("""
+select flight_id, takeoff_idx, release_idx, takeoff_t, release_t, type, confident, round(mspd, 5) as mspd,
+  'initial climb ' || round(gain * 3.280840e0)::bigint || ' ft in ' || (dur // 60) || 'm' || lpad((dur % 60)::varchar, 2, '0') || 's at ' || round(mspd)::bigint || ' km/h mean ground speed' as note
+from launch""")
+def launches(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).launch.select("flight_id", "takeoff_idx", "release_idx", "takeoff_t", "release_t", "type", "confident", "mspd", "note"))
+
+
+@query("""
+select flight_id, idx as release_idx, t as release_t, true as confident from (
+  select fx.*, row_number() over (partition by flight_id order by abs(t - (case when k % 7 = 3 then 85500 else 43200 end + 712)), idx) as n from fx where k % 2 = 0) where n = 1""")
+def release_overrides(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    k = F.substring("flight_id", 2, 20).cast("long")
+    asked = d.summary.where(k % 2 == 0).select("flight_id", (F.col("start") + 712).alias("release_time"))
+    return launch.override_release(d.launch, d.fixes, asked).where(F.col("note").contains("supplied")).select("flight_id", "release_idx", "release_t", "confident")
+
+
+@query('select flight_id, fixes, start, "end", duration_s, max_alt_m, altitude_source, round(track_distance_m, 5) as track_distance_m, median_interval_s, max_gap_s, gaps_over_20s, gap_total_s, largest_gap_s, largest_gap_at, coarse, landed from sm')
+def trace_summaries(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).summary.drop("last_alt"))
+
+
+@query("""
+select s.flight_id, severity, code from sm s left join pm p using (flight_id) left join launch l using (flight_id) left join wind w using (flight_id), lateral (values
+  (case when substr(s.flight_id, 2)::bigint % 4 = 2 then 'warn' end, 'parser'), (case when coarse then 'warn' end, 'coarse'), (case when not coarse and largest_gap_s >= 60 then 'warn' end, 'long_gap'),
+  (case when gaps_over_20s > 0 and largest_gap_s < 60 then 'note' end, 'gaps'), ('note', 'altitude'), (case when matched then 'note' else 'warn' end, 'polar'),
+  (case when not confident and not starts_with(type, 'no launch') then 'warn' end, 'release_estimated'), (case when unreliable then 'warn' end, 'wind_unreliable')) v(severity, code)
+where severity is not null""")
+def quality_flags(spark, sf_dir):
+    return debrief(spark, sf_dir).flags.select("flight_id", "severity", "code")
+
+
+@query("select flight_id, run_id, a, b, t_a, t_b, alt_a, alt_b from cr")
+def climb_runs(spark, sf_dir):
+    return debrief(spark, sf_dir).climb_runs.drop("circ")
+
+
+@query('select flight_id, run_id, start, "end", duration_s, gain_m, alt_bottom_m, alt_top_m, direction, ' + r("avg_climb_ms", "circles", "circle_time_s", "radius_m", "bank_deg", "airspeed_kmh") + " from circles")
+def circle_geometry(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    return rounded(C.circle_stats(d.fixes, d.climb_runs, d.wind).drop("a", "b", "turn_rate_deg_s", "drift_vx", "drift_vy"))
+
+
+@query("select flight_id, time, " + r("speed_ms", "from_deg", "circles") + " from we")
+def wind_estimates(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).wind_estimates.drop("drift_vx", "drift_vy"))
+
+
+@query("select flight_id, unreliable, " + r("wx", "wy", "speed_ms", "from_deg", "spread_ms") + " from wind")
+def winds(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).wind)
+
+
+@query("select c.flight_id, c.climb, c.start, c.gain_m, round(c.circles, 5) as circles, round(b.best_30s_ms, 5) as best_30s_ms, round(case when c.circles >= 1.5 then c.radius_m end, 5) as radius_m from circles c join best b using (flight_id, run_id)")
+def climbs(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    return rounded(d.climbs.select("flight_id", "climb", "start", "gain_m", "circles", "best_30s_ms", C.geometry_or_null(F.col("circles"), F.col("radius_m")).alias("radius_m")))
+
+
+# accumulate-with-reset as a recursion over the fixes of each climb
+CIRCLES = """
+with recursive {chain}, it as (select seg.flight_id, seg.run_id, seg.idx, seg.t, seg.alt, seg.x, seg.y, cr.a, cr.b, case when seg.idx < cr.b then seg.dtrk end as dtrk from seg join cr on seg.flight_id = cr.flight_id and seg.run_id = cr.run_id),
+walk as (
+  select flight_id, run_id, idx, b, coalesce(dtrk, 0e0) as acc, abs(coalesce(dtrk, 0e0)) >= 360 as full_, idx as start_ from it where idx = a
+  union all
+  select i.flight_id, i.run_id, i.idx, i.b, case when w.full_ then 0e0 else w.acc end + coalesce(i.dtrk, 0e0), abs(case when w.full_ then 0e0 else w.acc end + coalesce(i.dtrk, 0e0)) >= 360, case when w.full_ then i.idx else w.start_ end
+  from walk w join it i on i.flight_id = w.flight_id and i.run_id = w.run_id and i.idx = w.idx + 1
+), cut as (select flight_id, run_id, start_ as s, idx + 1 as e from walk where full_),
+pc as (
+  select cut.flight_id, cut.run_id, (row_number() over (partition by cut.flight_id, cut.run_id order by s))::integer as k, sa.t as start, sb.t - sa.t as duration_s, sb.alt - sa.alt as gain_m, (sb.alt - sa.alt) * 1e0 / (sb.t - sa.t) as climb_ms, sa.alt as alt_m,
+    (select avg(x) from seg m where m.flight_id = cut.flight_id and m.idx between s and e) as cx, (select avg(y) from seg m where m.flight_id = cut.flight_id and m.idx between s and e) as cy, (select avg(t) from seg m where m.flight_id = cut.flight_id and m.idx between s and e) as ct
+  from cut join seg sa on sa.flight_id = cut.flight_id and sa.idx = s join seg sb on sb.flight_id = cut.flight_id and sb.idx = e
+), pn as (select pc.*, circles.climb, count(*) over (partition by pc.flight_id, pc.run_id) as n from pc join circles using (flight_id, run_id))
+"""
+
+
+def _circles_sql(final: str) -> str:
+    chain = sql("select 1 from circles, cr, seg")
+    return CIRCLES.format(chain=chain[len("with ") : chain.rindex("\nselect")]) + final
+
+
+@query()
+def climb_circles(spark, sf_dir):
+    return rounded(C.climb_circles(debrief(spark, sf_dir).climbs), 4)
+
+
+@query()
+def centre_drifts(spark, sf_dir):
+    return rounded(C.centre_drift(C.climb_circles(debrief(spark, sf_dir).climbs)).select("flight_id", "climb", "k", "drift_m", "drift_ms"), 4)
+
+
+@query()
+def climb_trends(spark, sf_dir):
+    return C.climb_trend(C.climb_circles(debrief(spark, sf_dir).climbs))
+
+
+ORACLES["climb_circles"] = _circles_sql("select flight_id, climb, k, start, duration_s, gain_m, alt_m, round(climb_ms, 4) as climb_ms, round(cx, 4) as cx, round(cy, 4) as cy, round(ct, 4) as ct from pn")
+ORACLES["centre_drifts"] = _circles_sql("""select flight_id, climb, k, round(sqrt(pow(cx - lag(cx) over w, 2) + pow(cy - lag(cy) over w, 2)), 4) as drift_m, round(sqrt(pow(cx - lag(cx) over w, 2) + pow(cy - lag(cy) over w, 2)) / greatest(1e0, ct - lag(ct) over w), 4) as drift_ms
+from pn where n >= 2 window w as (partition by flight_id, climb order by k)""")
+ORACLES["climb_trends"] = _circles_sql("""select flight_id, climb, n, case when n < 3 then n || ' circles' when abs(two - one) < 0.15 and swing > 0.9 then 'oscillate' when two - one > 0.2 then 'improve' when two - one < -0.2 then 'decay' else 'steady' end as trend from (
+  select flight_id, climb, n, avg(case when k <= n // 2 then climb_ms end) as one, avg(case when k > n - n // 2 then climb_ms end) as two, max(climb_ms) - min(climb_ms) as swing from pn group by 1, 2, 3)""")
+
+
+@query("select flight_id, count(case when circles < 1.5 then 1 end) as thin, count(*) as climbs from circles group by 1")
+def thin_climbs(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    return C.thin_climbs(C.circle_stats(d.fixes, d.climb_runs, d.wind))
+
+
+@query("""
+select flight_id, circling_s, soaring_s, gain_circling_m, soaring_s - circling_s as straight_s, round(circling_s / soaring_s, 5) as circling_fraction, round(case when circling_s > 0 then gain_circling_m / circling_s end, 5) as mean_circling_rate_ms, band_bottom_m, band_top_m,
+  case when circling_s / soaring_s > 0.35 then 'thermal' when circling_s / soaring_s >= 0.1 then 'streets or energy lines' else 'ridge or wave' end as character
+from ph""")
+def phase_split(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    return rounded(d.phase.withColumn("character", phase.flight_character(F.col("circling_fraction"))))
+
+
+@query("select flight_id, name, matched, " + r("c0", "c1", "best_ld", "best_ld_speed_ms") + ", round(c2, 6) as c2 from pm")
+def polar_matches(spark, sf_dir):
+    p = debrief(spark, sf_dir).polars.select("flight_id", "name", "matched", "c0", "c1", "best_ld", "best_ld_speed_ms", F.round("c2", 6).alias("q"))
+    return rounded(p.drop("q")).join(p.select("flight_id", F.col("q").alias("c2")), "flight_id")
+
+
+@query("""
+select flight_id, case k % 4 when 0 then 'Ventus (15 m)' when 1 then null when 2 then 'custom' else (select name from pm where pm.flight_id = types.flight_id) end as name,
+  case k % 4 when 0 then true when 1 then false when 2 then true else (select matched from pm where pm.flight_id = types.flight_id) end as matched from types""")
+def polar_overrides(spark, sf_dir):
+    lines = log_lines(spark, sf_dir)
+    types = parse.headers(lines).select("flight_id", "glider_type")
+    k = F.substring("flight_id", 2, 20).cast("long") % 4
+    custom = F.when(k == 2, F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((95.0, 0.54), (115.0, 0.6), (170.0, 1.32))]))
+    force = F.when(k == 0, "VENTUS").when(k == 1, "None").when(k == 3, "no such glider")
+    asked = types.select("flight_id", custom.alias("custom"), force.alias("force"))
+    return polars.match_polars(types, polars.bundled(spark), asked).select("flight_id", "name", "matched")
+
+
+@query("select flight_id, entry, entry_t, entry_alt from entry")
+def circuit_entries(spark, sf_dir):
+    return debrief(spark, sf_dir).entry
+
+
+LEGS = 'leg, start, "end", duration_s, dh_m, alt_start_m, alt_end_m, sampled_s, kind'
+
+
+@query(f"select flight_id, {LEGS}, " + r("distance_m", "ld_over_ground", "mean_ias_kmh", "sd_ias_kmh", "mean_airmass_ms", "frac_rising_air") + " from legs")
+def straight_legs(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).legs.drop("run_id", "a", "b", "circuit"))
+
+
+@query("select flight_id, round(sum(frac_rising_air * sampled_s) / sum(sampled_s), 5) as rising_air_fraction from legs where kind <> 'circuit' and frac_rising_air is not null group by 1")
+def rising_air(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).rising_air)
+
+
+@query('select flight_id, leg, "from", "to", ' + r("distance_m", "bearing_deg") + " from tl")
+def task_legs(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).task_legs)
+
+
+@query("""
+select flight_id, legs, closed, task_turnpoints, round(distance_m, 5) as distance_m, case when closed and legs = 2 then 'out and return' when closed and legs = 3 then 'triangle' when closed and legs = 4 then 'quadrilateral' when closed then legs || '-leg closed course' when legs = 1 then 'straight distance' else legs || '-leg task' end as shape
+from (select flight_id, count(*) as legs, sum(distance_m) as distance_m, greatest(0, any_value(n) - 2) as task_turnpoints, any_value(closed) as closed from tl join tz using (flight_id) group by 1)""")
+def task_summaries(spark, sf_dir):
+    return rounded(debrief(spark, sf_dir).task_summary.select("flight_id", "legs", "closed", "task_turnpoints", "distance_m", "shape"))
+
+
+def _spans(d: Debrief) -> DataFrame:
+    one = lambda i, a, b: F.struct(F.lit(i).cast("long").alias("span_id"), (F.col("start") + a).alias("span_start"), (F.col("start") + b).alias("span_end"))
+    return d.summary.select("flight_id", F.explode(F.array(one(0, 0, 400), one(1, 500, 950), one(2, 1700, 5000))).alias("s")).select("flight_id", "s.*")
+
+
+SPANS = "(select flight_id, span_id, start + a as span_start, start + b as span_end from summary, (values (0, 0, 400), (1, 500, 950), (2, 1700, 5000)) v(span_id, a, b))"
+
+
+@query(f"""
+select p.flight_id, p.span_id, (select count(*) from cr where cr.flight_id = p.flight_id and cr.t_b >= span_start and cr.t_a <= span_end) as climbs, (select count(*) from ls where ls.flight_id = p.flight_id and ls.t_b >= span_start and ls.t_a <= span_end) as legs, span_end - span_start as span_s
+from {SPANS} p""")
+def span_overlaps(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    spans = _spans(d)
+    runs = d.climb_runs.select("flight_id", F.col("t_a").alias("start"), F.col("t_b").alias("end"))
+    one, two = lookup.span_counts(runs, spans), lookup.span_counts(d.legs.select("flight_id", "start", "end"), spans)
+    return one.withColumnRenamed("n", "climbs").join(two.select("flight_id", "span_id", F.col("n").alias("legs")), ["flight_id", "span_id"])
+
+
+@query(f"""
+select p.flight_id, p.span_id as query_id, span_end as at, coalesce((select min(idx) from fx where fx.flight_id = p.flight_id and fx.t >= span_end), (select max(idx) from fx where fx.flight_id = p.flight_id)) as idx
+from {SPANS} p""")
+def fixes_at(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    asked = _spans(d).select("flight_id", F.col("span_id").alias("query_id"), F.col("span_end").alias("at"))
+    return lookup.fix_at(d.fixes, asked).select("flight_id", "query_id", "at", "idx")
+
+
+@query(f"""
+select p.flight_id, p.span_id, count(*) as n, min(idx) as lo, max(idx) as hi from {SPANS} p join fx on fx.flight_id = p.flight_id
+where idx between coalesce((select min(idx) from fx f where f.flight_id = p.flight_id and f.t >= span_start), 1799) and coalesce((select min(idx) from fx f where f.flight_id = p.flight_id and f.t >= span_end), (select max(idx) from fx f where f.flight_id = p.flight_id)) group by 1, 2""")
+def highlighted_ranges(spark, sf_dir):
+    d = debrief(spark, sf_dir)
+    return lookup.highlight_range(d.fixes, _spans(d)).groupBy("flight_id", "span_id").agg(F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+
+
+@query("select flight_id, t, alt as alt_m, round(lat, 5) as lat, round(lon, 5) as lon, circ as circling from seg")
+def profiles(spark, sf_dir):
+    return debrief(spark, sf_dir).profile
+
+
+@query()
+def flight_json(spark, sf_dir):
+    return flight_documents(debrief(spark, sf_dir), generated_at="2024-01-02T00:00:00Z")
+
+
+@query("select flight_id, '2024-01-01-g-c' || k || '-igc-analysis' as bundle from types")
+def bundle_names(spark, sf_dir):
+    h = parse.headers(log_lines(spark, sf_dir))
+    return h.select("flight_id", bundle_name(F.col("date"), F.col("glider_id"), F.col("glider_type")).alias("bundle"))
+
+
+@query("""
+select flight_id, strftime(make_timestamp((start % 86400) * 1000000), '%H:%M:%SZ') as start_time, strftime(make_timestamp((("end") % 86400) * 1000000), '%H:%M') as end_hm, (duration_s // 60) || ':' || lpad((duration_s % 60)::varchar, 2, '0') as flown,
+  strftime(timestamp '2024-01-01' + to_seconds("end"), '%Y-%m-%dT%H:%M:%SZ') as end_instant, round(max_alt_m * 3.280840e0, 5) as max_ft, round(track_distance_m / 1000, 5) as km
+from summary""")
+def clock_and_units(spark, sf_dir):
+    s = debrief(spark, sf_dir).summary
+    c = F.col
+    return rounded(s.select("flight_id", units.zulu(c("start")).alias("start_time"), units.hm(c("end")).alias("end_hm"), units.duration(c("duration_s")).alias("flown"), units.instant(F.lit(DATE), c("end")).alias("end_instant"), units.height(c("max_alt_m")).alias("max_ft"), units.distance(c("track_distance_m")).alias("km")))
+
+
+@query(r"select page_id, 'direct' as kind, regexp_extract(url, '://([^/?#]*)', 1) as label from pages where regexp_matches(url, '^https?://[^/?#\s]+')")
+def page_links(spark, sf_dir):
+    found = links.classify_links(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "url")
+    return found.where("kind is not null").select("page_id", "kind", "label")
+
+
+@query("select doc_id::varchar as flight_id, 'no usable B records' as reason, false as log from documents")
+def rejected_files(spark, sf_dir):
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("flight_id"), F.lit("documents").alias("source"), "text")
+    bad = logs.rejects(files, parse.fixes(logs.split_lines(files)))
+    return bad.join(files.select("flight_id", logs.looks_like_log(F.col("text")).alias("log")), "flight_id").select("flight_id", "reason", "log")
+
+
+@query("""
+select flight_id, 'circling_s' as path, 'number' as problem from ph p where circling_s <> (select coalesce(sum(t_b - t_a), 0) from cr where cr.flight_id = p.flight_id)
+union all select flight_id, 'climbs', 'null' from ph p where not exists (select 1 from cr where cr.flight_id = p.flight_id)""")
+def result_differences(spark, sf_dir):
+    """All circling runs against climbs alone; the difference in soaring time is allowed."""
+    d = debrief(spark, sf_dir)
+    expected = d.phase.select("flight_id", "circling_s", "soaring_s", F.lit(1).alias("climbs"))
+    own = d.climb_runs.groupBy("flight_id").agg(F.sum(F.col("t_b") - F.col("t_a")).alias("s"), F.lit(1).alias("climbs"))
+    actual = d.phase.select("flight_id", (F.col("soaring_s") + 1).alias("soaring_s")).join(own, "flight_id", "left").select("flight_id", F.coalesce("s", F.lit(0)).alias("circling_s"), "soaring_s", "climbs")
+    allow = expected.select("flight_id", F.lit("soaring").alias("prefix"))
+    return diff.diff_results(expected, actual, "flight_id", allow).select("flight_id", "path", "problem")
