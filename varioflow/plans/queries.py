@@ -14,7 +14,8 @@ from ..sources import logs
 from .debrief import Debrief, Options
 from .export import bundle_name, flight_documents
 from .oracle import sql
-from .trace_binding import DATE, log_lines
+from .trace_binding import DATE
+from .trace_binding import log_lines as derived_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,12 @@ def rounded(df: DataFrame, places: int = 5) -> DataFrame:
     return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log text, kept like the files it stands for; else filters on parsed fields would push
+    through the text's making and repeat it many times over."""
+    return derived_lines(spark, sf_dir).persist()
+
+
 def debrief(spark: SparkSession, sf_dir: str, **options) -> Debrief:
     """The results branch from the fixes many times, so those are kept; equal plans of later queries find them."""
     return Debrief(log_lines(spark, sf_dir), Options(**options), keep=lambda fixes: fixes.persist())
