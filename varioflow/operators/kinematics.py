@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, compass, wrap
 
-FLIGHT = W.partitionBy("flight_id")
-ORDER = FLIGHT.orderBy("idx")
+def by_flight():
+    return W.partitionBy("flight_id")
+
+
+def in_order():
+    return by_flight().orderBy("idx")
 
 
 def choose_altitude(fixes: DataFrame) -> DataFrame:
     """``alt`` and ``altitude_source``: pressure if it moves more than 100 m and starts plausibly."""
-    low, high = F.min("palt").over(FLIGHT), F.max("palt").over(FLIGHT)
+    low, high = F.min("palt").over(by_flight()), F.max("palt").over(by_flight())
     alive = (high - low > 100) & (low > -500) & (low < 15000)
     return fixes.withColumn("altitude_source", F.when(alive, "pressure").otherwise("GNSS")).withColumn("alt", F.when(F.col("altitude_source") == "pressure", F.col("palt")).otherwise(F.col("galt")))
 
 
 def project(fixes: DataFrame) -> DataFrame:
     """Equirectangular metres about the flight's mean position, the mean from exact integer sums."""
-    mean = lambda c: F.sum(c).over(FLIGHT) / (F.count("*").over(FLIGHT) * F.lit(60000.0))
+    mean = lambda c: F.sum(c).over(by_flight()) / (F.count("*").over(by_flight()) * F.lit(60000.0))
     f = fixes.withColumn("__lat0", mean("lat_mm")).withColumn("__lon0", mean("lon_mm"))
     x = F.radians(F.col("lon") - F.col("__lon0")) * EARTH_M * F.cos(F.radians("__lat0"))
     y = F.radians(F.col("lat") - F.col("__lat0")) * EARTH_M
@@ -30,16 +34,16 @@ def project(fixes: DataFrame) -> DataFrame:
 
 def motion(fixes: DataFrame, max_gap: int = 12) -> DataFrame:
     """Step to the next fix, track through the neighbours, turn rate and its smoothed value."""
-    ahead = lambda c: F.lead(c).over(ORDER)
+    ahead = lambda c: F.lead(c).over(in_order())
     f = fixes.withColumn("dt", F.coalesce(ahead("t") - F.col("t"), F.lit(0)))
     moving = F.col("dt") > 0
     step = lambda c: F.when(moving, ahead(c) - F.col(c)).otherwise(0.0)
     f = f.withColumn("dx", step("x")).withColumn("dy", step("y")).withColumn("__dz", step("alt"))
-    f = f.withColumn("trk", compass(ahead("x") - F.lag("x").over(ORDER), ahead("y") - F.lag("y").over(ORDER)))
+    f = f.withColumn("trk", compass(ahead("x") - F.lag("x").over(in_order()), ahead("y") - F.lag("y").over(in_order())))
     per = lambda c: F.when(moving, F.col(c) / F.col("dt")).otherwise(0.0)
     f = f.withColumn("step", F.hypot("dx", "dy")).withColumn("vx", per("dx")).withColumn("vy", per("dy")).withColumn("vz", per("__dz"))
     f = f.withColumn("gs", per("step")).withColumn("good", moving & (F.col("dt") <= max_gap)).drop("__dz")
-    f = f.withColumn("dtrk", F.when(F.col("good"), wrap(F.lead("trk").over(ORDER) - F.col("trk")))).withColumn("tr", F.col("dtrk") / F.when(moving, F.col("dt")))
+    f = f.withColumn("dtrk", F.when(F.col("good"), wrap(F.lead("trk").over(in_order()) - F.col("trk")))).withColumn("tr", F.col("dtrk") / F.when(moving, F.col("dt")))
     return smooth_turn_rate(f)
 
 
@@ -50,7 +54,7 @@ def smooth_turn_rate(fixes: DataFrame, rows: int = 5, seconds: int = 10) -> Data
     """
     total, count = F.lit(0.0), F.lit(0)
     for k in range(-rows, rows + 1):
-        tr, t = F.lead("tr", k).over(ORDER), F.lead("t", k).over(ORDER)
+        tr, t = F.lead("tr", k).over(in_order()), F.lead("t", k).over(in_order())
         use = tr.isNotNull() & (F.abs(t - F.col("t")) <= seconds)
         total, count = total + F.when(use, tr).otherwise(0.0), count + F.when(use, 1).otherwise(0)
     return fixes.withColumn("__sum", total).withColumn("__n", count).withColumn("trs", F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(0.0)).drop("__sum", "__n")
@@ -67,9 +71,9 @@ BANDS = ("below -2.5", "-2.5 to -1", "-1 to 0", "0 to 1", "1 to 2", "2 to 3", "a
 
 def smooth_vz(kin: DataFrame) -> DataFrame:
     """``svz`` over the fixes from two before to three after, clamped to the trace, and its band."""
-    edge = lambda c: FLIGHT.orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = lambda c: F.coalesce(F.lag(c, 2).over(ORDER), F.first(c).over(edge(c)))
-    after = lambda c: F.coalesce(F.lead(c, 3).over(ORDER), F.last(c).over(edge(c)))
+    edge = lambda c: by_flight().orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = lambda c: F.coalesce(F.lag(c, 2).over(in_order()), F.first(c).over(edge(c)))
+    after = lambda c: F.coalesce(F.lead(c, 3).over(in_order()), F.last(c).over(edge(c)))
     span = after("t") - before("t")
     f = kin.withColumn("svz", F.when(span > 0, (after("alt") - before("alt")) / span).otherwise(0.0))
     return f.withColumn("band", sum((F.when(F.col("svz") > c, 1).otherwise(0) for c in CUTS), F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import FEET
-from .kinematics import FLIGHT, ORDER
+from .kinematics import by_flight, in_order
 
 NO_LAUNCH = "no launch in this file - the trace appears to start airborne"
 WINCH = "winch or bungee launch"
@@ -17,9 +17,9 @@ UNCLEAR = "unclear - possibly a self-launch or a partial trace"
 
 def takeoff(kin: DataFrame) -> DataFrame:
     """The fixes with ``to_idx`` and ``to_alt``, and the number of fixes ``n``."""
-    first = F.coalesce(F.min(F.when((F.col("gs") * 3.6 > 25) & F.col("good"), F.col("idx"))).over(FLIGHT), F.lit(0))
-    at = lambda c, i: F.max(F.when(F.col("idx") == i, F.col(c))).over(FLIGHT)
-    f = kin.withColumn("__first", first).withColumn("n", F.count("*").over(FLIGHT))
+    first = F.coalesce(F.min(F.when((F.col("gs") * 3.6 > 25) & F.col("good"), F.col("idx"))).over(by_flight()), F.lit(0))
+    at = lambda c, i: F.max(F.when(F.col("idx") == i, F.col(c))).over(by_flight())
+    f = kin.withColumn("__first", first).withColumn("n", F.count("*").over(by_flight()))
     f = f.withColumn("__alt0", at("alt", F.lit(0))).withColumn("__alt1", at("alt", F.col("__first")))
     started = (F.col("__first") > 0) & (F.col("__alt0") < F.col("__alt1") - 30)
     f = f.withColumn("to_idx", F.when(started, 0).otherwise(F.col("__first"))).withColumn("to_alt", F.when(started, F.col("__alt0")).otherwise(F.col("__alt1")))
@@ -29,9 +29,9 @@ def takeoff(kin: DataFrame) -> DataFrame:
 def initial_climb(flown: DataFrame) -> DataFrame:
     """``top_idx``: the last fix at the running maximum before the first drop of more than 60 m below it."""
     since = F.when(F.col("idx") >= F.col("to_idx"), F.col("alt"))
-    f = flown.withColumn("__max", F.max(since).over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
-    f = f.withColumn("__break", F.min(F.when(since < F.col("__max") - 60, F.col("idx"))).over(FLIGHT))
-    top = F.max(F.when((since == F.col("__max")) & (F.col("idx") < F.coalesce("__break", F.lit(1 << 60))), F.col("idx"))).over(FLIGHT)
+    f = flown.withColumn("__max", F.max(since).over(in_order().rowsBetween(W.unboundedPreceding, 0)))
+    f = f.withColumn("__break", F.min(F.when(since < F.col("__max") - 60, F.col("idx"))).over(by_flight()))
+    top = F.max(F.when((since == F.col("__max")) & (F.col("idx") < F.coalesce("__break", F.lit(1 << 60))), F.col("idx"))).over(by_flight())
     return f.withColumn("top_idx", top).drop("__max", "__break")
 
 
@@ -40,8 +40,8 @@ def find_launch(kin: DataFrame) -> DataFrame:
     f = initial_climb(takeoff(kin))
     inside = F.col("good") & (F.col("idx") >= F.col("to_idx")) & (F.col("idx") < F.col("top_idx"))
     kmh = F.col("gs") * 3.6
-    f = f.withColumn("mspd", F.coalesce(F.avg(F.when(inside, kmh)).over(FLIGHT), F.lit(0.0)))
-    ahead = ORDER.rowsBetween(0, 7)
+    f = f.withColumn("mspd", F.coalesce(F.avg(F.when(inside, kmh)).over(by_flight()), F.lit(0.0)))
+    ahead = in_order().rowsBetween(0, 7)
     f = f.withColumn("__n", F.count(F.when(F.col("good"), 1)).over(ahead)).withColumn("__v", F.avg(F.when(F.col("good"), kmh)).over(ahead))
     slow = F.col("good") & (F.col("idx") >= F.col("to_idx") + 5) & (F.col("idx") < F.least(F.col("top_idx") + 40, F.col("n") - 3)) & (F.col("__n") >= 4) & (F.col("__v") < F.col("mspd") - 15)
     at = lambda c, i: F.max(F.when(F.col("idx") == F.col(i), F.col(c)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import sigma
 
-LEG = W.partitionBy("flight_id").orderBy("a")
+def by_leg():
+    return W.partitionBy("flight_id").orderBy("a")
 
 
 def leg_runs(runs: DataFrame, launch: DataFrame, least_s: int = 60) -> DataFrame:
@@ -34,7 +35,7 @@ def split_legs(legs: DataFrame, entry: DataFrame, least_s: int = 60, split_circu
     one, mid, end = ("a", "t_a", "alt_a"), ("entry", "entry_t", "entry_alt"), ("b", "t_b", "alt_b")
     pieces = F.when(cut, F.array(part(one, mid), part(mid, end))).otherwise(F.array(part(one, end)))
     out = f.select("flight_id", "run_id", "entry", F.explode(pieces).alias("p")).select("flight_id", "run_id", "entry", "p.*")
-    return out.withColumn("leg", F.row_number().over(LEG))
+    return out.withColumn("leg", F.row_number().over(by_leg()))
 
 
 def analyse_legs(kin: DataFrame, legs: DataFrame, polars: DataFrame, wind: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def leg_kinds(legs: DataFrame, entry: DataFrame, summary: DataFrame, split_circu
     f = legs.join(entry.select("flight_id", "entry"), "flight_id", "left").join(summary.select("flight_id", "landed", "last_alt"), "flight_id")
     if not split_circuit:
         f = f.withColumn("entry", F.lit(None).cast("long"))
-    after = F.lead("a").over(LEG)
+    after = F.lead("a").over(by_leg())
     last = after.isNull() | (after >= F.col("entry"))
     fall = F.when(F.col("duration_s") > 0, -F.col("dh_m") / F.col("duration_s")).otherwise(0.0)
     kind = (

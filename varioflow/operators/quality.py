@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import KNOTS
 from ..functions.units import duration
-from .kinematics import FLIGHT
+from .kinematics import by_flight
 
 
 def trace_summary(kin: DataFrame) -> DataFrame:
     """One row per flight: extent, distance, intervals, gaps, landed."""
-    f = kin.withColumn("__n", F.count("*").over(FLIGHT))
+    f = kin.withColumn("__n", F.count("*").over(by_flight()))
     inner = F.col("idx") < F.col("__n") - 1
     dt = F.when(inner, F.col("dt"))
     tail = F.when(inner & (F.col("idx") >= F.col("__n") - 6) & F.col("good"), F.col("gs") * 3.6)

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bearing, haversine
 
-FLIGHT = W.partitionBy("flight_id")
-ORDER = FLIGHT.orderBy("seq")
+def by_flight():
+    return W.partitionBy("flight_id")
+
+
+def in_order():
+    return by_flight().orderBy("seq")
 
 
 def scoring_points(points: DataFrame) -> DataFrame:
     """Start, turnpoints and finish; all points if that leaves none."""
     ends = F.coalesce(F.col("role").isin("takeoff", "landing"), F.lit(False))
-    return points.withColumn("__own", ~ends).withColumn("__some", F.max("__own").over(FLIGHT)).where(F.col("__own") | ~F.col("__some")).drop("__own", "__some")
+    return points.withColumn("__own", ~ends).withColumn("__some", F.max("__own").over(by_flight())).where(F.col("__own") | ~F.col("__some")).drop("__own", "__some")
 
 
 def task_legs(points: DataFrame) -> DataFrame:
     """Consecutive scoring points: names, great-circle distance and initial bearing."""
     label = F.when(F.length("name") > 0, F.col("name")).otherwise(F.format_string("%.3f, %.3f", "lat", "lon"))
-    p = scoring_points(points).withColumn("label", label).withColumn("leg", F.row_number().over(ORDER))
-    after = F.lead(F.struct("label", "lat", "lon")).over(ORDER)
+    p = scoring_points(points).withColumn("label", label).withColumn("leg", F.row_number().over(in_order()))
+    after = F.lead(F.struct("label", "lat", "lon")).over(in_order())
     p = p.withColumn("to", after).where("to is not null")
     a, b = (F.col("lat"), F.col("lon")), (F.col("to")["lat"], F.col("to")["lon"])
     return p.select("flight_id", "leg", F.col("label").alias("from"), F.col("to")["label"].alias("to"), haversine(*a, *b).alias("distance_m"), bearing(*a, *b).alias("bearing_deg"))
