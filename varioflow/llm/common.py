@@ -8,6 +8,8 @@ and retries the blobs like any other rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step of a Python worker handles at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 MASK64 = (1 << 64) - 1
 
 
@@ -79,6 +81,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = CHUNK_
             held.append(batch.slice(start))
     if held:
         yield _joined(held)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and stages share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -33,7 +33,7 @@ Q = 12
 EDIT_RATE = 0.06
 #: Benchmark characters searched at once; bounds the broadcast.
 BLOCK_CHARS = 4_000_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SPACE = 32
 MATCH = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int, item_chars int"
 

@@ -148,6 +148,8 @@ def _marked(pdf: pd.DataFrame) -> pd.DataFrame:
         ends = begin + np.cumsum(n)
         out.append(C.planes(totals[ends] - totals[ends - n], 3))
         begin = ends[-1]
+    del every, order, shared, totals, frags
+    C.release()
     marked = pd.DataFrame({"chunk": blobs["chunk"].to_numpy(), "rows": blobs["rows"].to_numpy(), "counts": out, "head": None})
     return pd.concat([marked, heads[["chunk", "rows", "counts", "head"]]], ignore_index=True)
 
