@@ -58,6 +58,13 @@ def test_boundary_of_the_threshold(spark):
     assert got == {r[0]: r[2] for r in brute(rows)}
 
 
+def test_null_id_copy_before_the_valid_one(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base, "en"), (8, base, "en"), (9, base + " x", "en"), (3, "other words of one more text", "en")]
+    table = docs(spark, rows[:2]).coalesce(1).unionByName(docs(spark, rows[2:]).coalesce(1))  # copies in one chunk, the near copy in another partition
+    assert sorted((tuple(r) for r in J.link(table).collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert J.link(docs(spark, [])).collect() == []
 

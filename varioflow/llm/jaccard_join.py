@@ -105,8 +105,8 @@ def _spread(ranges: int):
             n = np.diff(bounds)
             k1, k2 = set_keys(h, bounds)
             head = pd.DataFrame({"id": pc.fill_null(ids, 0).to_numpy(), "valid": valid.astype(np.int64), "n": n, "k1": k1, "k2": k2})
-            # of equal sets of a chunk the first stands for all
-            first = ~head.duplicated(["n", "k1", "k2"]).to_numpy() & (n > 0)
+            # of equal sets of a chunk the first with a doc_id stands for all
+            first = ~head.duplicated(["valid", "n", "k1", "k2"]).to_numpy() & (n > 0)
             row = np.repeat(np.arange(len(n)), n)
             own = first[row] & valid[row]
             h, row = h[own], row[own]
