@@ -54,3 +54,32 @@ def test_nothing_lost(spark):
     same = lambda rows: sorted((str(r.doc_id), str(r.text)) for r in rows)
     assert same(out.collect()) == same(table.collect())
     assert P.pseudonymise(docs(spark, []), "k").collect() == []
+
+
+def test_secrets_are_taken_whole(spark):
+    long, jwt, key = "Ab3x" * 75, "eyJhbGciOi.eyJzdWIiOiIx+Mjf/Q.SflKxw-_RJSM==", "a/b+c9=="
+    rows = [
+        (1, f"token={long} end", "en"),
+        (2, f'token: "{jwt}" and password={jwt}, then', "en"),
+        (3, f"secret='{key}' pwd=hun2 (api_key=x.y!z9)", "en"),
+        (4, 'password="correct horse \\" Battery" tail', "en"),
+        (5, 'password="Zürich no end\npwd: жук7 <a href="?token=q1w2">link</a>', "en"),
+        (6, "password: ________ token == x, secret: ... pwd=!@#$%^&*", "en"),
+        (7, f"token={'aB3.' * 50_000}c", "en"),
+        (8, "password=1234567-8901234567 secret=anna.Berg", "en"),
+    ]
+    got = {k[0]: r for k, r in run(spark, rows).items()}
+    shape = lambda t: "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in t)
+    assert [got[k].n_entities for k in range(1, 9)] == [1, 2, 3, 1, 3, 1, 1, 2]
+    assert all(shape(got[k].text) == shape(rows[k - 1][1]) for k in (1, 2, 3, 4, 5, 7, 8))
+    for k, parts in {1: ["Ab3x"], 2: ["eyJ", "Sfl", "RJSM", "Mjf"], 3: ["hun2", "x.y", "z9", key], 4: ["correct", "horse", "Battery"], 5: ["Zürich", "жук", "q1w2"], 7: ["aB3.aB3"], 8: ["1234567", "anna", "Berg"]}.items():
+        assert not [x for x in parts if x in got[k].text]
+    one, two = re.fullmatch(r'token: "(\S+)" and password=(\S+), then', got[2].text).groups()
+    assert one == two and got[4].text.endswith('" tail') and got[5].text.endswith('">link</a>') and " no end\n" in got[5].text
+    assert re.fullmatch(r"password: ________ token == x, secret: \.\.\. pwd=[a-z]{8}", got[6].text)
+
+
+def test_short_secrets_run_out_of_forms(spark):
+    rows = [(k, f"pwd={k} end", "en") for k in range(10)]
+    got = [r.text for r in run(spark, rows).values()]
+    assert len(set(got)) == 10 and not set(got) & {t for _, t, _ in rows}

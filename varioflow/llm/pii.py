@@ -9,6 +9,13 @@ entities are grouped by surrogate, the losers of a group draw again, until no
 group has two.  Equal entities get equal surrogates in every document, however
 their separators are written.
 
+A secret is what follows ``password``, ``passwd``, ``pwd``, ``secret``, ``token``,
+``api_key`` or ``apikey`` and ``=`` or ``:``, of any length: in quotes all up to
+the closing quote of the line, else all up to white space or a quote that ends
+a word, less the punctuation at its end.  Letters and digits are replaced and
+signs stay, unless it has only signs.  Without quotes, one sign repeated
+(a blank to fill in) or signs that end a sentence are no secret.
+
 Texts without an entity pass through in the same scan that reads them; only
 texts with one are shuffled, and the entity join is a plain equi-join that
 Spark may split where one entity is very frequent.
@@ -26,7 +33,16 @@ from pyspark.sql import functions as F
 from . import common as C
 
 # Entity patterns, in order of precedence.
-SECRET = r"(?i:(?<=\b(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?))[A-Za-z0-9_\-]{8,128}(?![A-Za-z0-9_\-])"
+KEY = r"\b(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}"
+#: Of a value without quotes: what it is made of, and what only belongs to it if more follows.
+CORE, TAIL = r"[^\s\"'.,;:!?)\]}>]", r"[.,;:!?)\]}>]"
+#: A letter or digit, or else two unlike signs: a rule of dashes or a blank is no value.
+VALUE = rf"(?![\"'])(?=\S*[\p{{L}}\p{{N}}]|(?<sign>\S)\k<sign>*+\S)(?:{CORE}++|{TAIL}++(?=[\"']*+{CORE})|[\"']++(?={CORE}))++"
+#: To the closing quote of its line, else to white space or a quote at a word's end; the first look keeps the longer ones few.
+SECRET = (
+    rf"(?<=[=:\"'\s])(?:(?<=(?i:{KEY})\")(?!\s)(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<=(?i:{KEY})')(?!\s)(?:[^'\\\r\n]++|\\.)++(?=')"
+    rf"|(?<=(?i:{KEY})[\"']?){VALUE})"
+)
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 CARD = r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?![\d])"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
@@ -48,10 +64,10 @@ def kind_of(raw: Column) -> Column:
     only = lambda p: raw.rlike(f"^(?:{p})$")
     return (
         F.when(only(EMAIL), "email")
-        .when(only(rf"\p{{L}}[\p{{L}}\-]*\.? \p{{Lu}}.*"), "name")
+        .when(only(NAME), "name")
         .when(only(r"\d(?:[ \-]?\d){12,18}") & ~only(r"\d{3}[ \-]\d{3}[ \-]\d{4}"), "card")
         .when(only(rf"(?:{OCTET}\.){{3}}{OCTET}"), "ip")
-        .when(only(r"[+(]?\d[\d ().\-]{8,20}") & raw.rlike(r"[ .()\-]"), "phone")
+        .when(only(PHONE), "phone")
         .otherwise("secret")
     )
 
@@ -76,26 +92,30 @@ def _number(digest: Column, at: int, size: int) -> Column:
     return F.conv(F.substring(digest, at + 1, size), 16, 10).cast("long")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not once per character."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _drawn(digest: Column, i: Column, alphabet: Column) -> Column:
+    """The character at place ``i`` (from 1) of the stream: one per pair of hex digits, round and round."""
+    pair = F.conv(F.substr(digest, F.pmod((i - 1) * 2, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
+    return F.substr(alphabet, F.pmod(pair + i, F.length(alphabet)) + 1, F.lit(1))
+
+
 def _stream(digest: Column, length: Column, alphabet: Column) -> Column:
-    """``length`` characters of the alphabet, one per pair of hex digits, round and round."""
-    pair = lambda i: F.conv(F.substr(digest, F.pmod(i * 2, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
-    each = F.transform(F.sequence(F.lit(1), length), lambda i: F.substr(alphabet, F.pmod(pair(i - 1) + i, F.length(alphabet)) + 1, F.lit(1)))
-    return F.when(length > 0, F.array_join(each, "")).otherwise("")
+    """``length`` characters of the alphabet."""
+    return F.when(length > 0, _bound(digest, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), length), lambda i: _drawn(d, i, alphabet)), ""))).otherwise("")
 
 
-def _like(raw: Column, digest: Column, digits: str = "0123456789", lower: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+def _like(raw: Column, digest: Column, digits: str = "0123456789", lower: str = "abcdefghijklmnopqrstuvwxyz", cyrillic: str = "абвгдежзиклмнопрстуфхцчшэюя") -> Column:
     """Each digit, lower and upper letter replaced by one of its class; everything else stays."""
-    n = F.length(raw)
-    numbers, letters = _stream(digest, n, F.lit(digits)), _stream(digest, n, F.lit(lower))
-    one = lambda i: F.substr(raw, i, F.lit(1))
-    each = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.when(one(i).rlike("[0-9]"), F.substr(numbers, i, F.lit(1)))
-        .when(one(i).rlike("[a-z]"), F.substr(letters, i, F.lit(1)))
-        .when(one(i).rlike("[A-Z]"), F.upper(F.substr(letters, i, F.lit(1))))
-        .otherwise(one(i)),
-    )
-    return F.when(n > 0, F.array_join(each, "")).otherwise("")
+
+    def one(d: Column, c: Column, at: Column) -> Column:
+        letter = F.when(c.rlike(r"\p{IsCyrillic}"), _drawn(d, at + 1, F.lit(cyrillic))).otherwise(_drawn(d, at + 1, F.lit(lower)))
+        return F.when(c.rlike(r"\p{N}"), _drawn(d, at + 1, F.lit(digits))).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"[\p{L}\p{M}]"), letter).otherwise(c)
+
+    return F.when(F.length(raw) > 0, _bound(digest, lambda d: F.array_join(F.transform(F.split(raw, ""), lambda c, at: one(d, c, at)), ""))).otherwise("")
 
 
 def _luhn(body: Column) -> Column:
@@ -121,7 +141,9 @@ def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Col
     exchange = F.when(wide, F.concat((F.lit(2) + F.pmod(_number(digest, 20, 4), F.lit(8))).cast("string"), F.lpad(F.pmod(_number(digest, 24, 4), F.lit(100)).cast("string"), 2, "0"))).otherwise("555")
     phone = F.concat(area, exchange, F.lpad(F.pmod(_number(digest, 8, 8), F.lit(10000)).cast("string"), 4, "0"))
     hexed = normal.rlike("^[0-9a-f]+$")
-    secret = F.when(hexed, _stream(digest, F.length(normal), F.lit("0123456789abcdef"))).otherwise(_like(normal, digest))
+    lettered = normal.rlike(r"[\p{L}\p{N}]")
+    secret = F.when(hexed, _stream(digest, F.length(normal), F.lit("0123456789abcdef"))).when(lettered, _like(normal, digest)).otherwise(_stream(digest, F.length(normal), F.lit("abcdefghijklmnopqrstuvwxyz")))
+    secret = F.concat(secret, F.when(wide, _stream(F.reverse(digest), attempt, F.lit("0123456789"))).otherwise(""))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "phone", phone).when(kind == "name", _name(normal, digest, attempt)).otherwise(secret)
 
 
