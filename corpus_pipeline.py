@@ -6,8 +6,7 @@ but the last return the columns of ``documents``.
 
 Nulls, empty and very long texts, ties, repeated rows and empty tables have the
 results that the operators' modules state; the stages add this:
-language ID drops texts without a letter and texts whose best language has a
-posterior under one half; of a near-duplicate group the row of the least doc_id
+language ID drops texts without a letter, and no other text for its score; of a near-duplicate group the row of the least doc_id
 stays, rows with a null doc_id all stay, and of repeated rows with the least
 doc_id each stays; the rewritten text sets ``n_chars`` anew.
 """
@@ -26,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows whose language is known, learned from all labelled rows of the input."""
     docs = docs.select(*COLUMNS)
     known = language_id.predict(docs.withColumn("body", F.col("text")), language_id.fit(docs), text="body", keep=tuple(COLUMNS))
-    return known.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)).select(*COLUMNS)
+    return known.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

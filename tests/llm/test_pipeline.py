@@ -39,3 +39,10 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         table = stage(spark, table, SF)
     assert table.count() == 0
+
+
+def test_short_clean_texts_keep_their_language(spark):
+    known = {"en": "the cat and the dog went over the hill", "de": "der hund und die katze gingen mit", "fr": "le chat et le chien vont sur la colline", "es": "el gato y el perro van por la colina"}
+    rows = [(i, t, k) for i, (k, t) in enumerate([*known.items()] * 20)] + [(900, "жук", None), (901, "colin", None), (902, "1234 !!", None)]
+    left = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs(spark, rows), SF).collect()}
+    assert {900, 901} <= left and 902 not in left and len(left) == len(rows) - 1
