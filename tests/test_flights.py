@@ -1,11 +1,15 @@
 """Unit inputs of the flight operators."""
 
+import json
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
-from varioflow.functions import geo
-from varioflow.operators import kinematics, launch, links, parse, polars, segments, task
-from varioflow.sources import logs
+from varioflow.functions import geo, units
+from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, segments, task
+from varioflow.plans import debrief
+from varioflow.sources import kept, logs
 
 B = "B1508535143108N00250575WA0000000220"
 
@@ -86,5 +90,109 @@ def test_links(spark):
     assert got[asked[3]].file_name == "a.IGC" and got["100000"].label == "BGA Ladder flight 100000"
 
 
-def test_launch_types_are_named():
-    assert launch.NO_LAUNCH.startswith("no launch")
+def test_hemispheres_are_capitals_and_holes_are_wide(spark):
+    block = lines(spark, "C0000060N00000060Enear", "C0000061N00000060Efar", "C5143108n00250575WTEXT")
+    assert [p.name for p in parse.task_points(block, parse.declarations(block)).collect()] == ["far"]
+    assert parse.declarations(block).count() == 1
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    block = lines(spark, "HFGIDGLIDERID:\t G-ABCD\u00a0\t", "AXYZ \t")
+    r = parse.headers(block).first()
+    assert (r.glider_id, r.logger_id) == ("G-ABCD", "XYZ")
+
+
+def test_to_fixed_goes_by_the_binary_value(spark):
+    values = [2.675, 1.005, -2.675, 0.125, 1.45, 8.345, 1234.5675, 0.0, 2.5, -0.5, 1e9 + 0.05, 3.14159, 0.285]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2, 3):
+        step = Decimal(1).scaleb(-places)
+        want = [float(Decimal(v).quantize(step, ROUND_HALF_UP)) for v in values]
+        assert [r[0] for r in df.select(units.to_fixed(F.col("x"), places)).collect()] == want
+
+
+def test_files_are_read_by_name_and_size(spark, tmp_path):
+    body = "AXYZ\r\n" + B + "\r\n"
+    (tmp_path / "sub").mkdir()
+    for name in ("a.igc", "sub/b.IGC", "c.txt"):
+        (tmp_path / name).write_bytes(body.encode("latin-1"))
+    (tmp_path / "big.igc").write_bytes(b"B" * 200)
+    got = logs.read_logs(spark, str(tmp_path), max_bytes=100)
+    assert sorted(r.source.rsplit("/", 1)[1] for r in got.collect()) == ["a.igc", "b.IGC"]
+    assert [r.length for r in logs.refused(spark, str(tmp_path), max_bytes=100).collect()] == [200]
+    assert parse.fixes(logs.split_lines(got)).count() == 2
+    assert logs.rejects(logs.read_logs(spark, str(tmp_path)), parse.fixes(logs.split_lines(got))).count() == 1
+
+
+def test_polar_file(spark, tmp_path):
+    one = {"name": "ASK 21", "match": ["ask21"], "published": {"best_ld": 34.0, "best_ld_kmh": 90.0, "min_sink_ms": 0.65}, "points": [[95, 0.54], [115, 0.6], [170, 1.32]]}
+    path = tmp_path / "polars.json"
+    path.write_text(json.dumps({"gliders": [one], "default": {**one, "name": "any", "match": []}}))
+    got = logs.read_polars(spark, str(path)).orderBy("db_order").collect()
+    assert [(r.name, r.is_default) for r in got] == [("ASK 21", False), ("any", True)]
+
+
+def flown(spark, rows):
+    """Kinematics of made-up steps: (alt, km/h) per second."""
+    return spark.createDataFrame([("f", k, k, a, v / 3.6, True, 1) for k, (a, v) in enumerate(rows)], "flight_id string, idx long, t long, alt int, gs double, good boolean, dt int")
+
+
+@pytest.mark.parametrize(
+    "rows,kind,confident",
+    [
+        ([(100 + 2 * k, 110.0) for k in range(200)] + [(500 - k, 70.0) for k in range(100)], launch.TOW, True),
+        ([(100, 0.0)] * 5 + [(100 + 8 * k, 100.0) for k in range(40)] + [(410 - k, 80.0) for k in range(200)], launch.WINCH, False),
+        ([(1000 - k, 100.0) for k in range(200)], launch.NO_LAUNCH, False),
+        ([(100 + k, 60.0) for k in range(300)] + [(400 - k, 60.0) for k in range(200)], launch.UNCLEAR, False),
+    ],
+)
+def test_launch_kinds(spark, rows, kind, confident):
+    r = launch.find_launch(flown(spark, rows)).first()
+    assert (r.type, r.confident) == (kind, confident)
+
+
+def test_release_override_takes_the_nearest_fix(spark):
+    fixes = flown(spark, [(100 + k, 60.0) for k in range(100)])
+    found = launch.find_launch(fixes)
+    given = launch.override_release(found, fixes, spark.createDataFrame([("f", 42)], "flight_id string, release_time long")).first()
+    none = launch.override_release(found, fixes, spark.createDataFrame([("f", None)], "flight_id string, release_time long")).first()
+    assert (given.release_idx, given.confident) == (42, True)
+    assert none.release_idx == found.first().release_idx and "supplied" not in none.note
+
+
+@pytest.mark.parametrize("heights,landed,want", [([1200, 800, 400, 260, 120, 0], True, 3), ([1400, 900, 700, 500, 380], True, 3), ([1200, 200, 150, 900, 1100, 400, 200, 0], True, 6), ([1200, 0], False, None)])
+def test_circuit_entry(spark, heights, landed, want):
+    kin = spark.createDataFrame([("f", k, k * 10, a) for k, a in enumerate(heights)], "flight_id string, idx long, t long, alt int")
+    summary = spark.createDataFrame([("f", heights[-1], landed)], "flight_id string, last_alt int, landed boolean")
+    assert legs.circuit_entry(kin, summary).first().entry == want
+
+
+def test_full_circles_are_cut_on_exact_sums(spark):
+    # 36 turns of ten degrees are one circle, whatever the floats add up to
+    rows = [("f", 0, k, k, 100 + k, float(k), 0.0, 10.0 if k % 2 else 9.9999999999) for k in range(80)]
+    fixes = spark.createDataFrame(rows, "flight_id string, run_id int, idx long, t long, alt int, x double, y double, dtrk double")
+    out = climbs.circles_and_best(fixes, spark.createDataFrame([("f", 0)], "flight_id string, run_id int")).first()
+    assert [(c.start, c.duration_s) for c in out.per_circle] == [(0, 36), (36, 36)] and out.best_30s_ms == 1.0
+
+
+def test_differences_of_all_kinds(spark):
+    schema = "k string, a int, b string, c double, d array<int>, e int, g int"
+    want = spark.createDataFrame([("f", 1, "x", 1.0, [1, 2], 5, 1), ("m", 1, None, None, [], None, None)], schema)
+    got = spark.createDataFrame([("f", 2, "y", 1.0 + 1e-12, [1], None, "1")], "k string, a int, b string, c double, d array<int>, e int, g string")
+    problems = {(r.k, r.path): r.problem for r in diff.diff_results(want, got, "k", spark.createDataFrame([("m", "a")], "k string, prefix string")).collect()}
+    assert problems == {("f", "a"): "number", ("f", "b"): "string", ("f", "d#"): "length", ("f", "d[1]"): "missing", ("f", "e"): "null", ("f", "g"): "type", ("m", "b"): "missing", ("m", "c"): "missing", ("m", "d#"): "missing", ("m", "e"): "missing", ("m", "g"): "missing"}
+
+
+def test_lookups(spark):
+    fixes = spark.createDataFrame([("f", k, 10 * k, k) for k in range(5)], "flight_id string, idx long, t long, alt int")
+    asked = spark.createDataFrame([("f", 1, -5), ("f", 2, 10), ("f", 3, 11), ("f", 4, 99)], "flight_id string, query_id long, at long")
+    assert {r.query_id: r.idx for r in lookup.fix_at(fixes, asked).collect()} == {1: 0, 2: 1, 3: 2, 4: 4}
+
+
+def test_motion_is_planned_once(spark):
+    d = debrief.Debrief(lines(spark, B))
+    assert d.legs.count() == 0
+    text = segments.relabelled(d.classified, d._absorbed)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text
+    made = segments.classify(kinematics.add_kinematics(parse.ordered_fixes(kept.dealt(parse.parse_b(d.lines), "flight_id"))))._jdf.queryExecution().executedPlan().toString()
+    assert made.count("Exchange hashpartitioning") == 1 and made.count("Window [") <= 12

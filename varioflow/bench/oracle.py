@@ -6,6 +6,9 @@ takes the chain and its own final select.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from ..operators.polars import DEFAULT, GLIDERS, GRID
 from .trace_binding import DROPPED, GLIDERS as TYPES, START, phase_sql
 
@@ -133,16 +136,16 @@ CHAIN: list[tuple[str, str]] = [
 ]
 
 
-def sql(final: str) -> str:
-    """The part of the chain that the select needs, and the select."""
-    import re
-
+def sql(final: str, changed: dict[str, str] | None = None) -> str:
+    """The part of the chain that the select needs, and the select; ``changed`` replaces steps."""
     needed, todo = set(), [final]
-    bodies = dict(CHAIN)
+    bodies = dict(CHAIN) | (changed or {})
     while todo:
         for name in set(re.findall(r"\w+", todo.pop())) & bodies.keys() - needed:
             needed.add(name)
             todo.append(bodies[name])
     if not needed:
         return final
-    return "with " + ",\n".join(f"{n} as ({b})" for n, b in CHAIN if n in needed) + "\n" + final
+    # a step that several others read is worked out once
+    uses = Counter(x for text in [final, *[bodies[n] for n in needed]] for x in set(re.findall(r"\w+", text)) & needed)
+    return "with " + ",\n".join(f"{n} as {'materialized ' if uses[n] > 1 else ''}({bodies[n]})" for n, _ in CHAIN if n in needed) + "\n" + final

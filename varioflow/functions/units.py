@@ -59,3 +59,21 @@ def wind_speed(ms: Column) -> Column:
 def distance(metres: Column) -> Column:
     """Kilometres in both systems."""
     return metres / 1000
+
+
+def to_fixed(x: Column, places: int) -> Column:
+    """Rounded to ``places`` decimals by the binary value, halves away from zero.
+
+    ``round`` goes by the shortest decimal form, so a value just below a half
+    (2.675 is 2.67499...) would go up.  Such values are the doubles next to an
+    odd number of fives; the exact error of the scaling (two-product by
+    splitting) tells on which side of the half they lie.
+    """
+    a, scale = F.abs(x.cast("double")), float(10 ** (places + 1))
+    product = a * scale
+    half = F.rint(product)
+    split = a * 134217729.0
+    high = split - (split - a)
+    error = (high * scale - product) + (a - high) * scale
+    below = (half / scale == a) & (F.pmod(half, F.lit(10.0)) == 5.0) & ((product - half) + error < 0)
+    return F.signum(x) * F.when(below, F.floor(half / 10.0) / float(10**places)).otherwise(F.round(a, places))

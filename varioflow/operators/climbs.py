@@ -66,15 +66,16 @@ def _circles(win: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         t, alt, x, y = (pdf[c].to_numpy() for c in ("t", "alt", "x", "y"))
-        turn = np.where(np.arange(len(t)) < len(t) - 1, pdf["dtrk"].to_numpy(float), np.nan)
-        out, acc, start = [], 0.0, 0
-        for i in np.flatnonzero(~np.isnan(turn)):
-            acc += turn[i]
-            if abs(acc) >= 360:
+        # whole billionths of a degree: a sum of many turns is exact, and a full circle is one on every machine
+        turn = np.floor(pdf["dtrk"].to_numpy(float)[:-1] * 1e9 + 0.5)
+        out, acc, start = [], 0, 0
+        for i in np.flatnonzero(~np.isnan(turn)).tolist():
+            acc += int(turn[i])
+            if abs(acc) >= 360_000_000_000:
                 d = int(t[i + 1] - t[start])
                 own = slice(start, i + 2)
                 out.append({"k": len(out) + 1, "start": int(t[start]), "duration_s": d, "gain_m": int(alt[i + 1] - alt[start]), "climb_ms": (alt[i + 1] - alt[start]) / d if d else 0.0, "cx": x[own].mean(), "cy": y[own].mean(), "ct": t[own].mean(), "alt_m": int(alt[start])})
-                acc, start = 0.0, i + 1
+                acc, start = 0, i + 1
         end = np.minimum(np.searchsorted(t, t + win), len(t) - 1)
         # equal times share a place; the first fix that is far enough counts
         span = t[end] - t

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import FEET
 from .kinematics import by_flight, in_order
 
+# The launch kinds as users know them.
 NO_LAUNCH = "no launch in this file - the trace appears to start airborne"
 WINCH = "winch or bungee launch"
 TOW = "aerotow"
@@ -62,8 +63,8 @@ def find_launch(kin: DataFrame) -> DataFrame:
 
 
 def override_release(launch: DataFrame, fixes: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Release at the fix nearest to ``release_time`` (first of ties) for the flights in ``overrides``."""
-    near = fixes.join(overrides, "flight_id").groupBy("flight_id").agg(F.min(F.struct(F.abs(F.col("t") - F.col("release_time")).alias("far"), "idx", "t")).alias("near"))
+    """Release at the fix nearest to ``release_time`` (first of ties) for the flights in ``overrides``; a null time leaves the flight as it is."""
+    near = fixes.join(overrides.where("release_time is not null"), "flight_id").groupBy("flight_id").agg(F.min(F.struct(F.abs(F.col("t") - F.col("release_time")).alias("far"), "idx", "t")).alias("near"))
     met = launch.join(near, "flight_id", "left")
     given = F.col("near").isNotNull()
     return (

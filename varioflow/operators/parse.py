@@ -1,8 +1,7 @@
 """Lines to fixes, headers and declarations.
 
-The record type is a line's first character, in either case.  Numbers are read
-behind a pattern, so a malformed record is dropped or a field null, and no cast
-can fail.
+The record type is a line's first character, in either case.  Numbers are tried,
+not cast, so a malformed record is dropped or a field null.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DAY = 86400
+#: Thousandths of a minute (a thousandth of a degree) about zero that stand for no point.
+HOLE = 60
 #: Header records and the columns they fill.
 HEADERS = {"HFGTY": "glider_type", "HFGID": "glider_id", "HFCID": "competition_id", "HFPLT": "pilot", "HFCM2": "crew2", "HFFTY": "logger", "HFGPS": "gps", "HFTZN": "timezone"}
 
@@ -21,10 +22,14 @@ def part(line: Column, a: int, b: int | None = None) -> Column:
     return F.substring(line, a + 1, (1 << 30) if b is None else b - a)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\ufeff]+|[\s\p{Z}\ufeff]+$", "")
+
+
 def whole(text: Column) -> Column:
-    """An integer, or null: optional sign, spaces around."""
-    bare = F.trim(text)
-    return F.when(bare.rlike("^[+-]?[0-9]{1,9}$"), bare.try_cast("int"))
+    """An integer, or null: a sign and white space at the ends are allowed."""
+    return text.try_cast("int")
 
 
 def digits(text: Column) -> Column:
@@ -37,9 +42,11 @@ def kind(line: Column) -> Column:
 
 def minutes_1000(text: Column, degree_digits: int, hemisphere: Column) -> Column:
     """``DDMMmmm`` (or ``DDDMMmmm``) as signed thousandths of a minute; exact."""
-    d, m = digits(part(text, 0, degree_digits)), digits(part(text, degree_digits, degree_digits + 5))
+    d, m = whole(part(text, 0, degree_digits)), whole(part(text, degree_digits, degree_digits + 5))
     size = (d * 60000 + m).cast("long")
-    return F.when(F.length(text) == degree_digits + 5, F.when(hemisphere.isin("S", "W"), -size).otherwise(size))
+    # a blank after the decimals would shift them
+    closed = part(text, degree_digits + 4, degree_digits + 5).between("0", "9")
+    return F.when(closed, F.when(hemisphere.isin("S", "W"), -size).otherwise(size))
 
 
 def degrees_of(mm: Column) -> Column:
@@ -53,7 +60,7 @@ def parse_b(lines: DataFrame) -> DataFrame:
     b = lines.where((kind(line) == "B") & (F.length(line) >= 35)).select(
         "flight_id",
         "line_no",
-        (digits(part(line, 1, 3)) * 3600 + digits(part(line, 3, 5)) * 60 + digits(part(line, 5, 7))).cast("long").alias("raw_t"),
+        (whole(part(line, 1, 3)) * 3600 + whole(part(line, 3, 5)) * 60 + whole(part(line, 5, 7))).cast("long").alias("raw_t"),
         lat.alias("lat_mm"),
         lon.alias("lon_mm"),
         whole(part(line, 25, 30)).alias("palt"),
@@ -84,19 +91,20 @@ def headers(lines: DataFrame) -> DataFrame:
     """One row per flight: the last record of each kind, the last valid date, the first logger id."""
     line = F.col("line")
     rest = part(line, 5)
-    value = F.trim(F.when(F.instr(rest, ":") > 0, F.regexp_replace(rest, "^[^:]*:", "")).otherwise(rest))
+    value = stripped(F.when(F.instr(rest, ":") > 0, F.regexp_replace(rest, "^[^:]*:", "")).otherwise(rest))
     code = F.upper(part(line, 0, 5))
     number = F.regexp_replace(rest, "[^0-9]", "")
     date = F.when(F.length(number) >= 6, F.concat(F.lit("20"), part(number, 4, 6), F.lit("-"), part(number, 2, 4), F.lit("-"), part(number, 0, 2)))
     own = lines.where(kind(line).isin("A", "H")).withColumn("code", code)
     last = lambda v, when: F.max_by(F.when(when, v), F.when(when & v.isNotNull(), F.col("line_no")))
     columns = [last(value, F.col("code") == k).alias(name) for k, name in HEADERS.items()]
-    first = F.min_by(F.trim(part(line, 1)), F.when(kind(line) == "A", F.col("line_no")))
+    first = F.min_by(stripped(part(line, 1)), F.when(kind(line) == "A", F.col("line_no")))
     return own.groupBy("flight_id").agg(last(date, F.col("code") == "HFDTE").alias("date"), *columns, first.alias("logger_id"))
 
 
 def is_point(line: Column) -> Column:
-    return (F.length(line) >= 18) & F.upper(part(line, 8, 9)).isin("N", "S") & F.upper(part(line, 17, 18)).isin("E", "W")
+    """Capitals alone mark a hemisphere; with small letters the record is a declaration."""
+    return (F.length(line) >= 18) & part(line, 8, 9).isin("N", "S") & part(line, 17, 18).isin("E", "W")
 
 
 def declarations(lines: DataFrame) -> DataFrame:
@@ -106,16 +114,16 @@ def declarations(lines: DataFrame) -> DataFrame:
     hh, mm, ss = [digits(part(line, a, a + 2)) for a in (7, 9, 11)]
     date = F.when(m.between(1, 12) & d.between(1, 31) & y.isNotNull(), F.format_string("20%02d-%02d-%02d", y, m, d))
     time = F.when((hh < 24) & (mm < 60) & (ss < 60), (hh * 3600 + mm * 60 + ss).cast("long"))
-    own = F.struct(F.trim(part(line, 25)).alias("description"), date.alias("declared_date"), time.alias("declared_time_s"), digits(part(line, 23, 25)).alias("turnpoints"))
+    own = F.struct(stripped(part(line, 25)).alias("description"), date.alias("declared_date"), time.alias("declared_time_s"), digits(part(line, 23, 25)).alias("turnpoints"))
     return lines.where((kind(line) == "C") & ~is_point(line)).groupBy("flight_id").agg(F.min_by(own, "line_no").alias("d")).select("flight_id", "d.*")
 
 
 def task_points(lines: DataFrame, declared: DataFrame) -> DataFrame:
-    """Declared points with their roles; zero or malformed ones hold their place, then go."""
+    """Declared points with their roles; those within ``HOLE`` of zero or malformed hold their place, then go."""
     line = F.col("line")
-    lat, lon = minutes_1000(part(line, 1, 8), 2, F.upper(part(line, 8, 9))), minutes_1000(part(line, 9, 17), 3, F.upper(part(line, 17, 18)))
-    hole = lat.isNull() | lon.isNull() | ((lat == 0) & (lon == 0))
-    points = lines.where((kind(line) == "C") & is_point(line)).select("flight_id", "line_no", F.when(~hole, lat).alias("lat_mm"), F.when(~hole, lon).alias("lon_mm"), F.trim(part(line, 18)).alias("name"))
+    lat, lon = minutes_1000(part(line, 1, 8), 2, part(line, 8, 9)), minutes_1000(part(line, 9, 17), 3, part(line, 17, 18))
+    hole = lat.isNull() | lon.isNull() | ((F.abs(lat) <= HOLE) & (F.abs(lon) <= HOLE))
+    points = lines.where((kind(line) == "C") & is_point(line)).select("flight_id", "line_no", F.when(~hole, lat).alias("lat_mm"), F.when(~hole, lon).alias("lon_mm"), stripped(part(line, 18)).alias("name"))
     return assign_roles(points, declared)
 
 
@@ -140,7 +148,7 @@ def extension_warnings(lines: DataFrame) -> DataFrame:
     n = digits(part(F.col("i"), 1, 3))
     end = lambda k: F.substr("i", k * 7 + 6, F.lit(2))
     ends = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(end(k).rlike("^[0-9]{1,2}$"), end(k).try_cast("int")))
-    per = lines.where(kind(line).isin("I", "B")).groupBy("flight_id").agg(F.max_by(F.when(kind(line) == "I", F.trim(line)), F.when(kind(line) == "I", F.col("line_no"))).alias("i"), F.max(F.when(line.startswith("B"), F.length(line))).alias("actual"))
+    per = lines.where(kind(line).isin("I", "B")).groupBy("flight_id").agg(F.max_by(F.when(kind(line) == "I", stripped(line)), F.when(kind(line) == "I", F.col("line_no"))).alias("i"), F.max(F.when(line.startswith("B"), F.length(line))).alias("actual"))
     declared = F.when(n > 0, F.when(~F.exists(ends, lambda e: e.isNull()), F.array_max(ends)))
     found = per.withColumn("declared", declared).where("declared <> actual")
     text = F.format_string("I-record declares extensions out to column %d but B records are %d characters - logger extension fields (speed/vario) are unreliable in this file. All figures below are derived from positions and times.", "declared", "actual")

@@ -2,7 +2,7 @@
 
 Short runs are absorbed on the run table, one row per original run, which is far
 smaller than the fixes; the outcome returns to the fixes as one array per
-flight, so neither step needs another exchange.
+flight.  Whoever keeps the classified fixes computes the motion once.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ def classify(kin: DataFrame, min_circle_rate: float = 6.0) -> DataFrame:
     return f.withColumn("__c", change).withColumn("raw_run", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("__c")
 
 
+ENDS = ("a", "b", "t_a", "t_b", "alt_a", "alt_b")
+
+
 def absorbed(classified: DataFrame, min_run: int = 25, passes: int = 4) -> DataFrame:
-    """Original run to final run and kind.  A pass flips every short run of its snapshot together."""
-    runs = classified.groupBy("flight_id", "raw_run").agg(F.first("circ").alias("circ"), F.min("t").alias("t_a"), F.max("t").alias("t_b"))
+    """Original run, its ends, final run and kind.  A pass flips every short run of its snapshot together."""
+    runs = classified.groupBy("flight_id", "raw_run").agg(
+        F.first("circ").alias("circ"), F.min("idx").alias("a"), F.max("idx").alias("b"), F.min("t").alias("t_a"), F.max("t").alias("t_b"), F.min_by("alt", "idx").alias("alt_a"), F.max_by("alt", "idx").alias("alt_b")
+    )
     order = W.partitionBy("flight_id").orderBy("raw_run")
     runs = runs.withColumn("run_id", F.col("raw_run")).withColumn("__a", F.col("t_a")).withColumn("__b", F.col("t_b"))
     for _ in range(passes):
@@ -31,19 +36,31 @@ def absorbed(classified: DataFrame, min_run: int = 25, passes: int = 4) -> DataF
         runs = runs.withColumn("__c", change).withColumn("run_id", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
         whole = W.partitionBy("flight_id", "run_id")
         runs = runs.withColumn("__a", F.min("t_a").over(whole)).withColumn("__b", F.max("t_b").over(whole))
-    return runs.select("flight_id", "raw_run", "run_id", "circ")
+    return runs.select("flight_id", "raw_run", "run_id", "circ", *ENDS)
+
+
+def relabelled(classified: DataFrame, runs: DataFrame) -> DataFrame:
+    """The fixes with the final ``run_id`` and ``circ`` of their original run."""
+    per_flight = runs.groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("raw_run", "run_id", "circ"))).alias("__runs"))
+    own = F.element_at("__runs", F.col("raw_run") + 1)
+    return classified.drop("circ").join(per_flight, "flight_id").withColumn("run_id", own["run_id"]).withColumn("circ", own["circ"]).drop("__runs", "raw_run")
 
 
 def segment(kin: DataFrame, min_circle_rate: float = 6.0, min_run: int = 25, passes: int = 4) -> DataFrame:
     """The fixes with their final ``run_id`` and ``circ``."""
     classified = classify(kin, min_circle_rate)
-    per_flight = absorbed(classified, min_run, passes).groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("raw_run", "run_id", "circ"))).alias("__runs"))
-    own = F.element_at("__runs", F.col("raw_run") + 1)
-    return classified.drop("circ").join(per_flight, "flight_id").withColumn("run_id", own["run_id"]).withColumn("circ", own["circ"]).drop("__runs", "raw_run")
+    return relabelled(classified, absorbed(classified, min_run, passes))
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """``flight_id, run_id, a, b, t_a, t_b, alt_a, alt_b, circ`` of ``absorbed`` runs; ends inclusive."""
+    return runs.groupBy("flight_id", "run_id").agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.min("t_a").alias("t_a"), F.max("t_b").alias("t_b"), F.min_by("alt_a", "a").alias("alt_a"), F.max_by("alt_b", "b").alias("alt_b"), F.first("circ").alias("circ")
+    )
 
 
 def run_table(fixes: DataFrame) -> DataFrame:
-    """``flight_id, run_id, a, b, t_a, t_b, alt_a, alt_b, circ``; ends inclusive."""
+    """The same runs straight from segmented fixes."""
     return fixes.groupBy("flight_id", "run_id").agg(
         F.min("idx").alias("a"), F.max("idx").alias("b"), F.min("t").alias("t_a"), F.max("t").alias("t_b"), F.min_by("alt", "idx").alias("alt_a"), F.max_by("alt", "idx").alias("alt_b"), F.first("circ").alias("circ")
     )

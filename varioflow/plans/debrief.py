@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import climbs as climb_ops
 from ..operators import kinematics, launch, legs, parse, phase, polars, quality, segments, task
+from ..sources import kept
 
 
 @dataclass
@@ -23,47 +26,110 @@ class Options:
 
 
 class Debrief:
-    """Result tables of one corpus, each built once.
+    """Result tables of one corpus, each made when first asked for.
 
-    ``fixes`` is the one large table.  It comes out of a single exchange by
-    flight; ``keep`` may persist or store it before the results branch.
+    The classified fixes are the one large table.  They come out of a single
+    exchange by flight and are kept dealt by flight, so that what is derived
+    from them is not exchanged again; tables with a few rows per flight that
+    several results share are kept too.  ``keep`` and ``keep_fixes`` say how.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None, keep=None):
-        o = options or Options()
-        self.lines, self.options = lines, o
-        fixes = segments.segment(kinematics.add_kinematics(parse.fixes(lines)), o.min_circle_rate)
-        self.fixes = keep(fixes) if keep else fixes
-        self.headers = parse.headers(lines)
-        self.warnings = parse.extension_warnings(lines)
-        self.declared = parse.declarations(lines)
-        self.task_points = parse.task_points(lines, self.declared)
-        self.task_legs = task.task_legs(self.task_points)
-        self.task_summary = task.task_summary(self.task_points, self.declared)
-        self.runs = segments.run_table(self.fixes)
-        self.launch = launch.find_launch(self.fixes)
-        if o.release_times is not None:
-            self.launch = launch.override_release(self.launch, self.fixes, o.release_times)
-        self.summary = quality.trace_summary(self.fixes)
-        self.climb_runs = climb_ops.climb_runs(self.runs, self.launch)
-        self.wind_estimates = climb_ops.wind_estimates(climb_ops.circle_stats(self.fixes, self.climb_runs))
-        self.wind = climb_ops.estimate_wind(self.wind_estimates)
-        self.phase = phase.phase_split(self.runs, self.launch, self.climb_runs, self.summary)
-        table = o.polar_table if o.polar_table is not None else polars.bundled(lines.sparkSession)
+    def __init__(self, lines: DataFrame, options: Options | None = None, keep: Callable[[DataFrame, str], DataFrame] = kept.stored, keep_fixes: Callable[[DataFrame, str, str], DataFrame] = kept.bucketed):
+        self.lines, self.options = lines, options or Options()
+        self._keep, self._keep_fixes = keep, keep_fixes
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        moving = kinematics.add_kinematics(parse.ordered_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id")))
+        return self._keep_fixes(segments.classify(moving, self.options.min_circle_rate), "classified", "flight_id")
+
+    @cached_property
+    def _absorbed(self) -> DataFrame:
+        return self._keep(segments.absorbed(self.classified), "absorbed")
+
+    @cached_property
+    def fixes(self) -> DataFrame:
+        return segments.relabelled(self.classified, self._absorbed)
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        return self._keep(parse.headers(self.lines), "headers")
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return parse.extension_warnings(self.lines)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return self._keep(parse.declarations(self.lines), "declared")
+
+    @cached_property
+    def task_points(self) -> DataFrame:
+        return self._keep(parse.task_points(self.lines, self.declared), "task_points")
+
+    @cached_property
+    def task_legs(self) -> DataFrame:
+        return task.task_legs(self.task_points)
+
+    @cached_property
+    def task_summary(self) -> DataFrame:
+        return task.task_summary(self.task_points, self.declared)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return segments.merged_runs(self._absorbed)
+
+    @cached_property
+    def launch(self) -> DataFrame:
+        found = launch.find_launch(self.classified)
+        if self.options.release_times is not None:
+            found = launch.override_release(found, self.classified, self.options.release_times)
+        return self._keep(found, "launch")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self._keep(quality.trace_summary(self.classified), "summary")
+
+    @cached_property
+    def climb_runs(self) -> DataFrame:
+        return self._keep(climb_ops.climb_runs(self.runs, self.launch), "climb_runs")
+
+    @cached_property
+    def wind_estimates(self) -> DataFrame:
+        return self._keep(climb_ops.wind_estimates(climb_ops.circle_stats(self.fixes, self.climb_runs)), "wind_estimates")
+
+    @cached_property
+    def wind(self) -> DataFrame:
+        return climb_ops.estimate_wind(self.wind_estimates)
+
+    @cached_property
+    def phase(self) -> DataFrame:
+        return phase.phase_split(self.runs, self.launch, self.climb_runs, self.summary)
+
+    @cached_property
+    def polars(self) -> DataFrame:
+        table = self.options.polar_table if self.options.polar_table is not None else polars.bundled(self.lines.sparkSession)
         types = self.summary.select("flight_id").join(self.headers.select("flight_id", "glider_type"), "flight_id", "left")
-        self.polars = polars.match_polars(types, table, o.polar_overrides)
-        self.entry = legs.circuit_entry(self.fixes, self.summary)
-        split = legs.split_legs(legs.leg_runs(self.runs, self.launch), self.entry, split_circuit=o.split_circuit)
+        return self._keep(polars.match_polars(types, table, self.options.polar_overrides), "polars")
+
+    @cached_property
+    def entry(self) -> DataFrame:
+        return self._keep(legs.circuit_entry(self.classified, self.summary), "entry")
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        whole = self.options.split_circuit
+        split = legs.split_legs(legs.leg_runs(self.runs, self.launch), self.entry, split_circuit=whole)
         analysed = legs.analyse_legs(self.fixes, split, self.polars, self.wind)
-        self.legs = legs.leg_kinds(analysed, self.entry, self.summary, o.split_circuit)
-        self.rising_air = legs.rising_air(self.legs)
-        self._climbs = None
+        return self._keep(legs.leg_kinds(analysed, self.entry, self.summary, whole), "legs")
 
-    @property
+    @cached_property
+    def rising_air(self) -> DataFrame:
+        return legs.rising_air(self.legs)
+
+    @cached_property
     def climbs(self) -> DataFrame:
-        if self._climbs is None:
-            self._climbs = climb_ops.climb_table(self.fixes, self.climb_runs, self.wind)
-        return self._climbs
+        return self._keep(climb_ops.climb_table(self.fixes, self.climb_runs, self.wind), "climbs")
 
     @property
     def flags(self) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.units import instant, zulu
-from ..operators.climbs import climb_table, geometry_or_null
+from ..functions.units import instant, to_fixed, zulu
+from ..operators.climbs import geometry_or_null
 from ..operators.task import scoring_points
 from .debrief import Debrief
 
@@ -22,7 +22,7 @@ def _listed(rows: DataFrame, order: list[str], name: str, fields: list[Column])
 
 
 def _r(c: Column | str, places: int) -> Column:
-    return F.round(c, places)
+    return to_fixed(F.col(c) if isinstance(c, str) else c, places)
 
 
 def empty_as_null(c: Column) -> Column:
@@ -39,11 +39,10 @@ def bundle_name(date: Column, registration: Column, kind: Column) -> Column:
 def flight_documents(d: Debrief, generated_at: str, filename: str | None = None, include_profile: bool = False) -> DataFrame:
     """``flight_id, document``: every documented key is present, absent values are null, SI units."""
     lit = lambda v: F.lit(v).cast("string")
-    climbs = climb_table(d.fixes, d.climb_runs, d.wind)
     circle = lambda p: F.struct(p["k"].alias("index"), zulu(p["start"]).alias("startTime"), p["duration_s"].alias("durationS"), p["gain_m"].alias("gainM"), _r(p["climb_ms"], 3).alias("climbMs"), p["alt_m"].alias("altM"))
     thick = lambda c, k: geometry_or_null(F.col("circles"), _r(c, k))
     climb_list = _listed(
-        climbs, ["climb"], "climbs",
+        d.climbs, ["climb"], "climbs",
         [F.col("climb").alias("index"), zulu(F.col("start")).alias("startTime"), zulu(F.col("end")).alias("endTime"), F.col("duration_s").alias("durationS"), F.col("gain_m").alias("gainM"), F.col("alt_bottom_m").alias("altBottomM"), F.col("alt_top_m").alias("altTopM"),
          _r("avg_climb_ms", 3).alias("avgClimbMs"), _r("best_30s_ms", 3).alias("best30sMs"), _r("circles", 2).alias("circles"), F.col("direction"), thick("circle_time_s", 1).alias("circleTimeS"), thick("radius_m", 1).alias("radiusM"), thick("bank_deg", 1).alias("bankDeg"), _r("airspeed_kmh", 1).alias("airspeedKmh"),
          F.transform("per_circle", circle).alias("perCircle")],

@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 MAX_BYTES = 40 * 1024 * 1024
 
 
-def read_logs(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``flight_id, source, text`` of every .igc file below ``path``, decoded as Latin-1."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][gG][cC]").option("recursiveFileLookup", "true").load(path)
+#: Names of log files.
+LOGS = "*.[iI][gG][cC]"
+
+
+def _found(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def read_logs(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, pattern: str = LOGS) -> DataFrame:
+    """``flight_id, source, text`` of every log file below ``path``, decoded as Latin-1."""
+    files = _found(spark, path, pattern)
     return files.where(F.col("length") <= max_bytes).select(F.sha2("path", 256).alias("flight_id"), F.col("path").alias("source"), F.decode("content", "ISO-8859-1").alias("text"))
 
 
-def refused(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def refused(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, pattern: str = LOGS) -> DataFrame:
     """``source, length`` of the files that are too large."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[iI][gG][cC]").option("recursiveFileLookup", "true").load(path)
+    files = _found(spark, path, pattern)
     return files.where(F.col("length") > max_bytes).select(F.col("path").alias("source"), "length")
 
 
