@@ -78,3 +78,18 @@ def test_components(spark):
         for a, b in edges:
             best[a] = best[b] = min(best[a], best[b])
     assert got == {n: r for n, r in best.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_a_giant_component_is_split_by_shingle_not_by_component(spark):
+    """A chain of texts, each sharing a line with the next: one component of many blocks."""
+    rows = [(k, " ".join(f"a{k}w{j}" for j in range(6)) + " " + " ".join(f"a{k + 1}w{j}" for j in range(6)), "en") for k in range(60)]
+    rows += [(100 + k, r[1] + f" end{k}", "en") for k, r in enumerate(rows[:30])]
+    got = J.link(docs(spark, rows), block_docs=4).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    sets = spark.createDataFrame([(k, 40 + k % 5, bytearray(8), k) for k in range(200)], "doc_id long, n long, set binary, label long")
+    prefix = spark.createDataFrame([(k, h) for k in range(200) for h in (k // 2, 1000)], "doc_id long, h long")
+    tasks = J.by_shingle(sets, prefix, block_docs=16)
+    plan = tasks.groupBy("task").applyInPandas(J._search, J.LINK)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(task" in plan
+    largest = tasks.groupBy("task").count().agg({"count": "max"}).first()[0]
+    assert largest < 64

@@ -13,12 +13,17 @@ least T = ceil(0.75 n) of them also occur elsewhere, which gives four steps:
    are joined to the least one of each prefix list and fall into candidate
    components, so that a set travels once and not once per pair.
 3. Within a component, T-occurrence search: of a query's inverted lists the
-   longest L are set aside (DivideSkip), the short ones are merged, documents
-   with at least T - L occurrences are looked up in the long lists by binary
-   search.  Documents already linked through others are not compared again.
+   longest L are set aside (DivideSkip), the short ones are merged through a
+   heap, and a document with at least T - L occurrences is looked up in the long
+   lists by binary search.  Documents linked through others already are not
+   verified again, and a query stops where no other document is left.
 4. A component beyond ``BLOCK_DOCS`` documents is compared with three of its
-   members first; what these join needs no comparing among itself, and the
-   remainder meets all of the component in pairs of blocks.
+   members first.  Prefix shingles whose documents are all linked by now are
+   dropped, and what the others still hold together is searched as in step 3.
+   Where even that is too large, each remaining shingle's documents meet, apart
+   by size (sets that link differ by less than a third), so that no document
+   meets a whole component; the list of one rare shingle that is still beyond
+   ``BLOCK_DOCS`` is searched in pairs of blocks.
 
 The links found span the components; each document gets its least member.
 
@@ -32,6 +37,8 @@ Shingles are compared by 64-bit hash.
 from __future__ import annotations
 
 import math
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -200,13 +207,13 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), n)), pa.array(h)], names=["doc_id", "n", "h"])
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Step 2: ``node, root`` of the components of documents that share a prefix shingle."""
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Step 2: ``doc_id, h``, the prefix shingles that other documents have too."""
     tokens = sets.mapInArrow(_tokens, "doc_id long, n long, h long")
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # unshared shingles are the rarest of all: they use up the prefix first
     room = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100)) + 1 - (F.col("n") - F.size("own"))
-    prefix = (
+    return (
         tokens.join(shared, "h")
         .groupBy("doc_id", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
@@ -215,9 +222,13 @@ def candidates(sets: DataFrame) -> DataFrame:
         .select("doc_id", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("x"))
         .select("doc_id", F.col("x")["h"].alias("h"))
     )
-    prefix = C.stored(prefix, "prefix")
+
+
+def candidates(prefix: DataFrame) -> DataFrame:
+    """``doc_id, root`` of the components of documents that share a prefix shingle."""
     least = prefix.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    return components(prefix.join(least, "h").where("doc_id <> least").select("doc_id", "least"), "doc_id", "least")
+    met = components(prefix.join(least, "h").where("doc_id <> least").select("doc_id", "least"), "doc_id", "least")
+    return met.select(F.col("node").alias("doc_id"), "root")
 
 
 class Joined:
@@ -244,10 +255,11 @@ class Joined:
         return True
 
 
-def t_occurrence(sets: list[np.ndarray], labels: np.ndarray, mu: float = 0.01) -> list[tuple[int, int]]:
+def t_occurrence(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
     """Links that span the components of these sets; equal labels count as linked already.
 
-    Queries go by size, each against the sets before it.
+    Queries go by size, each against the sets before it, which the inverted
+    lists hold in that order; ``have`` says how much of each list is filled.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
@@ -257,39 +269,46 @@ def t_occurrence(sets: list[np.ndarray], labels: np.ndarray, mu: float = 0.01) -
     lists, first = rank[by], np.searchsorted(code[by], np.arange(len(tokens) + 1))
     ends = np.cumsum(size)
     joined = Joined(np.asarray(labels)[order])
+    df, have = np.diff(first), np.zeros(len(tokens), np.int64)
     links = []
-    df = np.diff(first)
-    for q in range(1, len(order)):
-        low = int(np.searchsorted(size, -(-PERCENT * size[q] // 100)))
-        if low >= q or (joined.roots[low:q] == joined.roots[q]).all():
-            continue
+    for q in range(len(order)):
         own = code[ends[q] - size[q] : ends[q]]
-        own = own[np.argsort(df[own], kind="stable")]
-        t = needed(int(size[q]))
-        longest = int(df[own[-1]])
-        aside = min(t - 1, int(t / (mu * math.log2(longest + 1) + 1)))
-        short, long = own[: len(own) - aside], own[len(own) - aside :]
-        short = short[df[short] > 1]
-        if not len(short):
-            continue
-        merged = np.concatenate([lists[first[x] : first[x + 1]] for x in short])
-        merged = merged[(merged >= low) & (merged < q)]
-        count = np.bincount(merged - low, minlength=q - low)
-        found = np.flatnonzero(count >= t - aside) + low
-        found = found[joined.roots[found] != joined.roots[q]]
-        if not len(found):
-            continue
-        total = count[found - low]
-        for x in long:
-            one = lists[first[x] : first[x + 1]]
-            at = np.minimum(np.searchsorted(one, found), len(one) - 1)
-            total = total + (one[at] == found)
-        for c in found[total >= needed_pair(size[q], size[found])]:
-            if joined.join(q, int(c)):
+        low = int(np.searchsorted(size, needed(int(size[q]))))
+        if low < q and not (joined.roots[low:q] == joined.roots[q]).all():
+            own = own[np.argsort(df[own], kind="stable")]
+            for c in _linked(q, low, own, lists, first, have, size, joined):
                 links.append((int(order[q]), int(order[c])))
+        have[own] += 1
     return links
 
 
+def _linked(q: int, low: int, own: np.ndarray, lists: np.ndarray, first: np.ndarray, have: np.ndarray, size: np.ndarray, joined: Joined, mu: float = 0.01):
+    """The sets from ``low`` that link to set q and were not linked to it through others."""
+    t = needed(int(size[q]))
+    begin, end = first[own], first[own] + have[own]
+    aside = min(t - 1, int(t / (mu * math.log2(int(have[own].max()) + 1) + 1)))
+    cut = len(own) - aside
+    short = [lists[a:b] for a, b in zip(begin[:cut].tolist(), end[:cut].tolist()) if b > a]
+    short = [x[np.searchsorted(x, low) :].tolist() for x in short]
+    long_begin, long_end = begin[cut:].tolist(), end[cut:].tolist()
+    for c, same in groupby(merge(*short)):
+        total = sum(1 for _ in same)
+        if total < t - aside or joined.roots[c] == joined.roots[q]:
+            continue
+        wanted, left = int(needed_pair(size[q], size[c])), aside
+        for a, b in zip(long_begin, long_end):
+            if total >= wanted or total + left < wanted:
+                break
+            at = a + int(np.searchsorted(lists[a:b], c))
+            total += at < b and lists[at] == c
+            left -= 1
+        if total >= wanted:
+            joined.join(q, c)
+            yield c
+            if (joined.roots[low:q] == joined.roots[q]).all():
+                return
+
+
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     """One task: the spanning links of its documents."""
     ids = pdf["doc_id"].to_numpy()
@@ -308,36 +327,55 @@ def _against_leader(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def links(sets: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Steps 3 and 4: ``a, b`` links that span the components of ``doc_id, n, set, root``."""
-    sizes = sets.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("mass"))
-    sizes = C.stored(sizes.where("c > 1").withColumn("blocks", F.greatest(F.ceil(F.col("c") / block_docs), F.ceil(F.col("mass") / block_shingles))), "sizes")
-    kinds = "a long, b long"
-    small = sets.join(sizes.where("blocks = 1").select("root"), "root").withColumn("label", F.col("doc_id"))
-    found = small.groupBy("root").applyInPandas(_search, kinds)
-    if not sizes.where("blocks > 1").limit(1).count():
+def _by_component(sets: DataFrame, roots: DataFrame, block_docs: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The links within components that one task can hold, and the sets of the larger components."""
+    grouped = sets.join(roots, "doc_id")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("mass")).where("c > 1")
+    sizes = C.stored(sizes.withColumn("large", (F.col("c") > block_docs) | (F.col("mass") > block_shingles)), "sizes")
+    found = grouped.join(sizes.where("not large").select("root"), "root").groupBy("root").applyInPandas(_search, LINK)
+    return found, grouped.join(sizes.where("large").select("root"), "root")
+
+
+def by_shingle(sets: DataFrame, prefix: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``doc_id, set, label, task``: each document once for every shingle and neighbouring size, in blocks.
+
+    Sets that link lie in one size band or in neighbouring ones, and both lie in
+    the lower band's tasks.  The task is one column, so that it gets an exchange
+    of its own.
+    """
+    band = F.floor(F.log(F.col("n")) / math.log(100 / PERCENT) + 1e-9)
+    rows = prefix.select("doc_id", "h").join(sets, "doc_id").select("doc_id", "n", "label", "h", F.explode(F.array(band, band - 1)).alias("band"))
+    groups = rows.groupBy("h", "band").agg(F.count("*").alias("c"), F.sum("n").alias("mass"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
+    blocks = F.ceil(F.greatest(F.col("c") / block_docs, F.col("mass") / block_shingles)).cast("int")
+    placed = rows.join(groups.select("h", "band", blocks.alias("blocks")), ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", "h", "band", F.least(j, "block"), F.greatest(j, "block")))
+    return placed.select("doc_id", F.explode(pairs).alias("task")).join(sets.select("doc_id", "set", "label"), "doc_id")
+
+
+LINK = "a long, b long"
+
+
+def links(sets: DataFrame, prefix: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Steps 3 and 4: ``a, b`` links that span the components of ``doc_id, n, set``."""
+    found, large = _by_component(sets.withColumn("label", F.col("doc_id")), candidates(prefix), block_docs, block_shingles)
+    large = C.stored(large, "large")
+    if not large.limit(1).count():
         return found
-    large = C.stored(sets.join(sizes.where("blocks > 1").select("root"), "root"), "large")
     seeds = [F.min_by(F.struct("doc_id", "set"), F.xxhash64("doc_id", F.lit(k))).alias(f"s{k}") for k in range(3)]
     leaders = large.groupBy("root").agg(*seeds).select("root", F.explode(F.array("s0", "s1", "s2")).alias("x")).select("root", F.col("x")["doc_id"].alias("leader"), F.col("x")["set"].alias("leader_set"))
-    near = C.stored(large.join(leaders, "root").select("doc_id", "set", "leader", "leader_set").mapInArrow(_against_leader, kinds), "near")
+    near = C.stored(large.join(leaders, "root").select("doc_id", "set", "leader", "leader_set").mapInArrow(_against_leader, LINK), "near")
     merged = components(near, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
-    labelled = large.join(merged, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    groups = labelled.groupBy("root", "label").agg(F.count("*").alias("c"), F.sum("n").alias("mass"))
-    main = groups.groupBy("root").agg(F.max_by(F.struct("label", "c", "mass"), F.struct("c", "label")).alias("main"), F.sum("c").alias("all_c"), F.sum("mass").alias("all_mass"))
-    count = lambda c, mass: F.ceil(F.greatest(c / block_docs, mass / block_shingles)).cast("int")
-    main = main.select("root", F.col("main")["label"].alias("main"), count(F.col("main")["c"], F.col("main")["mass"]).alias("m_blocks"), count(F.col("all_c") - F.col("main")["c"], F.col("all_mass") - F.col("main")["mass"]).alias("u_blocks")).where("u_blocks > 0")
-    placed = labelled.join(main, "root").withColumn("rest", F.col("label") != F.col("main"))
-    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("u_blocks")).otherwise(F.col("m_blocks"))).cast("int")
-    pairs = F.when(
-        F.col("rest"),
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("u_blocks") - 1), lambda j: F.concat_ws("-", F.lit("u"), F.least(j, "block"), F.greatest(j, "block"))),
-            F.transform(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda k: F.concat_ws("-", F.lit("m"), "block", k)),
-        ),
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("u_blocks") - 1), lambda j: F.concat_ws("-", F.lit("m"), j, "block")))
-    tasks = placed.withColumn("block", block).select("root", "doc_id", "set", "label", F.explode(pairs).alias("pair"))
-    return found.unionByName(near).unionByName(tasks.groupBy("root", "pair").applyInPandas(_search, kinds))
+    own = C.stored(large.drop("root", "label").join(merged, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    # only where a shingle's documents are not all linked yet can a link be missing
+    named = prefix.join(own.select("doc_id", "label"), "doc_id")
+    apart = named.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("h")
+    rest = C.stored(named.select("doc_id", "h").join(apart, "h"), "rest")
+    again, still = _by_component(own, candidates(rest), block_docs, block_shingles)
+    still = C.stored(still.drop("root"), "still")
+    out = found.unionByName(near).unionByName(again)
+    if not still.limit(1).count():
+        return out
+    return out.unionByName(by_shingle(still, rest, block_docs, block_shingles).groupBy("task").applyInPandas(_search, LINK))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -349,8 +387,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_docs
     classes = C.stored(known.where("doc_id is not null and n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("alive").alias("alive")), "classes")
     wanted = classes.where("alive").select(F.col("rep").alias("doc_id"), "k1", "k2")
     sets = C.stored(rows.join(wanted, "doc_id").mapInArrow(_with_sets, "doc_id long, n long, set binary"), "sets")
-    grouped = sets.join(candidates(sets).select(F.col("node").alias("doc_id"), "root"), "doc_id")
-    roots = components(links(grouped, block_docs, block_shingles), "a", "b")
+    roots = components(links(sets, C.stored(prefixes(sets), "prefix"), block_docs, block_shingles), "a", "b")
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*keys, F.coalesce("root", "rep").alias("__root"))
     return known.join(named, keys, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("__root", "doc_id")).alias("component_id"))
 
