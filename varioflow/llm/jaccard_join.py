@@ -13,17 +13,16 @@ least T = ceil(0.75 n) of them also occur elsewhere, which gives four steps:
    are joined to the least one of each prefix list and fall into candidate
    components, so that a set travels once and not once per pair.
 3. Within a component, T-occurrence search: of a query's inverted lists the
-   longest L are set aside (DivideSkip), the short ones are merged through a
-   heap, and a document with at least T - L occurrences is looked up in the long
-   lists by binary search.  Documents linked through others already are not
-   verified again, and a query stops where no other document is left.
+   longest L are set aside (DivideSkip), the short ones are merged in order, and
+   a document with at least T - L occurrences is looked up in the long lists by
+   binary search.  Documents linked through others already are not verified.
 4. A component beyond ``BLOCK_DOCS`` documents is compared with three of its
-   members first.  Prefix shingles whose documents are all linked by now are
-   dropped, and what the others still hold together is searched as in step 3.
-   Where even that is too large, each remaining shingle's documents meet, apart
-   by size (sets that link differ by less than a third), so that no document
-   meets a whole component; the list of one rare shingle that is still beyond
-   ``BLOCK_DOCS`` is searched in pairs of blocks.
+   members first, one of them the most typical.  Prefix shingles whose documents
+   are all linked by now are dropped, and what the others still hold together is
+   searched as in step 3.  Where even that is too large, what the leaders did not
+   join meets the rest in blocks, apart by size (sets that link differ by less
+   than a third), or, where that makes fewer tasks, only the documents of each
+   remaining shingle meet, so that none meets a whole component of loose chains.
 
 The links found span the components; each document gets its least member.
 
@@ -37,15 +36,13 @@ Shingles are compared by 64-bit hash.
 from __future__ import annotations
 
 import math
-from heapq import merge
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -208,7 +205,7 @@ def _tokens(batches):
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """Step 2: ``doc_id, h``, the prefix shingles that other documents have too."""
+    """Step 2: ``doc_id, h, df``, the prefix shingles that other documents have too."""
     tokens = sets.mapInArrow(_tokens, "doc_id long, n long, h long")
     shared = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # unshared shingles are the rarest of all: they use up the prefix first
@@ -220,7 +217,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
         .withColumn("room", room.cast("int"))
         .where("room > 0")
         .select("doc_id", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("x"))
-        .select("doc_id", F.col("x")["h"].alias("h"))
+        .select("doc_id", F.col("x")["h"].alias("h"), F.col("x")["df"].alias("df"))
     )
 
 
@@ -266,7 +263,7 @@ def t_occurrence(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int,
     tokens, code = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     rank = np.repeat(np.arange(len(order)), size)
     by = np.argsort(code, kind="stable")
-    lists, first = rank[by], np.searchsorted(code[by], np.arange(len(tokens) + 1))
+    lists, first = rank[by].astype(np.uint16 if len(order) < 1 << 16 else np.int64), np.searchsorted(code[by], np.arange(len(tokens) + 1))
     ends = np.cumsum(size)
     joined = Joined(np.asarray(labels)[order])
     df, have = np.diff(first), np.zeros(len(tokens), np.int64)
@@ -289,24 +286,37 @@ def _linked(q: int, low: int, own: np.ndarray, lists: np.ndarray, first: np.ndar
     aside = min(t - 1, int(t / (mu * math.log2(int(have[own].max()) + 1) + 1)))
     cut = len(own) - aside
     short = [lists[a:b] for a, b in zip(begin[:cut].tolist(), end[:cut].tolist()) if b > a]
-    short = [x[np.searchsorted(x, low) :].tolist() for x in short]
-    long_begin, long_end = begin[cut:].tolist(), end[cut:].tolist()
-    for c, same in groupby(merge(*short)):
-        total = sum(1 for _ in same)
-        if total < t - aside or joined.roots[c] == joined.roots[q]:
+    if not short:
+        return
+    found, total = merged(short, low)
+    use = (total >= t - aside) & (joined.roots[found] != joined.roots[q])
+    found, total = found[use], total[use]
+    long = [lists[a:b] for a, b in zip(begin[cut:].tolist(), end[cut:].tolist()) if b > a]
+    # the first one mostly links, and then few others are left that are not linked through it
+    for a, b in ((0, 1), (1, len(found))):
+        some = np.arange(a, min(b, len(found)))
+        some = some[joined.roots[found[some]] != joined.roots[q]]
+        if not len(some):
             continue
-        wanted, left = int(needed_pair(size[q], size[c])), aside
-        for a, b in zip(long_begin, long_end):
-            if total >= wanted or total + left < wanted:
-                break
-            at = a + int(np.searchsorted(lists[a:b], c))
-            total += at < b and lists[at] == c
-            left -= 1
-        if total >= wanted:
-            joined.join(q, c)
-            yield c
-            if (joined.roots[low:q] == joined.roots[q]).all():
-                return
+        c, count = found[some], total[some]
+        for one in long:
+            at = np.searchsorted(one, c)
+            count = count + (one[np.minimum(at, len(one) - 1)] == c)
+        for k in c[count >= needed_pair(size[q], size[c])].tolist():
+            if joined.join(q, k):
+                yield k
+
+
+def merged(short: list[np.ndarray], low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists merged into one order: the sets from ``low`` on, and in how many lists each is.
+
+    The k-way merge is one stable sort of the lists laid end to end (a radix sort
+    while places fit 16 bits), which puts out the order a heap of list heads does.
+    """
+    every = np.concatenate(short)
+    every = np.sort(every[every >= low], kind="stable")
+    starts = C.group_starts(every)
+    return every[starts].astype(np.int64), np.diff(np.append(starts, len(every)))
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -336,22 +346,55 @@ def _by_component(sets: DataFrame, roots: DataFrame, block_docs: int, block_shin
     return found, grouped.join(sizes.where("large").select("root"), "root")
 
 
+def band_of(n: Column) -> Column:
+    """Sets that link lie in one size band or in neighbouring ones."""
+    return F.floor(F.log(n) / math.log(100 / PERCENT) + 1e-9)
+
+
+def _blocks(block_docs: int, block_shingles: int) -> Column:
+    return F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n") / block_shingles)).cast("int")
+
+
+def in_blocks(sets: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``doc_id, set, label, task``: of each ``root``, the largest label meets the others, and these meet all, in blocks of near sizes.
+
+    The task is one column, so that it gets an exchange of its own.
+    """
+    labels = sets.groupBy("root", "label").agg(F.count("*").alias("c"))
+    main = labels.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    placed = sets.join(main, "root").withColumn("rest", F.col("label") != F.col("main")).withColumn("band", band_of(F.col("n")))
+    cells = placed.groupBy("root", "band", "rest").agg(_blocks(block_docs, block_shingles).alias("blocks"))
+    every = cells.groupBy("root").agg(F.collect_list(F.struct("band", "rest", "blocks")).alias("cells"))  # two of each size band
+    own = placed.join(cells, ["root", "band", "rest"]).join(every, "root")
+    name = lambda band, rest, k: F.concat_ws("-", band, rest.cast("int"), k)
+    mine = name(F.col("band"), F.col("rest"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    met = F.filter("cells", lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & (x["rest"] | F.col("rest")))
+    names = F.flatten(F.transform(met, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: name(x["band"], x["rest"], k))))
+    own = own.withColumn("mine", mine).withColumn("name", F.explode(names))
+    return own.select("doc_id", "set", "label", F.concat_ws("/", "root", F.least("mine", "name"), F.greatest("mine", "name")).alias("task"))
+
+
 def by_shingle(sets: DataFrame, prefix: DataFrame, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``doc_id, set, label, task``: each document once for every shingle and neighbouring size, in blocks.
+    """``doc_id, set, label, task``: each document once for every prefix shingle and neighbouring size, in blocks.
 
-    Sets that link lie in one size band or in neighbouring ones, and both lie in
-    the lower band's tasks.  The task is one column, so that it gets an exchange
-    of its own.
+    Sets that link both lie in the tasks of the smaller one's size band.
     """
-    band = F.floor(F.log(F.col("n")) / math.log(100 / PERCENT) + 1e-9)
+    band = band_of(F.col("n"))
     rows = prefix.select("doc_id", "h").join(sets, "doc_id").select("doc_id", "n", "label", "h", F.explode(F.array(band, band - 1)).alias("band"))
-    groups = rows.groupBy("h", "band").agg(F.count("*").alias("c"), F.sum("n").alias("mass"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
-    blocks = F.ceil(F.greatest(F.col("c") / block_docs, F.col("mass") / block_shingles)).cast("int")
-    placed = rows.join(groups.select("h", "band", blocks.alias("blocks")), ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    groups = rows.groupBy("h", "band").agg(_blocks(block_docs, block_shingles).alias("blocks"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
+    placed = rows.join(groups.select("h", "band", "blocks"), ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", "h", "band", F.least(j, "block"), F.greatest(j, "block")))
     return placed.select("doc_id", F.explode(pairs).alias("task")).join(sets.select("doc_id", "set", "label"), "doc_id")
 
 
+def _cheaper_by_shingle(still: DataFrame, rest: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """``root, loose``: whether the lists of a component's shingles make fewer block pairs than the component does."""
+    whole = still.groupBy("root").agg(_blocks(block_docs, block_shingles).alias("blocks"))
+    lists = rest.select("doc_id", "h").join(still.select("doc_id", "root", "n"), "doc_id").groupBy("root", "h").agg(_blocks(block_docs, block_shingles).alias("b"))
+    tasks = lists.groupBy("root").agg(F.sum(F.col("b").cast("double") * F.col("b")).alias("tasks"))
+    return whole.join(tasks, "root").select("root", (F.col("tasks") < F.col("blocks").cast("double") * F.col("blocks")).alias("loose"))
+
+
 LINK = "a long, b long"
 
 
@@ -361,21 +404,29 @@ def links(sets: DataFrame, prefix: DataFrame, block_docs: int = BLOCK_DOCS, bloc
     large = C.stored(large, "large")
     if not large.limit(1).count():
         return found
-    seeds = [F.min_by(F.struct("doc_id", "set"), F.xxhash64("doc_id", F.lit(k))).alias(f"s{k}") for k in range(3)]
-    leaders = large.groupBy("root").agg(*seeds).select("root", F.explode(F.array("s0", "s1", "s2")).alias("x")).select("root", F.col("x")["doc_id"].alias("leader"), F.col("x")["set"].alias("leader_set"))
+    # a text that others were made from has shingles that many have
+    typical = prefix.groupBy("doc_id").agg(F.avg("df").alias("df"))
+    seeds = [F.max_by(F.struct("doc_id", "set"), F.struct("df", "doc_id")), *[F.min_by(F.struct("doc_id", "set"), F.xxhash64("doc_id", F.lit(k))) for k in range(2)]]
+    leaders = large.join(typical, "doc_id", "left").groupBy("root").agg(F.array(*seeds).alias("x")).select("root", F.explode("x").alias("x")).select("root", F.col("x")["doc_id"].alias("leader"), F.col("x")["set"].alias("leader_set"))
     near = C.stored(large.join(leaders, "root").select("doc_id", "set", "leader", "leader_set").mapInArrow(_against_leader, LINK), "near")
-    merged = components(near, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
-    own = C.stored(large.drop("root", "label").join(merged, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    merged_ = components(near, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+    own = C.stored(large.drop("root", "label").join(merged_, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
     # only where a shingle's documents are not all linked yet can a link be missing
     named = prefix.join(own.select("doc_id", "label"), "doc_id")
     apart = named.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("h")
     rest = C.stored(named.select("doc_id", "h").join(apart, "h"), "rest")
     again, still = _by_component(own, candidates(rest), block_docs, block_shingles)
-    still = C.stored(still.drop("root"), "still")
+    still = C.stored(still, "still")
     out = found.unionByName(near).unionByName(again)
     if not still.limit(1).count():
         return out
-    return out.unionByName(by_shingle(still, rest, block_docs, block_shingles).groupBy("task").applyInPandas(_search, LINK))
+    loose = C.stored(_cheaper_by_shingle(still, rest, block_docs, block_shingles), "loose")
+    dense = in_blocks(still.join(loose.where("not loose").select("root"), "root"), block_docs, block_shingles)
+    out = out.unionByName(dense.groupBy("task").applyInPandas(_search, LINK))
+    if not loose.where("loose").limit(1).count():
+        return out
+    chained = still.join(loose.where("loose").select("root"), "root").select("doc_id", "n", "set", "label")
+    return out.unionByName(by_shingle(chained, rest, block_docs, block_shingles).groupBy("task").applyInPandas(_search, LINK))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
