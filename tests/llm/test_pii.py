@@ -1,3 +1,4 @@
+import random
 import re
 
 from varioflow.llm import pii as P
@@ -83,3 +84,47 @@ def test_short_secrets_run_out_of_forms(spark):
     rows = [(k, f"pwd={k} end", "en") for k in range(10)]
     got = [r.text for r in run(spark, rows).values()]
     assert len(set(got)) == 10 and not set(got) & {t for _, t, _ in rows}
+
+
+def test_names_without_titles_and_more_kinds(spark):
+    text = "Mr John Smith met Mr Smith. John Smith left. Dr. Jane Roe called, J. Roe wrote. IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789, ipv6 2001:db8::1, Mr. J. K. Rowling and ROWLING."
+    other = "Mrs Jane Roe saw Herr Smith at std::vector 12:30:45; Smithson stays, Roehampton too."
+    got = run(spark, [(1, text, "en"), (2, other, "en"), (3, "John Smith is nobody here", "en")])
+    m = re.fullmatch(
+        r"Mr (\w+ton) (\w+n) met Mr (\w+)\. (\w+) (\w+) left\. Dr\. (\w+la) (\w+n) called, ([A-Z])\. (\w+) wrote\. IBAN (DE[0-9 ]{25}), SSN (9\d\d-\d\d-\d{4}), ipv6 (2001:db8(?::[0-9a-f]{4}){6}), Mr\. ([A-Z])\. ([A-Z])\. (\w+n) and ([A-Z]+N)\.",
+        got[1, "en"].text,
+    )
+    assert m, got[1, "en"].text
+    given, family, f2, g2, f3, jane, roe, j, roe2, iban, _, _, j2, k, rowling, upper = m.groups()
+    assert family == f2 == f3 and given == g2 and roe == roe2 and j == j2 != k and rowling.upper() == upper
+    assert len({given, family, jane, roe, rowling}) == 5 and not {given, family, jane, roe, rowling} & {"John", "Smith", "Jane", "Roe", "Rowling"}
+    assert int("".join(str(int(c, 36)) for c in iban.replace(" ", "")[4:] + iban[:4])) % 97 == 1 and iban != "DE89 3704 0044 0532 0130 00"
+    assert got[2, "en"].text == f"Mrs {jane} {roe} saw Herr {family} at std::vector 12:30:45; Smithson stays, Roehampton too."
+    assert got[3, "en"].text == "John Smith is nobody here"
+
+
+def test_coreference_and_distinctness_against_plain_maps(spark):
+    """Over many texts: one entity one surrogate, two entities two, nothing real left."""
+    rng = random.Random(9)
+    families, given = ["Berg", "Adler", "Novak", "Rossi", "Klein", "Иванов"], {"Mr": ["Karl", "Luis"], "Frau": ["Anna", "Eva"]}
+    mails, rows = [f"{f}{k}@host{k}.example.com" for k in range(5) for f in ("ann", "bob")], []
+    for i in range(120):
+        title = rng.choice(["Mr", "Frau"])
+        first, last, mail = rng.choice(given[title]), rng.choice(families), rng.choice(mails)
+        rows.append((i, f"{title} {first} {last} <{mail}> wrote; {last} and {first} {last} agree", title))
+    got = run(spark, rows)
+    seen = {}
+    for i, text, title in rows:
+        old = re.fullmatch(r"(\w+) (\w+) (\w+) <(\S+)> wrote; (\w+) and (\w+) (\w+) agree", text).groups()
+        new = re.fullmatch(r"(\w+) (\w+) (\w+) <(\S+)> wrote; (\w+) and (\w+) (\w+) agree", got[i, title].text).groups()
+        assert new[0] == old[0]
+        for a, b in zip(old[1:], new[1:]):
+            assert seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
+    assert re.fullmatch("[А-Я][а-я]+", seen["Иванов"]) and seen["Anna"].endswith("la") and seen["Karl"].endswith("ton")
+
+
+def test_long_runs_are_read_once(spark):
+    rows = [(1, "a." * 200_000 + "@", "en"), (2, "x" * 300 + "@" + "l." * 20 + "example.com", "en"), (3, "AB12 " + "ABCD " * 50_000, "en"), (4, "1:" * 100_000, "en")]
+    got = run(spark, rows)
+    assert [got[k, "en"].n_entities for k in (1, 2, 3, 4)] == [0, 1, 0, 0] and "xxxx" not in got[2, "en"].text
