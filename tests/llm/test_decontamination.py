@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 
@@ -76,3 +77,31 @@ def test_clean_keeps_rows_and_columns(spark):
     assert [r.doc_id for r in D.matches(table, bench).collect()] == [77]
     assert D.matches(docs(spark, []), bench).count() == 0
     assert D.clean(table, bench.limit(0)).count() == len(ODD) + 1
+
+
+STEM = "which of the following is true about topic number "
+
+
+def test_many_items_with_one_stem_cost_little():
+    """Grams that thousands of items share are probed, not expanded into an alignment each."""
+    own = D.Matcher([(k, STEM + f"{k * 7919 % 100000:05d} and its neighbour {k:04d}") for k in range(4000)])
+    for text in (STEM[:36], "we ask " + STEM + "of this kind, as any student of the subject should know by heart, before the next examination begins"):
+        own.find(pa.array([text]))
+        began = time.process_time()
+        assert own.find(pa.array([text])) == []
+        assert time.process_time() - began < 1
+    hit = own.find(pa.array(["so: " + STEM + "07919 and its neighbour 0001?"]))
+    assert (0, 1, 0) in [(r, i, d) for r, i, _, _, d in hit]
+
+
+def test_items_shorter_than_a_gram_stand_as_words():
+    own = D.Matcher([(1, "Paris!"), (2, "x y"), (3, "東京"), (4, "!!"), (5, "paris")])
+    texts = ["in PARIS, then", "parish", "paris", "x  Y z", "xx y", "私は東京都に", None, "", "comparis paris"]
+    got = {(r, own.ids[i]): (s, t) for r, i, s, t, d in own.find(pa.array(texts)) if d == 0}
+    assert got == {(0, 1): (3, 8), (0, 5): (3, 8), (2, 1): (0, 5), (2, 5): (0, 5), (3, 2): (0, 4), (5, 3): (2, 4), (8, 1): (9, 14), (8, 5): (9, 14)}
+
+
+def test_index_holds_few_grams():
+    """The index has e + 1 grams an item, so its size follows the items and not their grams' spread."""
+    own = D.Matcher([(k, STEM + "x" * (k % 50)) for k in range(1000)])
+    assert len(own.item) == int((own.edits + 1).sum()) and own.grams.nbytes + own.points.nbytes < 2_000_000
