@@ -33,12 +33,13 @@ EDGE = 0x2E
 
 @dataclass
 class LanguageModel:
-    """Log frequencies; its size is bounded by ``max_words`` and ``max_grams`` of ``fit``."""
+    """Log frequencies by hash: of whole words (order 0) and of n-grams.
+
+    All that the sampled documents hold is kept, so ``docs_per_lang`` of ``fit`` bounds its size.
+    """
 
     langs: list[str]
-    words: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
-    word_logs: np.ndarray | None = None
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
 def clean_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -53,12 +54,18 @@ def clean_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return again.dictionary, place[coded.indices.to_numpy(zero_copy_only=False)], offsets
 
 
+WORD = 0
+
+
 def gram_hashes(names: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character ``order``-grams of the words, and each word's offsets into them.
 
     A word of k letters, with an edge mark at both ends, has k + 3 - order of
-    them for orders above 1; single characters leave the marks out.
+    them for orders above 1; single characters leave the marks out; order 0 is
+    the word itself.
     """
+    if order == WORD:
+        return C.word_hashes(names), np.arange(len(names) + 1)
     text = chr(EDGE) + (chr(EDGE) * 2).join(names.to_pylist()) + chr(EDGE) if len(names) else ""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -76,40 +83,32 @@ def gram_hashes(names: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return C.mixed(h + np.uint64(order)), offsets
 
 
-def _counted(batches, orders):
-    """Partial counts of a task: (lang, order, word or gram, count); order 0 are words."""
+def _counted(batches, langs):
+    """Partial counts of a task: (place of the language, order, hash, count)."""
+    at = {k: i for i, k in enumerate(langs)}
     for batch in C.chunks(batches, "text"):
-        langs = np.array(batch.column("lang").to_pylist())
+        lang = np.array([at[k] for k in batch.column("lang").to_pylist()])
         names, place, offsets = clean_words(batch.column("text"))
-        row = np.repeat(np.arange(len(langs)), np.diff(offsets))
-        kinds, which = np.unique(langs, return_inverse=True)
-        for k, lang in enumerate(kinds):
-            n = np.bincount(place[which[row] == k], minlength=len(names))
-            own = np.flatnonzero(n)
-            own = own[pc.binary_length(names).to_numpy(zero_copy_only=False)[own] > 0]
+        some = pc.binary_length(names).to_numpy(zero_copy_only=False) > 0
+        row = np.repeat(lang, np.diff(offsets))
+        for k in np.unique(lang).tolist():
+            n = np.bincount(place[row == k], minlength=len(names))
+            own = np.flatnonzero((n > 0) & some)
             chosen, weight = names.take(pa.array(own)), n[own]
-            yield _rows(lang, 0, chosen.to_pylist(), np.zeros(len(own), np.int64), weight)
-            for order in orders:
-                h, at = gram_hashes(chosen, order)
+            for order in (WORD, *ORDERS):
+                h, offset = gram_hashes(chosen, order)
                 each, back = np.unique(h, return_inverse=True)
-                total = np.bincount(back, np.repeat(weight, np.diff(at)), len(each)).astype(np.int64)
-                yield _rows(lang, order, [None] * len(each), each.view(np.int64), total)
+                total = np.bincount(back, np.repeat(weight, np.diff(offset)), len(each)).astype(np.int64)
+                columns = [np.full(len(each), k, np.int32), np.full(len(each), order, np.int32), each.view(np.int64), total]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lang", "ord", "code", "n"])
 
 
-def _rows(lang, order, names, codes, n):
-    k = len(codes)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([str(lang)] * k, pa.string()), pa.array(np.full(k, order, np.int32)), pa.array(names, pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
-        names=["lang", "ord", "word", "code", "n"],
-    )
-
-
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500, min_count: int = 2, max_words: int = 400_000, max_grams: int = 200_000) -> LanguageModel:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500) -> LanguageModel:
     """Count words and n-grams of about ``docs_per_lang`` documents of each language.
 
     The sample is the rows whose hash falls below the share that gives each
     language ``docs_per_lang`` documents, so it needs no join and is the same on
-    every run.  ``max_words`` and ``max_grams`` bound the model that is broadcast.
+    every run.  Every word and n-gram of the sample is in the model.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -121,51 +120,37 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counted = (
         rows.where(draw < share[F.col("lang")])
         .select("text", "lang")
-        .mapInArrow(lambda it: _counted(it, ORDERS), "lang string, ord int, word string, code long, n long")
-        .groupBy("lang", "ord", "word", "code")
+        .mapInArrow(lambda it: _counted(it, langs), "lang int, ord int, code long, n long")
+        .groupBy("lang", "ord", "code")
         .agg(F.sum("n").alias("n"))
-        .where((F.col("ord") > 0) | (F.col("n") >= min_count))
     )
-    kept = counted.where("ord = 0").orderBy(F.desc("n"), "word").limit(max_words).unionByName(counted.where("ord > 0").orderBy(F.desc("n"), "code").limit(max_grams * len(ORDERS)))
-    return _model(langs, kept.toPandas())
+    return _model(langs, counted.toArrow())
 
 
-def _model(langs: list[str], pdf) -> LanguageModel:
+def _model(langs: list[str], counted: pa.Table) -> LanguageModel:
+    """The model of the counts ``lang, ord, code, n``."""
     model = LanguageModel(langs)
-    at = {k: i for i, k in enumerate(langs)}
-
-    def logs(part, key):
-        names, row = np.unique(part[key].to_numpy(), return_inverse=True)
-        n = np.zeros((len(names), len(langs)))
-        np.add.at(n, (row, part["lang"].map(at).to_numpy()), part["n"].to_numpy())
-        return names, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(names) + 1)).astype(np.float32)
-
-    own = pdf[pdf["ord"] == 0]
-    if len(own):
-        names, model.word_logs = logs(own, "word")
-        model.words = pa.array(list(names), pa.string())
-    for order in ORDERS:
-        part = pdf[pdf["ord"] == order]
-        if len(part):
-            codes, values = logs(part, "code")
-            model.grams[order] = (codes, values)
+    lang, order, code, count = (counted.column(c).to_numpy() for c in ("lang", "ord", "code", "n"))
+    for k in (WORD, *ORDERS):
+        own = np.flatnonzero(order == k)
+        if len(own):
+            codes, row = np.unique(code[own], return_inverse=True)
+            n = np.zeros((len(codes), len(langs)))
+            n[row, lang[own]] = count[own]
+            model.tables[k] = codes, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(codes) + 1)).astype(np.float32)
     return model
 
 
 def word_scores(model: LanguageModel, names: pa.Array) -> np.ndarray:
     """Each word's log frequency per language: known words first, then ever shorter n-grams."""
     out = np.zeros((len(names), len(model.langs)), np.float32)
-    found = np.full(len(names), -1, np.int64)
-    if model.word_logs is not None:
-        found = pc.fill_null(pc.index_in(names, value_set=model.words), -1).to_numpy(zero_copy_only=False)
-        out[found >= 0] = model.word_logs[found[found >= 0]]
-    left = np.flatnonzero((found < 0) & (pc.binary_length(names).to_numpy(zero_copy_only=False) > 0))
-    for order in ORDERS:
+    left = np.flatnonzero(pc.binary_length(names).to_numpy(zero_copy_only=False) > 0)
+    for order in (WORD, *ORDERS):
         if not len(left):
             break
-        if order not in model.grams:
+        if order not in model.tables:
             continue
-        codes, logs = model.grams[order]
+        codes, logs = model.tables[order]
         h, offsets = gram_hashes(names.take(pa.array(left)), order)
         signed = h.view(np.int64)
         place = np.minimum(np.searchsorted(codes, signed), len(codes) - 1)
