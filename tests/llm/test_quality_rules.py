@@ -43,5 +43,52 @@ def test_adaptive_fences_follow_the_source(spark):
     assert Q.judge(docs(spark, rows)).count() == len(rows)
 
 
+def exact_fences(counted):
+    """The fences from whole sorted columns."""
+    per = lambda a, b: {k: r[a] / max(r[b], 1) for k, r in enumerate(counted)}
+    values = {"word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "upper": per("n_upper", "word_chars")}
+    passing = [k for k, r in enumerate(counted) if not r.base_failed]
+
+    def limit(name, rows):
+        x = sorted(values[name][k] for k in rows)
+        a, m, z = (x[int((len(x) - 1) * q)] for q in (0.25, 0.5, 0.75))
+        return min(a - Q.SPREAD * (z - a), m - Q.SLACK[name]), max(z + Q.SPREAD * (z - a), m + Q.SLACK[name])
+
+    mixed = lambda own, n, parent: tuple((n * o + Q.LEAST * p) / (n + Q.LEAST) for o, p in zip(own, parent))
+    out = {}
+    for lang, source in {(r.lang, r.source) for r in counted}:
+        for name in Q.SLACK:
+            best = limit(name, passing)
+            for rows in ([k for k in passing if counted[k].lang == lang], [k for k in passing if (counted[k].lang, counted[k].source) == (lang, source)]):
+                parent = best
+                best = mixed(limit(name, rows), len(rows), best) if rows else best
+            out[lang, source, name] = max(best[0], parent[0] - Q.SLACK[name]), min(best[1], parent[1] + Q.SLACK[name])
+    return out, values
+
+
+def test_fences_against_exact_quantiles(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdEF#") for _ in range(rng.randrange(1, 9)))
+    rows = [(k, "\n".join(" ".join(word() for _ in range(12)) for _ in range(rng.randrange(3, 9))), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for k in range(400)]
+    rows += [(1000 + k, " ".join(word() + "###" for _ in range(60)), "en", "junk") for k in range(150)]
+    table = spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    judged = Q.judge(table)
+    counted = judged.collect()
+    want, values = exact_fences(counted)
+    close = lambda a, b: abs(a - b) <= 0.02 * (abs(a) + abs(b)) + 0.02
+    for k, r in enumerate(counted):
+        broken = set(filter(None, r.broken.split(",")))
+        for name in Q.SLACK:
+            lo, hi = want[r.lang, r.source, name]
+            assert close(r[f"hi_{name}"], hi) and close(r[f"lo_{name}"], lo)
+            assert (name in broken) == (values[name][k] > r[f"hi_{name}"] or (name == "word_length" and values[name][k] < r[f"lo_{name}"]))
+        assert r.kept == (not r.base_failed and not broken)
+    # a source of junk alone is held against its language
+    assert want["en", "junk", "symbols"][1] <= want["en", "a", "symbols"][1] + 2 * Q.SLACK["symbols"] + 1e-9
+    again = Q.judge(table.repartition(7)).collect()
+    assert {r.doc_id: r.kept for r in again} == {r.doc_id: r.kept for r in counted}
+    assert {r.doc_id: r.hi_upper for r in again} == {r.doc_id: r.hi_upper for r in counted}
+
+
 def test_empty_table(spark):
     assert Q.judge(docs(spark, [])).collect() == []

@@ -1,23 +1,31 @@
 """Quality rules with thresholds learned per language and source.
 
 Exact counts per document come first.  Ratios of the documents that pass the
-base rule go into KLL quantile sketches per (language, source); these merge,
-never the rows, into sketches per language and of the whole corpus.  A group's
-fence lies ``SPREAD`` interquartile ranges beyond its upper quartile, and never
-closer than a fixed slack to the median; groups with fewer than ``LEAST``
-documents take their language's fences, then the corpus's.  A join brings the
+base rule go into quantile sketches per (language, source): counts of buckets
+whose bounds grow by ``GROWTH``, so a quantile is right to half a percent of its
+value.  Sketches merge by adding counts, never rows, into sketches per language
+and of the whole corpus, and give the same result on every run.
+
+A fence lies ``SPREAD`` interquartile ranges beyond the upper quartile.  A ratio
+that is zero in three quarters of all documents has no spread to measure, so a
+fence never comes closer to the median than ``SLACK``.  A group's fence is
+weighed with its language's, and that with the corpus's, as if the larger set
+had ``LEAST`` documents; and it is at most ``SLACK`` beyond its language's, so
+that a source full of junk does not set its own measure.  A join brings the
 fences back to the documents.
 
 Defined results: null and empty texts count 0 words and fail the base rule;
 null language or source is a group of its own; repeated rows are judged alike;
-an empty table gives an empty one; other columns are ignored.  Sketches are
-approximate (rank error below half a percent), so fences are rounded.
+an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -25,9 +33,12 @@ from . import text_stats
 
 SPREAD = 6.0
 LEAST = 200
-SKETCH_K = 1024
-#: Least distance of the fence from the median; only the word length has a lower fence too.
-SLACK = {"word_length": 3.0, "symbols": 0.08, "dup_lines": 0.35, "repeats": 0.30, "upper": 0.25}
+GROWTH = 1.01
+#: Least distance of a fence from the median: a quarter to a third of the lines or words for repetition, a twentieth
+#: of the characters for symbols, small steps for what always varies.  Only the word length has a lower fence too.
+SLACK = {"word_length": 1.0, "symbols": 0.05, "dup_lines": 0.35, "repeats": 0.30, "upper": 0.03}
+#: The bucket of zero.
+ZERO = -(1 << 20)
 
 
 def base_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -48,30 +59,53 @@ def ratios() -> dict[str, Column]:
     return {"word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "upper": per("n_upper", "word_chars")}
 
 
+def sketches(counted: DataFrame) -> DataFrame:
+    """``lang, source, ratio, bucket, n`` of the rows that pass the base rule."""
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("v")) for k, v in ratios().items()]))
+    each = counted.where("not base_failed").select("lang", "source", values.alias("x")).select("lang", "source", "x.*")
+    bucket = F.when(F.col("v") > 0, F.ceil(F.log(F.col("v")) / math.log(GROWTH)).cast("int")).otherwise(ZERO)
+    return each.groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merged(sketch: DataFrame, *keys: str) -> DataFrame:
+    return sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+
+
+def limits(sketch: DataFrame, *keys: str, spread: float = SPREAD) -> DataFrame:
+    """``keys``, the number of documents ``n``, and ``lo_`` and ``hi_`` fence of each ratio."""
+    own = W.partitionBy(*keys, "ratio")
+    upto = sketch.withColumn("upto", F.sum("n").over(own.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(own))
+    middle = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")) * (2 / (1 + GROWTH)))
+    at = lambda q: F.min(F.when(F.col("upto") > (F.col("all") - 1) * q, F.struct("bucket", middle.alias("v"))))["v"]
+    q = upto.groupBy(*keys, "ratio").agg(F.max("all").alias("n"), at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("z"))
+    slack = F.create_map(*[F.lit(x) for k, v in SLACK.items() for x in (k, v)])[F.col("ratio")]
+    reach = F.lit(spread) * (F.col("z") - F.col("a"))
+    q = q.withColumn("lo", F.least(F.col("a") - reach, F.col("m") - slack)).withColumn("hi", F.greatest(F.col("z") + reach, F.col("m") + slack))
+    one = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{c}_{k}")
+    return q.groupBy(*keys).agg(F.max("n").alias("n"), *[one(k, c) for k in SLACK for c in ("lo", "hi")])
+
+
 def fences(counted: DataFrame, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
     """``lang, source`` and each ratio's ``lo_`` and ``hi_`` fence."""
-    names = list(SLACK)
-    sketches = counted.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(ratios()[k], SKETCH_K).alias(k) for k in names])
-    sketches = C.stored(sketches, "sketches")
-    merge = [F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in names]
-    by_lang = sketches.groupBy("lang").agg(F.sum("n").alias("n"), *merge)
-    whole = sketches.agg(F.sum("n").alias("n"), *merge).where("n > 0")
-
-    def limits(own: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        out = []
-        for k in names:
-            q = [F.kll_sketch_get_quantile_double(k, F.lit(x)) for x in (0.25, 0.5, 0.75)]
-            reach = F.lit(spread) * (q[2] - q[0])
-            out.append(F.struct(F.round(F.least(q[0] - reach, q[1] - SLACK[k]), 2).alias("lo"), F.round(F.greatest(q[2] + reach, q[1] + SLACK[k]), 2).alias("hi")).alias(f"{k}_{tag}"))
-        return own.select(*keys, F.col("n").alias(f"n_{tag}"), *out)
-
-    groups = counted.groupBy("lang", "source").agg(F.lit(1).alias("__one"))
-    a, b, c = limits(sketches, ["lang", "source"], "s"), limits(by_lang, ["lang"], "l"), limits(whole, [], "w")
-    met = groups.join(a.select(F.col("lang").alias("la"), F.col("source").alias("sa"), *[x for x in a.columns if x not in ("lang", "source")]), F.col("lang").eqNullSafe(F.col("la")) & F.col("source").eqNullSafe(F.col("sa")), "left")
-    met = met.join(b.select(F.col("lang").alias("lb"), *[x for x in b.columns if x != "lang"]), F.col("lang").eqNullSafe(F.col("lb")), "left")
-    met = met.join(c.withColumn("__whole", F.lit(1)), F.col("__one") == F.col("__whole"), "left")
-    chosen = [F.when(F.col("n_s") >= least, F.col(f"{k}_s")).when(F.col("n_l") >= least, F.col(f"{k}_l")).otherwise(F.col(f"{k}_w")).alias(k) for k in names]
-    return met.select("lang", "source", *chosen).select("lang", "source", *[F.col(k)[e].alias(f"{e}_{k}") for k in names for e in ("lo", "hi")])
+    sketch = C.stored(sketches(counted), "sketch")
+    whole = limits(sketch.groupBy("ratio", "bucket").agg(F.sum("n").alias("n")), spread=spread).first()
+    of_corpus = {c: whole[c] if whole is not None and whole[c] is not None else float("inf") if c.startswith("hi") else float("-inf") for k in SLACK for c in (f"lo_{k}", f"hi_{k}")}
+    by_lang, by_group = limits(merged(sketch, "lang"), "lang", spread=spread), limits(sketch, "lang", "source", spread=spread)
+    named = lambda df, tag, keys: df.select(*[F.col(c).alias(f"{c}_{tag}") for c in (*keys, "n", *of_corpus)])
+    met = counted.groupBy("lang", "source").agg(F.lit(1).alias("__one"))
+    met = met.join(named(by_group, "s", ("lang", "source")), F.col("lang").eqNullSafe(F.col("lang_s")) & F.col("source").eqNullSafe(F.col("source_s")), "left")
+    met = met.join(named(by_lang, "l", ("lang",)), F.col("lang").eqNullSafe(F.col("lang_l")), "left")
+
+    def weighed(own: Column, n: Column, parent: Column) -> Column:
+        n = F.coalesce(n, F.lit(0))
+        return F.when(n > 0, (n * own + least * parent) / (n + least)).otherwise(parent)
+
+    out = []
+    for c, value in of_corpus.items():
+        lang = weighed(F.col(f"{c}_l"), F.col("n_l"), F.lit(value))
+        group, slack = weighed(F.col(f"{c}_s"), F.col("n_s"), lang), SLACK[c[3:]]
+        out.append((F.least(group, lang + slack) if c.startswith("hi") else F.greatest(group, lang - slack)).alias(c))
+    return met.select("lang", "source", *out)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", spread: float = SPREAD, least: int = LEAST) -> DataFrame:
@@ -79,9 +113,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     counted = C.stored(base_counts(rows, ["doc_id", "lang", "source"]).withColumn("base_failed", failed), "counts")
-    limits = fences(counted, spread, least)
-    limits = limits.select(F.col("lang").alias("fl"), F.col("source").alias("fs"), *[c for c in limits.columns if c not in ("lang", "source")])
-    met = counted.join(limits, F.col("lang").eqNullSafe(F.col("fl")) & F.col("source").eqNullSafe(F.col("fs")), "left")
+    found = fences(counted, spread, least)
+    found = found.select(F.col("lang").alias("fl"), F.col("source").alias("fs"), *[c for c in found.columns if c not in ("lang", "source")])
+    met = counted.join(found, F.col("lang").eqNullSafe(F.col("fl")) & F.col("source").eqNullSafe(F.col("fs")), "left")
     broken = F.filter(
         F.array(*[F.when((v > F.col(f"hi_{k}")) | ((F.lit(k) == "word_length") & (v < F.col(f"lo_{k}"))), F.lit(k)) for k, v in ratios().items()]),
         lambda x: x.isNotNull(),
