@@ -52,3 +52,44 @@ def test_viterbi_against_all_splits(piece):
     cuts = [c for n in range(len(piece)) for c in itertools.combinations(range(1, len(piece)), n)]
     splits = [[piece[a:b] for a, b in zip((0, *c), (*c, len(piece)))] for c in cuts]
     assert cost(U.viterbi(piece, logs, -6.0)) == pytest.approx(max(map(cost, splits)))
+
+
+def test_words_of_any_length(spark):
+    word = "donaudampfschifffahrtsgesellschaft"
+    counts = spark.createDataFrame([(word, 50), ("the", 100), ("kapitan", 30)], "word string, n long")
+    pieces = spark.createDataFrame([(f"the{word}kapitan",), ("the",), (word[:30],)], "piece string")
+    got = {r.piece: r.words for r in U.segmented(pieces, counts).collect()}
+    assert got[f"the{word}kapitan"] == ["the", word, "kapitan"] and got["the"] == ["the"] and got[word[:30]] == [word[:30]]
+
+
+def test_company_outweighs_seeds(spark):
+    """A host without a seed is blocked for its words, one with a seed passes for its words."""
+    bad, good = ["casino", "poker", "betting", "jackpot", "lucky", "roulette"], ["museum", "library", "school", "garden", "history", "music"]
+    hosts = [a + b for a, b in itertools.permutations(bad, 2) if "casino" in (a, b) or "poker" in (a, b) or "betting" in (a, b)]
+    fine = [a + b for a, b in itertools.permutations(good, 2)]
+    html = "<p>" + " ".join(bad + good) + "</p>"
+    asked = {"luckyjackpot": "block", "jackpotroulette": "block", "museumcasinohistorylibrary": "allow", "gardenmusic": "allow", "casinopoker": "block"}
+    urls = [f"http://{h}.example.com/en/{k}" for k, h in enumerate(hosts * 3 + fine * 10)] + [f"http://{h}.example.com/en/1" for h in asked]
+    rows = [(k, u, html, 0.0, "k") for k, u in enumerate(urls)]
+    got = {rows[r.page_id][1]: r.verdict for r in U.judge(spark.createDataFrame(rows, SEEN), []).collect()}
+    assert {h: got[f"http://{h}.example.com/en/1"] for h in asked} == asked
+
+
+def test_a_round_against_plain_sums(spark):
+    seeded = U.seed_buckets(spark, ("casino", "spam"))
+    urls = [([seeded[0], 5, 6], 3), ([7, 6, 6], 10), ([seeded[1], 7], 1), ([], 2)]
+    model = U.Bayes(seeded)
+    want_bad, want_good, total = {}, {}, [0.0, 0.0]
+    for own, n in urls:
+        p = round(1000 / (1 + math.exp(-(model.base + sum(model.odds[b] for b in own))))) / 1000
+        for b in own:
+            want_bad[b] = want_bad.get(b, 0) + n * p
+            want_good[b] = want_good.get(b, 0) + n * (1 - p)
+        total = [total[0] + n * p, total[1] + n * (1 - p)]
+    sums, used = [sum(want_bad.values()), sum(want_good.values())], len(want_bad)
+    for b in seeded:
+        want_bad[b] = want_bad.get(b, 0) + U.SEED_COUNT
+    got = model.learned(spark.createDataFrame(urls, "buckets array<int>, n long").repartition(3))
+    for b, x in want_bad.items():
+        assert got.odds[b] == pytest.approx(math.log((x + 1) / (sums[0] + used)) - math.log((want_good.get(b, 0) + 1) / (sums[1] + used)))
+    assert got.base == pytest.approx(math.log((total[0] + 1) / (total[1] + 1)))

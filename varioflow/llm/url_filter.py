@@ -4,9 +4,15 @@ The distinct hosts and path keys (a path's letters and numbers) are far fewer
 than the pages, so words are found and scored per key and joined back.  A piece
 of a key is split into words by unigram Viterbi; the unigram counts come from
 the text of all pages.  A piece's possible words are looked up by a join, so no
-dictionary is collected or broadcast.  Multinomial naive Bayes learns from weak
-labels: a page is bad if one of its words is a seed word.  Words are hashed to
-``BUCKETS`` counters, which bounds the model that is broadcast.
+dictionary is collected or broadcast.
+
+Multinomial naive Bayes scores the words of host and path.  It learns from all
+urls without labels: seed words start as evidence for bad urls, and a few rounds
+of expectation and maximisation let the other words of bad urls gain weight and
+let seed words that keep good company lose it.  So a url without a seed may be
+blocked and one with a seed may pass.  Words are hashed to ``BUCKETS`` counters,
+which bounds the model that is broadcast; sums are whole numbers, so that a
+rerun gives the same model.
 
 Defined results: a null url, or one without ``://``, has an empty host and path;
 repeated rows are judged alike; of rules of one length the first in the order
@@ -19,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +33,18 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS = 1 << 18
-MAX_WORD = 24
+#: Substrings up to this length are looked up one by one, longer words by what they begin with.
+SHORT_WORD = 24
+#: Rounds of expectation and maximisation; first share of bad urls; first odds of a seed; url count that a seed stands for.
+ROUNDS, SHARE, SEED_ODDS, SEED_COUNT = 2, 0.05, 100.0, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Words that mark a page as unwanted.
-SEEDS = ("adult", "ads", "bet", "bets", "betting", "casino", "cheap", "gambling", "pills", "poker", "porn", "scam", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx")
+# Words that speak for an unwanted page, in the languages served.
+SEEDS = (
+    "adult", "ads", "bet", "bets", "betting", "casino", "cheap", "gambling", "pills", "poker", "porn", "scam", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx",
+    "billig", "erotik", "pillen", "werbung", "wetten",
+    "apuestas", "barato", "pastillas", "publicidad",
+    "pilules", "publicité",
+)
 
 
 def _rest(url: Column) -> Column:
@@ -73,16 +86,26 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def viterbi(piece: str, logs: dict[str, float], unknown: float) -> list[str]:
-    """The likeliest split; an unknown word costs ``unknown`` and a tenth for each letter."""
+    """The likeliest split; an unknown word costs ``unknown`` and a tenth for each letter.
+
+    Of equally likely splits the one whose last word is longest.  ``open_`` is the
+    best value with an unknown word still running, so words have no greatest length.
+    """
+    sizes = sorted({len(w) for w in logs}, reverse=True)
     best, back = [0.0], [0]
+    open_, since = -math.inf, 0
     for end in range(1, len(piece) + 1):
-        options = []
-        for start in range(max(0, end - MAX_WORD), end):
-            word = piece[start:end]
-            options.append((best[start] + logs.get(word, unknown - math.log(10) * len(word)), -start))
-        value, start = max(options)
+        if best[end - 1] + unknown > open_:
+            open_, since = best[end - 1] + unknown, end - 1
+        open_ -= math.log(10)
+        value, start = open_, since
+        for k in sizes:
+            if k <= end and (v := logs.get(piece[end - k : end])) is not None:
+                v += best[end - k]
+                if (v, -(end - k)) > (value, -start):
+                    value, start = v, end - k
         best.append(value)
-        back.append(-start)
+        back.append(start)
     out, end = [], len(piece)
     while end:
         out.append(piece[back[end] : end])
@@ -90,6 +113,17 @@ def viterbi(piece: str, logs: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
+def _possible(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """``piece, word, n`` of the known words in each piece, of any length."""
+    n = F.length("piece")
+    ends = F.explode(F.sequence(F.lit(1), n))
+    parts = pieces.select("piece", ends.alias("e")).select("piece", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.col("e") - SHORT_WORD + 1), F.col("e")), lambda s: F.substr("piece", s, F.col("e") - s + 1))).alias("word")).distinct()
+    long = counts.where(F.length("word") > SHORT_WORD).withColumn("head", F.left("word", F.lit(SHORT_WORD)))
+    heads = pieces.where(n > SHORT_WORD).select("piece", F.explode(F.sequence(F.lit(1), n - SHORT_WORD)).alias("s")).withColumn("head", F.substr("piece", F.col("s"), F.lit(SHORT_WORD)))
+    longer = heads.join(long, "head").where(F.substr("piece", F.col("s"), F.length("word")) == F.col("word")).select("piece", "word", "n").distinct()
+    return parts.join(counts, "word").select("piece", "word", "n").unionByName(longer)
+
+
 def segmented(pieces: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """``piece, words`` of the distinct pieces."""
     spark = pieces.sparkSession
@@ -99,10 +133,7 @@ def segmented(pieces: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEE
     weight = max(total // 1000, 10)
     every = counts.unionByName(seeded.select("word", F.lit(weight).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
     size = total + weight * len(seeds)
-    n = F.length("piece")
-    ends = F.explode(F.sequence(F.lit(1), n))
-    parts = pieces.select("piece", ends.alias("e")).select("piece", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.col("e") - MAX_WORD + 1), F.col("e")), lambda s: F.substr("piece", s, F.col("e") - s + 1))).alias("word")).distinct()
-    found = parts.join(every, "word").groupBy("piece").agg(F.map_from_entries(F.collect_list(F.struct("word", F.log(F.col("n") / F.lit(float(size)))))).alias("logs"))
+    found = _possible(pieces, every).groupBy("piece").agg(F.map_from_entries(F.collect_list(F.struct("word", F.log(F.col("n") / F.lit(float(size)))))).alias("logs"))
     unknown = math.log(10 / size)
 
     def split(batches):
@@ -115,19 +146,70 @@ def segmented(pieces: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEE
 
 
 def tokens(keys: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """``key, words`` of the distinct keys: letter pieces segmented, a number as ``0``, each word once."""
+    """``key, words`` of the distinct keys: letter pieces segmented, a number as ``0``."""
     pieces = keys.select("key", F.posexplode(F.regexp_extract_all("key", F.lit(r"\p{L}+|[0-9]+"), F.lit(0))).alias("at", "piece"))
     pieces = pieces.withColumn("piece", F.when(F.col("piece").rlike("^[0-9]"), "0").otherwise(F.lower("piece")))
     known = segmented(pieces.select("piece").distinct(), counts, seeds)
     met = pieces.join(known, "piece").groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
-    return keys.join(met, "key", "left").select("key", F.coalesce(F.array_distinct("words"), F.expr("cast(array() as array<string>)")).alias("words"))
+    return keys.join(met, "key", "left").select("key", F.coalesce("words", F.expr("cast(array() as array<string>)")).alias("words"))
 
 
 def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def seed_buckets(spark: SparkSession, seeds: tuple[str, ...]) -> list[int]:
+    """The seeds' counters, hashed as the words are."""
+    return sorted({r["b"] for r in spark.createDataFrame([(s,) for s in seeds], "word string").select(bucket(F.col("word")).alias("b")).collect()})
+
+
+class Bayes:
+    """Log likelihood ratio, bad to good, of each counter, and the prior log odds."""
+
+    def __init__(self, seeded: list[int]):
+        self.seeded, self.base = seeded, math.log(SHARE / (1 - SHARE))
+        self.odds = np.zeros(BUCKETS)
+        self.odds[seeded] = math.log(SEED_ODDS)
+
+    def score(self, buckets: pa.ListArray) -> np.ndarray:
+        """The sum over each list."""
+        n = pc.list_value_length(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.bincount(np.repeat(np.arange(len(n)), n), self.odds[buckets.flatten().to_numpy()], len(n))
+
+    def learned(self, urls: DataFrame) -> Bayes:
+        """One round over ``buckets, n``: how bad each url is by this model, and the model that follows from it."""
+        sent = urls.sparkSession.sparkContext.broadcast(self)
+
+        def count(batches):
+            for batch in batches:
+                own, n = sent.value, batch.column("n").to_numpy()
+                bad = np.rint(1000 / (1 + np.exp(-np.clip(own.base + own.score(batch.column("buckets")), -50, 50))))
+                size = pc.list_value_length(batch.column("buckets")).to_numpy(zero_copy_only=False).astype(np.int64)
+                at, b = np.repeat(np.arange(len(n)), size), batch.column("buckets").flatten().to_numpy()
+                some, place = np.unique(b, return_inverse=True)
+                sums = [np.append(np.bincount(place, (n * x)[at], len(some)), (n * x).sum()).astype(np.int64) for x in (bad, 1000 - bad)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *map(pa.array, sums)], names=["b", "bad", "good"])
+
+        found = urls.mapInArrow(count, "b int, bad long, good long").groupBy("b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+        b, bad, good = (found.column(c).to_numpy() for c in ("b", "bad", "good"))
+        return self.of(self.seeded, b, bad / 1000, good / 1000)
+
+    @classmethod
+    def of(cls, seeded: list[int], b: np.ndarray, bad: np.ndarray, good: np.ndarray) -> Bayes:
+        """Add-one smoothed; a seed's own counter has ``SEED_COUNT`` bad urls more; row -1 has the number of urls."""
+        out, n = cls(seeded), np.zeros((BUCKETS, 2))
+        own = b >= 0
+        n[b[own]] = np.stack((bad[own], good[own]), axis=1)
+        used = n.sum(axis=1) > 0
+        total = n.sum(axis=0) + max(int(used.sum()), 1)
+        n[seeded, 0] += SEED_COUNT
+        p, used = (n + 1) / total, n.sum(axis=1) > 0
+        out.odds = np.where(used, np.log(p[:, 0] / p[:, 1]), 0.0)
+        out.base = math.log((bad[~own].sum() + 1) / (good[~own].sum() + 1))
+        return out
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, page_id: str = "page_id", url: str = "url", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row; score is the log odds of bad."""
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
@@ -135,34 +217,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]
     rows = rows.withColumn("key", F.regexp_replace(F.regexp_replace("path", "[0-9]+", "0"), r"[^\p{L}0-9]+", " "))
     pairs = C.stored(rows.groupBy("host", "key").agg(F.count("*").alias("n")), "pairs")
     keys = pairs.select(F.col("host").alias("key")).unionByName(pairs.select("key")).distinct()
-    known = C.stored(tokens(keys, C.stored(word_counts(pages, html), "words"), seeds).withColumn("bad", F.exists("words", lambda w: w.isin(*seeds))), "tokens")
-    host, path = [known.select(F.col("key").alias(k), F.col("words").alias(f"{k}_words"), F.col("bad").alias(f"{k}_bad")) for k in ("host", "key")]
-    marked = pairs.join(host, "host").join(path, "key").withColumn("bad", F.col("host_bad") | F.col("key_bad"))
-    counted = marked.select("n", "bad", F.explode(F.concat("host_words", "key_words")).alias("word")).groupBy(bucket(F.col("word")).alias("b"), "bad").agg(F.sum("n").alias("n")).toPandas()
-    prior = marked.groupBy("bad").agg(F.sum("n").alias("n")).toPandas()
-    sent = rows.sparkSession.sparkContext.broadcast(log_odds(counted))
-    of = {bool(b): n for b, n in zip(prior["bad"], prior["n"])}
-    base = math.log((of.get(True, 0) + 1) / (of.get(False, 0) + 1))
+    known = C.stored(tokens(keys, C.stored(word_counts(pages, html), "words"), seeds).select("key", F.transform("words", bucket).alias("buckets")), "tokens")
+    host, path = [known.select(F.col("key").alias(k), F.col("buckets").alias(f"{k}_b")) for k in ("host", "key")]
+    urls = C.stored(pairs.join(host, "host").join(path, "key").select(F.concat("host_b", "key_b").alias("buckets"), "n"), "urls")
+    model = Bayes(seed_buckets(rows.sparkSession, seeds))
+    for _ in range(rounds):
+        model = model.learned(urls)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
-            sums = [float(sum(sent.value[k] for k in own)) for own in batch.column("buckets").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sums, pa.float64())], names=["key", "odds"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sent.value.score(batch.column("buckets")), pa.float64())], names=["key", "odds"])
 
-    odds = C.stored(known.select("key", F.transform("words", bucket).alias("buckets")).mapInArrow(score, "key string, odds double"), "odds")
+    odds = C.stored(known.mapInArrow(score, "key string, odds double"), "odds")
     judged = rows.join(odds.select(F.col("key").alias("host"), F.col("odds").alias("ho")), "host").join(odds.select("key", F.col("odds").alias("po")), "key")
-    chosen = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", F.lit(base) + F.col("ho") + F.col("po"))
+    chosen = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", F.round(F.lit(model.base) + F.col("ho") + F.col("po"), 6))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return chosen.select("page_id", "host", "path", F.col("fit")["rule"].alias("rule"), F.coalesce(F.col("fit")["verdict"], own).alias("verdict"), F.round("score", 6).alias("score"))
-
-
-def log_odds(counted: pd.DataFrame) -> np.ndarray:
-    """Log likelihood ratio, bad to good, of each bucket; add-one smoothed, 0 for unused buckets."""
-    n = np.zeros((BUCKETS, 2))
-    np.add.at(n, (counted["b"].to_numpy(np.int64), counted["bad"].to_numpy(bool).astype(np.int64)), counted["n"].to_numpy(np.float64))
-    used = max(int((n.sum(axis=1) > 0).sum()), 1)
-    p = (n + 1) / (n.sum(axis=0) + used)
-    return np.where(n.sum(axis=1) > 0, np.log(p[:, 1] / p[:, 0]), 0.0)
+    return chosen.select("page_id", "host", "path", F.col("fit")["rule"].alias("rule"), F.coalesce(F.col("fit")["verdict"], own).alias("verdict"), "score")
 
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
