@@ -44,6 +44,26 @@ def test_round_trip(spark, tmp_path, least, compression):
         assert len(list(W.parsed(gzip.decompress(raw) if compression == "gzip" else raw))) <= 7
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BYTES_PER_FILE", 1 << 18)
+    table = spark.createDataFrame([(k, f"http://a/{k}", chr(97 + k % 26) * (100 + k) + ("z" * 90_000 if k % 50 == 7 else ""), "d", 1) for k in range(400)], SEEN).coalesce(1)
+    path = str(tmp_path / "archive")
+    W.write(table, path)
+    assert len(W.sizes(table, "html")) > 1 and W.assemble(W.read(spark, path)).count() == 400
+    for name in glob(path + "/part-*"):
+        records = list(W.parsed(gzip.decompress(open(name, "rb").read())))
+        assert sum(len(block) for head, block in records if head["warc-type"] == "response") < (1 << 18) + 100 * len(records)
+
+
+def test_revisits_name_what_they_refer_to(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    W.write(spark.createDataFrame([(i, u, h, "d", 1) for i, u, h in ROWS], SEEN), path)
+    heads = [head for name in glob(path + "/part-*") for head, _ in W.parsed(gzip.decompress(open(name, "rb").read()))]
+    assert {h.get("warc-refers-to-target-uri") for h in heads if h["warc-type"] == "revisit"} == {"http://b.example.com", None, "http://c.example.com/"}
+    assert all(h["warc-refers-to-date"] == h["warc-date"] for h in heads if h["warc-type"] == "revisit")
+    assert not any("warc-refers-to-date" in h for h in heads if h["warc-type"] != "revisit")
+
+
 def test_base32(spark):
     [row] = spark.range(1).select(W.base32_sha1(F.lit("abc")).alias("d")).collect()
     assert row.d == base64.b32encode(hashlib.sha1(b"abc").digest()).decode()

@@ -1,13 +1,14 @@
 """WARC archives of page captures: writing, reading, and transaction assembly.
 
 A capture is three records: the request, the response (or, where an equal
-payload is archived under a smaller id, a revisit), and metadata; the first and
-the last name the second in WARC-Concurrent-To.  Records go out through Spark's
-text writer, whose line separator is the two line ends that close a record, so
-files are committed, retried and compressed as any other output and land
-wherever Spark can write.  Archives are read as whole files of bounded size;
-their records are joined through the concurrent-to identifiers to one nested
-row per capture.
+payload is archived under a smaller id, a revisit that names that page's url and
+date), and metadata; the first and the last name the second in
+WARC-Concurrent-To.  Records go out through Spark's text writer, whose line
+separator is the two line ends that close a record, so files are committed,
+retried and compressed as any other output and land wherever Spark can write.
+Archives are read as whole files, so their payload bytes are bounded: pages far
+beyond the mean are archived in files of fewer records.  The records are joined
+through the concurrent-to identifiers to one nested row per capture.
 
 Defined results: a null html is an empty payload, a null url leaves the target
 out; of rows that repeat the smallest id of a payload all are responses, other
@@ -32,8 +33,10 @@ from . import common as C
 
 END = "\r\n"
 BETWEEN = END * 2
-#: Archive files hold at most this many records, which bounds a reading task.
-RECORDS_PER_FILE = 6000
+#: Payload bytes that an archive file holds at most (a larger page has a file of its own), which bounds a reading task.
+BYTES_PER_FILE = 256 << 20
+#: Pages up to so many times the mean are archived together, larger ones apart, in files of fewer records.
+COMMON, STEP = 32, 8
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,36 +49,59 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``page_id, url, html, digest, bytes, first``: first is the id that a revisit refers to, else null.
+    """``page_id, url, html, digest, bytes, first, first_url``: of the page that a revisit refers to, else null.
 
-    Only ids and digests meet by digest, where a payload may be very frequent;
-    the payloads are joined to the outcome by id.
+    Only ids, urls and digests meet by digest, where a payload may be very
+    frequent; the payloads are joined to the outcome by id.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    marks = rows.select("page_id", "digest", "bytes").where(F.col("bytes") >= least_bytes)
-    least = marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    later = marks.join(least, "digest").where("page_id is null or page_id > first").select(F.col("page_id").alias("own"), F.col("digest").alias("own_digest"), "first").distinct()
+    marks = rows.select("page_id", "url", "digest", "bytes").where(F.col("bytes") >= least_bytes)
+    found = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    least = marks.groupBy("digest").agg(found.alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", F.col("first")["page_id"].alias("first"), F.col("first")["url"].alias("first_url"))
+    later = marks.join(least, "digest").where("page_id is null or page_id > first").select(F.col("page_id").alias("own"), F.col("digest").alias("own_digest"), "first", "first_url").distinct()
     met = rows.join(later, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest")), "left")
-    return met.select("page_id", "url", "html", "digest", "bytes", "first")
+    return met.select("page_id", "url", "html", "digest", "bytes", "first", "first_url")
 
 
 def _id(kind: str) -> Column:
     # the row's number makes repeated rows distinct; a rerun task rewrites its whole file
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.col("page_id").cast("string"), F.col("__row").cast("string")))
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.col("page_id").cast("string"), F.col("digest"), F.col("__row").cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
+def _target(url: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+
+
 def _record(kind: Column | str, own: Column, block: Column, media: str, extra: list[tuple[str, Column]]) -> Column:
-    target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    fields = [("WARC-Type", F.lit(kind) if isinstance(kind, str) else kind), ("WARC-Record-ID", own), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", target), *extra, ("Content-Type", F.lit(media)), ("Content-Length", F.octet_length(block).cast("string"))]
+    fields = [("WARC-Type", F.lit(kind) if isinstance(kind, str) else kind), ("WARC-Record-ID", own), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", _target("url")), *extra, ("Content-Type", F.lit(media)), ("Content-Length", F.octet_length(block).cast("string"))]
     head = F.concat_ws(END, F.lit("WARC/1.1"), *[F.when(v.isNotNull(), F.concat(F.lit(k + ": "), v)) for k, v in fields])
     return F.concat(head, F.lit(BETWEEN), block)
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    """Archive the pages under ``path``."""
+def sizes(pages: DataFrame, html: str) -> list[tuple[int, int]]:
+    """(most payload bytes of a page, captures that a file may hold), from common pages to the largest."""
+    r = pages.agg(F.avg(F.octet_length(html)).alias("mean"), F.max(F.octet_length(html)).alias("most")).first()
+    bounds = [max(int(COMMON * (r["mean"] or 0)), 1 << 12)]
+    while bounds[-1] < (r["most"] or 0):
+        bounds.append(bounds[-1] * STEP)
+    return [(b, max(1, BYTES_PER_FILE // b)) for b in bounds]
+
+
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, records_per_file: int | None = None, compression: str = "gzip") -> None:
+    """Archive the pages under ``path``; ``records_per_file`` bounds a file further."""
     rows = captures(pages, page_id, url, html, least_bytes).withColumn("__row", F.monotonically_increasing_id())
+    low = -1
+    for most, count in sizes(pages, html):
+        own = rows.where((F.col("bytes") > low) & (F.col("bytes") <= most))
+        limit = min(3 * count, records_per_file or 3 * count)
+        _records(own).write.mode("append").option("lineSep", BETWEEN).option("compression", compression).option("maxRecordsPerFile", limit).text(path)
+        low = most
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """``value``: request, response or revisit, and metadata of each capture."""
     rest = F.coalesce(F.regexp_extract("url", r"(?s)://([^\s/?#]*)([^\s#]*)", 2), F.lit(""))
     host = F.coalesce(F.regexp_extract("url", r"://([^\s/?#]*)", 1), F.lit(""))
     main, revisit = _id("response"), F.col("first").isNotNull()
@@ -87,12 +113,11 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         main,
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
         "application/http; msgtype=response",
-        [("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(revisit, F.lit(PROFILE)))],
+        [("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("WARC-Refers-To-Target-URI", F.when(revisit, _target("first_url"))), ("WARC-Refers-To-Date", F.when(revisit, F.lit(DATE)))],
     )
     facts = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(END)), F.lit("")), F.coalesce(F.concat(F.lit("refers-to-page: "), F.col("first").cast("string"), F.lit(END)), F.lit("")), F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit(END))
     metadata = _record("metadata", _id("metadata"), facts, "application/warc-fields", [("WARC-Concurrent-To", main)])
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", BETWEEN).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
 RECORD = "record_id string, type string, target string, concurrent_to string, digest string, profile string, block_bytes long, payload_bytes long, payload_sha1 string, fields map<string,string>, payload binary"
