@@ -18,9 +18,9 @@ least T = ceil(0.75 n) of them also occur elsewhere, which gives four steps:
    binary search.  Documents linked through others already are not verified.
 4. A component beyond ``BLOCK_DOCS`` documents is compared with three of its
    members first, one of them the most typical.  Prefix shingles whose documents
-   are all linked by now are dropped, and what the others still hold together is
-   searched as in step 3.  Where even that is too large, what the leaders did not
-   join meets the rest in blocks, apart by size (sets that link differ by less
+   all link to one leader are dropped, with the documents that have no other, and
+   what is left of a component is searched as in step 3.  Where even that is too
+   large, what the leaders did not join meets the rest in blocks, apart by size (sets that link differ by less
    than a third), or, where that makes fewer tasks, only the documents of each
    remaining shingle meet, so that none meets a whole component of loose chains.
 
@@ -407,15 +407,17 @@ def links(sets: DataFrame, prefix: DataFrame, block_docs: int = BLOCK_DOCS, bloc
     # a text that others were made from has shingles that many have
     typical = prefix.groupBy("doc_id").agg(F.avg("df").alias("df"))
     seeds = [F.max_by(F.struct("doc_id", "set"), F.struct("df", "doc_id")), *[F.min_by(F.struct("doc_id", "set"), F.xxhash64("doc_id", F.lit(k))) for k in range(2)]]
-    leaders = large.join(typical, "doc_id", "left").groupBy("root").agg(F.array(*seeds).alias("x")).select("root", F.explode("x").alias("x")).select("root", F.col("x")["doc_id"].alias("leader"), F.col("x")["set"].alias("leader_set"))
+    leaders = C.stored(large.join(typical, "doc_id", "left").groupBy("root").agg(F.array_distinct(F.array(*seeds)).alias("x")).select("root", F.explode("x").alias("x")).select("root", F.col("x")["doc_id"].alias("leader"), F.col("x")["set"].alias("leader_set")), "leaders")
     near = C.stored(large.join(leaders, "root").select("doc_id", "set", "leader", "leader_set").mapInArrow(_against_leader, LINK), "near")
-    merged_ = components(near, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
-    own = C.stored(large.drop("root", "label").join(merged_, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
-    # only where a shingle's documents are not all linked yet can a link be missing
-    named = prefix.join(own.select("doc_id", "label"), "doc_id")
+    # a document goes by the least leader that those it links to go by, and a leader by the least it links to or itself
+    of_leader = near.join(leaders.select(F.col("leader").alias("a")).distinct(), "a").groupBy(F.col("a").alias("b")).agg(F.min("b").alias("other")).select("b", F.least("b", "other").alias("goes_by"))
+    least = near.join(of_leader, "b", "left").groupBy(F.col("a").alias("doc_id")).agg(F.min(F.coalesce("goes_by", "b")).alias("label"))
+    own = C.stored(large.drop("label").join(least, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    # only where a shingle's documents do not all go by one can a link be missing
+    named = prefix.select("doc_id", "h").join(own.select("doc_id", "label"), "doc_id")
     apart = named.groupBy("h").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("h")
     rest = C.stored(named.select("doc_id", "h").join(apart, "h"), "rest")
-    again, still = _by_component(own, candidates(rest), block_docs, block_shingles)
+    again, still = _by_component(own.drop("root"), own.select("doc_id", "root").join(rest.select("doc_id").distinct(), "doc_id"), block_docs, block_shingles)
     still = C.stored(still, "still")
     out = found.unionByName(near).unionByName(again)
     if not still.limit(1).count():

@@ -124,7 +124,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         .groupBy("lang", "ord", "code")
         .agg(F.sum("n").alias("n"))
     )
-    return _model(langs, counted.toArrow())
+    model = _model(langs, counted.toArrow())
+    C.release()
+    return model
 
 
 def _model(langs: list[str], counted: pa.Table) -> LanguageModel:
