@@ -103,6 +103,13 @@ def test_names_without_titles_and_more_kinds(spark):
     assert got[3, "en"].text == "John Smith is nobody here"
 
 
+def test_spellings_of_names(spark):
+    got = run(spark, [(1, "Mr McDonald, Mrs O'Brien-Smith and Herr von Berg: McDONALD, MCDONALD, O'Brien-Smith, BERG, Berg; van den Berg", "en")])[1, "en"].text
+    m = re.fullmatch(r"Mr (\w+), Mrs (\w+) and Herr von (\w+): McDONALD, (\w+), (\w+), (\w+), (\w+); van den (\w+)", got)
+    assert m and m[4] == m[1].upper() and m[5] == m[2] and m[6] == m[3].upper() and m[7] == m[8] == m[3]
+    assert len({m[1], m[2], m[3]}) == 3 and not {m[1], m[2], m[3]} & {"McDonald", "Berg"}
+
+
 def test_coreference_and_distinctness_against_plain_maps(spark):
     """Over many texts: one entity one surrogate, two entities two, nothing real left."""
     rng = random.Random(9)

@@ -68,8 +68,9 @@ MALE = r"Mr|Herr|Monsieur|Señor|Sir|Lord|г-н"
 NEUTRAL = r"Dr|Prof"
 TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.? (?:(?:{NEUTRAL})\.? )?"
 WORD = r"\p{Lu}[\p{L}\p{M}'\-]++"
-INITIALS = r"(?:\p{Lu}\. ?)*+"
-NAME = rf"(?<![\p{{L}}]){TITLE}{INITIALS}{WORD}(?: {INITIALS}{WORD}){{0,2}}"
+#: What may stand before a word of a name: initials and small words.
+BEFORE = r"(?:\p{Lu}\. ?)*+(?:(?:von|van|de|der|den|del|di|da|du|la|le|zu) )*+"
+NAME = rf"(?<![\p{{L}}]){TITLE}{BEFORE}{WORD}(?: {BEFORE}{WORD}){{0,2}}"
 #: All kinds but names.
 PLAIN = "|".join((SECRET, EMAIL, IBAN, IP6, CARD, SSN, PHONE, IP))
 #: What any entity must contain; a cheap first look.
@@ -96,21 +97,20 @@ def kind_of(raw: Column) -> Column:
 
 
 def named(found: Column) -> Column:
-    """The words of the titled names among the entities: ``word`` in small letters, ``kind``; family names first."""
+    """The words of the titled names among the entities: ``kind``, ``word`` in small letters, ``own`` spelling; family names first."""
 
     def words(name: Column) -> Column:
         title = F.substring_index(F.regexp_replace(name, r"\.", " "), " ", 1)
         gender = F.when(title.rlike(f"^(?:{FEMALE})$"), "given_f").when(title.rlike(f"^(?:{MALE})$"), "given_m").otherwise("given_n")
         own = F.regexp_extract_all(F.regexp_replace(name, rf"^{TITLE}", ""), F.lit(rf"(?<![\p{{L}}\p{{M}}'\-]){WORD}"), F.lit(0))
-        return F.transform(own, lambda w, i: F.struct(F.lower(w).alias("word"), F.when(i == F.size(own) - 1, "family").otherwise(gender).alias("kind")))
+        return F.transform(own, lambda w, i: F.struct(F.when(i == F.size(own) - 1, "family").otherwise(gender).alias("kind"), F.lower(w).alias("word"), w.alias("own")))
 
-    every = F.flatten(F.transform(F.filter(found, lambda x: x.rlike(rf"^{TITLE}")), words))
-    return F.array_sort(F.array_distinct(F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["word"].alias("word")))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(found, lambda x: x.rlike(rf"^{TITLE}")), words))))
 
 
 def pattern_of(known: Column) -> Column:
     """The pattern of a text's entities, its known names word by word, also in capitals, and the initials before them."""
-    words = F.array_distinct(F.flatten(F.transform(known, lambda x: F.array(F.regexp_replace(F.initcap(F.regexp_replace(x["word"], "([-'])", "$1 ")), "([-']) ", "$1"), F.initcap(x["word"]), F.upper(x["word"])))))
+    words = F.array_distinct(F.flatten(F.transform(known, lambda x: F.array(x["own"], F.upper(x["own"]), F.initcap(x["word"])))))
     joined = F.array_join(words, "|")
     return F.when(F.size(known) > 0, F.concat(F.lit(PLAIN + r"|(?<![\p{L}\p{M}])(?:(?:"), joined, F.lit(r")(?![\p{L}\p{M}])|\p{Lu}(?=\. ?(?:\p{Lu}\. ?)*+(?:"), joined, F.lit(r")(?![\p{L}\p{M}])))"))).otherwise(PLAIN)
 
