@@ -58,3 +58,13 @@ def test_word_cache_is_bounded():
     for text in ("a b c d", "e f g h", "a b c d e f g h i"):
         ids, _ = tokens.texts(pa.array([text]))
         assert ids.tolist() == tokens.plain(text)
+
+
+def test_another_vocabulary_encodes_whole_texts(spark):
+    """One that keeps case and white space can't be taken word by word."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert P.WordTokens(PATH).by_word and not P.WordTokens(path).by_word
+    rows = [(1, "Hello  World,\nhello again", "en"), (2, "", "en"), (3, None, "en")]
+    got = {r.doc_id: r.ids_crc32 for r in P.pack(docs(spark, rows), path, 4096).collect()}
+    plain = Tokenizer.from_file(path)
+    assert got == {i: zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t, _ in rows}

@@ -1,9 +1,12 @@
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from varioflow.llm import quality_classifier as Q
 
-from .helpers import ODD, docs
+from .helpers import ODD, docs, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,3 +32,30 @@ def test_odd_rows(spark):
     for table in (docs(spark, ODD), docs(spark, [])):
         got = Q.classify(table, labels, F.lit(True)).collect()
         assert len(got) == table.count() and all(0 <= r.score <= 1 for r in got)
+
+
+def plain_score(text, net):
+    """Features and forward pass of one text with plain Python."""
+    ws = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    windows = Counter(zip(ws, ws[1:], ws[2:]))
+    covered = {q for p in range(len(ws) - 2) if windows[tuple(ws[p : p + 3])] > 1 for q in range(p, p + 3)}
+    chars = "".join(ws)
+    n, c, m = max(len(ws), 1), max(len(chars), 1), max(len(lines), 1)
+    count = lambda f: sum(map(f, chars))
+    x = [
+        math.log1p(len(ws)), len(chars) / n, math.sqrt(count(lambda z: z in "#*$%&|<>") / c), math.sqrt(count(lambda z: z in "!?") / c), math.sqrt(count(str.isupper) / c), math.sqrt(count(lambda z: z in "0123456789") / c),
+        (len(lines) - len(set(lines))) / m, len(covered) / n, len(set(ws)) / n, max(Counter(ws).values(), default=0) / n, math.log1p(len(ws) / m),
+    ]
+    w1, b1, w2, b2 = net.parts
+    hidden = [math.tanh(sum(min(8, max(-8, (v - net.mean[i]) / net.scale[i])) * w1[i][j] for i, v in enumerate(x)) + b1[j]) for j in range(len(b1))]
+    return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, w2)) + b2[0])))
+
+
+def test_scores_of_a_fixed_network(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    net = Q.Network(rng.normal(0, 1, 11), rng.uniform(0.5, 2, 11), [rng.normal(0, 1, (11, 4)), rng.normal(0, 1, 4), rng.normal(0, 1, 4), rng.normal(0, 1, 1)])
+    monkeypatch.setattr(Q, "fit", lambda p, u: net)
+    rows = [*ODD[:2], (20, "A line! Of 12 words?\nA line! Of 12 words?\n<b> & $5 the the the", "en"), (21, "Été À la carte " * 30, "fr"), (22, "x", "en")]
+    got = {r.doc_id: r.score for r in Q.classify(docs(spark, rows), spark.createDataFrame([(20, 1)], "doc_id long, quality int"), F.lit(True)).collect()}
+    assert all(abs(got[i] - plain_score(t, net)) < 1e-9 for i, t, _ in rows)

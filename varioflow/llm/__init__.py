@@ -1,5 +1,5 @@
 """Training-data operators.
 
-Nothing outside this subpackage imports it.  ``REGISTRY`` lists the modules
+Nothing outside this subpackage imports it.  ``registry`` names the modules
 whose ``QUERIES`` and ``ORACLES`` the driver entry picks up.
 """

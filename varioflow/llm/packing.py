@@ -3,9 +3,9 @@
 Hierarchical residual packing: each input partition tokenises its documents and
 packs their pieces best-fit, longest first.  Nearly full bins are final.  The
 underfull ones become items of the next round, in which a fourth as many
-partitions pack them again; the last round takes what is left apart.  A bin holds at most ``capacity`` pieces, so an item stays
-bounded however often it is merged; what moves between rounds is piece
-metadata, never tokens.
+partitions pack them again; the last round takes what is left apart.  A bin
+holds at most ``capacity`` pieces, so an item stays bounded however often it is
+merged; what moves between rounds is piece metadata, never tokens.
 
 Defined results: a null text counts as empty and is one end-of-text token; an
 empty table gives no rows; repeated rows are packed once each; a text of any
@@ -34,11 +34,14 @@ PIECES = "array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_cr
 class WordTokens:
     """Token ids by distinct word.
 
-    This vocabulary drops white space and never merges across it, so a text's
-    ids are its words' ids in turn.  Ids of words already met are kept in flat
-    arrays, up to ``max_words``; a worker encodes a word once.
+    A vocabulary that drops white space and the case of ASCII letters and never
+    merges across words gives a text its words' ids in turn.  Ids of words already
+    met are kept in flat arrays, up to ``max_words``; a worker encodes a word once.
+    A vocabulary that treats ``PROBE`` otherwise encodes each text whole.
     """
 
+    PROBE = ("Hello", "WORLD,", "don't", "x1!", "ABC/def", "naïve")
+
     #: Split off the end of a word of letters, as the vocabulary's own rule does; no apostrophe.
     TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     #: Letters that stay single letters however they are normalised.
@@ -51,6 +54,12 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
+        words = [self.plain(w) for w in self.PROBE]
+        self.by_word = (
+            self.plain("  " + "\n \t".join(self.PROBE) + " ") == [i for w in words for i in w]
+            and words == [self.plain(w.lower()) for w in self.PROBE]
+            and words[1] == self.plain("world") + self.plain(",")
+        )
         self.clear()
 
     def clear(self):
@@ -106,6 +115,9 @@ class WordTokens:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the rows' offsets into them."""
+        if not self.by_word:
+            each = [self.plain(t or "") for t in texts.to_pylist()]
+            return np.array([i for x in each for i in x], np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
         flat, rows = C.words(texts)
         coded = pc.dictionary_encode(flat)
         if isinstance(coded, pa.ChunkedArray):
