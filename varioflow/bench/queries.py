@@ -355,6 +355,53 @@ def flight_json(spark, sf_dir):
     return flight_documents(debrief(spark, sf_dir), generated_at="2024-01-02T00:00:00Z")
 
 
+#: What is read back from the documents: SQL type of the JSON, then each column from it.
+DOCUMENT = """
+schemaVersion int, source struct<altitudeSource:string,gps:string,loggerId:string>,
+flight struct<date:string,glider:struct<type:string,registration:string,competitionId:string>,pilot:string,startTime:string,endInstant:string,durationS:bigint,trackDistanceM:double,maxAltitudeM:int,landed:boolean>,
+launch struct<takeoffTime:string,releaseTime:string,type:string,releaseConfident:boolean>,
+task struct<declared:boolean,shape:string,closed:boolean,distanceM:double,turnpoints:int,points:array<struct<name:string>>,legs:array<struct<distanceM:double>>>,
+phase struct<circlingS:bigint,straightS:bigint,soaringS:bigint,circlingFraction:double,gainCirclingM:bigint,meanCirclingRateMs:double,workingBand:struct<bottomM:int,topM:int>,risingAirFraction:double>,
+wind struct<speedMs:double,fromDeg:double,spreadMs:double,unreliable:boolean,perClimb:array<struct<circles:double>>>,
+climbs array<struct<gainM:int,circles:double,best30sMs:double,perCircle:array<struct<altM:int>>>>, legs array<struct<kind:string,distanceM:double>>,
+polar struct<name:string,matched:boolean,bestLd:double,bestLdSpeedMs:double>, quality struct<fixes:bigint,medianIntervalS:double,maxGapS:bigint,gapsOver20s:bigint,gapTotalS:bigint,coarse:boolean,warnings:array<string>>"""
+FIELDS = [
+    "source.altitudeSource", "source.gps", "source.loggerId", "flight.date", "flight.glider.type", "flight.glider.registration", "flight.pilot", "flight.startTime", "flight.endInstant", "flight.durationS", "flight.trackDistanceM", "flight.maxAltitudeM", "flight.landed",
+    "launch.takeoffTime", "launch.releaseTime", "launch.type", "launch.releaseConfident", "task.declared", "task.shape", "task.closed", "task.distanceM", "task.turnpoints",
+    "phase.circlingS", "phase.straightS", "phase.soaringS", "phase.circlingFraction", "phase.gainCirclingM", "phase.meanCirclingRateMs", "phase.workingBand.bottomM", "phase.workingBand.topM", "phase.risingAirFraction",
+    "wind.speedMs", "wind.fromDeg", "wind.spreadMs", "wind.unreliable", "polar.name", "polar.matched", "polar.bestLd", "polar.bestLdSpeedMs", "quality.fixes", "quality.medianIntervalS", "quality.maxGapS", "quality.gapsOver20s", "quality.gapTotalS", "quality.coarse",
+]
+
+
+@query("""
+select s.flight_id, altitude_source as source_altitudeSource, case when y.k % 2 = 0 then 'receiver' end as source_gps, 'XYZ' || y.k as source_loggerId, '2024-01-01' as flight_date, y.glider_type as flight_glider_type, 'G-C' || y.k as flight_glider_registration, s_name as flight_pilot,
+  strftime(make_timestamp((s.start % 86400) * 1000000), '%H:%M:%SZ') as flight_startTime, strftime(timestamp '2024-01-01' + to_seconds(s."end"), '%Y-%m-%dT%H:%M:%SZ') as flight_endInstant, duration_s as flight_durationS, round(track_distance_m, 1) as flight_trackDistanceM, max_alt_m as flight_maxAltitudeM, landed as flight_landed,
+  strftime(make_timestamp((takeoff_t % 86400) * 1000000), '%H:%M:%SZ') as launch_takeoffTime, strftime(make_timestamp((l.release_t % 86400) * 1000000), '%H:%M:%SZ') as launch_releaseTime, l.type as launch_type, confident as launch_releaseConfident,
+  z.flight_id is not null as task_declared, case when z.closed and z.n - 1 = 2 then 'out and return' when z.closed and z.n - 1 = 3 then 'triangle' when z.closed and z.n - 1 = 4 then 'quadrilateral' when z.closed then (z.n - 1) || '-leg closed course' when z.n - 1 = 1 then 'straight distance' else (z.n - 1) || '-leg task' end as task_shape,
+  z.closed as task_closed, round(d.distance_m, 1) as task_distanceM, case when z.n is not null then greatest(0, z.n - 2)::integer end as task_turnpoints, d.legs as n_task_legs, case when z.n is null then 0 else z.n end as n_points,
+  circling_s as phase_circlingS, soaring_s - circling_s as phase_straightS, soaring_s as phase_soaringS, round(circling_s / soaring_s, 4) as phase_circlingFraction, gain_circling_m as phase_gainCirclingM, round(case when circling_s > 0 then gain_circling_m / circling_s end, 3) as phase_meanCirclingRateMs, band_bottom_m as phase_workingBand_bottomM, band_top_m as phase_workingBand_topM, a.rising as phase_risingAirFraction,
+  round(w.speed_ms, 3) as wind_speedMs, round(w.from_deg, 1) as wind_fromDeg, round(w.spread_ms, 3) as wind_spreadMs, unreliable as wind_unreliable, case when e.n is null then null else e.n end as n_estimates,
+  c.n as n_climbs, c.gain as climbs_gain, c.turns as climbs_circles, c.best as climbs_best, a.n as n_legs, a.metres as legs_metres, a.kinds as legs_kinds,
+  p.name as polar_name, matched as polar_matched, round(best_ld, 1) as polar_bestLd, round(best_ld_speed_ms, 2) as polar_bestLdSpeedMs, fixes as quality_fixes, median_interval_s as quality_medianIntervalS, max_gap_s as quality_maxGapS, gaps_over_20s as quality_gapsOver20s, gap_total_s as quality_gapTotalS, coarse as quality_coarse, case when y.k % 4 = 2 then 1 else 0 end as n_warnings
+from sm s join types y using (flight_id) join supplier on s_suppkey = y.k join launch l using (flight_id) join ph using (flight_id) left join tz z on z.flight_id = s.flight_id and z.n >= 2 left join wind w on w.flight_id = s.flight_id join pm p on p.flight_id = s.flight_id
+left join (select flight_id, count(*) as legs, sum(distance_m) as distance_m from tl group by 1) d on d.flight_id = s.flight_id
+left join (select flight_id, count(*) as n from we group by 1) e on e.flight_id = s.flight_id
+left join (select flight_id, count(*) as n, sum(gain_m)::bigint as gain, round(sum(round(circles, 2)), 4) as turns, round(max(round(best_30s_ms, 3)), 4) as best from circles join best using (flight_id, run_id) group by 1) c on c.flight_id = s.flight_id
+left join (select flight_id, count(*) as n, round(sum(round(distance_m, 1)), 3) as metres, string_agg(kind, ',' order by leg) as kinds, round(sum(case when kind <> 'circuit' and frac_rising_air is not null then frac_rising_air * sampled_s end) / sum(case when kind <> 'circuit' and frac_rising_air is not null then sampled_s end), 4) as rising from legs group by 1) a on a.flight_id = s.flight_id""")
+def flight_json_values(spark, sf_dir):
+    """Every scalar of the flight documents, and what their arrays add up to, read back from the JSON text."""
+    made = _once(spark, sf_dir, ("documents",), lambda: kept.stored(flight_json(spark, sf_dir), "documents"))
+    d = made.select("flight_id", F.from_json("document", " ".join(DOCUMENT.split("\n"))).alias("d"))
+    one = [F.col(f"d.{f}").alias(f.replace(".", "_")) for f in FIELDS]
+    total = lambda rows, f, places: F.round(F.aggregate(F.col(f"d.{rows}.{f}"), F.lit(0.0), lambda acc, x: acc + x), places)
+    out = d.select(
+        "flight_id", *one, F.size("d.task.points").alias("n_points"), F.when(F.col("d.task.declared"), F.size("d.task.legs")).alias("n_task_legs"), F.when(F.col("d.wind").isNotNull(), F.size("d.wind.perClimb")).alias("n_estimates"),
+        F.size("d.climbs").alias("n_climbs"), F.aggregate("d.climbs.gainM", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("climbs_gain"), total("climbs", "circles", 4).alias("climbs_circles"), F.round(F.array_max("d.climbs.best30sMs"), 4).alias("climbs_best"),
+        F.size("d.legs").alias("n_legs"), total("legs", "distanceM", 3).alias("legs_metres"), F.array_join("d.legs.kind", ",").alias("legs_kinds"), F.size("d.quality.warnings").alias("n_warnings"),
+    )
+    return out
+
+
 @query("select flight_id, '2024-01-01-g-c' || k || '-igc-analysis' as bundle from types")
 def bundle_names(spark, sf_dir):
     h = parse.headers(log_lines(spark, sf_dir))
