@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,20 @@ def _once(spark: SparkSession, sf_dir: str, what: tuple, make: Callable[[], obje
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived log text, written once like the files it stands for."""
-    return _once(spark, sf_dir, ("lines",), lambda: kept.stored(derived_lines(spark, sf_dir), "lines"))
+    """The derived log text, written once like the files it stands for; again, with all that came of it, if the folder was cleared."""
+    lines = _once(spark, sf_dir, ("lines",), lambda: kept.stored(derived_lines(spark, sf_dir), "lines"))
+    try:
+        lines.limit(1).count()
+    except (PySparkException, Py4JError):
+        for key in [k for k in _KEPT if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+            del _KEPT[key]
+        lines = _once(spark, sf_dir, ("lines",), lambda: kept.stored(derived_lines(spark, sf_dir), "lines"))
+    return lines
 
 
 def debrief(spark: SparkSession, sf_dir: str, **options) -> Debrief:
-    return _once(spark, sf_dir, ("debrief", *sorted(options.items())), lambda: Debrief(log_lines(spark, sf_dir), Options(**options)))
+    lines = log_lines(spark, sf_dir)
+    return _once(spark, sf_dir, ("debrief", *sorted(options.items())), lambda: Debrief(lines, Options(**options)))
 
 
 def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +400,7 @@ left join (select flight_id, count(*) as n, sum(gain_m)::bigint as gain, round(s
 left join (select flight_id, count(*) as n, round(sum(round(distance_m, 1)), 3) as metres, string_agg(kind, ',' order by leg) as kinds, round(sum(case when kind <> 'circuit' and frac_rising_air is not null then frac_rising_air * sampled_s end) / sum(case when kind <> 'circuit' and frac_rising_air is not null then sampled_s end), 4) as rising from legs group by 1) a on a.flight_id = s.flight_id""")
 def flight_json_values(spark, sf_dir):
     """Every scalar of the flight documents, and what their arrays add up to, read back from the JSON text."""
-    made = _once(spark, sf_dir, ("documents",), lambda: kept.stored(flight_json(spark, sf_dir), "documents"))
+    made = kept.stored(flight_json(spark, sf_dir), "documents")
     d = made.select("flight_id", F.from_json("document", " ".join(DOCUMENT.split("\n"))).alias("d"))
     one = [F.col(f"d.{f}").alias(f.replace(".", "_")) for f in FIELDS]
     total = lambda rows, f, places: F.round(F.aggregate(F.col(f"d.{rows}.{f}"), F.lit(0.0), lambda acc, x: acc + x), places)
