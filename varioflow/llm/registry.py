@@ -15,6 +15,7 @@ MODULES = (
     "quality_classifier",
     "url_filter",
     "warc",
+    "secret_scan",
     "run_detection",
 )
 
