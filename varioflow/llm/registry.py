@@ -16,6 +16,7 @@ MODULES = (
     "url_filter",
     "warc",
     "secret_scan",
+    "whitening",
     "run_detection",
 )
 

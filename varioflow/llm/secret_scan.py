@@ -121,12 +121,11 @@ def random_spans(text: str, fixed: list[tuple[int, int, int]], vocabulary, min_c
         start = m.start()
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        free = []
-        for s, e in covered[at:]:
-            if s >= m.end():
-                break
+        free, k = [], at
+        while k < len(covered) and covered[k][0] < m.end():
+            s, e = covered[k]
             free.append((start, s))
-            start = max(start, e)
+            start, k = max(start, e), k + 1
         free.append((start, m.end()))
         for s, e in free:
             x = text[s:e]
