@@ -176,11 +176,68 @@ def test_full_circles_are_cut_on_exact_sums(spark):
 
 
 def test_differences_of_all_kinds(spark):
-    schema = "k string, a int, b string, c double, d array<int>, e int, g int"
-    want = spark.createDataFrame([("f", 1, "x", 1.0, [1, 2], 5, 1), ("m", 1, None, None, [], None, None)], schema)
-    got = spark.createDataFrame([("f", 2, "y", 1.0 + 1e-12, [1], None, "1")], "k string, a int, b string, c double, d array<int>, e int, g string")
-    problems = {(r.k, r.path): r.problem for r in diff.diff_results(want, got, "k", spark.createDataFrame([("m", "a")], "k string, prefix string")).collect()}
-    assert problems == {("f", "a"): "number", ("f", "b"): "string", ("f", "d#"): "length", ("f", "d[1]"): "missing", ("f", "e"): "null", ("f", "g"): "type", ("m", "b"): "missing", ("m", "c"): "missing", ("m", "d#"): "missing", ("m", "e"): "missing", ("m", "g"): "missing"}
+    schema = "k string, a int, b string, c double, d array<int>, e int, g int, h boolean, z double"
+    want = spark.createDataFrame([("f", 1, "x", 1.0, [1, 2], 5, 1, True, float("nan")), ("m", 1, None, None, [], None, None, None, None)], schema)
+    got = spark.createDataFrame([("f", 2, "y", 1.0 + 1e-12, [1], None, "1", False, float("nan")), ("only", 1, "", 1.0, [], 1, "", True, 0.0)], "k string, a int, b string, c double, d array<int>, e int, g string, h boolean, z double")
+    problems = {(r.k, r.path): r.problem for r in diff.diff_results(want, got, "k").collect()}
+    assert problems == {("f", "a"): "number", ("f", "b"): "string", ("f", "d.length"): "length", ("f", "e"): "null", ("f", "g"): "type", ("f", "h"): "string", ("m", "<root>"): "missing"}
+
+
+def _walked(a, b, path=""):
+    """The differences of two plain trees, node by node."""
+    below = lambda name: f"{path}.{name}" if path else name
+    if a is None or b is None:
+        return [] if a is b else [(path, "null")]
+    kind = lambda v: "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else type(v).__name__
+    if kind(a) != kind(b):
+        return [(path, "type")]
+    if isinstance(a, list):
+        return [(f"{path}.length", "length")] if len(a) != len(b) else [x for i, (p, q) in enumerate(zip(a, b)) for x in _walked(p, q, f"{path}[{i}]")]
+    if isinstance(a, dict):
+        return [x for n, v in a.items() for x in (_walked(v, b[n], below(n)) if n in b else [(below(n), "missing")])]
+    if kind(a) == "number":
+        return [(path, "number")] if abs(a - b) / max(1, abs(a), abs(b)) > 1e-9 else []
+    return [(path, "string")] if a != b else []
+
+
+TREE = "w struct<v:double,from:struct<deg:double,note:string>>, legs array<struct<n:int,ends:array<int>,p:struct<x:int>>>, m map<string,array<string>>"
+
+
+def test_a_mismatch_speaks_for_its_subtree(spark):
+    leg = lambda n, ends, x: {"n": n, "ends": ends, "p": None if x is None else {"x": x}}
+    whole = {"w": {"v": 1.0, "from": {"deg": 2.0, "note": "a"}}, "legs": [leg(1, [1, 2], 3), leg(2, [], 4)], "m": {"u": ["s", None], "v": []}}
+    other = [
+        whole,
+        whole | {"w": None},
+        whole | {"w": {"v": 2.0, "from": None}},
+        whole | {"legs": []},
+        whole | {"legs": [leg(9, [1], 3), leg(2, None, None)]},
+        whole | {"legs": [leg(1, [1, 7], None), None]},
+        whole | {"m": {"v": ["extra"]}},
+        whole | {"m": {"u": ["t", "s"], "v": [], "more": ["x"]}},
+    ]
+    kinds = f"k int, {TREE}"
+    row = lambda k, t: (k, t["w"], t["legs"], t["m"])
+    for way in (1, -1):
+        pairs = [(whole, o)[::way] for o in other]
+        want = spark.createDataFrame([row(k, a) for k, (a, _) in enumerate(pairs)], kinds)
+        got = spark.createDataFrame([row(k, b) for k, (_, b) in enumerate(pairs)], kinds)
+        found = {(r.k, r.path, r.problem) for r in diff.diff_results(want, got, "k").collect()}
+        assert found == {(k, p, what) for k, (a, b) in enumerate(pairs) for p, what in _walked(a, b)}
+    # a field that the actual side's type lacks
+    lacking = spark.createDataFrame([(0, {"v": 1.0}, [(1,), (2,)])], "k int, w struct<v:double>, legs array<struct<n:int>>")
+    found = {(r.path, r.problem, r.expected) for r in diff.diff_results(spark.createDataFrame([row(0, whole)], kinds), lacking, "k").collect()}
+    assert found == {("w.from", "missing", "object"), ("m", "missing", "object")} | {(f"legs[{i}].{n}", "missing", what) for i, size in ((0, "2.0"), (1, "0.0")) for n, what in (("ends", size), ("p", "object"))}
+
+
+def test_allowed_paths_hold_for_all_beneath(spark):
+    want = spark.createDataFrame([(k, [(1, [1]), (2, [2])], 1, 1) for k in range(4)], "k int, legs array<struct<n:int,ends:array<int>>>, leg int, legs2 int")
+    got = spark.createDataFrame([(k, [(3, [3]), (4, [4])], 2, 2) for k in range(3)], want.schema)
+    allow = spark.createDataFrame([(0, "legs"), (1, "legs[].ends"), (2, "legs[].ends[1]"), (3, "legs")], "k int, path string")
+    found = {(r.k, r.path) for r in diff.diff_results(want, got, "k", allow).collect()}
+    both = lambda k: {(k, "leg"), (k, "legs2")}
+    every = {(2, f"legs[{i}].{x}") for i in range(2) for x in ("n", "ends[0]")}
+    assert found == both(0) | both(1) | both(2) | {(1, "legs[0].n"), (1, "legs[1].n")} | every | {(3, "<root>")}
 
 
 def test_lookups(spark):

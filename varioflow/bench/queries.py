@@ -490,22 +490,50 @@ def whole_legs(spark, sf_dir):
     return rounded(debrief(spark, sf_dir, split_circuit=False).legs.select("flight_id", "leg", "start", "end", "duration_s", "dh_m", "alt_start_m", "alt_end_m", "sampled_s", "kind", "distance_m", "ld_over_ground", "mean_ias_kmh", "mean_airmass_ms"))
 
 
-@query("""
-select flight_id, path, case when k % 5 = 0 then 'missing' when path = 'circling_s' then 'number' when path = 'character' and k % 5 = 2 then 'null' when path = 'character' then 'string' when path = 'band_top_m' then 'type' when path = 'climbs#' then 'length' else 'missing' end as problem
-from (select *, unnest(['circling_s', 'character', 'band_top_m', 'climbs#', 'climbs[0]', 'climbs[1]', 'climbs[2]', 'climbs[3]', 'climbs[4]']) as path
-  from (select ph.flight_id, substr(ph.flight_id, 2)::bigint as k, circling_s, (select count(*) from cr where cr.flight_id = ph.flight_id) as n from ph)) where (path not like 'climbs[%' or path[8]::bigint < n) and (k % 5 = 0 or (path = 'circling_s' and k % 5 = 1) or (path = 'character' and k % 5 in (2, 3)) or (path = 'band_top_m' and n > 0) or (k % 5 = 4 and n > 0 and (path = 'climbs#' or path = 'climbs[' || (n - 1) || ']')))
-  and not (k % 2 = 0 and path = 'band_top_m')""")
+# what the walk finds, listed fault by fault: (when it stands, path, problem)
+FAULTS = """
+with {chain}, f as (
+  select ph.flight_id, substr(ph.flight_id, 2)::bigint as k, circling_s / soaring_s > 0.35 as thermal, band_top_m is not null as banded, list(run_id order by run_id) filter (where run_id is not null) as runs, count(run_id) as n
+  from ph left join cr using (flight_id) group by all
+), c as (select *, unnest(range(0, n)) as i from f)
+select flight_id, '<root>' as path, 'missing' as problem from f where k % 9 = 0
+union all select flight_id, 'circling_s', 'number' from f where k % 9 = 1
+union all select flight_id, 'character', 'null' from f where k % 9 = 2
+union all select flight_id, 'character', 'string' from f where k % 9 = 3
+union all select flight_id, 'climbs.length', 'length' from f where k % 9 = 4 and n > 0
+union all select flight_id, 'band', 'null' from f where k % 9 = 5 and banded
+union all select flight_id, 'climbs[' || i || '].span.gain', 'number' from c where k % 9 = 6 and i % 2 = 0
+union all select flight_id, 'climbs[' || i || '].span', 'null' from c where k % 9 = 7 and i = n - 1
+union all select flight_id, 'band.top', 'type' from f where k % 9 not in (0, 5) and banded and k % 2 = 1
+union all select flight_id, 'climbs[' || i || '].run', 'missing' from c where not (k % 9 = 0 or k % 9 = 4)
+"""
+
+
+@query()
 def result_differences(spark, sf_dir):
-    """The phases against a copy with one fault of each kind; the band may differ on every second flight."""
+    """The phases as trees against a copy with a fault of each kind; the band may differ on every second flight."""
     d = debrief(spark, sf_dir)
-    own = d.climb_runs.groupBy("flight_id").agg(F.sort_array(F.collect_list("a")).alias("climbs"))
-    k = F.substring("flight_id", 2, 20).cast("long")
-    right = d.phase.join(own, "flight_id", "left").select("flight_id", "circling_s", phase.flight_character(F.col("circling_fraction")).alias("character"), "band_top_m", F.coalesce("climbs", F.expr("cast(array() as array<bigint>)")).alias("climbs"))
+    climb = F.struct("run_id", F.struct(F.col("run_id").alias("run"), F.struct(F.col("t_a").alias("start"), (F.col("alt_b") - F.col("alt_a")).alias("gain")).alias("span")).alias("climb"))
+    own = d.climb_runs.groupBy("flight_id").agg(F.transform(F.sort_array(F.collect_list(climb)), lambda x: x["climb"]).alias("climbs"))
+    none = F.array().cast(own.schema["climbs"].dataType)
+    band = F.when(F.col("band_top_m").isNotNull(), F.struct(F.col("band_bottom_m").alias("bottom"), F.col("band_top_m").alias("top")))
+    right = d.phase.join(own, "flight_id", "left").select("flight_id", "circling_s", phase.flight_character(F.col("circling_fraction")).alias("character"), band.alias("band"), F.coalesce("climbs", none).alias("climbs"))
     expected = kept.stored(right, "expected")
-    shorter = F.slice("climbs", F.lit(1), F.greatest(F.size("climbs") - 1, F.lit(0)))
-    actual = expected.where(k % 5 != 0).select(
-        "flight_id", F.when(k % 5 == 1, F.col("circling_s") + 1).otherwise(F.col("circling_s")).alias("circling_s"), F.when(k % 5 == 3, "none").when(k % 5 != 2, F.col("character")).alias("character"),
-        F.col("band_top_m").cast("string").alias("band_top_m"), F.when(k % 5 == 4, shorter).otherwise(F.col("climbs")).alias("climbs"), F.lit(1).alias("only_here"),
+    k = F.substring("flight_id", 2, 20).cast("long")
+    fault, n = k % 9, F.size("climbs")
+
+    def span(c, i):
+        gain = c["span"]["gain"] + F.when((fault == 6) & (i % 2 == 0), 1).otherwise(0)
+        return F.struct(F.when(~((fault == 7) & (i == n - 1)), F.struct(c["span"]["start"].alias("start"), gain.alias("gain"))).alias("span"))
+
+    climbs = F.transform(F.slice("climbs", F.lit(1), F.greatest(n - F.when(fault == 4, 1).otherwise(0), F.lit(0))), span)
+    actual = expected.where(fault != 0).select(
+        "flight_id", F.when(fault == 1, F.col("circling_s") + 1).otherwise(F.col("circling_s")).alias("circling_s"), F.when(fault == 3, "none").when(fault != 2, F.col("character")).alias("character"),
+        F.when((fault != 5) & F.col("band").isNotNull(), F.struct(F.col("band.bottom").alias("bottom"), F.col("band.top").cast("string").alias("top"))).alias("band"), climbs.alias("climbs"), F.lit(1).alias("only_here"),
     )
-    allow = expected.where(k % 2 == 0).select("flight_id", F.lit("band").alias("prefix"))
+    allow = expected.where(k % 2 == 0).select("flight_id", F.lit("band.top").alias("path"))
     return diff.diff_results(expected, actual, "flight_id", allow).select("flight_id", "path", "problem")
+
+
+_chain = sql("select 1 from ph, cr")
+ORACLES["result_differences"] = FAULTS.format(chain=_chain[len("with ") : _chain.rindex("\nselect")])
