@@ -1,6 +1,9 @@
 """Unit inputs of the flight operators."""
 
+import hashlib
 import json
+import math
+import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -8,7 +11,8 @@ from pyspark.sql import functions as F
 
 from varioflow.functions import geo, units
 from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, segments, task
-from varioflow.plans import debrief
+from varioflow.bench import queries
+from varioflow.plans import debrief, sinks
 from varioflow.sources import kept, logs
 
 B = "B1508535143108N00250575WA0000000220"
@@ -167,12 +171,44 @@ def test_circuit_entry(spark, heights, landed, want):
     assert legs.circuit_entry(kin, summary).first().entry == want
 
 
-def test_full_circles_are_cut_on_exact_sums(spark):
-    # 36 turns of ten degrees are one circle, whatever the floats add up to
-    rows = [("f", 0, k, k, 100 + k, float(k), 0.0, 10.0 if k % 2 else 9.9999999999) for k in range(80)]
-    fixes = spark.createDataFrame(rows, "flight_id string, run_id int, idx long, t long, alt int, x double, y double, dtrk double")
-    out = climbs.circles_and_best(fixes, spark.createDataFrame([("f", 0)], "flight_id string, run_id int")).first()
-    assert [(c.start, c.duration_s) for c in out.per_circle] == [(0, 36), (36, 36)] and out.best_30s_ms == 1.0
+def _climb(rows):
+    """Full circles and best rate of (t, alt, x, y, dtrk) rows, step by step."""
+    circles, turned, start = [], 0, 0
+    for i, row in enumerate(rows[:-1]):
+        turned += 0 if row[4] is None else math.floor(row[4] * 1e9 + 0.5)
+        if abs(turned) >= 360_000_000_000:
+            own = rows[start : i + 2]
+            took, gain = own[-1][0] - own[0][0], own[-1][1] - own[0][1]
+            circles.append((len(circles) + 1, own[0][0], took, gain, gain / took if took else 0.0, *[sum(r[c] for r in own) / len(own) for c in (2, 3, 0)], own[0][1]))
+            turned, start = 0, i + 1
+    rates = []
+    for t, alt, *_ in rows:
+        end = next((r for r in rows if r[0] >= t + 30), rows[-1])
+        if end[0] - t >= 24:
+            rates.append((end[1] - alt) / (end[0] - t))
+    return circles, max(rates, default=None)
+
+
+def test_circles_and_best_rate_against_a_plain_walk(spark):
+    rng = random.Random(6)
+    flights = {"exact": [(k, 100 + k, float(k), 0.0, 10.0 if k % 2 else 9.9999999999) for k in range(80)], "short": [(0, 5, 0.0, 0.0, None), (3, 9, 1.0, 1.0, 400.0)]}
+    for n in range(12):
+        t, rows = 0, []
+        for _ in range(rng.randrange(2, 200)):
+            t += rng.choice([0, 1, 1, 2, 4, 29, 31])
+            rows.append((t, rng.randrange(100, 200), rng.random(), rng.random(), rng.choice([None, 18.01, -17.3, 90.0, 359.0, 19.35])))
+        flights[f"f{n}"] = rows
+    rows = [(f, 3, k, t, a, x, y, d) for f, own in flights.items() for k, (t, a, x, y, d) in enumerate(own)]
+    fixes = spark.createDataFrame(rows, "flight_id string, run_id int, idx long, t long, alt int, x double, y double, dtrk double").repartition(3)
+    asked = spark.createDataFrame([(f, 3) for f in flights], "flight_id string, run_id int")
+    found = climbs.full_circles(fixes, asked).join(climbs.best_rate(fixes, asked), ["flight_id", "run_id"])
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.flight_id: r for r in found.collect()}
+    assert got.keys() == flights.keys()
+    for f, own in flights.items():
+        circles, best = _climb(own)
+        assert [tuple(c) for c in got[f].per_circle] == [pytest.approx(c) for c in circles]
+        assert got[f].best_30s_ms == (None if best is None else pytest.approx(best))
 
 
 def test_differences_of_all_kinds(spark):
@@ -246,6 +282,117 @@ def test_lookups(spark):
     assert {r.query_id: r.idx for r in lookup.fix_at(fixes, asked).collect()} == {1: 0, 2: 1, 3: 2, 4: 4}
 
 
+def test_overlaps_are_counted_without_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("fg"), *sorted((rng.randrange(40), rng.randrange(40)))) for _ in range(200)] + [("f", None, 3), ("g", 3, None)]
+    spans = [(rng.choice("fgh"), k, rng.randrange(-2, 42), rng.randrange(-2, 42)) for k in range(120)] + [("f", 200, None, 4)]
+    found = lookup.span_counts(spark.createDataFrame(rows, "flight_id string, start long, end long"), spark.createDataFrame(spans, "flight_id string, span_id long, span_start long, span_end long"))
+    touch = lambda f, a, b: 0 if a is None else sum(g == f and s is not None and e is not None and e >= min(a, b) and s <= max(a, b) for g, s, e in rows)
+    assert sorted((r.flight_id, r.span_id, r.n) for r in found.collect()) == sorted((f, k, touch(f, a, b)) for f, k, a, b in spans)
+
+
+def test_ranges_pair_only_their_own_fixes(spark):
+    fixes = spark.createDataFrame([("f", k, 10 * k, k) for k in range(50)] + [("g", 0, 7, 1)], "flight_id string, idx long, t long, alt int")
+    spans = spark.createDataFrame([("f", 1, 95, 131), ("f", 2, 480, 900), ("g", 3, 0, 1), ("f", 4, 20, 10)], "flight_id string, span_id long, span_start long, span_end long")
+    found = lookup.highlight_range(fixes, spans)
+    assert sorted((r.span_id, r.idx) for r in found.collect()) == sorted([(1, k) for k in range(10, 15)] + [(2, 48), (2, 49), (3, 0), (4, 1), (4, 2)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" not in plan.split("Join", 1)[0] and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_meet_types_by_equality(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ab-1 ") for _ in range(n))
+    entry = lambda k, keys: (f"G{k}", keys, (30.0, 90.0, 0.7), [[60.0, 0.7], [90.0, 0.8], [135.0, 1.5]], k, False)
+    entries = [entry(k, [word(rng.randrange(1, 6)) for _ in range(3)]) for k in range(60)] + [entry(1 << 20, []), ("any", [], (30.0, 90.0, 0.7), [[60.0, 0.7], [90.0, 0.8], [135.0, 1.5]], 1 << 30, True)]
+    table = spark.createDataFrame(entries, f"name string, match array<string>, published {polars.PUBLISHED}, points array<array<double>>, db_order long, is_default boolean")
+    types = [(k, word(rng.randrange(0, 30))) for k in range(150)] + [(500, None), (501, "")]
+    forces = {k: rng.choice([word(rng.randrange(1, 5)).strip() or "a", f"g{k}", "none", None]) for k, _ in types}
+    squash = lambda s: s.lower().replace("-", "").replace(" ", "")
+
+    def matched(kind):
+        hits = [(-len(squash(m)), e[4], e[0]) for e in entries[:-1] for m in e[1] if kind is not None and squash(m) in squash(kind)]
+        return min(hits)[2] if hits else "any"
+
+    def forced(k, kind):
+        if forces[k] == "none":
+            return None
+        hits = [(e[4], e[0]) for e in entries[:-1] if forces[k] and any(forces[k].lower() in part for part in (e[0].lower(), *e[1]))]
+        return min(hits)[1] if hits else matched(kind)
+
+    df = spark.createDataFrame(types, "flight_id int, glider_type string")
+    found = polars.match_polars(df, table)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.flight_id: r.name for r in found.collect()} == {k: matched(t) for k, t in types}
+    asked = spark.createDataFrame([(k, None, f) for k, f in forces.items()], "flight_id int, custom array<array<double>>, force string")
+    found = polars.match_polars(df, table, asked)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.flight_id: r.name for r in found.collect()} == {k: forced(k, t) for k, t in types}
+
+
+def test_degenerate_points_are_a_violation(spark):
+    entry = ("G", ["g"], (30.0, 90.0, 0.7), [[60.0, 0.7], [90.0, 0.8]], 0, False)
+    table = spark.createDataFrame([entry], f"name string, match array<string>, published {polars.PUBLISHED}, points array<array<double>>, db_order long, is_default boolean")
+    assert "degenerate" in {r.rule for r in polars.violations(table).collect()}
+
+
+def test_tables_by_date(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{k % 40}", k // 40, k) for k in range(4000)], "flight_id string, t long, v int").repartition(5)
+    dates = spark.createDataFrame([(f"f{k}", None if k % 10 == 9 else f"2024-0{1 + k % 4}-01") for k in range(40)], "flight_id string, date string")
+    path = str(tmp_path / "out")
+    read = lambda: {(r.corpus, str(r.date), r.flight_id, r.n) for r in sinks.read_by_date(spark, path).groupBy("corpus", "date", "flight_id").agg(F.count("*").alias("n")).collect()}
+    whole = {("a", str(r.date), r.flight_id, 100) for r in dates.collect()}
+    for _ in range(2):
+        sinks.write_by_date(rows, dates, path, "a", max_records=300)
+        assert read() == whole
+    sinks.write_by_date(rows.where("flight_id = 'f0'"), dates, path, "b")
+    assert read() == whole | {("b", "2024-01-01", "f0", 100)}
+    some = dates.where("date = '2024-02-01' and flight_id <> 'f1'")
+    sinks.write_by_date(rows.join(some, "flight_id", "left_semi"), some, path, "a")
+    assert read() == {r for r in whole if r[2] != "f1"} | {("b", "2024-01-01", "f0", 100)}
+    sinks.write_by_date(rows.join(some, "flight_id", "left_semi"), some, path, "a", whole=True)
+    assert {r[1] for r in read() if r[0] == "a"} == {"2024-02-01"}
+    sinks.write_by_date(rows, dates, path, "a", max_records=300)
+    counts = sinks.read_by_date(spark, path).where("corpus = 'a'").groupBy(F.col("_metadata.file_path")).count().collect()
+    assert max(r["count"] for r in counts) <= 300
+
+
+def test_bundles_of_one_name_both_come_back(spark, tmp_path):
+    docs = spark.createDataFrame([("f1", "flight-igc-analysis", "{1}"), ("f2", "flight-igc-analysis", "{2}"), ("f3", "x-igc-analysis", '{"é": 3}')], "flight_id string, bundle string, document string")
+    path = str(tmp_path / "bundles")
+    for _ in range(2):
+        sinks.write_bundles(docs, path)
+    got = {r.bundle: r.document for r in sinks.read_bundles(spark, path).collect()}
+    shared = lambda f: "flight-igc-analysis-" + hashlib.md5(f.encode()).hexdigest()
+    assert got == {shared("f1"): "{1}", shared("f2"): "{2}", "x-igc-analysis": '{"é": 3}'}
+
+
+def test_width_follows_the_bytes(spark):
+    texts = spark.range(1000).select(F.repeat(F.lit("x"), 100).alias("line"))
+    assert kept.width_for(texts, "line") == kept.shuffle_width(spark)
+    assert kept.width_for(texts, "line", per_bucket=1000) == 100
+    assert kept.width_for(texts.limit(0), "line") == kept.shuffle_width(spark)
+
+
+def test_a_closed_debrief_leaves_nothing(spark):
+    with debrief.Debrief(lines(spark, B)) as d:
+        assert d.legs.count() == 0 and d.kept.tables
+        folder, tables = d.kept.folder, list(d.kept.tables)
+        assert kept.present(spark, folder)
+    assert not kept.present(spark, folder) and not any(spark.catalog.tableExists(t) for t in tables)
+
+
+def test_a_replaced_table_gets_its_own_answer(spark, tmp_path):
+    table = lambda n: spark.createDataFrame([(k, f"S{k}") for k in range(n)], "s_suppkey long, s_name string")
+    headers = lambda: {r.pilot for r in queries.log_headers(spark, str(tmp_path)).collect()}
+    table(4).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert headers() == {f"S{k}" for k in range(4)}
+    text = queries.log_lines(spark, str(tmp_path)).inputFiles()
+    assert queries.log_lines(spark, str(tmp_path)).inputFiles() == text
+    table(2).write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+    assert headers() == {"S0", "S1"}
+
+
 def test_motion_is_planned_once(spark):
     d = debrief.Debrief(lines(spark, B))
     assert d.legs.count() == 0

@@ -5,14 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import climbs as C
 from ..operators import diff, kinematics, launch, links, lookup, parse, phase, polars, task
+from ..plans import sinks
 from ..sources import kept, logs
 from ..plans.debrief import Debrief, Options
 from ..plans.export import bundle_name, flight_documents
@@ -41,33 +40,33 @@ def rounded(df: DataFrame, places: int = 5) -> DataFrame:
     return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-#: The tables that the queries of one session share: its log text, and the results on it.
-_KEPT: dict[tuple, object] = {}
+#: Folders of log text by session and by the files it was made from.
+_TEXTS: dict[tuple, str] = {}
+LINES = "flight_id string, source string, line_no int, line string"
 
 
-def _once(spark: SparkSession, sf_dir: str, what: tuple, make: Callable[[], object]):
-    """Made once a session: the log text stands for files that lie there before any query, and one debrief answers many."""
-    key = (spark.sparkContext.applicationId, sf_dir, *what)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+def _files_of(spark: SparkSession, path: str) -> tuple:
+    """What tells a table's files from others: how many, and a digest of their names, sizes and times."""
+    files = spark.read.format("binaryFile").load(path)
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived log text, written once like the files it stands for; again, with all that came of it, if the folder was cleared."""
-    lines = _once(spark, sf_dir, ("lines",), lambda: kept.stored(derived_lines(spark, sf_dir), "lines"))
-    try:
-        lines.limit(1).count()
-    except (PySparkException, Py4JError):
-        for key in [k for k in _KEPT if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
-            del _KEPT[key]
-        lines = _once(spark, sf_dir, ("lines",), lambda: kept.stored(derived_lines(spark, sf_dir), "lines"))
-    return lines
+    """The derived log text, written once a session like the files it stands for.
+
+    It is made anew if the table it comes from has other files, or its own folder is gone.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, _files_of(spark, f"{sf_dir}/supplier.parquet"))
+    if key not in _TEXTS or not kept.present(spark, f"{_TEXTS[key]}/_SUCCESS"):
+        path = f"{kept.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        derived_lines(spark, sf_dir).write.parquet(path)
+        _TEXTS[key] = path
+    return spark.read.schema(LINES).parquet(_TEXTS[key])
 
 
 def debrief(spark: SparkSession, sf_dir: str, **options) -> Debrief:
-    lines = log_lines(spark, sf_dir)
-    return _once(spark, sf_dir, ("debrief", *sorted(options.items())), lambda: Debrief(lines, Options(**options)))
+    """Every query works its results out from the log text."""
+    return Debrief(log_lines(spark, sf_dir), Options(**options))
 
 
 def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +288,57 @@ def polar_overrides(spark, sf_dir):
     return polars.match_polars(types, polars.bundled(spark), asked).select("flight_id", "name", "matched")
 
 
+# an entry per supplier, some with a fault: another least sink, two points, points of another glide, a glide beyond the known
+ENTRIES = """
+e0 as (select s_suppkey::bigint as k, s_name, case when s_suppkey % 7 = 4 then 80e0 else 25e0 + s_suppkey % 30 end as ld, 80e0 + (s_suppkey * 7) % 50 as kmh from supplier),
+e1 as (select *, kmh / 3.6e0 as v, round(0.875e0 * (kmh / 3.6e0) / ld, 3) * case when k % 7 = 1 then 1.3e0 else 1e0 end as sink, case when k % 7 = 3 then ld + 5 else ld end as pld from e0),
+e2 as (select *, v / pld / 0.5e0 as ca, floor(kmh * 0.75e0 + 0.5e0) as v0, floor(kmh + 0.5e0) as v1, floor(kmh * 1.5e0 + 0.5e0) as v2 from e1),
+e3 as (select *, round(ca - 1.5e0 * ca / v * (v0 / 3.6e0) + ca / (v * v) * (v0 / 3.6e0) * (v0 / 3.6e0), 3) as s0, round(ca - 1.5e0 * ca / v * (v1 / 3.6e0) + ca / (v * v) * (v1 / 3.6e0) * (v1 / 3.6e0), 3) as s1, round(ca - 1.5e0 * ca / v * (v2 / 3.6e0) + ca / (v * v) * (v2 / 3.6e0) * (v2 / 3.6e0), 3) as s2 from e2)
+"""
+
+
+def _polar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polar databases of up to a thousand entries, written as files and read."""
+    k = F.col("s_suppkey").cast("long")
+    kmh = (F.lit(80.0) + (k * 7) % 50).alias("best_ld_kmh")
+    ld = F.when(k % 7 == 4, 80.0).otherwise(F.lit(25.0) + k % 30)
+    sink = F.round(F.lit(0.875) * (kmh / 3.6) / ld, 3) * F.when(k % 7 == 1, 1.3).otherwise(1.0)
+    e = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("k"), F.col("s_name").alias("name"), F.struct(ld.alias("best_ld"), kmh, sink.alias("min_sink_ms")).alias("published"))
+    other = F.struct((F.col("published.best_ld") + F.when(F.col("k") % 7 == 3, 5).otherwise(0)).alias("best_ld"), "published.best_ld_kmh", "published.min_sink_ms")
+    e = e.withColumn("points", polars.derived_points(other)).withColumn("points", F.when(F.col("k") % 7 == 2, F.slice("points", 1, 2)).otherwise(F.col("points")))
+    entry = F.struct("k", F.struct("name", F.array(F.lower("name"), F.concat(F.lit("k-"), "k")).alias("match"), "published", "points").alias("e"))
+    each = e.groupBy(F.floor(F.col("k") / 1000).alias("block")).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("gliders"))
+    any_ = F.element_at("gliders", 1).withField("name", F.concat(F.lit("any "), "block")).withField("match", F.array().cast("array<string>"))
+    path = f"{kept.shared_dir(spark)}/polars-{uuid.uuid4().hex}"
+    each.select("block", F.to_json(F.struct("gliders", any_.alias("default"))).alias("value")).repartition("block").write.partitionBy("block").text(path)
+    return logs.read_polars(spark, path)
+
+
+@query("with " + ENTRIES + """
+select s_name as name, 2 as keys, ld as best_ld, kmh as best_ld_kmh, round(sink, 6) as min_sink_ms, case when k % 7 = 2 then 2 else 3 end as n, round(v0 + v1 + case when k % 7 = 2 then 0 else v2 end, 3) as speeds, round(s0 + s1 + case when k % 7 = 2 then 0 else s2 end, 3) as sinks,
+  row_number() over (partition by k // 1000 order by k) - 1 as db_order, false as is_default from e3
+union all select 'any ' || (k // 1000), 0, ld, kmh, round(sink, 6), case when k % 7 = 2 then 2 else 3 end, round(v0 + v1 + case when k % 7 = 2 then 0 else v2 end, 3), round(s0 + s1 + case when k % 7 = 2 then 0 else s2 end, 3), 1 << 30, true
+from e3 where k in (select min(k) from e3 group by k // 1000)""")
+def polar_files(spark, sf_dir):
+    """Entries of polar databases as read from their files."""
+    p = _polar_files(spark, sf_dir)
+    total = lambda c: F.round(F.aggregate("points", F.lit(0.0), lambda acc, x: acc + x[c]), 3)
+    return p.select("name", F.size("match").alias("keys"), "published.best_ld", "published.best_ld_kmh", F.round("published.min_sink_ms", 6).alias("min_sink_ms"), F.size("points").alias("n"), total(0).alias("speeds"), total(1).alias("sinks"), F.col("db_order").cast("long").alias("db_order"), "is_default")
+
+
+@query("with " + ENTRIES + f""", g as (select unnest([{', '.join(map(repr, polars.GRID))}])::double as u),
+e4 as (select *, ((s2 - s1) / ((v2 - v1) / 3.6e0) - (s1 - s0) / ((v1 - v0) / 3.6e0)) / ((v2 - v0) / 3.6e0) as c2 from e3),
+e5 as (select *, (s1 - s0) / ((v1 - v0) / 3.6e0) - c2 * (v0 + v1) / 3.6e0 as c1 from e4),
+e6 as (select *, s0 - c1 * v0 / 3.6e0 - c2 * (v0 / 3.6e0) * (v0 / 3.6e0) as c0 from e5),
+b as (select k, max(case when c0 + c1 * u + c2 * u * u > 0 then u / (c0 + c1 * u + c2 * u * u) end) as got, arg_max(u, case when c0 + c1 * u + c2 * u * u > 0 then u / (c0 + c1 * u + c2 * u * u) end) as at from e6, g group by k)
+select s_name as name, rule from e6 join b using (k), lateral (values
+  ('degenerate', k % 7 = 2), ('best_ld', k % 7 = 2 or abs(got - ld) >= 0.3), ('best_ld_speed', k % 7 = 2 or abs(at * 3.6e0 - kmh) >= 3), ('min_sink', k % 7 = 2 or abs((c0 - c1 * c1 / (4 * c2)) / sink - 1) >= 0.15),
+  ('points', k % 7 = 2 or k % 7 = 3), ('published_ld', ld <= 15 or ld >= 75)) x(rule, broken) where broken""")
+def polar_violations(spark, sf_dir):
+    """Entries of the read databases that do not fit what is published of them."""
+    return polars.violations(_polar_files(spark, sf_dir).where("not is_default"))
+
+
 @query("select flight_id, entry, entry_t, entry_alt from entry")
 def circuit_entries(spark, sf_dir):
     return debrief(spark, sf_dir).entry
@@ -367,15 +417,17 @@ def flight_json(spark, sf_dir):
 
 #: What is read back from the documents: SQL type of the JSON, then each column from it.
 DOCUMENT = """
-schemaVersion int, source struct<altitudeSource:string,gps:string,loggerId:string>,
-flight struct<date:string,glider:struct<type:string,registration:string,competitionId:string>,pilot:string,startTime:string,endInstant:string,durationS:bigint,trackDistanceM:double,maxAltitudeM:int,landed:boolean>,
-launch struct<takeoffTime:string,releaseTime:string,type:string,releaseConfident:boolean>,
-task struct<declared:boolean,shape:string,closed:boolean,distanceM:double,turnpoints:int,points:array<struct<name:string>>,legs:array<struct<distanceM:double>>>,
+schemaVersion int, generator struct<name:string,url:string,generatedAt:string>, figures struct<trace:string,barogram:string,renderedUnits:string,barogramHeightUnit:string>, source struct<filename:string,altitudeSource:string,gps:string,loggerId:string,logger:string>,
+flight struct<date:string,glider:struct<type:string,registration:string,competitionId:string>,pilot:string,crew2:string,startTime:string,endTime:string,startInstant:string,endInstant:string,durationS:bigint,trackDistanceM:double,maxAltitudeM:int,landed:boolean>,
+launch struct<takeoffTime:string,releaseTime:string,type:string,note:string,releaseConfident:boolean>,
+task struct<declared:boolean,shape:string,closed:boolean,distanceM:double,turnpoints:int,points:array<struct<name:string,lat:double,lon:double,role:string>>,legs:array<struct<from:string,to:string,distanceM:double,bearingDeg:double>>,takeoff:struct<name:string,lat:double,lon:double>,landing:struct<name:string,lat:double,lon:double>,declaration:struct<description:string,declaredDate:string,declaredTime:string,turnpoints:int>>,
 phase struct<circlingS:bigint,straightS:bigint,soaringS:bigint,circlingFraction:double,gainCirclingM:bigint,meanCirclingRateMs:double,workingBand:struct<bottomM:int,topM:int>,risingAirFraction:double>,
 wind struct<speedMs:double,fromDeg:double,spreadMs:double,unreliable:boolean,perClimb:array<struct<circles:double>>>,
 climbs array<struct<gainM:int,circles:double,best30sMs:double,perCircle:array<struct<altM:int>>>>, legs array<struct<kind:string,distanceM:double>>,
-polar struct<name:string,matched:boolean,bestLd:double,bestLdSpeedMs:double>, quality struct<fixes:bigint,medianIntervalS:double,maxGapS:bigint,gapsOver20s:bigint,gapTotalS:bigint,coarse:boolean,warnings:array<string>>"""
+polar struct<name:string,note:string,matched:boolean,bestLd:double,bestLdSpeedMs:double>, quality struct<fixes:bigint,medianIntervalS:double,maxGapS:bigint,gapsOver20s:bigint,gapTotalS:bigint,coarse:boolean,warnings:array<string>>"""
 FIELDS = [
+    "schemaVersion", "generator.name", "generator.url", "generator.generatedAt", "figures.trace", "figures.barogram", "figures.renderedUnits", "figures.barogramHeightUnit", "source.filename", "source.logger", "flight.glider.competitionId", "flight.crew2", "flight.endTime", "flight.startInstant", "launch.note", "polar.note",
+    "task.takeoff.name", "task.takeoff.lat", "task.takeoff.lon", "task.landing.name", "task.landing.lat", "task.landing.lon", "task.declaration.description", "task.declaration.declaredDate", "task.declaration.declaredTime", "task.declaration.turnpoints",
     "source.altitudeSource", "source.gps", "source.loggerId", "flight.date", "flight.glider.type", "flight.glider.registration", "flight.pilot", "flight.startTime", "flight.endInstant", "flight.durationS", "flight.trackDistanceM", "flight.maxAltitudeM", "flight.landed",
     "launch.takeoffTime", "launch.releaseTime", "launch.type", "launch.releaseConfident", "task.declared", "task.shape", "task.closed", "task.distanceM", "task.turnpoints",
     "phase.circlingS", "phase.straightS", "phase.soaringS", "phase.circlingFraction", "phase.gainCirclingM", "phase.meanCirclingRateMs", "phase.workingBand.bottomM", "phase.workingBand.topM", "phase.risingAirFraction",
@@ -384,7 +436,15 @@ FIELDS = [
 
 
 @query("""
-select s.flight_id, altitude_source as source_altitudeSource, case when y.k % 2 = 0 then 'receiver' end as source_gps, 'XYZ' || y.k as source_loggerId, '2024-01-01' as flight_date, y.glider_type as flight_glider_type, 'G-C' || y.k as flight_glider_registration, s_name as flight_pilot,
+select s.flight_id, 1 as schemaVersion, 'varioflow' as generator_name, null::varchar as generator_url, '2024-01-02T00:00:00Z' as generator_generatedAt, 'trace.svg' as figures_trace, 'barogram.svg' as figures_barogram, 'imperial' as figures_renderedUnits, 'ft' as figures_barogramHeightUnit, null::varchar as source_filename, null::varchar as source_logger, null::varchar as flight_glider_competitionId, null::varchar as flight_crew2,
+  strftime(make_timestamp((s."end" % 86400) * 1000000), '%H:%M:%SZ') as flight_endTime, strftime(timestamp '2024-01-01' + to_seconds(s.start), '%Y-%m-%dT%H:%M:%SZ') as flight_startInstant,
+  'initial climb ' || round(l.gain * 3.280840e0)::bigint || ' ft in ' || (l.dur // 60) || 'm' || lpad((l.dur % 60)::varchar, 2, '0') || 's at ' || round(l.mspd)::bigint || ' km/h mean ground speed' as launch_note,
+  case when matched then 'polar matched to ' || p.name || ' from the glider-type header' else 'no polar match for ' || coalesce('''' || y.glider_type || '''', 'None') || '; using a generic 38:1 glass single-seater - treat airmass figures as indicative only' end as polar_note,
+  case when y.k % 3 = 2 then 'TAKE OFF' end as task_takeoff_name, (select lat from points q where q.flight_id = s.flight_id and role = 'takeoff') as task_takeoff_lat, (select lon from points q where q.flight_id = s.flight_id and role = 'takeoff') as task_takeoff_lon,
+  case when y.k % 3 = 2 then 'LANDING' end as task_landing_name, (select lat from points q where q.flight_id = s.flight_id and role = 'landing') as task_landing_lat, (select lon from points q where q.flight_id = s.flight_id and role = 'landing') as task_landing_lon,
+  case when y.k % 3 <> 0 then 'TASK ' || y.k end as task_declaration_description, case when y.k % 3 <> 0 then '2024-01-01' end as task_declaration_declaredDate, case when y.k % 3 <> 0 then '09:30:00Z' end as task_declaration_declaredTime, case when y.k % 3 = 1 then (y.k % 4 + 1)::integer end as task_declaration_turnpoints,
+  (select string_agg(name || ':' || role || ':' || (lat * 60000)::bigint || ':' || (lon * 60000)::bigint, ',' order by seq) from sc q where q.flight_id = s.flight_id) as task_points, (select string_agg("from" || '>' || "to", ',' order by leg) from tl q where q.flight_id = s.flight_id) as task_legs, (select round(sum(round(bearing_deg, 1)), 3) from tl q where q.flight_id = s.flight_id) as task_bearings,
+  altitude_source as source_altitudeSource, case when y.k % 2 = 0 then 'receiver' end as source_gps, 'XYZ' || y.k as source_loggerId, '2024-01-01' as flight_date, y.glider_type as flight_glider_type, 'G-C' || y.k as flight_glider_registration, s_name as flight_pilot,
   strftime(make_timestamp((s.start % 86400) * 1000000), '%H:%M:%SZ') as flight_startTime, strftime(timestamp '2024-01-01' + to_seconds(s."end"), '%Y-%m-%dT%H:%M:%SZ') as flight_endInstant, duration_s as flight_durationS, round(track_distance_m, 1) as flight_trackDistanceM, max_alt_m as flight_maxAltitudeM, landed as flight_landed,
   strftime(make_timestamp((takeoff_t % 86400) * 1000000), '%H:%M:%SZ') as launch_takeoffTime, strftime(make_timestamp((l.release_t % 86400) * 1000000), '%H:%M:%SZ') as launch_releaseTime, l.type as launch_type, confident as launch_releaseConfident,
   z.flight_id is not null as task_declared, case when z.closed and z.n - 1 = 2 then 'out and return' when z.closed and z.n - 1 = 3 then 'triangle' when z.closed and z.n - 1 = 4 then 'quadrilateral' when z.closed then (z.n - 1) || '-leg closed course' when z.n - 1 = 1 then 'straight distance' else (z.n - 1) || '-leg task' end as task_shape,
@@ -399,19 +459,59 @@ left join (select flight_id, count(*) as n from we group by 1) e on e.flight_id
 left join (select flight_id, count(*) as n, sum(gain_m)::bigint as gain, round(sum(round(circles, 2)), 4) as turns, round(max(round(best_30s_ms, 3)), 4) as best from circles join best using (flight_id, run_id) group by 1) c on c.flight_id = s.flight_id
 left join (select flight_id, count(*) as n, round(sum(round(distance_m, 1)), 3) as metres, string_agg(kind, ',' order by leg) as kinds, round(sum(case when kind <> 'circuit' and frac_rising_air is not null then frac_rising_air * sampled_s end) / sum(case when kind <> 'circuit' and frac_rising_air is not null then sampled_s end), 4) as rising from legs group by 1) a on a.flight_id = s.flight_id""")
 def flight_json_values(spark, sf_dir):
-    """Every scalar of the flight documents, and what their arrays add up to, read back from the JSON text."""
+    """Every scalar of the flight documents outside their arrays, and what the arrays list or add up to, read back from the JSON text."""
     made = kept.stored(flight_json(spark, sf_dir), "documents")
     d = made.select("flight_id", F.from_json("document", " ".join(DOCUMENT.split("\n"))).alias("d"))
     one = [F.col(f"d.{f}").alias(f.replace(".", "_")) for f in FIELDS]
     total = lambda rows, f, places: F.round(F.aggregate(F.col(f"d.{rows}.{f}"), F.lit(0.0), lambda acc, x: acc + x), places)
+    minute = lambda p, c: F.round(p[c] * 60000).cast("long")
+    point = lambda p: F.concat_ws(":", p["name"], p["role"], minute(p, "lat"), minute(p, "lon"))
+    listed = lambda rows, of: F.when(F.size(rows) > 0, F.array_join(F.transform(rows, of), ","))
     out = d.select(
-        "flight_id", *one, F.size("d.task.points").alias("n_points"), F.when(F.col("d.task.declared"), F.size("d.task.legs")).alias("n_task_legs"), F.when(F.col("d.wind").isNotNull(), F.size("d.wind.perClimb")).alias("n_estimates"),
+        "flight_id", *one, listed("d.task.points", point).alias("task_points"), listed("d.task.legs", lambda x: F.concat_ws(">", x["from"], x["to"])).alias("task_legs"), F.when(F.size("d.task.legs") > 0, total("task.legs", "bearingDeg", 3)).alias("task_bearings"), F.size("d.task.points").alias("n_points"), F.when(F.col("d.task.declared"), F.size("d.task.legs")).alias("n_task_legs"), F.when(F.col("d.wind").isNotNull(), F.size("d.wind.perClimb")).alias("n_estimates"),
         F.size("d.climbs").alias("n_climbs"), F.aggregate("d.climbs.gainM", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("climbs_gain"), total("climbs", "circles", 4).alias("climbs_circles"), F.round(F.array_max("d.climbs.best30sMs"), 4).alias("climbs_best"),
         F.size("d.legs").alias("n_legs"), total("legs", "distanceM", 3).alias("legs_metres"), F.array_join("d.legs.kind", ",").alias("legs_kinds"), F.size("d.quality.warnings").alias("n_warnings"),
     )
     return out
 
 
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date per flight: its own, moved by up to four days so that there are several, and none for every ninth."""
+    k = F.substring("flight_id", 2, 20).cast("long")
+    return parse.headers(log_lines(spark, sf_dir)).select("flight_id", F.when(k % 9 != 0, F.date_add("date", (k % 5).cast("int"))).alias("date"))
+
+
+@query("""
+select 'all' as corpus, case when k % 9 <> 0 then date '2024-01-01' + (k % 5)::integer end as date, flight_id, count(*) as n, min(t) as first_t, max(t) as last_t, sum(alt)::bigint as alt_sum, round(sum(round(lat, 5)), 3) as lat_sum, count(case when circ then 1 end) as circling
+from seg group by all""")
+def profiles_by_date(spark, sf_dir):
+    """The profiles written by date, all of them twice and one date's flights once more, and read back."""
+    d = debrief(spark, sf_dir)
+    rows, dates = kept.stored(d.profile, "profile"), kept.stored(_dates(spark, sf_dir), "dates")
+    path = f"{kept.shared_dir(spark)}/profiles-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_by_date(rows, dates, path, "all")
+    again = dates.where("date = date '2024-01-03'")
+    sinks.write_by_date(rows.join(again, "flight_id", "left_semi"), again, path, "all")
+    found = sinks.read_by_date(spark, path)
+    return found.groupBy("corpus", "date", "flight_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("alt_m").cast("long").alias("alt_sum"), F.round(F.sum("lat"), 3).alias("lat_sum"), F.count_if("circling").alias("circling"))
+
+
+@query("""
+select case when count(*) over (partition by k % 4, glider_type) = 1 then name else name || '-' || md5(flight_id) end as bundle, flight_id, fixes
+from (select *, coalesce(nullif(trim(concat_ws('-', case when k % 4 > 0 then '2024-01-0' || (k % 4) end, regexp_replace(lower(glider_type), '[^a-z0-9-]+', '-', 'g')), '-'), ''), 'flight') || '-igc-analysis' as name from types join summary using (flight_id))""")
+def bundles_read_back(spark, sf_dir):
+    """A folder per flight with its document, under names that several flights share, read back."""
+    d = debrief(spark, sf_dir)
+    k = F.substring("flight_id", 2, 20).cast("long")
+    date = F.when(k % 4 > 0, F.concat(F.lit("2024-01-0"), k % 4))
+    named = flight_documents(d, generated_at="2024-01-02T00:00:00Z").join(d.headers.select("flight_id", "glider_type"), "flight_id").withColumn("bundle", bundle_name(date, F.lit(None).cast("string"), F.col("glider_type")))
+    path = f"{kept.shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    sinks.write_bundles(named.withColumn("document", F.concat(F.lit('{"flight_id":"'), "flight_id", F.lit('",'), F.substr("document", F.lit(2)))), path)
+    read = sinks.read_bundles(spark, path).withColumn("d", F.from_json("document", "flight_id string, quality struct<fixes:bigint>"))
+    return read.select("bundle", "d.flight_id", F.col("d.quality.fixes").alias("fixes"))
+
+
 @query("select flight_id, '2024-01-01-g-c' || k || '-igc-analysis' as bundle from types")
 def bundle_names(spark, sf_dir):
     h = parse.headers(log_lines(spark, sf_dir))
@@ -429,16 +529,20 @@ def clock_and_units(spark, sf_dir):
 
 
 @query(r"""
-select page_id, case page_id % 4 when 0 then case when regexp_matches(url, '^https?://[^/?#\s]+') then 'direct' end when 1 then 'weglide' when 3 then case when page_id >= 0 then 'bga' end else 'bga' end as kind,
-  case page_id % 4 when 0 then regexp_extract(url, '^https?://([^/?#]*)', 1) when 1 then 'WeGlide flight ' || page_id when 2 then 'BGA Ladder flight ' || page_id else 'BGA Ladder flight ' || (page_id + 100000) end as label,
-  case page_id % 4 when 0 then 1 when 1 then 0 else 1 end as n_urls
-from pages""")
+select page_id, 'given' as made, case when regexp_matches(url, '^https?://[^/?#\s]+', 'i') then 'direct' end as kind, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1, 'i')) as label, url as id, 1 as n_urls from pages
+union all select page_id, 'weglide', 'weglide', 'WeGlide flight ' || page_id, page_id::varchar, 0 from pages
+union all select page_id, 'bga', 'bga', 'BGA Ladder flight ' || page_id, page_id::varchar, 1 from pages
+union all select page_id, 'number', 'bga', 'BGA Ladder flight ' || (page_id + 100000), (page_id + 100000)::varchar, 1 from pages
+union all select page_id, 'capitals', 'direct', lower(regexp_extract(url, '^https?://([^/?#:]*)', 1, 'i')), upper(url), 1 from pages""")
 def page_links(spark, sf_dir):
-    """Every page's url as a link, or a flight number of either service made from its id."""
+    """Every page's url as a link, in capitals between white space too, and beside it flight links and numbers made from its id."""
     pages, k = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), F.col("page_id")
-    asked = F.when(k % 4 == 0, F.col("url")).when(k % 4 == 1, F.concat(F.lit("https://www.weglide.org/flight/"), k)).when(k % 4 == 2, F.concat(F.lit("https://bgaladder.net/FlightInfo/"), k)).otherwise((k + 100000).cast("string"))
-    found = links.classify_links(pages.select("page_id", asked.alias("asked")), "asked")
-    return found.select("page_id", "kind", "label", F.size("urls").alias("n_urls"))
+    asks = {
+        "given": F.col("url"), "weglide": F.concat(F.lit("https://www.weglide.org/flight/"), k), "bga": F.concat(F.lit("https://bgaladder.net/FlightInfo/"), k),
+        "number": (k + 100000).cast("string"), "capitals": F.concat(F.lit("\t\u00a0"), F.upper("url"), F.lit(" \n")),
+    }
+    asked = pages.select("page_id", F.explode(F.array(*[F.struct(F.lit(n).alias("made"), c.alias("asked")) for n, c in asks.items()])).alias("x")).select("page_id", "x.*")
+    return links.classify_links(asked, "asked").select("page_id", "made", "kind", "label", "id", F.size("urls").alias("n_urls"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,47 +57,60 @@ def estimate_wind(estimates: DataFrame) -> DataFrame:
     return w.select("flight_id", "wx", "wy", F.hypot("wx", "wy").alias("speed_ms"), compass(-F.col("wx"), -F.col("wy")).alias("from_deg"), "spread_ms", (F.col("spread_ms") * KNOTS > 8).alias("unreliable"))
 
 
-CIRCLE = "array<struct<k:int,start:bigint,duration_s:bigint,gain_m:int,climb_ms:double,cx:double,cy:double,ct:double,alt_m:int>>"
+CIRCLE = "struct<k:int,start:bigint,duration_s:bigint,gain_m:int,climb_ms:double,cx:double,cy:double,ct:double,alt_m:int>"
+#: A full circle in whole billionths of a degree: a sum of many turns is exact, and a full circle is one on every machine.
+FULL = 360_000_000_000
+WALK = f"struct<turned:bigint,turn:bigint,n:bigint,x:double,y:double,t:double,start:bigint,alt:int,circles:array<{CIRCLE}>>"
 
 
-def _circles(win: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        t, alt, x, y = (pdf[c].to_numpy() for c in ("t", "alt", "x", "y"))
-        # whole billionths of a degree: a sum of many turns is exact, and a full circle is one on every machine
-        turn = np.floor(pdf["dtrk"].to_numpy(float)[:-1] * 1e9 + 0.5)
-        out, acc, start = [], 0, 0
-        for i in np.flatnonzero(~np.isnan(turn)).tolist():
-            acc += int(turn[i])
-            if abs(acc) >= 360_000_000_000:
-                d = int(t[i + 1] - t[start])
-                own = slice(start, i + 2)
-                out.append({"k": len(out) + 1, "start": int(t[start]), "duration_s": d, "gain_m": int(alt[i + 1] - alt[start]), "climb_ms": (alt[i + 1] - alt[start]) / d if d else 0.0, "cx": x[own].mean(), "cy": y[own].mean(), "ct": t[own].mean(), "alt_m": int(alt[start])})
-                acc, start = 0, i + 1
-        end = np.minimum(np.searchsorted(t, t + win), len(t) - 1)
-        # equal times share a place; the first fix that is far enough counts
-        span = t[end] - t
-        enough = span >= 0.8 * win
-        best = float(((alt[end] - alt)[enough] / span[enough]).max()) if enough.any() else None
-        return pd.DataFrame({"flight_id": [pdf["flight_id"].iloc[0]], "run_id": [pdf["run_id"].iloc[0]], "best_30s_ms": [best], "per_circle": [out]})
+def full_circles(fixes: DataFrame, climbs: DataFrame) -> DataFrame:
+    """Per climb, its full circles: ``flight_id, run_id, per_circle``.
 
-    return run
+    The turns add up along the climb until they make a circle; the next one
+    starts from the same fix with nothing turned.  Accumulate-with-reset is no
+    window frame, so this is a fold over the climb's fixes.
+    """
+    key = ["flight_id", "run_id"]
+    turn = F.floor(F.col("dtrk") * 1e9 + 0.5).cast("long").alias("turn")
+    own = fixes.join(climbs.select(*key), key).select(*key, F.struct("idx", "t", "alt", "x", "y", turn).alias("fix"))
+    zero = F.from_json(F.lit('{"turned":0,"n":0,"x":0,"y":0,"t":0,"circles":[]}'), WALK)
+
+    def step(w: Column, f: Column) -> Column:
+        turned = w["turned"] + F.coalesce(w["turn"], F.lit(0).cast("long"))
+        n, x, y, t = w["n"] + 1, w["x"] + f["x"], w["y"] + f["y"], w["t"] + f["t"]
+        start, alt = F.coalesce(w["start"], f["t"]), F.coalesce(w["alt"], f["alt"])
+        took, gain = f["t"] - start, f["alt"] - alt
+        circle = F.struct(F.size(w["circles"]) + 1, start, took, gain, F.when(took != 0, gain / took).otherwise(0.0), x / n, y / n, t / n, alt).cast(CIRCLE)
+        on = F.struct(turned, f["turn"], n, x, y, t, start, alt, w["circles"])
+        anew = F.struct(F.lit(0), f["turn"], F.lit(1), f["x"], f["y"], f["t"], f["t"], f["alt"], F.array_append(w["circles"], circle))
+        return F.when(F.abs(turned) >= FULL, anew.cast(WALK)).otherwise(on.cast(WALK))
 
+    return own.groupBy(*key).agg(F.sort_array(F.collect_list("fix")).alias("fixes")).select(*key, F.aggregate("fixes", zero, step)["circles"].alias("per_circle"))
 
-def circles_and_best(fixes: DataFrame, climbs: DataFrame, win: int = 30) -> DataFrame:
-    """Per climb: the best ``win`` seconds, and its full circles.
 
-    Accumulate-with-reset is no window frame, and an unbounded time frame would
-    be quadratic, so this one step is vectorised Python over a climb's rows.
+def best_rate(fixes: DataFrame, climbs: DataFrame, win: int = 30) -> DataFrame:
+    """Per climb, the best mean climb rate from a fix to the first one ``win`` seconds on, or to the climb's end if that is four fifths of it.
+
+    ``flight_id, run_id, best_30s_ms``; null without such a pair.  Every fix asks
+    for the time ``win`` later; questions and fixes are read backwards together.
     """
     key = ["flight_id", "run_id"]
-    own = fixes.join(climbs.select(*key), key).select(*key, "idx", "t", "alt", "x", "y", "dtrk")
-    return own.groupBy(*key).applyInPandas(_circles(win), f"flight_id string, run_id int, best_30s_ms double, per_circle {CIRCLE}")
+    own = fixes.join(climbs.select(*key), key)
+    here = F.struct("t", "alt")
+    none = F.lit(None).cast("struct<t:bigint,alt:int>")
+    event = lambda t, fix, asks: F.struct(t.alias("at"), fix.alias("fix"), asks.alias("asks"), F.col("idx").cast("long").alias("idx"))
+    events = own.select(*key, F.explode(F.array(event(F.col("t"), here, none), event(F.col("t") + win, none, here))).alias("e")).select(*key, "e.*")
+    back = W.partitionBy(*key).orderBy(F.desc("at"), F.col("fix").isNull(), F.desc("idx")).rowsBetween(W.unboundedPreceding, 0)
+    end = F.max(F.when(F.col("fix").isNotNull(), F.struct("idx", "fix"))).over(W.partitionBy(*key))["fix"]
+    met = events.select(*key, "asks", F.coalesce(F.last("fix", ignorenulls=True).over(back), end).alias("fix")).where("asks is not null")
+    span = F.col("fix.t") - F.col("asks.t")
+    return met.groupBy(*key).agg(F.max(F.when((span > 0) & (span >= 0.8 * win), (F.col("fix.alt") - F.col("asks.alt")) / span)).alias("best_30s_ms"))
 
 
 def climb_table(fixes: DataFrame, runs: DataFrame, wind: DataFrame) -> DataFrame:
     """All climbs in time order, numbered from 1."""
-    stats = circle_stats(fixes, runs, wind).join(circles_and_best(fixes, runs), ["flight_id", "run_id"])
+    key = ["flight_id", "run_id"]
+    stats = circle_stats(fixes, runs, wind).join(best_rate(fixes, runs), key).join(full_circles(fixes, runs), key)
     return stats.withColumn("climb", F.row_number().over(W.partitionBy("flight_id").orderBy("start", "a")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parse import stripped
+
 # The two services' link forms and the second one's file address.
 WEGLIDE = r"(?i)weglide\.org/flight/([0-9]+)"
 BGA = r"(?i)bgaladder\.net/(?:.*?[?&]flightid=|(?:FlightInfo|flight)/)([0-9]+)"
@@ -13,10 +15,10 @@ BGA_FILE = "https://api.bgaladder.net/API/FLIGHTIGC/"
 
 def classify_links(df: DataFrame, column: str) -> DataFrame:
     """``kind, id, label, urls, file_name`` beside the column; null for what is no link."""
-    s = F.trim(F.col(column))
+    s = stripped(F.col(column))
     found = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
     weglide, bga = found(WEGLIDE), F.coalesce(found(BGA), found("^([0-9]{4,10})$"))
-    host = F.when(s.rlike("(?i)^https?://"), F.try_parse_url(s, F.lit("HOST")))
+    host = F.when(s.rlike("(?i)^https?://"), F.lower(F.try_parse_url(s, F.lit("HOST"))))
     kind = F.when(weglide.isNotNull(), "weglide").when(bga.isNotNull(), "bga").when(host.isNotNull(), "direct")
     d = df.withColumn("kind", kind).withColumn("id", F.when(F.col("kind") == "weglide", weglide).when(F.col("kind") == "bga", bga).when(F.col("kind") == "direct", s))
     label = F.when(F.col("kind") == "weglide", F.concat(F.lit("WeGlide flight "), "id")).when(F.col("kind") == "bga", F.concat(F.lit("BGA Ladder flight "), "id")).when(F.col("kind") == "direct", host)

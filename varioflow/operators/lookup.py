@@ -13,7 +13,23 @@ def overlap_span(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def span_counts(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    hit = overlap_span(rows, spans).groupBy("flight_id", "span_id").agg(F.count("*").alias("n"))
+    """How many climbs or legs touch each span, and its length.
+
+    Rows that start up to the span's end, less those that end before its start:
+    two counts that one pass over a flight's merged times keeps, so the cost is
+    one sort of both, whatever overlaps.  Rows have start <= end; a span's ends
+    may come in either order, a row or span without both touches nothing.
+    """
+    none = F.lit(None)
+    at = lambda t, turn, started, ended, span: F.struct(t.cast("long").alias("t"), F.lit(turn).alias("turn"), F.lit(started).alias("started"), F.lit(ended).alias("ended"), span.cast("long").alias("span_id"))
+    # at equal times: spans begin, rows end, rows start, spans end
+    r = rows.where("start is not null and end is not null").select("flight_id", F.explode(F.array(at(F.col("start"), 2, 1, 0, none), at(F.col("end"), 1, 0, 1, none))).alias("x"))
+    low, high = F.least("span_start", "span_end"), F.greatest("span_start", "span_end")
+    s = spans.where("span_start is not null and span_end is not null").select("flight_id", F.explode(F.array(at(low, 0, 0, 0, F.col("span_id")), at(high, 3, 0, 0, F.col("span_id")))).alias("x"))
+    so_far = W.partitionBy("flight_id").orderBy("t", "turn").rowsBetween(W.unboundedPreceding, 0)
+    merged = r.unionByName(s).select("flight_id", "x.*").withColumn("started", F.sum("started").over(so_far)).withColumn("ended", F.sum("ended").over(so_far))
+    n = F.sum(F.when(F.col("turn") == 3, F.col("started")).otherwise(-F.col("ended")))
+    hit = merged.where("span_id is not null").groupBy("flight_id", "span_id").agg(n.alias("n"))
     return spans.join(hit, ["flight_id", "span_id"], "left").select("flight_id", "span_id", F.coalesce("n", F.lit(0)).alias("n"), (F.col("span_end") - F.col("span_start")).alias("span_s"))
 
 
@@ -31,7 +47,10 @@ def fix_at(fixes: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def highlight_range(fixes: DataFrame, spans: DataFrame) -> DataFrame:
-    """The fixes from ``fix_at(span_start)`` to ``fix_at(span_end)`` inclusive, by span."""
+    """The fixes from ``fix_at(span_start)`` to ``fix_at(span_end)`` inclusive, by span.
+
+    The positions between are listed and meet the fixes by flight and position, so only hit fixes are paired.
+    """
     ends = spans.select("flight_id", F.explode(F.array(F.struct((F.col("span_id") * 2).alias("query_id"), F.col("span_start").alias("at")), F.struct((F.col("span_id") * 2 + 1).alias("query_id"), F.col("span_end").alias("at")))).alias("x")).select("flight_id", "x.*")
     at = fix_at(fixes, ends).groupBy("flight_id", F.floor(F.col("query_id") / 2).alias("span_id")).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    return fixes.join(at, "flight_id").where(F.col("idx").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return fixes.join(at.select("flight_id", "span_id", F.explode(F.sequence("lo", "hi")).alias("idx")), ["flight_id", "idx"])

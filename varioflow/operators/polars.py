@@ -69,8 +69,8 @@ def derived_points(published: Column) -> Column:
 
 def fit(points: Column) -> tuple[Column, Column, Column, Column]:
     """c0 + c1 v + c2 v² in m/s through exactly three points, by divided differences; and whether they are fit for it."""
-    v = [points[k][0] / 3.6 for k in range(3)]
-    s = [points[k][1] for k in range(3)]
+    v, s = ([F.get(F.get(points, F.lit(k)), F.lit(c)) for k in range(3)] for c in range(2))
+    v = [x / 3.6 for x in v]
     sound = (F.size(points) == 3) & (v[0] != v[1]) & (v[1] != v[2]) & (v[0] != v[2])
     slope = lambda i, j: F.when(sound, (s[j] - s[i]) / F.nullif(v[j] - v[i], F.lit(0.0)))
     c2 = (slope(1, 2) - slope(0, 1)) / F.nullif(v[2] - v[0], F.lit(0.0))
@@ -107,13 +107,20 @@ def squash(text: Column) -> Column:
     return F.translate(F.lower(text), "- ", "")
 
 
+def substrings(text: Column, longest: Column | int) -> Column:
+    """Every substring of up to ``longest`` characters, the empty one included, once each."""
+    size = F.length(text)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - a + 1)), lambda n: F.substr(text, a, n))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(size > 0, every).otherwise(F.array().cast("array<string>"))))
+
+
 def match_polars(types: DataFrame, table: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """``flight_id, name, note, matched, points, c0, c1, c2, best_ld, best_ld_speed_ms`` of every flight.
 
     ``types`` has flight_id and glider_type; ``overrides`` may give a flight
     ``custom`` points, or ``force``: a substring of a name or key, or ``none``.
     The longest key found in the type wins, the first of the table on ties.
-    Types, not flights, meet the keys, and the table is checked to be small.
+    Types, not flights, meet the keys, which are found among the substrings of the type; the table is checked to be small.
     """
     spark = types.sparkSession
     rows = _entries(table)
@@ -121,18 +128,23 @@ def match_polars(types: DataFrame, table: DataFrame, overrides: DataFrame | None
     keys = [(m.replace("-", "").replace(" ", ""), r.db_order) for r in gliders for m in r.match]
     names = [(part, r.db_order) for r in gliders for part in (r.name.lower(), *r.match)]
     key_table = F.broadcast(spark.createDataFrame(keys, "key string, g long"))
-    name_table = F.broadcast(spark.createDataFrame(names, "part string, g long"))
+    name_table = spark.createDataFrame(names, "part string, g long")
     known = F.broadcast(spark.createDataFrame([(r.db_order, r.name, r.points) for r in rows], "g long, name string, points array<array<double>>"))
     t = types.select("flight_id", "glider_type")
     seen = t.select("glider_type").distinct().where("glider_type is not null").withColumn("squashed", squash(F.col("glider_type")))
-    best = seen.join(key_table, F.instr("squashed", F.col("key")) > 0).groupBy("glider_type").agg(F.min(F.struct(-F.length("key"), "g"))["g"].alias("hit"))
+    longest = max((len(k) for k, _ in keys), default=0)
+    parts = seen.select("glider_type", F.explode(substrings(F.col("squashed"), longest)).alias("key"))
+    best = parts.join(key_table, "key").groupBy("glider_type").agg(F.min(F.struct(-F.length("key"), "g"))["g"].alias("hit"))
     t = t.join(best, "glider_type", "left")
     if overrides is None:
         t = t.withColumn("custom", F.lit(None).cast("array<array<double>>")).withColumn("force", F.lit(None).cast("string")).withColumn("forced", F.lit(None).cast("long"))
     else:
         t = t.join(overrides.select("flight_id", "custom", F.lower("force").alias("force")), "flight_id", "left")
         asked = t.select("force").distinct().where("length(force) > 0")
-        t = t.join(asked.join(name_table, F.instr("part", F.col("force")) > 0).groupBy("force").agg(F.min("g").alias("forced")), "force", "left")
+        # what is asked for meets the names by its first three characters
+        grams = name_table.select("part", "g", F.explode(substrings(F.col("part"), 3)).alias("gram"))
+        meet = asked.withColumn("gram", F.substring("force", 1, 3)).join(grams, "gram").where(F.instr("part", F.col("force")) > 0)
+        t = t.join(meet.groupBy("force").agg(F.min("g").alias("forced")), "force", "left")
     custom, none, forced, hit = F.col("custom").isNotNull(), F.coalesce(F.col("force") == "none", F.lit(False)), F.col("forced").isNotNull(), F.col("hit").isNotNull()
     how = F.when(custom, "custom").when(none, "none").when(forced, "forced").when(hit, "matched").otherwise("default")
     t = t.withColumn("how", how).withColumn("g", F.when(F.col("how") == "forced", F.col("forced")).when(F.col("how") == "matched", F.col("hit")).when(F.col("how") == "default", F.lit(default.db_order)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,17 +30,31 @@ class Debrief:
     The classified fixes are the one large table.  They come out of a single
     exchange by flight and are kept dealt by flight, so that what is derived
     from them is not exchanged again; tables with a few rows per flight that
-    several results share are kept too.  ``keep`` and ``keep_fixes`` say how.
+    several results share are kept too.
+
+    So reading a property may run jobs and write tables to the shared folder;
+    ``close`` (or leaving a ``with`` block) drops all of them.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None, keep: Callable[[DataFrame, str], DataFrame] = kept.stored, keep_fixes: Callable[[DataFrame, str, str], DataFrame] = kept.bucketed):
+    def __init__(self, lines: DataFrame, options: Options | None = None):
         self.lines, self.options = lines, options or Options()
-        self._keep, self._keep_fixes = keep, keep_fixes
+        self.kept = kept.Kept(lines.sparkSession)
+        self._keep = self.kept.stored
+
+    def __enter__(self) -> Debrief:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.kept.close()
 
     @cached_property
     def classified(self) -> DataFrame:
-        moving = kinematics.add_kinematics(parse.ordered_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id")))
-        return self._keep_fixes(segments.classify(moving, self.options.min_circle_rate), "classified", "flight_id")
+        width = kept.width_for(self.lines, "line")
+        moving = kinematics.add_kinematics(parse.ordered_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id", width)))
+        return self.kept.bucketed(segments.classify(moving, self.options.min_circle_rate), "classified", "flight_id", width)
 
     @cached_property
     def _absorbed(self) -> DataFrame:
