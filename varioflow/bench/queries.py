@@ -314,11 +314,7 @@ def _polar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_polars(spark, path)
 
 
-@query("with " + ENTRIES + """
-select s_name as name, 2 as keys, ld as best_ld, kmh as best_ld_kmh, round(sink, 6) as min_sink_ms, case when k % 7 = 2 then 2 else 3 end as n, round(v0 + v1 + case when k % 7 = 2 then 0 else v2 end, 3) as speeds, round(s0 + s1 + case when k % 7 = 2 then 0 else s2 end, 3) as sinks,
-  row_number() over (partition by k // 1000 order by k) - 1 as db_order, false as is_default from e3
-union all select 'any ' || (k // 1000), 0, ld, kmh, round(sink, 6), case when k % 7 = 2 then 2 else 3 end, round(v0 + v1 + case when k % 7 = 2 then 0 else v2 end, 3), round(s0 + s1 + case when k % 7 = 2 then 0 else s2 end, 3), 1 << 30, true
-from e3 where k in (select min(k) from e3 group by k // 1000)""")
+@query()
 def polar_files(spark, sf_dir):
     """Entries of polar databases as read from their files."""
     p = _polar_files(spark, sf_dir)
@@ -326,17 +322,27 @@ def polar_files(spark, sf_dir):
     return p.select("name", F.size("match").alias("keys"), "published.best_ld", "published.best_ld_kmh", F.round("published.min_sink_ms", 6).alias("min_sink_ms"), F.size("points").alias("n"), total(0).alias("speeds"), total(1).alias("sinks"), F.col("db_order").cast("long").alias("db_order"), "is_default")
 
 
-@query("with " + ENTRIES + f""", g as (select unnest([{', '.join(map(repr, polars.GRID))}])::double as u),
+ORACLES["polar_files"] = "with " + ENTRIES + """
+select s_name as name, 2 as keys, ld as best_ld, kmh as best_ld_kmh, round(sink, 6) as min_sink_ms, case when k % 7 = 2 then 2 else 3 end as n, round(v0 + v1 + case when k % 7 = 2 then 0 else v2 end, 3) as speeds, round(s0 + s1 + case when k % 7 = 2 then 0 else s2 end, 3) as sinks,
+  row_number() over (partition by k // 1000 order by k) - 1 as db_order, false as is_default from e3
+union all select 'any ' || (k // 1000), 0, ld, kmh, round(sink, 6), case when k % 7 = 2 then 2 else 3 end, round(v0 + v1 + case when k % 7 = 2 then 0 else v2 end, 3), round(s0 + s1 + case when k % 7 = 2 then 0 else s2 end, 3), 1 << 30, true
+from e3 where k in (select min(k) from e3 group by k // 1000)"""
+
+
+@query()
+def polar_violations(spark, sf_dir):
+    """Entries of the read databases that do not fit what is published of them."""
+    return polars.violations(_polar_files(spark, sf_dir).where("not is_default"))
+
+
+ORACLES["polar_violations"] = "with " + ENTRIES + f""", g as (select unnest([{', '.join(map(repr, polars.GRID))}])::double as u),
 e4 as (select *, ((s2 - s1) / ((v2 - v1) / 3.6e0) - (s1 - s0) / ((v1 - v0) / 3.6e0)) / ((v2 - v0) / 3.6e0) as c2 from e3),
 e5 as (select *, (s1 - s0) / ((v1 - v0) / 3.6e0) - c2 * (v0 + v1) / 3.6e0 as c1 from e4),
 e6 as (select *, s0 - c1 * v0 / 3.6e0 - c2 * (v0 / 3.6e0) * (v0 / 3.6e0) as c0 from e5),
-b as (select k, max(case when c0 + c1 * u + c2 * u * u > 0 then u / (c0 + c1 * u + c2 * u * u) end) as got, arg_max(u, case when c0 + c1 * u + c2 * u * u > 0 then u / (c0 + c1 * u + c2 * u * u) end) as at from e6, g group by k)
+b as (select k, max(case when c0 + c1 * u + c2 * u * u > 0 then u / (c0 + c1 * u + c2 * u * u) end) as got, arg_max(u, case when c0 + c1 * u + c2 * u * u > 0 then u / (c0 + c1 * u + c2 * u * u) end) as best_at from e6, g group by k)
 select s_name as name, rule from e6 join b using (k), lateral (values
-  ('degenerate', k % 7 = 2), ('best_ld', k % 7 = 2 or abs(got - ld) >= 0.3), ('best_ld_speed', k % 7 = 2 or abs(at * 3.6e0 - kmh) >= 3), ('min_sink', k % 7 = 2 or abs((c0 - c1 * c1 / (4 * c2)) / sink - 1) >= 0.15),
-  ('points', k % 7 = 2 or k % 7 = 3), ('published_ld', ld <= 15 or ld >= 75)) x(rule, broken) where broken""")
-def polar_violations(spark, sf_dir):
-    """Entries of the read databases that do not fit what is published of them."""
-    return polars.violations(_polar_files(spark, sf_dir).where("not is_default"))
+  ('degenerate', k % 7 = 2), ('best_ld', k % 7 = 2 or abs(got - ld) >= 0.3), ('best_ld_speed', k % 7 = 2 or abs(best_at * 3.6e0 - kmh) >= 3), ('min_sink', k % 7 = 2 or abs((c0 - c1 * c1 / (4 * c2)) / sink - 1) >= 0.15),
+  ('points', k % 7 = 2 or k % 7 = 3), ('published_ld', ld <= 15 or ld >= 75)) x(rule, broken) where broken"""
 
 
 @query("select flight_id, entry, entry_t, entry_alt from entry")
@@ -482,7 +488,7 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select 'all' as corpus, case when k % 9 <> 0 then date '2024-01-01' + (k % 5)::integer end as date, flight_id, count(*) as n, min(t) as first_t, max(t) as last_t, sum(alt)::bigint as alt_sum, round(sum(round(lat, 5)), 3) as lat_sum, count(case when circ then 1 end) as circling
+select 'all' as corpus, case when k % 9 <> 0 then date '2024-01-01' + (k % 5)::integer end as date, flight_id, count(*) as n, min(t) as first_t, max(t) as last_t, sum(alt)::bigint as alt_sum, sum(round(round(lat, 5) * 100000)::bigint)::bigint as lat_sum, count(case when circ then 1 end) as circling
 from seg group by all""")
 def profiles_by_date(spark, sf_dir):
     """The profiles written by date, all of them twice and one date's flights once more, and read back."""
@@ -494,7 +500,7 @@ def profiles_by_date(spark, sf_dir):
     again = dates.where("date = date '2024-01-03'")
     sinks.write_by_date(rows.join(again, "flight_id", "left_semi"), again, path, "all")
     found = sinks.read_by_date(spark, path)
-    return found.groupBy("corpus", "date", "flight_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("alt_m").cast("long").alias("alt_sum"), F.round(F.sum("lat"), 3).alias("lat_sum"), F.count_if("circling").alias("circling"))
+    return found.groupBy("corpus", "date", "flight_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("alt_m").cast("long").alias("alt_sum"), F.sum(F.round(F.col("lat") * 100000).cast("long")).alias("lat_sum"), F.count_if("circling").alias("circling"))
 
 
 @query("""
