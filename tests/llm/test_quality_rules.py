@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -48,46 +49,111 @@ def exact_fences(counted):
     per = lambda a, b: {k: r[a] / max(r[b], 1) for k, r in enumerate(counted)}
     values = {"word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "upper": per("n_upper", "word_chars")}
     passing = [k for k, r in enumerate(counted) if not r.base_failed]
+    at = lambda x, q: x[int((len(x) - 1) * q)]
+    middle = lambda count: sorted(counted[k][count] for k in passing)[len(passing) // 2]
 
     def limit(name, rows):
+        share = name in Q.SHARES
         x = sorted(values[name][k] for k in rows)
-        a, m, z = (x[int((len(x) - 1) * q)] for q in (0.25, 0.5, 0.75))
-        return min(a - Q.SPREAD * (z - a), m - Q.SLACK[name]), max(z + Q.SPREAD * (z - a), m + Q.SLACK[name])
+        nil = x.count(0)
+        skip = nil if 4 * nil >= len(x) else 0
+        some = x[skip:]
+        out = {"n": len(some), "all": len(x), "lo": None, "hi": None, "valley": None}
+        if some:
+            scaled = (lambda v: math.log(v / (1 - v))) if share else math.log
+            back = (lambda y: 1 / (1 + math.exp(-y))) if share else math.exp
+            out["a"], out["z"] = at(some, 0.25), at(some, 0.75)
+            size = middle(Q.SHARES.get(name, "word_chars"))
+            noise = Q.NOISE / math.sqrt(size * out["z"] * (1 - out["z"]) if share else size)
+            reach = max((Q.TAIL if skip else Q.SPREAD) * (scaled(out["z"]) - scaled(out["a"])), noise)
+            out["hi"] = back(scaled(out["z"]) + reach)
+            out["lo"] = back(scaled(out["a"]) - reach) if not skip and not share else None
+        if skip:
+            unit = 0.5 / middle(Q.SHARES[name])
+            place, widest, before = [unit if v == 0 else v for v in x], 0, None
+            for k, v in enumerate(place):
+                if before is not None and v / before >= max(Q.VALLEY, widest) and max(0.01 * len(x), Q.LEAST / 10) <= len(x) - k < len(x) / 2:
+                    widest, out["valley"] = v / before, (v + before) / 2
+                before = v if before is None else max(before, v)
+        return out
+
+    def mixed(own, n, parent):
+        return parent if own is None else own if parent is None else (n * own + Q.LEAST * parent) / (n + Q.LEAST)
 
-    mixed = lambda own, n, parent: tuple((n * o + Q.LEAST * p) / (n + Q.LEAST) for o, p in zip(own, parent))
     out = {}
     for lang, source in {(r.lang, r.source) for r in counted}:
-        for name in Q.SLACK:
-            best = limit(name, passing)
-            for rows in ([k for k in passing if counted[k].lang == lang], [k for k in passing if (counted[k].lang, counted[k].source) == (lang, source)]):
-                parent = best
-                best = mixed(limit(name, rows), len(rows), best) if rows else best
-            out[lang, source, name] = max(best[0], parent[0] - Q.SLACK[name]), min(best[1], parent[1] + Q.SLACK[name])
+        for name in Q.RATIOS:
+            whole = limit(name, passing)
+            if name in Q.SHARES and whole["n"] < whole["all"]:
+                whole["hi"] = (whole["n"] * (whole["hi"] or 0) + Q.LEAST / 10 * min(1, Q.NOISE**2 / middle(Q.SHARES[name]))) / (whole["n"] + Q.LEAST / 10)
+            of_lang = limit(name, [k for k in passing if counted[k].lang == lang])
+            own = limit(name, [k for k in passing if (counted[k].lang, counted[k].source) == (lang, source)])
+            parent = {c: mixed(of_lang[c], of_lang[n], whole[c]) for c, n in (("lo", "n"), ("hi", "n"), ("valley", "all"))}
+            best = {c: mixed(own[c], own[n], parent[c]) for c, n in (("lo", "n"), ("hi", "n"), ("valley", "all"))}
+            z, a = of_lang.get("z", whole.get("z")), of_lang.get("a", whole.get("a"))
+            hi = best["hi"] if None in (best["hi"], z) else min(best["hi"], parent["hi"] + max(parent["hi"] - z, 0) / 4)
+            lo = None if best["lo"] is None else max(best["lo"], parent["lo"] - max(a - parent["lo"], 0) / 4)
+            out[lang, source, name] = lo, min((x for x in (hi, best["valley"]) if x is not None), default=None)
     return out, values
 
 
 def test_fences_against_exact_quantiles(spark):
     rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdEF#") for _ in range(rng.randrange(1, 9)))
-    rows = [(k, "\n".join(" ".join(word() for _ in range(12)) for _ in range(rng.randrange(3, 9))), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for k in range(400)]
-    rows += [(1000 + k, " ".join(word() + "###" for _ in range(60)), "en", "junk") for k in range(150)]
+    letters = {"en": "abcdEF", "de": "abcDEFGhij", None: "abcdefgh#"}
+    word = lambda lang, p=0.0: "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(1, 9))) + ("#" if rng.random() < p else "")
+    lines = lambda lang, n: [" ".join(word(lang, 0.004) for _ in range(12)) for _ in range(n)]
+    rows = []
+    for k in range(700):
+        lang = rng.choice(["en", "de", None])
+        text = lines(lang, rng.randrange(5, 9))
+        if rng.random() < 0.3:
+            text.append(text[0])
+        rows.append((k, "\n".join(text), lang, rng.choice(["a", "b", None])))
+    rows += [(1000 + k, " ".join(word("en") + "##" for _ in range(60)), "en", "junk") for k in range(120)]
+    rows += [(2000 + k, " ".join(word("de") + "###" for _ in range(60)), "de", "a") for k in range(25)]
     table = spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    judged = Q.judge(table)
-    counted = judged.collect()
+    counted = Q.judge(table).collect()
     want, values = exact_fences(counted)
-    close = lambda a, b: abs(a - b) <= 0.02 * (abs(a) + abs(b)) + 0.02
     for k, r in enumerate(counted):
         broken = set(filter(None, r.broken.split(",")))
-        for name in Q.SLACK:
-            lo, hi = want[r.lang, r.source, name]
-            assert close(r[f"hi_{name}"], hi) and close(r[f"lo_{name}"], lo)
-            assert (name in broken) == (values[name][k] > r[f"hi_{name}"] or (name == "word_length" and values[name][k] < r[f"lo_{name}"]))
+        for name in Q.RATIOS:
+            for c, x in zip(("lo", "hi"), want[r.lang, r.source, name]):
+                assert (r[f"{c}_{name}"] is None) == (x is None) and (x is None or abs(r[f"{c}_{name}"] / x - 1) < 0.1), (name, c, r[f"{c}_{name}"], x)
+            lo, hi = r[f"lo_{name}"], r[f"hi_{name}"]
+            assert (name in broken) == ((hi is not None and values[name][k] > hi) or (lo is not None and values[name][k] < lo))
         assert r.kept == (not r.base_failed and not broken)
-    # a source of junk alone is held against its language
-    assert want["en", "junk", "symbols"][1] <= want["en", "a", "symbols"][1] + 2 * Q.SLACK["symbols"] + 1e-9
+    # junk stands beyond a valley, in a source of its own too
+    assert not any(r.kept for r in counted if r.doc_id >= 1000 and r.lang == "de")
+    assert {r.hi_symbols for r in counted if (r.lang, r.source) == ("en", "junk")} == {min(r.hi_symbols for r in counted if (r.lang, r.source) == ("en", "junk"))}
     again = Q.judge(table.repartition(7)).collect()
     assert {r.doc_id: r.kept for r in again} == {r.doc_id: r.kept for r in counted}
     assert {r.doc_id: r.hi_upper for r in again} == {r.doc_id: r.hi_upper for r in counted}
+    salted = Q.judge(table, few_groups=0).collect()
+    assert {r.doc_id: (r.kept, r.broken) for r in salted} == {r.doc_id: (r.kept, r.broken) for r in counted}
+
+
+def test_a_source_of_junk_does_not_measure_itself(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows = [(k, " ".join(word().upper() if rng.random() < 0.05 else word() for _ in range(80)), "en", "a") for k in range(400)]
+    rows += [(1000 + k, " ".join(word().upper() if rng.random() < 0.5 + k % 50 / 100 else word() for _ in range(80)), "en", "junk") for k in range(150)]
+    table = spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Q.judge(table).collect()
+    own, other = ({r.hi_upper for r in got if r.source == s}.pop() for s in ("junk", "a"))
+    assert own <= other * 1.5
+    assert all(r.kept for r in got if r.source == "a")
+
+
+def test_values_down_to_one_unit_leave_no_valley(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(600):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(rng.choice([0, 0, 0, 0, 0, 0, 0, 1, 2, 4, 7, 12])):
+            ws[rng.randrange(100)] += "#"
+        rows.append((k, " ".join(ws), "en", "a"))
+    table = spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(r.kept for r in Q.judge(table).collect())
 
 
 def test_empty_table(spark):
