@@ -75,21 +75,48 @@ def test_company_outweighs_seeds(spark):
     assert {h: got[f"http://{h}.example.com/en/1"] for h in asked} == asked
 
 
-def test_a_round_against_plain_sums(spark):
-    seeded = U.seed_buckets(spark, ("casino", "spam"))
-    urls = [([seeded[0], 5, 6], 3), ([7, 6, 6], 10), ([seeded[1], 7], 1), ([], 2)]
-    model = U.Bayes(seeded)
-    want_bad, want_good, total = {}, {}, [0.0, 0.0]
-    for own, n in urls:
-        p = round(1000 / (1 + math.exp(-(model.base + sum(model.odds[b] for b in own))))) / 1000
-        for b in own:
-            want_bad[b] = want_bad.get(b, 0) + n * p
-            want_good[b] = want_good.get(b, 0) + n * (1 - p)
-        total = [total[0] + n * p, total[1] + n * (1 - p)]
-    sums, used = [sum(want_bad.values()), sum(want_good.values())], len(want_bad)
-    for b in seeded:
-        want_bad[b] = want_bad.get(b, 0) + U.SEED_COUNT
-    got = model.learned(spark.createDataFrame(urls, "buckets array<int>, n long").repartition(3))
-    for b, x in want_bad.items():
-        assert got.odds[b] == pytest.approx(math.log((x + 1) / (sums[0] + used)) - math.log((want_good.get(b, 0) + 1) / (sums[1] + used)))
-    assert got.base == pytest.approx(math.log((total[0] + 1) / (total[1] + 1)))
+def test_rounds_against_plain_sums(spark):
+    seeds = ("casino", "spam")
+    words = {"h1": ["casino", "a", "b"], "h2": ["c", "b", "b"], "h3": [], "k1": ["spam", "c"], "k2": ["d"]}
+    urls = [("h1", "k1", 3), ("h2", "k2", 10), ("h2", "k1", 1), ("h3", "k2", 2), ("h1", "k2", 4)]
+    model = U.Bayes(spark.createDataFrame(urls, "host string, key string, n long").repartition(3), spark.createDataFrame(list(words.items()), "key string, words array<string>"), seeds)
+    share = lambda x: round(1000 / (1 + math.exp(-x))) / 1000
+    bad = [share(math.log(U.SHARE / (1 - U.SHARE)) + (math.log(U.SEED_ODDS) if set(seeds) & {*words[h], *words[k]} else 0)) for h, k, _ in urls]
+    judged = model.first()
+    for _ in range(3):
+        assert {(r.host, r.key): r.bad for r in judged.collect()} == {(h, k): round(1000 * b) for (h, k, _), b in zip(urls, bad)}
+        count = [{}, {}]
+        for (h, k, n), b in zip(urls, bad):
+            for w in words[h] + words[k]:
+                for c, p in zip(count, (b, 1 - b)):
+                    c[w] = c.get(w, 0) + n * p
+        size = [sum(c.values()) + len(c) for c in count]
+        want = {w: math.log((count[0][w] + 1) / size[0]) - math.log((count[1][w] + 1) / size[1]) for w in count[0]}
+        total = sum(n * b for (*_, n), b in zip(urls, bad)), sum(n * (1 - b) for (*_, n), b in zip(urls, bad))
+        odds, base = model.learned(judged)
+        assert {r.word: r.odds / U.MICRO for r in odds.collect()} == pytest.approx(want, abs=1e-5)
+        assert base == pytest.approx(math.log((total[0] + 1) / (total[1] + 1)))
+        own = lambda ws: sum(want[w] for w in ws) - max([0.0, *[want[w] for w in ws if w in seeds]])
+        bad = [share(base + own(words[h] + words[k])) for h, k, _ in urls]
+        judged = model.judged(odds, base)
+
+
+def test_a_seed_is_no_evidence_for_its_own_url(spark):
+    """One seed among good words does not block, whatever it keeps company with elsewhere."""
+    good = ["museum", "library", "school", "garden", "history", "music"]
+    hosts = [a + b for a, b in itertools.permutations(good, 2)]
+    urls = [f"http://{h}.example.com/en/{k}" for k, h in enumerate(hosts * 5 + ["casinowin", "winpoker"] * 20)] + ["http://gardenpokerschool.example.com/en/1", "http://winwin.example.com/en/1"]
+    rows = [(k, u, "<p>" + " ".join(good + ["casino", "win", "poker"]) + "</p>", 0.0, "k") for k, u in enumerate(urls)]
+    got = {rows[r.page_id][1]: r.verdict for r in U.judge(spark.createDataFrame(rows, SEEN), []).collect()}
+    assert (got[urls[-2]], got[urls[-1]]) == ("allow", "block")
+    assert {v for u, v in got.items() if "casinowin" in u or "winpoker" in u} == {"block"}
+    assert {v for u, v in got.items() if not re.search("win|poker", u)} == {"allow"}
+
+
+def test_frequent_keys_meet_as_rare_ones(spark, monkeypatch):
+    left = spark.createDataFrame([("a", k) for k in range(50)] + [(f"b{k}", k) for k in range(50)] + [(None, 7)], "key string, v long")
+    right = spark.createDataFrame([("a", "x"), ("b3", "y"), ("z", "q")], "key string, w string")
+    want = sorted(map(tuple, left.join(right, "key", "left").collect()), key=str)
+    for share in (1000, 10, 1):
+        monkeypatch.setattr(U, "HEAVY", share)
+        assert sorted(map(tuple, U.met(left, right, "key", U.heavy(left, "key")).collect()), key=str) == want

@@ -6,12 +6,17 @@ of a key is split into words by unigram Viterbi; the unigram counts come from
 the text of all pages.  A piece's possible words are looked up by a join, so no
 dictionary is collected or broadcast.
 
-Multinomial naive Bayes scores the words of host and path.  It learns from all
-urls without labels: seed words start as evidence for bad urls, and a few rounds
-of expectation and maximisation let the other words of bad urls gain weight and
-let seed words that keep good company lose it.  So a url without a seed may be
-blocked and one with a seed may pass.  Words are hashed to ``BUCKETS`` counters,
-which bounds the model that is broadcast; sums are whole numbers, so that a
+Multinomial naive Bayes scores the words of host and path.  No labels are given:
+seed words say at first which urls are more likely bad, and that is all they do.
+A round counts every word in likely bad and likely good urls, and the model that
+follows judges the urls anew.  In that judgement a url's own seed is no evidence:
+the strongest odds of a seed word in it are left out, so the verdict is that of
+its other words, which may be seeds too.  A url without a seed is blocked for the
+company its words keep, and one with a seed passes if its other words are good.
+
+Counts and odds are tables by word, and meet the urls' words by joins; words and
+hosts that hold more than a thousandth of a side (so at most a thousand) meet by
+broadcast.  Odds are whole millionths and shares whole thousandths, so that a
 rerun gives the same model.
 
 Defined results: a null url, or one without ``://``, has an empty host and path;
@@ -24,7 +29,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +36,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 1 << 18
 #: Substrings up to this length are looked up one by one, longer words by what they begin with.
 SHORT_WORD = 24
-#: Rounds of expectation and maximisation; first share of bad urls; first odds of a seed; url count that a seed stands for.
-ROUNDS, SHARE, SEED_ODDS, SEED_COUNT = 2, 0.05, 100.0, 20
+#: Rounds of expectation and maximisation; first share of bad urls; how much more likely bad a url with a seed is at first.
+ROUNDS, SHARE, SEED_ODDS = 2, 0.05, 100.0
+#: A key with a larger share of a table's rows is met by broadcast.
+HEAVY = 1000
+MICRO = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words that speak for an unwanted page, in the languages served.
 SEEDS = (
@@ -154,59 +160,75 @@ def tokens(keys: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS) -
     return keys.join(met, "key", "left").select("key", F.coalesce("words", F.expr("cast(array() as array<string>)")).alias("words"))
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def heavy(rows: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
+    """The keys with more than one ``HEAVY``th of all rows (or of their weight): fewer than ``HEAVY`` of them."""
+    sizes = C.stored(rows.groupBy(key).agg((F.count("*") if weight is None else F.sum(weight)).alias("n")), "sizes")
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    found = sizes.where(F.col("n") * HEAVY > total).select(key).collect()
+    return rows.sparkSession.createDataFrame([(r[key],) for r in found], f"`{key}` string")
 
 
-def seed_buckets(spark: SparkSession, seeds: tuple[str, ...]) -> list[int]:
-    """The seeds' counters, hashed as the words are."""
-    return sorted({r["b"] for r in spark.createDataFrame([(s,) for s in seeds], "word string").select(bucket(F.col("word")).alias("b")).collect()})
+def met(left: DataFrame, right: DataFrame, key: str, large: DataFrame) -> DataFrame:
+    """``left`` left-joined with ``right`` (a row a key) where the keys of ``large`` are frequent on the left."""
+    large = F.broadcast(large)
+    often = left.join(large, key, "left_semi").join(F.broadcast(right.join(large, key, "left_semi")), key, "left")
+    return often.unionByName(left.join(large, key, "left_anti").join(right, key, "left"))
+
+
+def odds_of(scored: Column) -> Column:
+    return F.rint(F.lit(1000.0) / (1 + F.exp(-F.greatest(F.least(scored, F.lit(50.0)), F.lit(-50.0))))).cast("long")
 
 
 class Bayes:
-    """Log likelihood ratio, bad to good, of each counter, and the prior log odds."""
-
-    def __init__(self, seeded: list[int]):
-        self.seeded, self.base = seeded, math.log(SHARE / (1 - SHARE))
-        self.odds = np.zeros(BUCKETS)
-        self.odds[seeded] = math.log(SEED_ODDS)
-
-    def score(self, buckets: pa.ListArray) -> np.ndarray:
-        """The sum over each list."""
-        n = pc.list_value_length(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
-        return np.bincount(np.repeat(np.arange(len(n)), n), self.odds[buckets.flatten().to_numpy()], len(n))
-
-    def learned(self, urls: DataFrame) -> Bayes:
-        """One round over ``buckets, n``: how bad each url is by this model, and the model that follows from it."""
-        sent = urls.sparkSession.sparkContext.broadcast(self)
-
-        def count(batches):
-            for batch in batches:
-                own, n = sent.value, batch.column("n").to_numpy()
-                bad = np.rint(1000 / (1 + np.exp(-np.clip(own.base + own.score(batch.column("buckets")), -50, 50))))
-                size = pc.list_value_length(batch.column("buckets")).to_numpy(zero_copy_only=False).astype(np.int64)
-                at, b = np.repeat(np.arange(len(n)), size), batch.column("buckets").flatten().to_numpy()
-                some, place = np.unique(b, return_inverse=True)
-                sums = [np.append(np.bincount(place, (n * x)[at], len(some)), (n * x).sum()).astype(np.int64) for x in (bad, 1000 - bad)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *map(pa.array, sums)], names=["b", "bad", "good"])
-
-        found = urls.mapInArrow(count, "b int, bad long, good long").groupBy("b").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
-        b, bad, good = (found.column(c).to_numpy() for c in ("b", "bad", "good"))
-        return self.of(self.seeded, b, bad / 1000, good / 1000)
-
-    @classmethod
-    def of(cls, seeded: list[int], b: np.ndarray, bad: np.ndarray, good: np.ndarray) -> Bayes:
-        """Add-one smoothed; a seed's own counter has ``SEED_COUNT`` bad urls more; row -1 has the number of urls."""
-        out, n = cls(seeded), np.zeros((BUCKETS, 2))
-        own = b >= 0
-        n[b[own]] = np.stack((bad[own], good[own]), axis=1)
-        used = n.sum(axis=1) > 0
-        total = n.sum(axis=0) + max(int(used.sum()), 1)
-        n[seeded, 0] += SEED_COUNT
-        p, used = (n + 1) / total, n.sum(axis=1) > 0
-        out.odds = np.where(used, np.log(p[:, 0] / p[:, 1]), 0.0)
-        out.base = math.log((bad[~own].sum() + 1) / (good[~own].sum() + 1))
-        return out
+    """The urls' words, and rounds of a multinomial model over them.
+
+    ``pairs`` has host, key and how many pages have both; ``known`` the words of
+    every host and key.
+    """
+
+    def __init__(self, pairs: DataFrame, known: DataFrame, seeds: tuple[str, ...]):
+        self.pairs = pairs
+        seeded = F.array(*map(F.lit, seeds)) if seeds else F.array().cast("array<string>")
+        self.keys = known.select("key", F.arrays_overlap("words", seeded).alias("seeded"))
+        self.words = C.stored(known.select("key", F.explode("words").alias("word")).withColumn("seed", F.array_contains(seeded, F.col("word"))), "key-words")
+        self.hosts, self.paths, self.often = heavy(pairs, "host"), heavy(pairs, "key"), heavy(self.words, "word")
+
+    def _of_pairs(self, of_key: DataFrame) -> DataFrame:
+        """``pairs`` with what their host (``h_``) and key (``k_``) has."""
+        own = [c for c in of_key.columns if c != "key"]
+        host = of_key.select(F.col("key").alias("host"), *[F.col(c).alias(f"h_{c}") for c in own])
+        path = of_key.select("key", *[F.col(c).alias(f"k_{c}") for c in own])
+        return met(met(self.pairs, host, "host", self.hosts), path, "key", self.paths)
+
+    def first(self) -> DataFrame:
+        """``host, key, n, bad``: thousandths by the seeds alone."""
+        bad = F.log(F.lit(SHARE / (1 - SHARE))) + F.when(F.col("h_seeded") | F.col("k_seeded"), math.log(SEED_ODDS)).otherwise(0.0)
+        return self._of_pairs(self.keys).select("host", "key", "n", odds_of(bad).alias("bad"))
+
+    def learned(self, judged: DataFrame) -> tuple[DataFrame, float]:
+        """``word, odds`` in millionths from urls with ``bad``, add-one smoothed, and the log odds before any word."""
+        judged = C.stored(judged, "judged")
+        mass = lambda c: judged.groupBy(F.col(c).alias("key")).agg(F.sum(F.col("n") * F.col("bad")).alias("bad"), F.sum(F.col("n") * (1000 - F.col("bad"))).alias("good"))
+        sums = mass("host").unionByName(mass("key")).groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        counts = C.stored(self.words.join(sums, "key").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
+        total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words")).first()
+        urls = judged.agg(F.sum(F.col("n") * F.col("bad")).alias("bad"), F.sum(F.col("n") * (1000 - F.col("bad"))).alias("good")).first()
+        side = lambda c: F.log((F.col(c) / 1000 + 1) / ((total[c] or 0) / 1000 + max(total["words"], 1)))
+        odds = counts.select("word", F.rint((side("bad") - side("good")) * MICRO).cast("long").alias("odds"))
+        return C.stored(odds, "odds"), math.log(((urls["bad"] or 0) / 1000 + 1) / ((urls["good"] or 0) / 1000 + 1))
+
+    def scored(self, odds: DataFrame) -> DataFrame:
+        """``key, odds, seed``: the sum over each key's words, and the strongest of its seeds."""
+        found = met(self.words, odds, "word", self.often).groupBy("key").agg(F.sum("odds").alias("odds"), F.max(F.when(F.col("seed"), F.col("odds"))).alias("seed"))
+        return C.stored(self.keys.select("key").join(found, "key", "left").select("key", F.coalesce("odds", F.lit(0)).alias("odds"), F.greatest(F.coalesce("seed", F.lit(0)), F.lit(0)).alias("seed")), "scored")
+
+    @staticmethod
+    def score(base: float) -> Column:
+        """The log odds of a url with what its host and key have; its strongest seed is left out."""
+        return F.lit(base) + (F.col("h_odds") + F.col("k_odds") - F.greatest("h_seed", "k_seed")) / MICRO
+
+    def judged(self, odds: DataFrame, base: float) -> DataFrame:
+        return self._of_pairs(self.scored(odds)).select("host", "key", "n", odds_of(self.score(base)).alias("bad"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, page_id: str = "page_id", url: str = "url", html: str = "html", rounds: int = ROUNDS) -> DataFrame:
@@ -217,21 +239,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]
     rows = rows.withColumn("key", F.regexp_replace(F.regexp_replace("path", "[0-9]+", "0"), r"[^\p{L}0-9]+", " "))
     pairs = C.stored(rows.groupBy("host", "key").agg(F.count("*").alias("n")), "pairs")
     keys = pairs.select(F.col("host").alias("key")).unionByName(pairs.select("key")).distinct()
-    known = C.stored(tokens(keys, C.stored(word_counts(pages, html), "words"), seeds).select("key", F.transform("words", bucket).alias("buckets")), "tokens")
-    host, path = [known.select(F.col("key").alias(k), F.col("buckets").alias(f"{k}_b")) for k in ("host", "key")]
-    urls = C.stored(pairs.join(host, "host").join(path, "key").select(F.concat("host_b", "key_b").alias("buckets"), "n"), "urls")
-    model = Bayes(seed_buckets(rows.sparkSession, seeds))
-    for _ in range(rounds):
-        model = model.learned(urls)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sent.value.score(batch.column("buckets")), pa.float64())], names=["key", "odds"])
-
-    odds = C.stored(known.mapInArrow(score, "key string, odds double"), "odds")
-    judged = rows.join(odds.select(F.col("key").alias("host"), F.col("odds").alias("ho")), "host").join(odds.select("key", F.col("odds").alias("po")), "key")
-    chosen = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", F.round(F.lit(model.base) + F.col("ho") + F.col("po"), 6))
+    known = C.stored(tokens(keys, C.stored(word_counts(pages, html), "words"), seeds), "tokens")
+    model = Bayes(pairs, known, seeds)
+    odds, base = model.learned(model.first())
+    for _ in range(rounds - 1):
+        odds, base = model.learned(model.judged(odds, base))
+    scored = model.scored(odds)
+    of = lambda name, tag: scored.select(F.col("key").alias(name), F.col("odds").alias(f"{tag}_odds"), F.col("seed").alias(f"{tag}_seed"))
+    large = [heavy(pairs, c, F.col("n")) for c in ("host", "key")]
+    judged = met(met(rows, of("host", "h"), "host", large[0]), of("key", "k"), "key", large[1])
+    chosen = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", F.round(Bayes.score(base), 6))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return chosen.select("page_id", "host", "path", F.col("fit")["rule"].alias("rule"), F.coalesce(F.col("fit")["verdict"], own).alias("verdict"), "score")
 
