@@ -59,3 +59,12 @@ def test_scores_of_a_fixed_network(spark, monkeypatch):
     rows = [*ODD[:2], (20, "A line! Of 12 words?\nA line! Of 12 words?\n<b> & $5 the the the", "en"), (21, "Été À la carte " * 30, "fr"), (22, "x", "en")]
     got = {r.doc_id: r.score for r in Q.classify(docs(spark, rows), spark.createDataFrame([(20, 1)], "doc_id long, quality int"), F.lit(True)).collect()}
     assert all(abs(got[i] - plain_score(t, net)) < 1e-9 for i, t, _ in rows)
+
+
+def test_sample_is_bounded_and_the_same_on_every_run(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), *[(F.col("id") % (k + 2)).alias(c) for k, c in enumerate(Q.COUNTS)])
+    one, two = Q.sampled(rows, 500), Q.sampled(rows.repartition(17), 500)
+    assert len(one) == 500 and one["doc_id"].tolist() == two["doc_id"].tolist()
+    exact = rows.orderBy(F.xxhash64("doc_id", *Q.COUNTS), "doc_id").limit(500).toPandas()
+    assert one["doc_id"].tolist() == exact["doc_id"].tolist()
+    assert len(Q.sampled(rows.limit(30), 500)) == 30 and len(Q.sampled(rows.limit(0), 500)) == 0

@@ -134,14 +134,24 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> Netwo
     return net
 
 
+def sampled(rows: DataFrame, most: int, spare: float = 1.2):
+    """At most ``most`` rows of least hash, collected.
+
+    The share of hashes that holds about ``spare`` times as many is taken first, so
+    what the tasks send on is bounded too, whatever their number.
+    """
+    share = min(1.0, spare * most / max(rows.count(), 1))
+    drawn = rows.withColumn("__h", F.xxhash64("doc_id", *COUNTS)).where(F.col("__h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    return drawn.orderBy("__h", "doc_id").limit(most).drop("__h").toPandas()
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, score`` of every row; rows where ``learn`` (a condition on doc_id) is false teach nothing."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counted = C.stored(base_counts(rows, ["doc_id"]), "features")
     marks = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("label")).where("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     known = counted.where(learn & F.col("doc_id").isNotNull()).join(marks, "doc_id", "left")
-    few = lambda part: part.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(train_rows).toPandas()
-    p, u = few(known.where("label = 1")), few(known.where("label is null"))
+    p, u = sampled(known.where("label = 1"), train_rows), sampled(known.where("label is null"), train_rows)
     matrix = lambda pdf: features({c: pdf[c].to_numpy() for c in COUNTS})
     sent = rows.sparkSession.sparkContext.broadcast(fit(matrix(p), matrix(u)))
 
