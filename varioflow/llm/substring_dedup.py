@@ -13,6 +13,11 @@ finds each hash's least document and returns the places in others.  Places come
 together by document shard, merge into maximal intervals and meet the texts in
 an equi-join.
 
+Ranges and shards grow with the corpus, and a chunk would fall apart into blobs
+of a few windows.  So there are at most ``COARSE`` blobs of a chunk: beyond that
+many ranges, blobs go to coarse ranges first, where those of many chunks are
+laid together and split anew.
+
 Defined results: null, empty and short texts lose nothing; rows of one id are
 one document, so repeated rows do not count against each other and lose alike
 (an id must not stand for two texts); rows with
@@ -34,7 +39,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 13
-LOW7 = np.uint64((1 << 56) - 1)
+#: Blobs of a chunk at most; a power of two from 256 on, so that a coarse range tells the highest byte of its hashes.
+COARSE = 4096
+#: Bytes of blobs that a task lays together before it splits them.
+GATHERED = 64 << 20
 
 
 def window_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +66,88 @@ def unpacked_places(docs: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray,
     return np.repeat(np.frombuffer(docs, "<i8"), n), C.unplanes(at, len(at) // 4, 4).astype(np.int64)
 
 
+def shard_of(doc: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each document, by hash: ids may come in steps."""
+    return C.range_of(C.mixed(doc.astype(np.uint64)), shards)
+
+
+def nested(ranges: int) -> tuple[int, int]:
+    """Coarse and fine numbers of ranges: one and the same up to ``COARSE``, else a multiple."""
+    return (ranges, ranges) if ranges <= COARSE else (COARSE, COARSE * -(-ranges // COARSE))
+
+
+def _split_places(rows: list[tuple], fine: int):
+    """Blobs of places of one coarse shard, by fine shard."""
+    places = [unpacked_places(*x) for x in rows]
+    doc, at = np.concatenate([x[0] for x in places]), np.concatenate([x[1] for x in places])
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    return [(part, packed_places(doc[x], at[x])) for part, x in _by(shard_of(doc, fine))]
+
+
+def _split_windows(coarse: int, part: int, rows: list[tuple], fine: int):
+    """Blobs of windows of one coarse range, by fine range."""
+    h = np.concatenate([C.unplanes(x[0], len(x[0]) // 7, 7) for x in rows]) | np.uint64((part * 256 // coarse) << 56)
+    places = [unpacked_places(*x[1:]) for x in rows]
+    doc, at = np.concatenate([x[0] for x in places]), np.concatenate([x[1] for x in places])
+    own = C.range_of(h, fine)
+    order = np.lexsort((at, doc, own))
+    h, doc, at, own = h[order], doc[order], at[order], own[order]
+    starts = C.group_starts(own)
+    return [(int(own[x]), (C.planes(h[x:y], 7), *packed_places(doc[x:y], at[x:y]))) for x, y in zip(starts, np.append(starts[1:], len(own)))]
+
+
+def _laid_together(coarse: int, fine: int, gathered: int):
+    """Blobs of coarse ranges to fine ones; what is settled passes on."""
+
+    def run(batches):
+        held, size = {}, 0
+
+        def flush():
+            out = [(own, -1, *blob) for part, rows in held.items() for own, blob in _split_windows(coarse, part, rows, fine)]
+            held.clear()
+            return _arrow(out)
+
+        for batch in batches:
+            settled = []
+            for part, shard, *blob in zip(*[c.to_pylist() for c in batch.columns]):
+                if shard >= 0:
+                    settled.append((part, shard, *blob))
+                    continue
+                held.setdefault(part, []).append(blob)
+                size += sum(map(len, blob))
+                if size > gathered:
+                    yield from flush()
+                    size = 0
+            yield from _arrow(settled)
+        yield from flush()
+
+    return run
+
+
+def _shards_laid_together(shards: int, gathered: int):
+    def run(batches):
+        held, size = {}, 0
+
+        def flush():
+            out = [(own, *blob) for rows in held.values() for own, blob in _split_places(rows, shards)]
+            held.clear()
+            for s in range(0, len(out), 256):
+                columns = list(zip(*out[s : s + 256]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 3)], names=["shard", "docs", "counts", "starts"])
+
+        for batch in batches:
+            for shard, *blob in zip(*[c.to_pylist() for c in batch.columns]):
+                held.setdefault(shard, []).append(blob)
+                size += sum(map(len, blob))
+                if size > gathered:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
 def _spread(k: int, ranges: int, shards: int):
     """Chunks to packed windows by hash range, and what the chunk settles itself by shard."""
 
@@ -76,7 +166,7 @@ def _spread(k: int, ranges: int, shards: int):
             d, a = doc[repeated], at[repeated]
             order = np.lexsort((a, d))
             d, a = d[order], a[order]
-            for part, x in _by(d % shards):
+            for part, x in _by(shard_of(d, shards)):
                 # what is settled passes through the range of its shard's number
                 out.append((part % ranges, part, None, *packed_places(d[x], a[x])))
             h, doc, at = h[~repeated], doc[~repeated], at[~repeated]
@@ -107,6 +197,7 @@ def _arrow(rows: list[tuple]):
 
 
 PACKED = "part int, shard int, hashes binary, docs binary, counts binary, starts binary"
+PLACES = "shard int, docs binary, counts binary, starts binary"
 
 
 def _counted(shards: int):
@@ -127,7 +218,7 @@ def _counted(shards: int):
             doc, at = doc[repeated], at[repeated]
             order = np.lexsort((at, doc))
             doc, at = doc[order], at[order]
-            found = [(part, *packed_places(doc[x], at[x])) for part, x in _by(doc % shards)]
+            found = [(part, *packed_places(doc[x], at[x])) for part, x in _by(shard_of(doc, shards))]
             out.append(pd.DataFrame(found, columns=["shard", "docs", "counts", "starts"]))
         return pd.concat(out, ignore_index=True)
 
@@ -158,15 +249,19 @@ def _intervals(k: int):
 def removal_intervals(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, starts, ends``: word intervals to remove, for documents that have any."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = C.hash_ranges(rows, "text")
+    return _intervals_of(rows, window, C.hash_ranges(rows, "text"))
+
+
+def _intervals_of(rows: DataFrame, window: int, ranges: int, gathered: int = GATHERED) -> DataFrame:
     # a shard holds the places of about as many windows as a range
-    return (
-        rows.mapInArrow(_spread(window, ranges, ranges), PACKED)
-        .groupBy("part")
-        .applyInPandas(_counted(ranges), "shard int, docs binary, counts binary, starts binary")
-        .groupBy("shard")
-        .applyInPandas(_intervals(window), "doc_id long, starts array<long>, ends array<long>")
-    )
+    coarse, fine = nested(ranges)
+    spread = rows.mapInArrow(_spread(window, coarse, coarse), PACKED)
+    if fine > coarse:
+        spread = spread.repartition(coarse, "part").mapInArrow(_laid_together(coarse, fine, gathered), PACKED)
+    places = spread.groupBy("part").applyInPandas(_counted(coarse), PLACES)
+    if fine > coarse:
+        places = places.repartition(coarse, "shard").mapInArrow(_shards_laid_together(fine, gathered), PLACES)
+    return places.groupBy("shard").applyInPandas(_intervals(window), "doc_id long, starts array<long>, ends array<long>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
