@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varioflow.functions import geo, units
-from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, segments, task
+from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, quality, segments, task
 from varioflow.bench import queries
 from varioflow.plans import debrief, sinks
 from varioflow.sources import kept, logs
@@ -393,6 +393,73 @@ def test_a_replaced_table_gets_its_own_answer(spark, tmp_path):
     assert headers() == {"S0", "S1"}
 
 
+def test_turn_rate_keeps_its_sign_round_a_full_circle(spark):
+    """A right-hand circle of 100 m, nine degrees a second, across north."""
+    texts, metre = [], 1 / 6371000 / math.radians(1)
+    for k in range(80):
+        bearing = math.radians(350 + 9 * k)
+        north, west = 51.5 + 100 * math.cos(bearing) * metre, 1.5 - 100 * math.sin(bearing) * metre / math.cos(math.radians(51.5))
+        place = lambda v, w: f"{int(v):0{w}d}{round((v - int(v)) * 60000):05d}"
+        texts.append(f"B09{k // 60:02d}{k % 60:02d}{place(north, 2)}N{place(west, 3)}WA00500{500 + k:05d}")
+    fixes = kinematics.add_kinematics(parse.fixes(lines(spark, *texts))).orderBy("idx").collect()
+    assert len(fixes) == 80
+    assert all(abs(f.tr) < 90 for f in fixes if f.tr is not None)
+    assert all(5 < f.trs < 13 for f in fixes[6:-6])
+
+
+def test_legs_by_hand(spark):
+    """Twelve steps of 10 s east at 30 m/s in a wind of 10 m/s from the west, half of them rising against the polar."""
+    polar = spark.createDataFrame([("f", 0.5, 0.0, 0.001)], "flight_id string, c0 double, c1 double, c2 double")
+    steps = [(k, 10, 300.0, 30.0, 0.0, 1.0 if k < 6 else -2.0, True) for k in range(12)] + [(12, 0, 0.0, 0.0, 0.0, 0.0, False)]
+    kin = spark.createDataFrame([("f", 5, k, dt, step, vx, vy, vz, good, 0) for k, dt, step, vx, vy, vz, good in steps], "flight_id string, run_id int, idx long, dt long, step double, vx double, vy double, vz double, good boolean, alt int")
+    leg = spark.createDataFrame([("f", 5, 1, 0, 12, 100, 220, 500, 440)], "flight_id string, run_id int, leg int, a long, b long, t_a long, t_b long, alt_a int, alt_b int")
+    wind = spark.createDataFrame([("f", 10.0, 0.0)], "flight_id string, wx double, wy double")
+    r = legs.analyse_legs(kin, leg, polar, wind).first()
+    assert (r.distance_m, r.dh_m, r.duration_s, r.sampled_s, r.ld_over_ground) == (3600.0, -60, 120, 120, 60.0)
+    assert r.mean_ias_kmh == pytest.approx(72.0) and r.sd_ias_kmh == pytest.approx(0.0)
+    assert r.mean_airmass_ms == pytest.approx((1.9 - 1.1) / 2) and r.frac_rising_air == 0.5
+    still = legs.analyse_legs(kin, leg, polar, wind.limit(0)).first()
+    assert still.mean_ias_kmh == pytest.approx(108.0)
+    bare = legs.analyse_legs(kin, leg, polar.limit(0), wind).first()
+    assert bare.mean_airmass_ms is None and bare.frac_rising_air is None and bare.distance_m == 3600.0
+
+
+def test_leg_kinds_by_hand(spark):
+    leg = lambda n, a, b, dh, took, end: ("f", n, a, b, dh, took, end)
+    rows = [leg(1, 0, 100, -400, 500, 1500), leg(2, 120, 200, -800, 1000, 300), leg(3, 200, 230, -290, 200, 10)]
+    df = spark.createDataFrame(rows, "flight_id string, leg int, a long, b long, dh_m int, duration_s long, alt_end_m int")
+    ends = spark.createDataFrame([("f", 0, True)], "flight_id string, last_alt int, landed boolean")
+    kinds = lambda entry, **more: [r.kind for r in legs.leg_kinds(df, spark.createDataFrame([("f", entry)], "flight_id string, entry long"), ends, **more).orderBy("leg").collect()]
+    assert kinds(200) == ["cruise", "final glide", "circuit"]
+    assert kinds(None) == ["cruise", "cruise", "circuit"] == kinds(200, split_circuit=False)
+    shallow = df.withColumn("duration_s", F.lit(2000).cast("long"))  # soaring down is no glide home
+    assert [r.kind for r in legs.leg_kinds(shallow, spark.createDataFrame([("f", 200)], "flight_id string, entry long"), ends).orderBy("leg").collect()] == ["cruise", "cruise", "circuit"]
+
+
+def test_wind_by_hand(spark):
+    stats = spark.createDataFrame([("f", 10, 3.0, 4.0, 3.0), ("f", 20, 0.0, 8.0, 1.5), ("f", 30, 50.0, 50.0, 1.4), ("g", 5, 1.0, 0.0, 1.0)], "flight_id string, start long, drift_vx double, drift_vy double, circles double")
+    [w] = climbs.estimate_wind(climbs.wind_estimates(stats)).collect()
+    assert (w.flight_id, w.wx, w.wy) == ("f", pytest.approx(2.0), pytest.approx(16 / 3))
+    assert w.speed_ms == pytest.approx(math.hypot(2, 16 / 3)) and w.from_deg == pytest.approx(math.degrees(math.atan2(-2, -16 / 3)) % 360)
+    assert w.spread_ms == pytest.approx(3.0) and not w.unreliable
+
+
+def test_flag_texts(spark):
+    summary = spark.createDataFrame([("a", 5.0, 75, 2, 100, 1000, "GNSS", True), ("b", 1.0, 75, 1, 75, 1500, "pressure", False), ("c", 1.0, 30, 2, 50, 500, "pressure", False)], "flight_id string, median_interval_s double, largest_gap_s long, gaps_over_20s long, gap_total_s long, duration_s long, altitude_source string, coarse boolean")
+    warnings = spark.createDataFrame([("a", "columns")], "flight_id string, warning string")
+    matched = spark.createDataFrame([("a", "none for it", False), ("b", "matched it", True), ("c", "matched it", True)], "flight_id string, note string, matched boolean")
+    starts = spark.createDataFrame([("a", "winch", False), ("b", "no launch here", False), ("c", "aerotow", True)], "flight_id string, type string, confident boolean")
+    wind = spark.createDataFrame([("b", True, 5.2)], "flight_id string, unreliable boolean, spread_ms double")
+    got = {}
+    for r in quality.quality_flags(summary, warnings, matched, starts, wind).collect():
+        got.setdefault(r.flight_id, {})[r.code] = (r.severity, r.detail)
+    assert got == {
+        "a": {"parser": ("warn", "columns"), "coarse": ("warn", "median interval 5.0 s"), "altitude": ("note", "GNSS"), "polar": ("warn", "none for it"), "release_estimated": ("warn", "winch")},
+        "b": {"long_gap": ("warn", "1:15"), "altitude": ("note", "pressure"), "polar": ("note", "matched it"), "wind_unreliable": ("warn", "10 kt")},
+        "c": {"gaps": ("note", "2 0:50 10.0%"), "altitude": ("note", "pressure"), "polar": ("note", "matched it")},
+    }
+
+
 def test_motion_is_planned_once(spark):
     d = debrief.Debrief(lines(spark, B))
     assert d.legs.count() == 0

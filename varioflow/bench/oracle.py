@@ -45,16 +45,24 @@ def _absorb(n: int) -> list[tuple[str, str]]:
     ]
 
 
-def _keys() -> str:
-    rows = [(m.replace("-", "").replace(" ", ""), k) for k, g in enumerate(GLIDERS) for m in g[1]]
+def _keys(gliders) -> str:
+    rows = [(m.replace("-", "").replace(" ", ""), k) for k, g in enumerate(gliders) for m in g[1]]
     return ", ".join(f"('{m}', {k})" for m, k in rows)
 
 
-def _polars() -> str:
-    rows = [(k, *g) for k, g in enumerate(GLIDERS)] + [(-1, *DEFAULT)]
+def _polars(gliders) -> str:
+    rows = [(k, *g) for k, g in enumerate(gliders)] + [(-1, *DEFAULT)]
     return ", ".join(f"({k}, '{n}', {ld}e0, {v}e0)" for k, n, _, ld, v, _ in rows)
 
 
+def polar_steps(gliders) -> dict[str, str]:
+    """The steps that hold the polar table."""
+    return {
+        "keys": f"select * from (values {_keys(gliders)}) v(key, g)",
+        "pol0": f"select *, kmh / 3.6e0 as v, (kmh / 3.6e0) / ld / 0.5e0 as ca, floor(kmh * 0.75e0 + 0.5e0) as v0, floor(kmh + 0.5e0) as v1, floor(kmh * 1.5e0 + 0.5e0) as v2 from (values {_polars(gliders)}) p(g, name, ld, kmh)",
+    }
+
+
 _SUM, _COUNT = _lags()
 _BEFORE = "over (partition by k order by i rows between unbounded preceding and 1 preceding)"
 _AT = "(3100000 + ({0} * 7919 + k * 37) % 20000)", "(100000 + ({0} * 104729 + k * 53) % 40000)"
@@ -107,9 +115,9 @@ CHAIN: list[tuple[str, str]] = [
     ("best", "select bw.flight_id, bw.run_id, max(case when e.t - bw.t >= 24 then (e.alt - bw.alt) * 1e0 / (e.t - bw.t) end) as best_30s_ms from bw join seg e on e.flight_id = bw.flight_id and e.idx = coalesce(bw.j, bw.last_) group by 1, 2"),
     ("ph", "select s.flight_id, \"end\", release_t, greatest(1, \"end\" - release_t) as soaring_s, coalesce((select sum(t_b - t_a) from runs r where r.flight_id = s.flight_id and r.circ and r.t_a >= l.release_t), 0)::bigint as circling_s, coalesce((select sum(alt_b - alt_a) from cr where cr.flight_id = s.flight_id), 0)::bigint as gain_circling_m, (select min(alt_a) from cr where cr.flight_id = s.flight_id) as band_bottom_m, (select max(alt_b) from cr where cr.flight_id = s.flight_id) as band_top_m from summary s join launch l using (flight_id)"),
     ("types", "select 'F' || s_suppkey as flight_id, s_suppkey::bigint as k, case s_suppkey % 6 " + " ".join(f"when {n} then '{x}'" for n, x in enumerate(TYPES)) + " end as glider_type from supplier"),
-    ("keys", f"select * from (values {_keys()}) v(key, g)"),
+    ("keys", polar_steps(GLIDERS)["keys"]),
     ("hits", "select flight_id, glider_type, (select g from keys where contains(replace(replace(lower(coalesce(glider_type, '')), '-', ''), ' ', ''), key) order by length(key) desc, g limit 1) as g from types"),
-    ("pol0", f"select *, kmh / 3.6e0 as v, (kmh / 3.6e0) / ld / 0.5e0 as ca, floor(kmh * 0.75e0 + 0.5e0) as v0, floor(kmh + 0.5e0) as v1, floor(kmh * 1.5e0 + 0.5e0) as v2 from (values {_polars()}) p(g, name, ld, kmh)"),
+    ("pol0", polar_steps(GLIDERS)["pol0"]),
     ("pol1", "select *, round(ca - 1.5e0 * ca / v * (v0 / 3.6e0) + ca / (v * v) * (v0 / 3.6e0) * (v0 / 3.6e0), 3) as s0, round(ca - 1.5e0 * ca / v * (v1 / 3.6e0) + ca / (v * v) * (v1 / 3.6e0) * (v1 / 3.6e0), 3) as s1, round(ca - 1.5e0 * ca / v * (v2 / 3.6e0) + ca / (v * v) * (v2 / 3.6e0) * (v2 / 3.6e0), 3) as s2 from pol0"),
     ("pol2", "select *, ((s2 - s1) / ((v2 - v1) / 3.6e0) - (s1 - s0) / ((v1 - v0) / 3.6e0)) / ((v2 - v0) / 3.6e0) as c2 from pol1"),
     ("pol3", "select *, (s1 - s0) / ((v1 - v0) / 3.6e0) - c2 * (v0 + v1) / 3.6e0 as c1 from pol2"),

@@ -15,6 +15,7 @@ from ..plans import sinks
 from ..sources import kept, logs
 from ..plans.debrief import Debrief, Options
 from ..plans.export import bundle_name, flight_documents
+from . import oracle
 from .oracle import sql
 from .trace_binding import DATE
 from .trace_binding import log_lines as derived_lines
@@ -23,13 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, changed: dict[str, str] | None = None):
+def query(text: str | None = None, changed: dict[str, str] | None = None):
     """Register a function under its own name; doubles are rounded alike on both sides."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = sql(oracle, changed)
+        if text:
+            ORACLES[f.__name__] = sql(text, changed)
         return f
 
     return add
@@ -481,6 +482,33 @@ def flight_json_values(spark, sf_dir):
     return out
 
 
+@query("""
+select flight_id, flight_id || '.igc' as filename, 't,altM,lat,lon,circling' as columns, count(*) as n, min(t) as first_t, max(t) as last_t, sum(alt)::bigint as alt_sum, sum(round(round(lat, 5) * 100000)::bigint)::bigint as lat_sum, sum(round(round(lon, 5) * 100000)::bigint)::bigint as lon_sum, count(case when circ then 1 end) as circling,
+  bool_and(ordered) as ordered from (select *, t >= coalesce(lag(t) over (partition by flight_id order by idx), 0) as ordered from seg) group by 1""")
+def documents_with_profiles(spark, sf_dir):
+    """Documents that name their file and hold every fix, read back from the JSON text."""
+    made = kept.stored(flight_documents(debrief(spark, sf_dir), "2024-01-02T00:00:00Z", F.concat("flight_id", F.lit(".igc")), include_profile=True), "documents")
+    d = made.select("flight_id", F.from_json("document", "source struct<filename:string>, profile array<array<double>>, profileColumns array<string>").alias("d")).select("flight_id", "d.*")
+    column = lambda k: F.transform("profile", lambda p: p[k])
+    total = lambda k, unit: F.aggregate("profile", F.lit(0).cast("long"), lambda acc, p: acc + F.round(p[k] * unit).cast("long"))
+    return d.select(
+        "flight_id", "source.filename", F.array_join("profileColumns", ",").alias("columns"), F.size("profile").cast("long").alias("n"), F.array_min(column(0)).cast("long").alias("first_t"), F.array_max(column(0)).cast("long").alias("last_t"),
+        total(1, 1).alias("alt_sum"), total(2, 100000).alias("lat_sum"), total(3, 100000).alias("lon_sum"), total(4, 1).alias("circling"), (column(0) == F.sort_array(column(0))).alias("ordered"),
+    )
+
+
+OWN = ("Club Twin", ["ask-2", "slingsby"], 31.5, 88.0, 0.7)
+_FEWER = [g for g in polars.GLIDERS if g[0] not in ("ASK 21", "Duo Discus")] + [OWN]
+
+
+@query("select l.flight_id, leg, name, matched, " + r("best_ld", "mean_airmass_ms", "frac_rising_air") + " from legs l join pm using (flight_id)", oracle.polar_steps(_FEWER))
+def legs_with_own_polars(spark, sf_dir):
+    """Legs where a table of one's own takes the bundled one's place: two entries fewer, one more."""
+    own = polars.bundled(spark, _FEWER)
+    d = Debrief(log_lines(spark, sf_dir), Options(polar_table=own))
+    return rounded(d.legs.join(d.polars.select("flight_id", "name", "matched", "best_ld"), "flight_id").select("flight_id", "leg", "name", "matched", "best_ld", "mean_airmass_ms", "frac_rising_air"))
+
+
 def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A date per flight: its own, moved by up to four days so that there are several, and none for every ninth."""
     k = F.substring("flight_id", 2, 20).cast("long")

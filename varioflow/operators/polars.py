@@ -50,9 +50,9 @@ DEFAULT = ("generic 38:1 glass single-seater", [], 38, 98, 0.62)
 PUBLISHED = "struct<best_ld:double,best_ld_kmh:double,min_sink_ms:double>"
 
 
-def bundled(spark: SparkSession) -> DataFrame:
-    """The bundled table: name, match, published, points, db_order, is_default."""
-    rows = [(g[0], g[1], tuple(map(float, g[2:])), k, False) for k, g in enumerate(GLIDERS)] + [(DEFAULT[0], [], tuple(map(float, DEFAULT[2:])), 1 << 30, True)]
+def bundled(spark: SparkSession, gliders: list[tuple] = GLIDERS) -> DataFrame:
+    """The bundled table, or one of other gliders: name, match, published, points, db_order, is_default."""
+    rows = [(g[0], g[1], tuple(map(float, g[2:])), k, False) for k, g in enumerate(gliders)] + [(DEFAULT[0], [], tuple(map(float, DEFAULT[2:])), 1 << 30, True)]
     table = spark.createDataFrame(rows, f"name string, match array<string>, published {PUBLISHED}, db_order long, is_default boolean")
     return table.withColumn("points", derived_points(F.col("published"))).select("name", "match", "published", "points", "db_order", "is_default")
 

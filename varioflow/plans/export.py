@@ -36,8 +36,11 @@ def bundle_name(date: Column, registration: Column, kind: Column) -> Column:
     return F.concat(F.when(slug == "", "flight").otherwise(slug), F.lit("-igc-analysis"))
 
 
-def flight_documents(d: Debrief, generated_at: str, filename: str | None = None, include_profile: bool = False) -> DataFrame:
-    """``flight_id, document``: every documented key is present, absent values are null, SI units."""
+def flight_documents(d: Debrief, generated_at: str, filename: str | Column | None = None, include_profile: bool = False) -> DataFrame:
+    """``flight_id, document``: every documented key is present, absent values are null, SI units.
+
+    ``filename`` is one name, or a column over flight_id; ``include_profile`` adds every fix as ``[t, altM, lat, lon, circling]``.
+    """
     lit = lambda v: F.lit(v).cast("string")
     circle = lambda p: F.struct(p["k"].alias("index"), zulu(p["start"]).alias("startTime"), p["duration_s"].alias("durationS"), p["gain_m"].alias("gainM"), _r(p["climb_ms"], 3).alias("climbMs"), p["alt_m"].alias("altM"))
     thick = lambda c, k: geometry_or_null(F.col("circles"), _r(c, k))
@@ -72,7 +75,7 @@ def flight_documents(d: Debrief, generated_at: str, filename: str | None = None,
     document = [
         F.lit(SCHEMA_VERSION).alias("schemaVersion"),
         F.struct(lit("varioflow").alias("name"), lit(None).alias("url"), lit(generated_at).alias("generatedAt")).alias("generator"),
-        F.struct(lit(filename).alias("filename"), c("logger_id").alias("loggerId"), c("logger"), c("gps"), c("altitude_source").alias("altitudeSource")).alias("source"),
+        F.struct((filename if isinstance(filename, Column) else lit(filename)).alias("filename"), c("logger_id").alias("loggerId"), c("logger"), c("gps"), c("altitude_source").alias("altitudeSource")).alias("source"),
         F.struct(
             c("date"), F.struct(c("glider_type").alias("type"), c("glider_id").alias("registration"), empty_as_null(c("competition_id")).alias("competitionId")).alias("glider"), empty_as_null(c("pilot")).alias("pilot"), empty_as_null(c("crew2")).alias("crew2"),
             zulu(c("start")).alias("startTime"), zulu(c("end")).alias("endTime"), instant(c("date"), c("start")).alias("startInstant"), instant(c("date"), c("end")).alias("endInstant"), c("duration_s").alias("durationS"), _r("track_distance_m", 1).alias("trackDistanceM"), c("max_alt_m").alias("maxAltitudeM"), c("landed"),
@@ -89,7 +92,7 @@ def flight_documents(d: Debrief, generated_at: str, filename: str | None = None,
         F.struct(*[lit(v).alias(k) for k, v in FIGURES.items()]).alias("figures"),
     ]
     if include_profile:
-        profile = _listed(d.profile.withColumn("__n", F.monotonically_increasing_id()), ["t", "__n"], "profile", [c("t"), c("alt_m").alias("altM"), c("lat"), c("lon"), c("circling").cast("int").alias("circling")])
+        profile = _listed(d.fixes, ["idx"], "profile", [c("t"), c("alt").alias("altM"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), c("circ").cast("int").alias("circling")])
         f = f.join(profile, "flight_id", "left")
         document += [F.transform("profile", lambda p: F.array(*[p[k].cast("double") for k in ("t", "altM", "lat", "lon", "circling")])).alias("profile"), F.array(*map(lit, ("t", "altM", "lat", "lon", "circling"))).alias("profileColumns")]
     return f.select("flight_id", bundle_name(c("date"), c("glider_id"), c("glider_type")).alias("bundle"), F.to_json(F.struct(*document), {"ignoreNullFields": "false"}).alias("document"))
