@@ -17,14 +17,21 @@ or without, and so are initials before them.  A word has one surrogate in all
 documents (a given name one for each gender its titles tell, and none of its own
 for a title without gender, if the corpus tells one gender), so "Mrs Jane Roe",
 "Jane Roe", "Dr. Roe" and "Roe" stay one person.  Initials are shifted by the
-key.  Names that no title ever introduces in a document are not found.
+key.  Names that no title ever introduces in a document are not found, and a
+name that is a ``COMMON`` word too (Brown, May) only beside a title, an initial
+or another word of the name.  A given name's gender shows in its ending.
 
 A secret is what follows ``password``, ``passwd``, ``pwd``, ``secret``, ``token``,
-``api_key`` or ``apikey`` and ``=`` or ``:``, of any length: in quotes all up to
+``api_key`` or ``apikey``, quoted or not, and ``=`` or ``:``, of any length: in quotes all up to
 the closing quote of the line, else all up to white space or a quote that ends
 a word, less the punctuation at its end.  Letters and digits are replaced and
 signs stay, unless it has only signs.  Without quotes, one sign repeated
-(a blank to fill in) or signs that end a sentence are no secret.
+(a blank to fill in) or signs that end a sentence are no secret.  Access key ids
+and what follows ``Bearer`` are secrets too.
+
+Telephone numbers are those of three, three and four digits, international ones
+and the national forms of Germany and France; the last nine digits tell whether
+a national and an international spelling are one number.
 
 The texts are scanned once and written with what was found; texts without an
 entity pass through, only texts with one are shuffled, and the entity join is a
@@ -37,13 +44,15 @@ empty one; of the input only the named columns are used.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 # Entity patterns, in order of precedence.
-KEY = r"\b(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}"
+KEY = r"\b(?:password|passwd|pwd|secret|token|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}"
 #: Of a value without quotes: what it is made of, and what only belongs to it if more follows.
 CORE, TAIL = r"[^\s\"'.,;:!?)\]}>]", r"[.,;:!?)\]}>]"
 #: A letter or digit, or else two unlike signs: a rule of dashes or a blank is no value.
@@ -52,6 +61,7 @@ VALUE = rf"(?![\"'])(?=\S*[\p{{L}}\p{{N}}]|(?<sign>\S)\k<sign>*+\S)(?:{CORE}++|{
 SECRET = (
     rf"(?<=[=:\"'\s])(?:(?<=(?i:{KEY})\")(?!\s)(?:[^\"\\\r\n]++|\\.)++(?=\")|(?<=(?i:{KEY})')(?!\s)(?:[^'\\\r\n]++|\\.)++(?=')"
     rf"|(?<=(?i:{KEY})[\"']?){VALUE})"
+    r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16,}+|(?<=\b[Bb]earer )(?=[A-Za-z._~+/\-]*+\d)[A-Za-z0-9._~+/\-]{20,}+=*+"
 )
 #: From the start of its run of characters, so that a long run is read once; a host has at most 127 labels.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,63}"
@@ -61,6 +71,11 @@ IP6 = rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{
 CARD = r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?![\d])"
 SSN = r"(?<![\d\-.])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+#: International, German and French numbers of eight to fifteen digits.
+TEL = (
+    r"(?<![\w.+])(?:(?=\+(?:[ .\-/()]{0,2}\d){8,15}(?!\d))\+\d{1,3}(?:[ .\-/]?\(?\d{1,12}\)?){1,6}"
+    r"|0[1-9](?<sep>[ .\-])\d{2}(?:\k<sep>\d{2}){3}|\(?0[1-9]\d{1,3}\)?[ /\-]\d{5,8})(?![\d])"
+)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dame|Lady|г-жа"
@@ -72,10 +87,20 @@ WORD = r"\p{Lu}[\p{L}\p{M}'\-]++"
 BEFORE = r"(?:\p{Lu}\. ?)*+(?:(?:von|van|de|der|den|del|di|da|du|la|le|zu) )*+"
 NAME = rf"(?<![\p{{L}}]){TITLE}{BEFORE}{WORD}(?: {BEFORE}{WORD}){{0,2}}"
 #: All kinds but names.
-PLAIN = "|".join((SECRET, EMAIL, IBAN, IP6, CARD, SSN, PHONE, IP))
+PLAIN = "|".join((SECRET, EMAIL, IBAN, IP6, CARD, SSN, PHONE, TEL, IP))
 #: What any entity must contain; a cheap first look.
 HINT = rf"[0-9@=:]|{FEMALE}|{MALE}|{NEUTRAL}"
 
+#: Names that are common words as well, written with a capital in the languages served.
+COMMON = (
+    "april", "august", "best", "bishop", "black", "blue", "brown", "day", "friday", "good", "gray", "green", "grey", "june", "king", "little", "long", "march", "may", "monday", "pope", "prince", "rich", "rose", "sharp", "short", "small", "strong", "summer", "sunday", "white", "winter", "wise", "young",
+    "abend", "braun", "freitag", "grau", "grün", "herbst", "juli", "juni", "kaiser", "kurz", "könig", "lang", "mai", "montag", "morgen", "märz", "schwarz", "sommer", "sonntag", "weiß",
+    "août", "avril", "blanc", "bon", "dimanche", "grand", "juin", "lundi", "mars", "noir", "petit", "roi", "vendredi",
+    "abril", "agosto", "blanco", "bueno", "domingo", "lunes", "mayo", "negro", "rey", "viernes",
+)
+#: One or more initials from the first of their run, so that a long run is read once.
+INITIALS = r"(?<!\p{Lu}\.)(?<!\p{Lu}\. )(?:\p{Lu}\. ?)++"
+
 CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeio"
 LATIN, CYRILLIC, GREEK = "abdefgiklmnoprstvz", "абдефгиклмнопрствз", "αβδεφγικλμνοπρστχζ"
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
@@ -92,6 +117,7 @@ def kind_of(raw: Column) -> Column:
         .when(only(SSN), "ssn")
         .when(only(rf"(?:{OCTET}\.){{3}}{OCTET}"), "ip")
         .when(only(PHONE), "phone")
+        .when(only(TEL), "tel")
         .otherwise("secret")
     )
 
@@ -109,10 +135,20 @@ def named(found: Column) -> Column:
 
 
 def pattern_of(known: Column) -> Column:
-    """The pattern of a text's entities, its known names word by word, also in capitals, and the initials before them."""
-    words = F.array_distinct(F.flatten(F.transform(known, lambda x: F.array(x["own"], F.upper(x["own"]), F.initcap(x["word"])))))
-    joined = F.array_join(words, "|")
-    return F.when(F.size(known) > 0, F.concat(F.lit(PLAIN + r"|(?<![\p{L}\p{M}])(?:(?:"), joined, F.lit(r")(?![\p{L}\p{M}])|\p{Lu}(?=\. ?(?:\p{Lu}\. ?)*+(?:"), joined, F.lit(r")(?![\p{L}\p{M}])))"))).otherwise(PLAIN)
+    """The pattern of a text's entities, its known names word by word, also in capitals, and the initials before them.
+
+    Common words must stand behind a title, an initial or a word of the name, or before one.
+    """
+    common = F.array(*map(F.lit, COMMON))
+    spelled = lambda some: F.array_join(F.array_distinct(F.flatten(F.transform(some, lambda x: F.array(x["own"], F.upper(x["own"]), F.initcap(x["word"]))))), "|")
+    every, plain = spelled(known), F.filter(known, lambda x: ~F.array_contains(common, x["word"]))
+    usual = F.filter(known, lambda x: F.array_contains(common, x["word"]))
+    end = r"(?![\p{L}\p{M}])"
+    lit = F.lit
+    own = F.when(F.size(plain) > 0, F.concat(lit("(?:"), spelled(plain), lit(f"){end}|"))).otherwise("")
+    beside = F.concat(lit(rf"(?<=(?<![\p{{L}}])(?:{TITLE}|\p{{Lu}}\. ?|(?:"), every, lit(") ))(?:"), spelled(usual), lit(rf"){end}|(?:"), spelled(usual), lit(rf")(?= {BEFORE}(?:"), every, lit(rf"){end})|"))
+    initials = F.concat(lit(rf"{INITIALS}(?=(?:"), every, lit(rf"){end})"))
+    return F.when(F.size(known) > 0, F.concat(lit(PLAIN + r"|(?<![\p{L}\p{M}])(?:"), own, F.when(F.size(usual) > 0, beside).otherwise(""), initials, lit(")"))).otherwise(PLAIN)
 
 
 def digits_of(raw: Column) -> Column:
@@ -126,6 +162,7 @@ def normal_of(kind: Column, raw: Column) -> Column:
         .when(kind.isin("card", "ssn"), digits_of(raw))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "phone", F.right(digits_of(raw), F.lit(10)))
+        .when(kind == "tel", F.right(digits_of(raw), F.lit(9)))
         .otherwise(raw)
     )
 
@@ -198,11 +235,12 @@ def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Col
     area = F.concat((F.lit(2) + F.pmod(_number(digest, 0, 4), F.lit(8))).cast("string"), F.lpad(F.pmod(_number(digest, 4, 4), F.lit(100)).cast("string"), 2, "0"))
     exchange = F.when(wide, F.concat((F.lit(2) + F.pmod(_number(digest, 20, 4), F.lit(8))).cast("string"), F.lpad(F.pmod(_number(digest, 24, 4), F.lit(100)).cast("string"), 2, "0"))).otherwise("555")
     phone = F.concat(area, exchange, number(8, 10000, 4))
+    tel = F.concat(F.substring(normal, 1, 1), _stream(digest, F.length(normal) - 1, F.lit("0123456789")))
     hexed = normal.rlike("^[0-9a-f]+$")
     lettered = normal.rlike(r"[\p{L}\p{N}]")
     secret = F.when(hexed, _stream(digest, F.length(normal), F.lit("0123456789abcdef"))).when(lettered, _like(normal, digest)).otherwise(_stream(digest, F.length(normal), F.lit("abcdefghijklmnopqrstuvwxyz")))
     secret = F.concat(secret, F.when(wide, _stream(F.reverse(digest), attempt, F.lit("0123456789"))).otherwise(""))
-    fixed = F.when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban)
+    fixed = F.when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "phone", phone).when(kind == "tel", tel).when(kind == "ssn", ssn).when(kind == "iban", iban)
     longer = F.when(attempt >= LAST_FORM, F.concat(F.when(kind.isin("ip", "ip6"), ":").otherwise(""), _stream(F.reverse(digest), attempt - LAST_FORM + 1, F.lit("0123456789")))).otherwise("")
     return F.when(kind == "email", email).when((kind == "family") | kind.startswith("given"), _name_word(kind, normal, digest, attempt)).when(kind == "secret", secret).otherwise(F.concat(fixed, longer))
 
@@ -217,13 +255,10 @@ def _name_word(kind: Column, normal: Column, digest: Column, attempt: Column) ->
 
 
 def initial_of(raw: Column, key: str) -> Column:
-    """The letter, shifted within its alphabet by a step that the key gives: distinct letters stay distinct."""
-    out = raw
-    for letters in ALPHABETS:
-        step = F.pmod(_number(F.sha2(F.lit(f"{key}|initial"), 256), 0, 6), F.lit(len(letters) - 1)).cast("int") + 1
-        at = F.instr(F.lit(letters), F.lower(raw))
-        out = F.when(at > 0, F.upper(F.substr(F.lit(letters), F.pmod(at - 1 + step, F.lit(len(letters))) + 1, F.lit(1)))).otherwise(out)
-    return out
+    """The letters, shifted within their alphabet by a step that the key gives: distinct letters stay distinct."""
+    number = int(hashlib.sha256(f"{key}|initial".encode()).hexdigest()[:6], 16)
+    turned = [letters[step:] + letters[:step] for letters in ALPHABETS for step in [number % (len(letters) - 1) + 1]]
+    return F.translate(raw, "".join(ALPHABETS).upper(), "".join(turned).upper())
 
 
 def shaped(kind: Column, raw: Column, surrogate: Column) -> Column:
@@ -241,7 +276,7 @@ def shaped(kind: Column, raw: Column, surrogate: Column) -> Column:
     capital = raw == F.upper(raw)
     name = F.when(capital & (F.length(raw) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (
-        F.when(kind.isin("card", "phone", "ssn"), filled("0-9"))
+        F.when(kind.isin("card", "phone", "tel", "ssn"), filled("0-9"))
         .when(kind == "iban", filled("A-Z0-9"))
         .when((kind == "family") | kind.startswith("given"), name)
         .when(kind.isin("email", "ip6") & capital & raw.rlike("[A-Z]"), F.upper(surrogate))
@@ -282,7 +317,7 @@ def occurrences(marked: DataFrame) -> DataFrame:
     """``__key, __at, raw, kind, normal``: every entity of every distinct text."""
     each = marked.select("__key", "__known", F.posexplode("__items").alias("__at", "raw"))
     known = F.filter("__known", lambda x: x["word"] == F.lower("raw"))
-    each = each.select("__key", "__at", "raw", F.when(F.size(known) > 0, known[0]["kind"]).when(F.col("raw").rlike(r"^\p{Lu}$") & (F.size("__known") > 0), "initial").otherwise(kind_of(F.col("raw"))).alias("kind")).distinct()
+    each = each.select("__key", "__at", "raw", F.when(F.size(known) > 0, known[0]["kind"]).when(F.col("raw").rlike(r"^(?:\p{Lu}\. ?)++$") & (F.size("__known") > 0), "initial").otherwise(kind_of(F.col("raw"))).alias("kind")).distinct()
     each = C.stored(each.withColumn("normal", normal_of(F.col("kind"), F.col("raw"))), "entities")
     # a title without gender takes the one that the corpus tells of the name
     told = each.where("kind in ('given_f', 'given_m')").groupBy("normal").agg(F.min("kind").alias("told"), F.max("kind").alias("other")).where("told = other")
