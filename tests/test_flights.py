@@ -126,6 +126,9 @@ def test_files_are_read_by_name_and_size(spark, tmp_path):
     assert [r.length for r in logs.refused(spark, str(tmp_path), max_bytes=100).collect()] == [200]
     assert parse.fixes(logs.split_lines(got)).count() == 2
     assert logs.rejects(logs.read_logs(spark, str(tmp_path)), parse.fixes(logs.split_lines(got))).count() == 1
+    (tmp_path / "none.igc").write_bytes(b"AXYZ\r\n")
+    reasons = {r.source.rsplit("/", 1)[1]: r.reason for r in logs.sorted_out(spark, str(tmp_path), max_bytes=100).collect()}
+    assert reasons == {"big.igc": "larger than the limit", "none.igc": "no usable B records"}
 
 
 def test_polar_file(spark, tmp_path):

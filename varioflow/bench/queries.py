@@ -607,6 +607,22 @@ def logs_read_back(spark, sf_dir):
     return found.join(names, "flight_id").drop("flight_id").withColumnRenamed("name", "flight_id")
 
 
+#: Between the logs of every tenth flight, which lack most fixes, and the others.
+SMALL_LOG = 70_500
+
+
+@query(f"""
+select 'D' || doc_id as name, case when strlen(coalesce(text, '')) + 1 > {SMALL_LOG} then 'larger than the limit' else 'no usable B records' end as reason from documents
+union all select flight_id, 'larger than the limit' from types where k % 10 <> 0""")
+def files_sorted_out(spark, sf_dir):
+    """Texts and logs as files under a low limit: those that give no flight, and why."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("D"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+    path = f"{kept.shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    texts.unionByName(_files(spark, sf_dir).select(F.col("flight_id").alias("name"), F.col("text").alias("value"))).write.partitionBy("name").text(path)
+    found = logs.sorted_out(spark, path, SMALL_LOG, "*.txt")
+    return found.select(F.regexp_extract("source", "name=([^/]+)", 1).alias("name"), "reason")
+
+
 RATE = 17.2
 
 

@@ -69,6 +69,11 @@ def full_circles(fixes: DataFrame, climbs: DataFrame) -> DataFrame:
     The turns add up along the climb until they make a circle; the next one
     starts from the same fix with nothing turned.  Accumulate-with-reset is no
     window frame, so this is a fold over the climb's fixes.
+
+    Logged positions are coarse, so a track often comes back to exactly where it
+    was, and turns then add up to exactly 360 degrees.  In floats the last place
+    would decide; in billionths such a circle is full (one of n turns may lack
+    n / 2 billionths of a degree).
     """
     key = ["flight_id", "run_id"]
     turn = F.floor(F.col("dtrk") * 1e9 + 0.5).cast("long").alias("turn")

@@ -55,6 +55,7 @@ def find_launch(kin: DataFrame) -> DataFrame:
     kind = F.when(F.col("gain") < 50, NO_LAUNCH).when((F.col("dur") <= 100) & (F.col("gain") > 100), WINCH).when(F.col("mspd").between(90, 155) & (F.col("dur") > 100), TOW).otherwise(UNCLEAR)
     per = per.withColumn("type", kind)
     sure = (F.col("type") == TOW) & F.col("slow").isNotNull()
+    # The note's wording, here and for a supplied release below.
     note = F.format_string("initial climb %.0f ft in %dm%02ds at %.0f km/h mean ground speed", F.col("gain") * FEET, F.floor(F.col("dur") / 60), F.pmod("dur", F.lit(60)), F.col("mspd"))
     return per.select(
         "flight_id", "takeoff_idx", F.when(sure, F.col("slow")["idx"]).otherwise(F.col("top_idx")).alias("release_idx"), "takeoff_t", F.when(sure, F.col("slow")["t"]).otherwise(F.col("top_t")).alias("release_t"),

@@ -151,5 +151,6 @@ def extension_warnings(lines: DataFrame) -> DataFrame:
     per = lines.where(kind(line).isin("I", "B")).groupBy("flight_id").agg(F.max_by(F.when(kind(line) == "I", stripped(line)), F.when(kind(line) == "I", F.col("line_no"))).alias("i"), F.max(F.when(line.startswith("B"), F.length(line))).alias("actual"))
     declared = F.when(n > 0, F.when(~F.exists(ends, lambda e: e.isNull()), F.array_max(ends)))
     found = per.withColumn("declared", declared).where("declared <> actual")
+    # The warning's wording.
     text = F.format_string("I-record declares extensions out to column %d but B records are %d characters - logger extension fields (speed/vario) are unreliable in this file. All figures below are derived from positions and times.", "declared", "actual")
     return found.select("flight_id", "declared", "actual", text.alias("warning"))

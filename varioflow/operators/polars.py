@@ -150,6 +150,7 @@ def match_polars(types: DataFrame, table: DataFrame, overrides: DataFrame | None
     t = t.withColumn("how", how).withColumn("g", F.when(F.col("how") == "forced", F.col("forced")).when(F.col("how") == "matched", F.col("hit")).when(F.col("how") == "default", F.lit(default.db_order)))
     t = t.join(known, "g", "left")
     own = F.col("how") == "custom"
+    # The notes' wording.
     guess = F.concat(F.lit("no polar match for "), F.coalesce(F.concat(F.lit("'"), "glider_type", F.lit("'")), F.lit("None")), F.lit(f"; using a {default.name} - treat airmass figures as indicative only"))
     note = (
         F.when(own, "custom polar supplied").when(F.col("how") == "none", "polar disabled - no airmass analysis").when(F.col("how") == "forced", F.concat(F.lit("polar forced to "), "name"))

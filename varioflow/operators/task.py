@@ -41,6 +41,7 @@ def task_summary(points: DataFrame, declared: DataFrame) -> DataFrame:
     t = own.join(total, "flight_id").join(ends, "flight_id").join(declared, "flight_id", "left")
     closed = haversine(F.col("first")["lat"], F.col("first")["lon"], F.col("last")["lat"], F.col("last")["lon"]) < 1000
     legs = F.col("legs")
+    # The names of shapes.
     shape = (
         F.when(closed & (legs == 2), "out and return").when(closed & (legs == 3), "triangle").when(closed & (legs == 4), "quadrilateral").when(closed, F.format_string("%d-leg closed course", legs))
         .when(legs == 1, "straight distance").otherwise(F.format_string("%d-leg task", legs))

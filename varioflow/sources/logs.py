@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import parse
+
 #: A larger file is refused; it also bounds a flight's partition.
 MAX_BYTES = 40 * 1024 * 1024
 
@@ -45,6 +47,13 @@ def rejects(files: DataFrame, fixes: DataFrame) -> DataFrame:
     return without.withColumn("reason", F.lit("no usable B records"))
 
 
+def sorted_out(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, pattern: str = LOGS) -> DataFrame:
+    """``source, reason`` of every file below ``path`` that gives no flight: too large, or without a usable fix."""
+    files = read_logs(spark, path, max_bytes, pattern)
+    bare = rejects(files, parse.fixes(split_lines(files))).select("source", "reason")
+    return bare.unionByName(refused(spark, path, max_bytes, pattern).select("source", F.lit("larger than the limit").alias("reason")))
+
+
 def read_polars(spark: SparkSession, path: str) -> DataFrame:
     """The polar database ``{gliders, default}`` as rows: name, match, published, points, db_order, is_default."""
     point = "array<array<double>>"
