@@ -73,3 +73,13 @@ def test_ids_in_steps_fill_all_shards():
     assert len(set(S.shard_of(np.arange(20_000, dtype=np.int64) * 1024, 400).tolist())) == 400
     fine = S.shard_of(np.arange(5000, dtype=np.int64), 4096)
     assert (fine // 16 == S.shard_of(np.arange(5000, dtype=np.int64), 256)).all()
+
+
+def test_packed_places_come_back():
+    rng = np.random.RandomState(2)
+    for size in (0, 1, 500):
+        doc = np.sort(rng.choice([-(2**62), -7, 0, 3, 2**33, 2**62], size)).astype(np.int64)
+        at = rng.randint(0, 2**31, size).astype(np.int64)
+        order = np.lexsort((at, doc))
+        got = S.unpacked_places(*S.packed_places(doc[order], at[order]))
+        assert (got[0] == doc[order]).all() and (got[1] == at[order]).all()

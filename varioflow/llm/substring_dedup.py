@@ -20,8 +20,10 @@ laid together and split anew.
 
 Defined results: null, empty and short texts lose nothing; rows of one id are
 one document, so repeated rows do not count against each other and lose alike
-(an id must not stand for two texts); rows with
+(an id is meant to stand for one text); rows with
 a null id lose nothing and count against nobody; other columns are ignored.
+Should one id stand for unlike texts after all, their windows are pooled and
+each text loses the word places that any of them loses, up to its end.
 Windows are compared by 64-bit hash.
 """
 
@@ -56,14 +58,22 @@ def window_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def packed_places(doc: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Places sorted by document and start: the documents, their counts, the starts."""
+    """Places sorted by document and start: the documents, their counts, the starts.
+
+    Documents and starts as steps from the one before (a document's first start as it is), which pack to a byte or two.
+    """
     first = C.group_starts(doc)
-    return doc[first].astype("<i8").tobytes(), C.planes(np.diff(np.append(first, len(doc))), 4), C.planes(at, 4)
+    step = at.astype(np.int64)
+    step[1:] -= at[:-1]
+    step[first] = at[first]
+    return C.planes(np.diff(doc[first], prepend=0), 8), C.planes(np.diff(np.append(first, len(doc))), 4), C.planes(step, 4)
 
 
 def unpacked_places(docs: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = C.unplanes(counts, len(counts) // 4, 4).astype(np.int64)
-    return np.repeat(np.frombuffer(docs, "<i8"), n), C.unplanes(at, len(at) // 4, 4).astype(np.int64)
+    step = C.unplanes(at, len(at) // 4, 4).astype(np.int64)
+    first, upto = np.cumsum(n) - n, np.cumsum(step)
+    return np.repeat(np.cumsum(C.unplanes(docs, len(n), 8).view("<i8")), n), upto - np.repeat(upto[first] - step[first], n)
 
 
 def shard_of(doc: np.ndarray, shards: int) -> np.ndarray:
