@@ -19,7 +19,7 @@ A third scan measures the covariance of the whitened rows; the last one yields
 them.
 
 Defined results: rows whose vector is null, shorter than the longest, or has a
-null, non-finite or too large entry (``scale * c`` beyond 2**40) are dropped;
+null, non-finite or too large entry (2**40 or more) are dropped;
 rows with a null id and repeated rows are kept and count each; components whose
 eigenvalue is zero within rounding have no whitened values and are left out, so
 one row, equal rows and an empty table give no rows; of equal eigenvalues any
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 32
-#: Largest size of ``scale * c``.
+#: Entries from this size on are too large for exact sums of squares.
 LIMIT = 2.0**40
 #: Eigenvalues an interval may hold before it is sliced again; nodes of the quadrature on half a circle.
 SLICE, NODES, ROUNDS = 8, 8, 60
