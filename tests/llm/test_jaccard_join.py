@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from varioflow.llm import jaccard_join as J
+from varioflow.llm import substring_dedup as S
 from varioflow.llm.components import components
 
 from .helpers import ODD, docs, words
@@ -93,3 +95,30 @@ def test_a_giant_component_is_split_by_shingle_not_by_component(spark):
     assert "hashpartitioning(task" in plan
     largest = tasks.groupBy("task").count().agg({"count": "max"}).first()[0]
     assert largest < 64
+
+
+def test_more_ranges_than_blobs_of_a_chunk(spark, monkeypatch):
+    rows = corpus(5) + ODD
+    df = docs(spark, rows).repartition(6)
+    key = lambda found: sorted((tuple(r) for r in found.collect()), key=str)
+    plain = key(J.settled(df, 64))
+    monkeypatch.setattr(S, "COARSE", 256)
+    assert any(r[4] for r in plain) and not all(r[4] for r in plain)
+    assert key(J.settled(df, 1000, gathered=2000)) == plain
+    assert J.settled(docs(spark, []), 1000).collect() == []
+    monkeypatch.setattr(J.C, "hash_ranges", lambda *_: 1000)
+    assert key(J.link(df)) == brute(rows)
+
+
+def test_blobs_of_a_chunk_are_bounded(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(J, "TaskContext", Task)
+    rng = random.Random(1)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(2000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": texts})
+    coarse, fine = S.nested(1_000_000)
+    blobs = sum(b.num_rows for b in J._spread(coarse, fine)([batch]))
+    assert fine >= 1_000_000 and 1000 < blobs <= S.COARSE + 1

@@ -7,7 +7,10 @@ least T = ceil(0.75 n) of them also occur elsewhere, which gives four steps:
 1. Every shingle's hash goes, packed by hash range, to the range's task, which
    marks those that two documents have.  A document with fewer than T marked
    ones is settled; only the rest go on.  Equal sets form one class and are
-   represented by their least doc_id.
+   represented by their least doc_id.  A chunk of documents has one blob per
+   range, and at most ``substring_dedup.COARSE`` of them: of more ranges the
+   blobs of many chunks are laid together by coarse range first, and so are
+   the replies on their way back to the chunks.
 2. The rest count their shingles again, exactly, and keep their rarest
    n - T + 1 as a prefix: documents that link share a prefix shingle.  Documents
    are joined to the least one of each prefix list and fall into candidate
@@ -47,11 +50,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
+from .substring_dedup import nested, packed_places, shard_of, unpacked_places
 
 WORDS = 5
 PERCENT = 75
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 4_000_000
+#: Bytes of blobs that a task lays together before it splits them.
+GATHERED = 32 << 20
 
 
 def needed(n: int) -> int:
@@ -96,8 +102,13 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 PACKED = "part int, chunk long, frag binary, rows binary, counts binary, head binary"
 
 
-def _spread(ranges: int):
-    """Chunks of documents to packed shingle hashes, one row per chunk and hash range."""
+def _spread(ranges: int, fine: int | None = None):
+    """Chunks of documents to packed shingle hashes, one row per chunk and hash range.
+
+    Where the ranges are to be split into ``fine`` ones later, whole hashes travel.
+    """
+    fine = fine or ranges
+    sent = (lambda h: h.astype("<u8").tobytes()) if fine > ranges else (lambda h: (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -118,11 +129,12 @@ def _spread(ranges: int):
             order = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")
             h, row, part = h[order], row[order], part[order]
             starts = C.group_starts(part)
-            out = {"part": [int(chunk % ranges)], "frag": [None], "rows": [None], "counts": [None], "head": [np.ascontiguousarray(head.to_numpy(np.int64).T).tobytes()]}
+            home = int(shard_of(np.array([chunk]), fine)[0]) if fine > ranges else int(chunk % ranges)
+            out = {"part": [home], "frag": [None], "rows": [None], "counts": [None], "head": [np.ascontiguousarray(head.to_numpy(np.int64).T).tobytes()]}
             for a, b in zip(starts, np.append(starts[1:], len(part))):
                 at = C.group_starts(row[a:b])
                 out["part"].append(int(part[a]))
-                out["frag"].append((h[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+                out["frag"].append(sent(h[a:b]))
                 out["rows"].append(C.planes(np.diff(row[a:b][at], prepend=0), 4))
                 out["counts"].append(C.planes(np.diff(np.append(at, b - a)), 3))
                 out["head"].append(None)
@@ -161,12 +173,17 @@ def _marked(pdf: pd.DataFrame) -> pd.DataFrame:
 def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
     """One chunk: its documents, and whether enough of their shingles are shared."""
     own = pdf[pdf["head"].notna()]["head"].iloc[0]
-    ids, valid, n, k1, k2 = np.frombuffer(own, np.int64).reshape(5, -1)
-    shared = np.zeros(len(ids), np.int64)
+    shared = np.zeros(len(own) // 40, np.int64)
     for rows, counts in zip(pdf["rows"], pdf["counts"]):
         if rows is not None:
             at = np.cumsum(C.unplanes(rows, len(rows) // 4, 4).astype(np.int64))
             shared[at] += C.unplanes(counts, len(counts) // 3, 3).astype(np.int64)
+    return _documents(own, shared)
+
+
+def _documents(head: bytes, shared: np.ndarray) -> pd.DataFrame:
+    """The documents of a chunk's head (five numbers each), given how many of their shingles are shared."""
+    ids, valid, n, k1, k2 = np.frombuffer(head, np.int64).reshape(5, -1)
     out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": n, "k1": k1, "k2": k2})
     out.loc[valid == 0, "doc_id"] = pd.NA
     out["alive"] = (n > 0) & (100 * shared >= PERCENT * n)
@@ -176,8 +193,151 @@ def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
 DOCS = "doc_id long, n_shingles long, k1 long, k2 long, alive boolean"
 
 
-def settled(docs: DataFrame, ranges: int) -> DataFrame:
+#: Blobs of several chunks: ``chunks, sizes, rows`` are packed places, ``counts`` the shingles of each.
+GATHERING = "part int, chunk long, chunks binary, sizes binary, rows binary, counts binary, frag binary, head binary"
+REPLY = "part int, chunk long, chunks binary, sizes binary, rows binary, counts binary, head binary"
+
+
+def _batches(rows: list[tuple], frag: bool):
+    """Arrow batches of a bounded number of blobs."""
+    names = [x.split()[0] for x in (GATHERING if frag else REPLY).split(", ")]
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * (len(names) - 2)
+    for s in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 256]), kinds)], names=names)
+
+
+def _replies(chunk: np.ndarray, row: np.ndarray, count: np.ndarray, shards: int) -> list[tuple]:
+    """Counts of each chunk's rows, added up, in one blob per shard of chunks."""
+    order = np.lexsort((row, chunk))
+    chunk, row, count = chunk[order], row[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])))) if len(chunk) else np.zeros(0, np.int64)
+    if len(first):
+        chunk, row, count = chunk[first], row[first], np.add.reduceat(count, first)
+    own = shard_of(chunk, shards)
+    order = np.argsort(own, kind="stable")
+    starts = C.group_starts(own[order])
+    parts = [order[a:b] for a, b in zip(starts, np.append(starts[1:], len(order)))]
+    return [(int(own[x[0]]), None, *packed_places(chunk[x], row[x]), C.planes(count[x], 4), None) for x in parts]
+
+
+def _split(blobs: list[tuple], fine: int) -> list[tuple]:
+    """Blobs of many chunks and one coarse range, laid together by fine range."""
+    h = np.concatenate([np.frombuffer(x, "<u8") for _, x, _, _ in blobs])
+    n = [C.unplanes(x, len(x) // 3, 3).astype(np.int64) for *_, x in blobs]
+    row = np.concatenate([np.repeat(np.cumsum(C.unplanes(x, len(x) // 4, 4).astype(np.int64)), k) for (_, _, x, _), k in zip(blobs, n)])
+    chunk = np.repeat([c for c, *_ in blobs], [int(k.sum()) for k in n])
+    own = C.range_of(h, fine)
+    order = np.lexsort((row, chunk, own))
+    h, row, chunk, own = h[order], row[order], chunk[order], own[order]
+    starts, out = C.group_starts(own), []
+    for a, b in zip(starts, np.append(starts[1:], len(own))):
+        c, r = chunk[a:b], row[a:b]
+        at = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (r[1:] != r[:-1]))))
+        frag = (h[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+        out.append((int(own[a]), None, *packed_places(c[at], r[at]), C.planes(np.diff(np.append(at, b - a)), 3), frag, None))
+    return out
+
+
+def _laid_together(fine: int, gathered: int):
+    """Blobs of coarse ranges to fine ones, a bounded number of bytes at a time; heads pass on."""
+
+    def run(batches):
+        held, size = {}, 0
+        for batch in batches:
+            heads = []
+            for part, chunk, frag, rows, counts, head in zip(*[c.to_pylist() for c in batch.columns]):
+                if head is not None:
+                    heads.append((part, chunk, None, None, None, None, None, head))
+                    continue
+                held.setdefault(part, []).append((chunk, frag, rows, counts))
+                size += len(frag) + len(rows) + len(counts)
+                if size > gathered:
+                    for own in held.values():
+                        yield from _batches(_split(own, fine), True)
+                    held, size = {}, 0
+            yield from _batches(heads, True)
+        for own in held.values():
+            yield from _batches(_split(own, fine), True)
+        C.release()
+
+    return run
+
+
+def _marked_together(shards: int):
+    """One fine range: how many hashes of each document some other document has too, by shard of chunks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        heads, blobs = pdf[pdf["head"].notna()], pdf[pdf["head"].isna()]
+        out = [(p, c, None, None, None, None, x) for p, c, x in zip(heads["part"], heads["chunk"], heads["head"])]
+        if len(blobs):
+            places = [unpacked_places(*x) for x in blobs[["chunks", "sizes", "rows"]].itertuples(index=False)]
+            chunk, row = np.concatenate([x[0] for x in places]), np.concatenate([x[1] for x in places])
+            n = np.concatenate([C.unplanes(x, len(x) // 3, 3).astype(np.int64) for x in blobs["counts"]])
+            every = np.concatenate([np.frombuffer(x, "<u4") for x in blobs["frag"]])
+            order = np.argsort(every, kind="stable")
+            starts = C.group_starts(every[order])
+            size = np.diff(np.append(starts, len(every)))
+            whose = np.repeat(np.arange(len(n)), n)
+            count = np.bincount(whose[order[np.repeat(size > 1, size)]], minlength=len(n))
+            some = count > 0
+            out += _replies(chunk[some], row[some], count[some], shards)
+        return pd.DataFrame(out, columns=[x.split()[0] for x in REPLY.split(", ")]).astype({"chunk": "Int64"})
+
+    return run
+
+
+def _replies_together(shards: int, gathered: int):
+    """Replies to coarse shards of chunks, added up by fine shard; heads pass on."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def added():
+            if not held:
+                return
+            places = [unpacked_places(*x[:3]) for x in held]
+            count = np.concatenate([C.unplanes(x[3], len(x[3]) // 4, 4).astype(np.int64) for x in held])
+            yield from _batches(_replies(np.concatenate([x[0] for x in places]), np.concatenate([x[1] for x in places]), count, shards), False)
+
+        for batch in batches:
+            heads = []
+            for part, chunk, *blob, head in zip(*[c.to_pylist() for c in batch.columns]):
+                if head is not None:
+                    heads.append((part, chunk, *blob, head))
+                    continue
+                held.append(blob)
+                size += sum(map(len, blob))
+                if size > gathered:
+                    yield from added()
+                    held, size = [], 0
+            yield from _batches(heads, False)
+        yield from added()
+        C.release()
+
+    return run
+
+
+def _settled_together(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One fine shard of chunks: their documents, and whether enough of their shingles are shared."""
+    heads, blobs = pdf[pdf["head"].notna()], pdf[pdf["head"].isna()]
+    places = [unpacked_places(*x) for x in blobs[["chunks", "sizes", "rows"]].itertuples(index=False)]
+    chunk = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in places]])
+    row = np.concatenate([np.zeros(0, np.int64), *[x[1] for x in places]])
+    count = np.concatenate([np.zeros(0, np.int64), *[C.unplanes(x, len(x) // 4, 4).astype(np.int64) for x in blobs["counts"]]])
+    out = []
+    for own, head in zip(heads["chunk"], heads["head"]):
+        shared = np.bincount(row[chunk == own], weights=count[chunk == own], minlength=len(head) // 40)
+        out.append(_documents(head, shared))
+    return pd.concat(out, ignore_index=True)
+
+
+def settled(docs: DataFrame, ranges: int, gathered: int = GATHERED) -> DataFrame:
     """Step 1: ``doc_id, n_shingles``, the set's keys, and whether it may link at all."""
+    coarse, fine = nested(ranges)
+    if fine > coarse:
+        laid = docs.select("doc_id", "text").mapInArrow(_spread(coarse, fine), PACKED).repartition(coarse, "part").mapInArrow(_laid_together(fine, gathered), GATHERING)
+        replies = laid.groupBy("part").applyInPandas(_marked_together(coarse), REPLY)
+        return replies.repartition(coarse, "part").mapInArrow(_replies_together(fine, gathered), REPLY).groupBy("part").applyInPandas(_settled_together, DOCS)
     return (
         docs.select("doc_id", "text")
         .mapInArrow(_spread(ranges), PACKED)
