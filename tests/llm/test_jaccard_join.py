@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +123,14 @@ def test_blobs_of_a_chunk_are_bounded(monkeypatch):
     coarse, fine = S.nested(1_000_000)
     blobs = sum(b.num_rows for b in J._spread(coarse, fine)([batch]))
     assert fine >= 1_000_000 and 1000 < blobs <= S.COARSE + 1
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.int64])
+def test_lists_are_merged_in_order(kind):
+    rng = np.random.RandomState(4)
+    for n in (1, 3, 40):
+        short = [np.unique(rng.randint(0, 60, rng.randint(1, 50))).astype(kind) for _ in range(n)]
+        found, total = J.merged(short, 7)
+        want = Counter(int(k) for x in short for k in x if k >= 7)
+        assert found.tolist() == sorted(want) and total.tolist() == [want[k] for k in sorted(want)]
+    assert J.merged([np.array([1, 2], kind)], 7)[0].tolist() == []

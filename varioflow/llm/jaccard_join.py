@@ -38,6 +38,7 @@ Shingles are compared by 64-bit hash.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -468,15 +469,10 @@ def _linked(q: int, low: int, own: np.ndarray, lists: np.ndarray, first: np.ndar
 
 
 def merged(short: list[np.ndarray], low: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted lists merged into one order: the sets from ``low`` on, and in how many lists each is.
-
-    The k-way merge is one stable sort of the lists laid end to end (a radix sort
-    while places fit 16 bits), which puts out the order a heap of list heads does.
-    """
-    every = np.concatenate(short)
-    every = np.sort(every[every >= low], kind="stable")
+    """Sorted lists merged by a heap of list heads: the sets from ``low`` on, and in how many lists each is."""
+    every = np.fromiter(heapq.merge(*[memoryview(x)[int(np.searchsorted(x, low)) :] for x in short]), np.int64)
     starts = C.group_starts(every)
-    return every[starts].astype(np.int64), np.diff(np.append(starts, len(every)))
+    return every[starts], np.diff(np.append(starts, len(every)))
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
