@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import kept
+
 SECONDS = 1800
+#: Flights a task writes out; a supplier table may lie in one small file, its fixes may not.
+FLIGHTS_A_TASK = 250
 DATE = "2024-01-01"
 #: (first second past it, speed mm/s, climb mm/s, turn in 1/100 degree per second) as SQL over k and i.
 PHASES = [
@@ -35,10 +39,15 @@ def phase_sql(column: int) -> str:
     return "case " + " ".join(f"when i < {p[0]} then {p[column]}" for p in PHASES) + " end"
 
 
+def flyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k, s_name`` of all suppliers, dealt by ``k`` while they are still one row a flight."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    return s.repartition(max(kept.shuffle_width(spark), -(-s.count() // FLIGHTS_A_TASK)), "k")
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, i, lat_mm, lon_mm, z``: where each flight is at each second."""
-    k = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
-    f = k.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SECONDS - 1).cast("long"))).alias("i"))
+    f = flyers(spark, sf_dir).select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SECONDS - 1).cast("long"))).alias("i"))
     f = f.selectExpr("k", "i", *[f"cast({phase_sql(c)} as bigint) as {n}" for c, n in ((1, "s"), (2, "c"), (3, "w"))])
     before = W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
@@ -65,7 +74,7 @@ def _fix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    s = flyers(spark, sf_dir)
     k = F.col("k")
     turns = k % 4 + 1
     zero = F.lit("0000000N00000000E")

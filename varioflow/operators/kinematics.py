@@ -34,12 +34,13 @@ def project(fixes: DataFrame) -> DataFrame:
 
 def motion(fixes: DataFrame, max_gap: int = 12) -> DataFrame:
     """Step to the next fix, track through the neighbours, turn rate and its smoothed value."""
-    ahead = lambda c: F.lead(c).over(in_order())
-    f = fixes.withColumn("dt", F.coalesce(ahead("t") - F.col("t"), F.lit(0)))
+    near = {f"__{n}_{c}": f(c).over(in_order()) for f, n, cs in ((F.lead, "next", ("t", "x", "y", "alt")), (F.lag, "last", ("x", "y"))) for c in cs}
+    f = fixes.withColumns(near)
+    f = f.withColumn("dt", F.coalesce(F.col("__next_t") - F.col("t"), F.lit(0)))
     moving = F.col("dt") > 0
-    step = lambda c: F.when(moving, ahead(c) - F.col(c)).otherwise(0.0)
+    step = lambda c: F.when(moving, F.col(f"__next_{c}") - F.col(c)).otherwise(0.0)
     f = f.withColumn("dx", step("x")).withColumn("dy", step("y")).withColumn("__dz", step("alt"))
-    f = f.withColumn("trk", compass(ahead("x") - F.lag("x").over(in_order()), ahead("y") - F.lag("y").over(in_order())))
+    f = f.withColumn("trk", compass(F.col("__next_x") - F.col("__last_x"), F.col("__next_y") - F.col("__last_y"))).drop(*near)
     per = lambda c: F.when(moving, F.col(c) / F.col("dt")).otherwise(0.0)
     f = f.withColumn("step", F.hypot("dx", "dy")).withColumn("vx", per("dx")).withColumn("vy", per("dy")).withColumn("vz", per("__dz"))
     f = f.withColumn("gs", per("step")).withColumn("good", moving & (F.col("dt") <= max_gap)).drop("__dz")
@@ -51,13 +52,15 @@ def smooth_turn_rate(fixes: DataFrame, rows: int = 5, seconds: int = 10) -> Data
     """Mean turn rate of up to ``rows`` fixes either side that lie within ``seconds``.
 
     The frame is by rows and by time at once, so it is eleven lags and leads.
+    What is used of them are columns of their own: summed and counted in one
+    expression they make a method too long for the JVM to compile (8,000 bytes).
     """
-    total, count = F.lit(0.0), F.lit(0)
-    for k in range(-rows, rows + 1):
-        tr, t = F.lead("tr", k).over(in_order()), F.lead("t", k).over(in_order())
-        use = tr.isNotNull() & (F.abs(t - F.col("t")) <= seconds)
-        total, count = total + F.when(use, tr).otherwise(0.0), count + F.when(use, 1).otherwise(0)
-    return fixes.withColumn("__sum", total).withColumn("__n", count).withColumn("trs", F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(0.0)).drop("__sum", "__n")
+    at = range(-rows, rows + 1)
+    f = fixes.withColumns({f"__{c}{k}": F.lead(c, k).over(in_order()) for c in ("tr", "t") for k in at})
+    f = f.withColumns({f"__use{k}": F.when(F.abs(F.col(f"__t{k}") - F.col("t")) <= seconds, F.col(f"__tr{k}")) for k in at})
+    used = [F.col(f"__use{k}") for k in at]
+    f = f.withColumn("__sum", sum((F.coalesce(u, F.lit(0.0)) for u in used), F.lit(0.0))).withColumn("__n", sum((u.isNotNull().cast("int") for u in used), F.lit(0)))
+    return f.withColumn("trs", F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(0.0)).select(*fixes.columns, "trs")
 
 
 def add_kinematics(fixes: DataFrame, max_gap: int = 12) -> DataFrame:

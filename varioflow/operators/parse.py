@@ -54,12 +54,13 @@ def degrees_of(mm: Column) -> Column:
 
 
 def parse_b(lines: DataFrame) -> DataFrame:
-    """Fixes as logged: raw time, position, both altitudes, validity; bad records and null island dropped."""
+    """Fixes as logged: raw time, position, both altitudes, validity; bad records and null island dropped.
+
+    A record is read into one row of an array, so that the filters on its numbers do not read it again.
+    """
     line = F.col("line")
     lat, lon = minutes_1000(part(line, 7, 14), 2, part(line, 14, 15)), minutes_1000(part(line, 15, 23), 3, part(line, 23, 24))
-    b = lines.where((kind(line) == "B") & (F.length(line) >= 35)).select(
-        "flight_id",
-        "line_no",
+    record = F.struct(
         (whole(part(line, 1, 3)) * 3600 + whole(part(line, 3, 5)) * 60 + whole(part(line, 5, 7))).cast("long").alias("raw_t"),
         lat.alias("lat_mm"),
         lon.alias("lon_mm"),
@@ -67,6 +68,7 @@ def parse_b(lines: DataFrame) -> DataFrame:
         whole(part(line, 30, 35)).alias("galt"),
         (F.upper(part(line, 24, 25)) == "A").alias("valid"),
     )
+    b = lines.where((kind(line) == "B") & (F.length(line) >= 35)).select("flight_id", "line_no", F.inline(F.array(record)))
     known = b.dropna(subset=["raw_t", "lat_mm", "lon_mm", "palt", "galt"])
     return known.where((F.abs("lat_mm") >= 6) | (F.abs("lon_mm") >= 6))
 
