@@ -470,3 +470,23 @@ def test_motion_is_planned_once(spark):
     assert "Window" not in text
     made = segments.classify(kinematics.add_kinematics(parse.ordered_fixes(kept.dealt(parse.parse_b(d.lines), "flight_id"))))._jdf.queryExecution().executedPlan().toString()
     assert made.count("Exchange hashpartitioning") == 1 and made.count("Window [") <= 12
+
+
+def test_angles_are_the_nearest_doubles(spark):
+    r = random.Random(1)
+    at = [(r.uniform(-60, 60), r.uniform(-60, 60)) for _ in range(2000)]
+    ends = [(0.0, 1.0), (0.0, -1.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (-2.0, -2.0), (1e-40, 1e-40)]
+    found = spark.createDataFrame(at + ends, "y double, x double").select("y", "x", geo.atan2(F.col("y"), F.col("x")).alias("a")).collect()
+    off = [abs(f.a - math.atan2(f.y, f.x)) for f in found]
+    assert sum(d > 0 for d in off[:2000]) < 20 and max(off) < 1e-15 and max(off[2000:]) == 0
+
+
+def test_motion_is_short_enough_to_be_compiled(spark, capfd):
+    kin = segments.classify(kinematics.add_kinematics(parse.fixes(lines(spark, B))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kin.explain(mode="codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x.split(";")[0]) for x in capfd.readouterr().out.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) <= 8000

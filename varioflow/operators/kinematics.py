@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, compass, wrap
+from ..functions.geo import EARTH_M, compass, far_angle, near_angle, nearest_64th, wrap
 
 def by_flight():
     return W.partitionBy("flight_id")
@@ -34,13 +34,16 @@ def project(fixes: DataFrame) -> DataFrame:
 
 def motion(fixes: DataFrame, max_gap: int = 12) -> DataFrame:
     """Step to the next fix, track through the neighbours, turn rate and its smoothed value."""
-    near = {f"__{n}_{c}": f(c).over(in_order()) for f, n, cs in ((F.lead, "next", ("t", "x", "y", "alt")), (F.lag, "last", ("x", "y"))) for c in cs}
-    f = fixes.withColumns(near)
+    beside = {f"__{n}_{c}": f(c).over(in_order()) for f, n, cs in ((F.lead, "next", ("t", "x", "y", "alt")), (F.lag, "last", ("x", "y"))) for c in cs}
+    f = fixes.withColumns(beside)
     f = f.withColumn("dt", F.coalesce(F.col("__next_t") - F.col("t"), F.lit(0)))
     moving = F.col("dt") > 0
     step = lambda c: F.when(moving, F.col(f"__next_{c}") - F.col(c)).otherwise(0.0)
     f = f.withColumn("dx", step("x")).withColumn("dy", step("y")).withColumn("__dz", step("alt"))
-    f = f.withColumn("trk", compass(F.col("__next_x") - F.col("__last_x"), F.col("__next_y") - F.col("__last_y"))).drop(*near)
+    east, north, j, near, far = [F.col(c) for c in ("__east", "__north", "__64th", "__near", "__far")]
+    f = f.withColumns({"__east": F.col("__next_x") - F.col("__last_x"), "__north": F.col("__next_y") - F.col("__last_y")}).drop(*beside)
+    f = f.withColumn("__64th", nearest_64th(east, north)).withColumns({"__near": near_angle(east, north, j), "__far": far_angle(east, north, j)})
+    f = f.withColumn("trk", compass(east, north, near, far)).drop("__east", "__north", "__64th", "__near", "__far")
     per = lambda c: F.when(moving, F.col(c) / F.col("dt")).otherwise(0.0)
     f = f.withColumn("step", F.hypot("dx", "dy")).withColumn("vx", per("dx")).withColumn("vy", per("dy")).withColumn("vz", per("__dz"))
     f = f.withColumn("gs", per("step")).withColumn("good", moving & (F.col("dt") <= max_gap)).drop("__dz")
