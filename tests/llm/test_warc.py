@@ -73,3 +73,10 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "archive")
     W.write(spark.createDataFrame([], SEEN), path)
     assert W.assemble(W.read(spark, path)).count() == 0
+
+
+def test_a_band_of_sizes_exchanges_its_own_pages_alone(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * 10 ** (k % 4)) for k in range(12)], "page_id long, url string, html string")
+    plan = W.between(W.captures(pages), 100, 2000)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(k for k, x in enumerate(plan) if "Join" in x)
+    assert not any("Filter" in x for x in plan[:join]) and any("Filter" in x and "100" in x for x in plan[join:])

@@ -60,7 +60,8 @@ def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     found = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     least = marks.groupBy("digest").agg(found.alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", F.col("first")["page_id"].alias("first"), F.col("first")["url"].alias("first_url"))
     later = marks.join(least, "digest").where("page_id is null or page_id > first").select(F.col("page_id").alias("own"), F.col("digest").alias("own_digest"), "first", "first_url").distinct()
-    met = rows.join(later, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest")), "left")
+    # one plan at every size: pages are dealt by id, and so many bytes of them are exchanged, whether few or many repeat
+    met = rows.join(later.hint("merge"), F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest")), "left")
     return met.select("page_id", "url", "html", "digest", "bytes", "first", "first_url")
 
 
@@ -91,15 +92,19 @@ def sizes(pages: DataFrame, html: str) -> list[tuple[int, int]]:
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, records_per_file: int | None = None, compression: str = "gzip") -> None:
     """Archive the pages under ``path``; ``records_per_file`` bounds a file further."""
-    rows = captures(pages, page_id, url, html, least_bytes).withColumn("__row", F.monotonically_increasing_id())
-    low = -1
+    rows, low = captures(pages, page_id, url, html, least_bytes), -1
     for most, count in sizes(pages, html):
-        own = rows.where((F.col("bytes") > low) & (F.col("bytes") <= most))
+        own = between(rows, low, most)
         limit = min(3 * count, records_per_file or 3 * count)
         _records(own).write.mode("append").option("lineSep", BETWEEN).option("compression", compression).option("maxRecordsPerFile", limit).text(path)
         low = most
 
 
+def between(rows: DataFrame, low: int, most: int) -> DataFrame:
+    """The captures of a band of sizes, numbered only then: the filter goes below the join, so that a band exchanges its own pages alone."""
+    return rows.where((F.col("bytes") > low) & (F.col("bytes") <= most)).withColumn("__row", F.monotonically_increasing_id())
+
+
 def _records(rows: DataFrame) -> DataFrame:
     """``value``: request, response or revisit, and metadata of each capture."""
     rest = F.coalesce(F.regexp_extract("url", r"(?s)://([^\s/?#]*)([^\s#]*)", 2), F.lit(""))
@@ -174,7 +179,7 @@ def assemble(records: DataFrame) -> DataFrame:
     main = records.where("type in ('response', 'revisit')").select("record_id", "target", F.struct("type", "digest", "profile", "payload_bytes", "payload_sha1", "payload").alias("main"))
     request = records.where("type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "block_bytes").alias("request"))
     metadata = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "fields").alias("metadata"))
-    met = main.join(request, "record_id", "left").join(metadata, "record_id", "left")
+    met = main.join(request.hint("merge"), "record_id", "left").join(metadata.hint("merge"), "record_id", "left")
     fields = F.col("metadata")["fields"]
     return met.select(fields["page-id"].cast("long").alias("page_id"), fields["payload-bytes"].cast("long").alias("declared_bytes"), fields["refers-to-page"].cast("long").alias("refers_to"), "record_id", "target", "main", "request", "metadata")
 
