@@ -490,3 +490,10 @@ def test_motion_is_short_enough_to_be_compiled(spark, capfd):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(x.split(";")[0]) for x in capfd.readouterr().out.split("maxMethodCodeSize:")[1:]]
     assert sizes and max(sizes) <= 8000
+
+
+def test_usable_lines_are_those_that_give_a_fix(spark):
+    given = [B, "b" + B[1:], B[:-1], "", "LXXX", B.replace("51431XX", ""), "B1508530000000N00000000EA0000000220", B.replace("5143108", "51431XX"), B.replace("A0000000220", "A-005000220"), B.replace("150853", "15 853")]
+    df = lines(spark, *given)
+    made = {r.line_no for r in parse.parse_b(df).select("line_no").collect()}
+    assert {r.line_no for r in df.where(parse.usable(F.col("line"))).collect()} == made and len(made) >= 3

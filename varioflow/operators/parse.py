@@ -53,6 +53,16 @@ def degrees_of(mm: Column) -> Column:
     return mm / F.lit(60000.0)
 
 
+def usable(line: Column) -> Column:
+    """Whether ``parse_b`` makes a fix of the line."""
+    numbers = [whole(part(line, a, b)) for a, b in ((1, 3), (3, 5), (5, 7), (25, 30), (30, 35))]
+    lat, lon = minutes_1000(part(line, 7, 14), 2, part(line, 14, 15)), minutes_1000(part(line, 15, 23), 3, part(line, 23, 24))
+    own = (kind(line) == "B") & (F.length(line) >= 35) & ((F.abs(lat) >= 6) | (F.abs(lon) >= 6))
+    for n in (*numbers, lat, lon):
+        own = own & n.isNotNull()
+    return F.coalesce(own, F.lit(False))
+
+
 def parse_b(lines: DataFrame) -> DataFrame:
     """Fixes as logged: raw time, position, both altitudes, validity; bad records and null island dropped.
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one file at most, whatever the session's advisory partition size is.
 MAX_RECORDS = 5_000_000
+#: Of very many small files: tasks move their own into place, not the driver all of them, one after the other.  A failed job may leave some; only ``_SUCCESS`` tells that all are there.
+MANY = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def write_by_date(rows: DataFrame, dates: DataFrame, path: str, corpus: str = "flights", whole: bool = False, max_records: int = MAX_RECORDS) -> None:
@@ -47,7 +49,7 @@ def write_bundles(documents: DataFrame, path: str) -> None:
 
     ``documents`` has flight_id, bundle and document, as ``flight_documents`` makes them.
     """
-    named_apart(documents).select("bundle", F.col("document").alias("value")).repartition("bundle").write.mode("overwrite").partitionBy("bundle").text(path)
+    named_apart(documents).select("bundle", F.col("document").alias("value")).repartition("bundle").write.mode("overwrite").options(**MANY).partitionBy("bundle").text(path)
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,8 @@ from ..operators import parse
 MAX_BYTES = 40 * 1024 * 1024
 
 
+#: Ends of a line.
+ENDS = r"\r\n|\n|\r"
 #: Names of log files.
 LOGS = "*.[iI][gG][cC]"
 
@@ -33,7 +35,7 @@ def refused(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, pattern:
 
 def split_lines(texts: DataFrame) -> DataFrame:
     """``flight_id, source, line_no, line``; empty lines are skipped but keep their numbers."""
-    lines = texts.select("flight_id", "source", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line"))
+    lines = texts.select("flight_id", "source", F.posexplode(F.split("text", ENDS)).alias("line_no", "line"))
     return lines.where("line <> ''")
 
 
@@ -48,10 +50,16 @@ def rejects(files: DataFrame, fixes: DataFrame) -> DataFrame:
 
 
 def sorted_out(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, pattern: str = LOGS) -> DataFrame:
-    """``source, reason`` of every file below ``path`` that gives no flight: too large, or without a usable fix."""
-    files = read_logs(spark, path, max_bytes, pattern)
-    bare = rejects(files, parse.fixes(split_lines(files))).select("source", "reason")
-    return bare.unionByName(refused(spark, path, max_bytes, pattern).select("source", F.lit("larger than the limit").alias("reason")))
+    """``source, reason`` of every file below ``path`` that gives no flight: too large, or without a usable fix.
+
+    The files are listed once and each read once, up to its first usable fix; no line is exchanged.
+    """
+    files = _found(spark, path, pattern)
+    text = F.decode("content", "ISO-8859-1")
+    bare = files.where(F.col("length") <= max_bytes).where(~F.exists(F.split(text, ENDS), parse.usable))
+    large = files.where(F.col("length") > max_bytes)
+    reason = lambda found, why: found.select(F.col("path").alias("source"), F.lit(why).alias("reason"))
+    return reason(bare, "no usable B records").unionByName(reason(large, "larger than the limit"))
 
 
 def read_polars(spark: SparkSession, path: str) -> DataFrame:
