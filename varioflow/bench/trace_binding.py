@@ -17,6 +17,8 @@ from ..sources import kept
 SECONDS = 1800
 #: Flights a task writes out; a supplier table may lie in one small file, its fixes may not.
 FLIGHTS_A_TASK = 250
+#: Tracks, drops and start times go by a flight's number modulo 360, 10, 9, 7, 5, 3 and 2, so flights that many apart follow one track.
+TRACKS = 2520
 DATE = "2024-01-01"
 #: (first second past it, speed mm/s, climb mm/s, turn in 1/100 degree per second) as SQL over k and i.
 PHASES = [
@@ -45,18 +47,27 @@ def flyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.repartition(max(kept.shuffle_width(spark), -(-s.count() // FLIGHTS_A_TASK)), "k")
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``k, i, lat_mm, lon_mm, z``: where each flight is at each second."""
-    f = flyers(spark, sf_dir).select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SECONDS - 1).cast("long"))).alias("i"))
-    f = f.selectExpr("k", "i", *[f"cast({phase_sql(c)} as bigint) as {n}" for c, n in ((1, "s"), (2, "c"), (3, "w"))])
-    before = W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+def track() -> tuple[Column, Column]:
+    return (F.col("k") % TRACKS).alias("k"), (F.col("k") % 11 == 4).alias("blank")
+
+
+def tracks(flights: DataFrame) -> DataFrame:
+    """``k, blank`` of the tracks that the flights follow: their numbers modulo ``TRACKS``, and whether no pressure is logged."""
+    return flights.select(*track())
+
+
+def positions(flown: DataFrame) -> DataFrame:
+    """``k, blank, i, lat_mm, lon_mm, z``: where each of the ``tracks`` is at each second."""
+    f = flown.select("k", "blank", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SECONDS - 1).cast("long"))).alias("i"))
+    f = f.selectExpr("k", "blank", "i", *[f"cast({phase_sql(c)} as bigint) as {n}" for c, n in ((1, "s"), (2, "c"), (3, "w"))])
+    before = W.partitionBy("k", "blank").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     f = f.withColumn("h", (F.col("k") % 360) * 100 + so_far("w"))
     air = F.col("i").between(60, 1769)
     angle = F.radians(F.col("h") / F.lit(100.0))
     f = f.withColumn("vx", F.floor(F.col("s") * F.sin(angle) + 0.5) + F.when(air, (F.col("k") % 7) * 500 + 1500).otherwise(0)).withColumn("vy", F.floor(F.col("s") * F.cos(angle) + 0.5) + F.when(air, 1000).otherwise(0))
     f = f.withColumn("x", so_far("vx")).withColumn("y", so_far("vy")).withColumn("z", so_far("c") + 150000)
-    return f.select("k", "i", (F.floor(F.col("y") / F.lit(1852.0)) + 3100000).alias("lat_mm"), (F.floor(F.col("x") / F.lit(1150.0)) + 100000).alias("lon_mm"), "z")
+    return f.select("k", "blank", "i", (F.floor(F.col("y") / F.lit(1852.0)) + 3100000).alias("lat_mm"), (F.floor(F.col("x") / F.lit(1150.0)) + 100000).alias("lon_mm"), "z")
 
 
 def _place(mm: Column, digits: int) -> Column:
@@ -64,13 +75,24 @@ def _place(mm: Column, digits: int) -> Column:
 
 
 def _fix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = positions(spark, sf_dir).where(f"not {DROPPED}")
+    """The records of each track are made once; every flight has those of its track."""
+    flights = flyers(spark, sf_dir)
+    # given, as the sizes that would choose it are those of flights and tracks, not of the records
+    width = flights.rdd.getNumPartitions()
+    made = _track_lines(tracks(flights).distinct().repartition(width, "k", "blank")).groupBy("k", "blank").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    own = flights.select(F.col("k").alias("flight"), *track()).repartition(width, "k", "blank")
+    # by statistics the records of a track are as few as the tracks, so they would be sent to the driver
+    return own.join(made.hint("merge"), ["k", "blank"]).select(F.col("flight").alias("k"), F.inline("lines"))
+
+
+def _track_lines(flown: DataFrame) -> DataFrame:
+    p = positions(flown).where(f"not {DROPPED}")
     t = F.pmod(F.expr(START) + F.col("i"), F.lit(86400))
     clock = F.concat(*[F.lpad(x.cast("string"), 2, "0") for x in (F.floor(t / 3600), F.pmod(F.floor(t / 60), F.lit(60)), F.pmod(t, F.lit(60)))])
     height = F.floor(F.col("z") / 1000)
-    pressure = F.when(F.col("k") % 11 == 4, 0).otherwise(height)
+    pressure = F.when(F.col("blank"), 0).otherwise(height)
     line = F.concat(F.lit("B"), clock, _place(F.col("lat_mm"), 2), F.lit("N"), _place(F.col("lon_mm"), 3), F.lit("E"), F.when(F.col("i") % 97 == 0, "V").otherwise("A"), F.lpad(pressure.cast("string"), 5, "0"), F.lpad((height + 40).cast("string"), 5, "0"), F.lit("012"))
-    return p.select("k", (F.col("i") + 100).cast("int").alias("line_no"), line.alias("line"))
+    return p.select("k", "blank", (F.col("i") + 100).cast("int").alias("line_no"), line.alias("line"))
 
 
 def _other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
