@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varioflow.functions import geo, units
 from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, quality, segments, task
-from varioflow.bench import queries
+from varioflow.bench import queries, trace_binding
 from varioflow.plans import debrief, sinks
 from varioflow.sources import kept, logs
 
@@ -497,3 +497,37 @@ def test_usable_lines_are_those_that_give_a_fix(spark):
     df = lines(spark, *given)
     made = {r.line_no for r in parse.parse_b(df).select("line_no").collect()}
     assert {r.line_no for r in df.where(parse.usable(F.col("line"))).collect()} == made and len(made) >= 3
+
+
+def test_flights_of_one_track_share_its_records(spark, tmp_path):
+    numbers = [1, 1 + trace_binding.TRACKS, 4, 4 + 11 * trace_binding.TRACKS, 4 + trace_binding.TRACKS]
+    spark.createDataFrame([(k, "n") for k in numbers], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    flights = trace_binding.flyers(spark, str(tmp_path))
+    assert trace_binding.tracks(flights).distinct().count() == 3
+    made = trace_binding.log_lines(spark, str(tmp_path)).where("line_no >= 100")
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    per = {r.flight_id: (r.n, r.h) for r in made.groupBy("flight_id").agg(F.count("*").alias("n"), F.sum(F.crc32("line")).alias("h")).collect()}
+    a, b, c, d, e = [per[f"F{k}"] for k in numbers]
+    assert a == b and c == d and e[0] == c[0] and e != c and a[0] == c[0] == trace_binding.SECONDS
+
+
+def test_grouped_motion_is_that_of_the_windows(spark):
+    r = random.Random(3)
+    texts = []
+    t, lat, lon, alt = 86390, 43108.0, 50575.0, 500
+    for k in range(400):
+        t += r.choice([1, 1, 1, 1, 2, 5, 0, 13, -3]) if k % 40 else 40
+        lat, lon, alt = lat + 20 * math.sin(k / 5), lon + 30 * math.cos(k / 5), alt + r.randint(-2, 4)
+        texts.append("B%02d%02d%02d51%05dN002%05dWA%05d%05d" % (t // 3600 % 24, t // 60 % 60, t % 60, lat, lon, alt, alt + 30))
+    flat = [x[:25] + "0000000220" for x in texts[:3]]
+    rows = [(f, "s", k, x) for f, own in (("a", texts), ("b", texts[::-1]), ("one", texts[:1]), ("two", flat[:2]), ("three", flat)) for k, x in enumerate(own)]
+    raw = parse.parse_b(spark.createDataFrame(rows, "flight_id string, source string, line_no int, line string"))
+    found = kinematics.classified_fixes(raw)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    want = segments.classify(kinematics.add_kinematics(parse.ordered_fixes(raw))).select(found.columns)
+    assert found.dtypes == want.dtypes
+    pairs = list(zip(*[df.orderBy("flight_id", "idx").collect() for df in (found, want)], strict=True))
+    assert len(pairs) == 806
+    for a, b in pairs:
+        for x, y in zip(a, b, strict=True):
+            assert x == y or isinstance(x, float) and x == pytest.approx(y, rel=1e-12, abs=1e-11)

@@ -1,13 +1,20 @@
-"""Altitude choice, local projection and per-fix motion, all windows by flight."""
+"""Altitude choice, local projection and per-fix motion, windows or groups by flight."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, compass, far_angle, near_angle, nearest_64th, wrap
 
+DAY = 86400
+
+
 def by_flight():
     return W.partitionBy("flight_id")
 
@@ -70,6 +77,70 @@ def add_kinematics(fixes: DataFrame, max_gap: int = 12) -> DataFrame:
     return motion(project(choose_altitude(fixes)), max_gap)
 
 
+#: What ``classified_fixes`` gives of each fix.
+CLASSIFIED = "flight_id string, idx bigint, t bigint, lat double, lon double, alt int, altitude_source string, x double, y double, dt bigint, step double, vx double, vy double, vz double, gs double, good boolean, dtrk double, circ boolean, raw_run int"
+
+
+def classified_fixes(raw: DataFrame, min_circle_rate: float = 6.0, max_gap: int = 12) -> DataFrame:
+    """Fixes as ``parse.parse_b`` reads them, ordered, with their motion, ``circ`` and ``raw_run``.
+
+    The same as ``ordered_fixes``, ``add_kinematics`` and ``segments.classify``
+    one after the other.  These take a dozen windows, each of which copies every
+    row; here Spark groups the fixes by flight and a group's columns are numpy's.
+    """
+
+    def one(flight: pa.Table) -> pa.Table:
+        return _classified(flight, min_circle_rate, max_gap)
+
+    return raw.select("flight_id", "line_no", "raw_t", "lat_mm", "lon_mm", "palt", "galt").groupBy("flight_id").applyInArrow(one, CLASSIFIED)
+
+
+def _classified(flight: pa.Table, min_circle_rate: float, max_gap: int, rows: int = 5, seconds: int = 10) -> pa.Table:
+    c = {name: flight[name].to_numpy() for name in flight.column_names[1:]}
+    n = len(flight)
+    filed = np.argsort(c["line_no"], kind="stable")
+    clock = c["raw_t"][filed]
+    t = clock + DAY * np.cumsum(np.diff(clock, prepend=clock[0]) < -3600)
+    timed = np.argsort(t, kind="stable")
+    t, order = t[timed], filed[timed]
+    lat_mm, lon_mm, palt, galt = (c[name][order] for name in ("lat_mm", "lon_mm", "palt", "galt"))
+    low, high = palt.min(), palt.max()
+    source, alt = ("pressure", palt) if high - low > 100 and -500 < low < 15000 else ("GNSS", galt)
+    lat, lon = lat_mm / 60000.0, lon_mm / 60000.0
+    lat0, lon0 = lat_mm.sum() / (n * 60000.0), lon_mm.sum() / (n * 60000.0)
+    x, y = np.radians(lon - lon0) * EARTH_M * math.cos(math.radians(lat0)), np.radians(lat - lat0) * EARTH_M
+    dt = np.diff(t, append=t[-1])
+    moving = dt > 0
+    dx, dy, dz = (np.where(moving, np.diff(v, append=v[-1]), 0.0) for v in (x, y, alt))
+    time = np.where(moving, dt, 1)
+    step, good = np.sqrt(dx * dx + dy * dy), moving & (dt <= max_gap)
+    trk = np.full(n, np.nan)
+    # the standard library's angle is that of other engines; numpy's may be some places off
+    angle = map(math.atan2, (x[2:] - x[:-2]).tolist(), (y[2:] - y[:-2]).tolist())
+    trk[1:-1] = _around(np.degrees(np.fromiter(angle, float, max(n - 2, 0))))
+    dtrk = np.full(n, np.nan)
+    dtrk[:-1] = np.where(good[:-1], _around(np.diff(trk) + 180.0) - 180.0, np.nan)
+    rate = dtrk / time
+    total, used = np.zeros(n), np.zeros(n, int)
+    for k in range(-rows, rows + 1):
+        here, there = slice(max(-k, 0), n - max(k, 0)), slice(max(k, 0), n - max(-k, 0))
+        if abs(k) < n:
+            use = (np.abs(t[there] - t[here]) <= seconds) & ~np.isnan(rate[there])
+            total[here] += np.where(use, rate[there], 0.0)
+            used[here] += use
+    circ = np.abs(total / np.maximum(used, 1)) > min_circle_rate
+    run = np.cumsum(np.diff(circ, prepend=circ[0]), dtype=np.int32)
+    same = lambda v: pa.repeat(v, n)
+    columns = [same(flight["flight_id"][0]), np.arange(n), t, lat, lon, alt, same(pa.scalar(source)), x, y, dt, step, dx / time, dy / time, dz / time, step / time, good, pa.array(dtrk, from_pandas=True), circ, run]
+    return pa.table([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], names=[v.split()[0] for v in CLASSIFIED.split(", ")])
+
+
+def _around(degrees: np.ndarray) -> np.ndarray:
+    """Into [0, 360), as ``pmod``."""
+    rest = np.fmod(degrees, 360.0)
+    return np.where(rest < 0, np.fmod(rest + 360.0, 360.0), rest)
+
+
 #: Vertical speed bands: a step belongs to the number of cuts strictly below it.
 CUTS = (-2.5, -1.0, 0.0, 1.0, 2.0, 3.0)
 BANDS = ("below -2.5", "-2.5 to -1", "-1 to 0", "0 to 1", "1 to 2", "2 to 3", "above 3")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAY = 86400
+from .kinematics import DAY
+
 #: Thousandths of a minute (a thousandth of a degree) about zero that stand for no point.
 HOLE = 60
 #: Header records and the columns they fill.

@@ -13,10 +13,6 @@ from ..operators import kinematics, launch, legs, parse, phase, polars, quality,
 from ..sources import kept
 
 
-#: Columns of the fixes that results are made of; ``kinematics.add_kinematics`` has the others.
-FIXES = ("flight_id", "idx", "t", "lat", "lon", "alt", "altitude_source", "x", "y", "dt", "step", "vx", "vy", "vz", "gs", "good", "dtrk", "circ", "raw_run")
-
-
 @dataclass
 class Options:
     """What a user may choose; the defaults are the reference ones."""
@@ -57,8 +53,8 @@ class Debrief:
     @cached_property
     def classified(self) -> DataFrame:
         width = kept.width_for(self.lines, "line")
-        moving = kinematics.add_kinematics(parse.ordered_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id", width)))
-        return self.kept.bucketed(segments.classify(moving, self.options.min_circle_rate).select(*FIXES), "classified", "flight_id", width)
+        moving = kinematics.classified_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id", width), self.options.min_circle_rate)
+        return self.kept.bucketed(moving, "classified", "flight_id", width)
 
     @cached_property
     def _absorbed(self) -> DataFrame:
