@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varioflow.functions import geo, units
-from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, quality, segments, task
+from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, quality, segments, task, whole_logs
 from varioflow.bench import queries, trace_binding
 from varioflow.plans import debrief, sinks
 from varioflow.sources import kept, logs
@@ -531,3 +531,31 @@ def test_grouped_motion_is_that_of_the_windows(spark):
     for a, b in pairs:
         for x, y in zip(a, b, strict=True):
             assert x == y or isinstance(x, float) and x == pytest.approx(y, rel=1e-12, abs=1e-11)
+
+
+def test_whole_logs_give_the_fixes_of_their_lines(spark):
+    r = random.Random(5)
+    odd = [B, B[:-1], "b" + B[1:], "B", "LXXX", "", B + "é€\U0001f600", "B15085€5143108N00250575WA0000000220", B.replace("51431", "51 31"), B.replace("5143108", "514310 "), B.replace("5143108", "+1+3108"), B.replace("00250575", "0025057\x7f"), "B1508530000005N00000005EA0000000220", "B1508530000006S00000000EA0000000220"]
+    odd += [B.replace("A0000000220", x) for x in ("A-005000220", "A 12  00220", "A+1200\x1f 220", "A1 2 300220", "A--12300220", "A1.500\t\t220", "A     00220", "A٣000000220")] + [B.replace("150853", x) for x in (" 5+8-3", "1508 3", "2 0000")]
+    logged = []
+    t = 86300
+    for k in range(300):
+        t += r.choice([1, 1, 1, 2, 13, -2])
+        logged.append("B%02d%02d%02d51%05d%s002%05d%sA%05d%05d012" % (t // 3600 % 24, t // 60 % 60, t % 60, 43108 + 20 * math.sin(k / 5), r.choice("NS"), 50575 + 30 * math.cos(k / 5), r.choice("EWew"), k, k + 30))
+    texts = [("a", "\r\n".join(logged)), ("b", "\r".join(odd + logged[:40] + odd)), ("c", "\n\n" + "\n".join(odd[::-1])), ("d", "HFDTE010124\n"), ("e", None), ("f", ""), ("g", logged[0])]
+    df = spark.createDataFrame([(f, "s", x) for f, x in texts], "flight_id string, source string, text string")
+    found = whole_logs.classified_fixes(df)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = kinematics.classified_fixes(parse.parse_b(logs.split_lines(df)))
+    assert found.dtypes == want.dtypes
+    a, b = (x.orderBy("flight_id", "idx").collect() for x in (found, want))
+    assert a == b and {x.flight_id for x in a} == {"a", "b", "c", "g"} and len(a) > 360
+
+
+def test_flights_are_made_and_read_as_whole_logs(spark, tmp_path):
+    spark.createDataFrame([(k, f"S{k}") for k in (3, 4, 5)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert queries.log_texts(spark, str(tmp_path)).count() == 3
+    with queries.debrief(spark, str(tmp_path)) as d:
+        assert d.texts is not None and d.classified.groupBy("flight_id").count().count() == 3
+        with debrief.Debrief(d.lines) as by_lines:
+            assert d.classified.exceptAll(by_lines.classified).count() == 0 and d.classified.count() == by_lines.classified.count()

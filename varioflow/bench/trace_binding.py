@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources import kept
+from ..sources import kept, logs
 
 SECONDS = 1800
 #: Flights a task writes out; a supplier table may lie in one small file, its fixes may not.
 FLIGHTS_A_TASK = 250
 #: Tracks, drops and start times go by a flight's number modulo 360, 10, 9, 7, 5, 3 and 2, so flights that many apart follow one track.
 TRACKS = 2520
+#: Lines before a flight's fixes, empty ones with them.
+HEAD = 100
 DATE = "2024-01-01"
 #: (first second past it, speed mm/s, climb mm/s, turn in 1/100 degree per second) as SQL over k and i.
 PHASES = [
@@ -74,29 +76,20 @@ def _place(mm: Column, digits: int) -> Column:
     return F.concat(F.lpad(F.floor(mm / 60000).cast("string"), digits, "0"), F.lpad(F.pmod(mm, F.lit(60000)).cast("string"), 5, "0"))
 
 
-def _fix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of each track are made once; every flight has those of its track."""
-    flights = flyers(spark, sf_dir)
-    # given, as the sizes that would choose it are those of flights and tracks, not of the records
-    width = flights.rdd.getNumPartitions()
-    made = _track_lines(tracks(flights).distinct().repartition(width, "k", "blank")).groupBy("k", "blank").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    own = flights.select(F.col("k").alias("flight"), *track()).repartition(width, "k", "blank")
-    # by statistics the records of a track are as few as the tracks, so they would be sent to the driver
-    return own.join(made.hint("merge"), ["k", "blank"]).select(F.col("flight").alias("k"), F.inline("lines"))
-
-
-def _track_lines(flown: DataFrame) -> DataFrame:
+def _records(flown: DataFrame) -> DataFrame:
+    """``k, blank, records``: the fixes of each track as lines of text."""
     p = positions(flown).where(f"not {DROPPED}")
     t = F.pmod(F.expr(START) + F.col("i"), F.lit(86400))
     clock = F.concat(*[F.lpad(x.cast("string"), 2, "0") for x in (F.floor(t / 3600), F.pmod(F.floor(t / 60), F.lit(60)), F.pmod(t, F.lit(60)))])
     height = F.floor(F.col("z") / 1000)
     pressure = F.when(F.col("blank"), 0).otherwise(height)
     line = F.concat(F.lit("B"), clock, _place(F.col("lat_mm"), 2), F.lit("N"), _place(F.col("lon_mm"), 3), F.lit("E"), F.when(F.col("i") % 97 == 0, "V").otherwise("A"), F.lpad(pressure.cast("string"), 5, "0"), F.lpad((height + 40).cast("string"), 5, "0"), F.lit("012"))
-    return p.select("k", "blank", (F.col("i") + 100).cast("int").alias("line_no"), line.alias("line"))
+    logged = p.select("k", "blank", "i", line.alias("line")).groupBy("k", "blank").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l"))
+    return logged.select("k", "blank", F.array_join("l.line", "\n").alias("records"))
 
 
-def _other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = flyers(spark, sf_dir)
+def _head() -> Column:
+    """The first ``HEAD`` lines of a flight of ``k, s_name``; what it does not log is an empty line."""
     k = F.col("k")
     turns = k % 4 + 1
     zero = F.lit("0000000N00000000E")
@@ -116,10 +109,24 @@ def _other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 1, F.lit("I013638FXA")).when(k % 4 == 2, F.lit("I023638FXA3940SIU")).when(k % 4 == 3, F.lit("Ixx")),
     )
     lines = F.when(k % 3 != 0, F.concat(head, task)).otherwise(head)
-    return s.select("k", F.posexplode(lines).alias("line_no", "line")).where("line is not null")
+    return F.array_join(F.concat(lines, F.array_repeat(F.lit(""), F.lit(HEAD) - F.size(lines))), "\n", "")
+
+
+def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flight_id, source, text`` of all suppliers' flights, as log files are read.
+
+    The records of each track are made once; every flight has those of its track.
+    """
+    flights = flyers(spark, sf_dir)
+    # given, as the sizes that would choose it are those of flights and tracks, not of the texts
+    width = flights.rdd.getNumPartitions()
+    made = _records(tracks(flights).distinct().repartition(width, "k", "blank"))
+    own = flights.select(F.col("k").alias("flight"), _head().alias("head"), *track()).repartition(width, "k", "blank")
+    # by statistics the records of a track are as few as the tracks, so they would be sent to the driver
+    met = own.join(made.hint("merge"), ["k", "blank"])
+    return met.select(F.concat(F.lit("F"), F.col("flight").cast("string")).alias("flight_id"), F.lit("supplier").alias("source"), F.concat_ws("\n", "head", "records", F.lit("")).alias("text"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``flight_id, source, line_no, line`` of all suppliers' flights."""
-    every = _other_lines(spark, sf_dir).unionByName(_fix_lines(spark, sf_dir))
-    return every.select(F.concat(F.lit("F"), F.col("k").cast("string")).alias("flight_id"), F.lit("supplier").alias("source"), "line_no", "line")
+    """``flight_id, source, line_no, line`` of the texts; fixes from line ``HEAD`` on."""
+    return logs.split_lines(log_texts(spark, sf_dir))

@@ -90,19 +90,20 @@ def classified_fixes(raw: DataFrame, min_circle_rate: float = 6.0, max_gap: int
     """
 
     def one(flight: pa.Table) -> pa.Table:
-        return _classified(flight, min_circle_rate, max_gap)
+        c = {name: flight[name].to_numpy() for name in flight.column_names[1:]}
+        filed = np.argsort(c["line_no"], kind="stable")
+        return classified(flight["flight_id"][0], {name: v[filed] for name, v in c.items()}, min_circle_rate, max_gap)
 
     return raw.select("flight_id", "line_no", "raw_t", "lat_mm", "lon_mm", "palt", "galt").groupBy("flight_id").applyInArrow(one, CLASSIFIED)
 
 
-def _classified(flight: pa.Table, min_circle_rate: float, max_gap: int, rows: int = 5, seconds: int = 10) -> pa.Table:
-    c = {name: flight[name].to_numpy() for name in flight.column_names[1:]}
-    n = len(flight)
-    filed = np.argsort(c["line_no"], kind="stable")
-    clock = c["raw_t"][filed]
-    t = clock + DAY * np.cumsum(np.diff(clock, prepend=clock[0]) < -3600)
-    timed = np.argsort(t, kind="stable")
-    t, order = t[timed], filed[timed]
+def classified(flight_id: pa.Scalar, c: dict[str, np.ndarray], min_circle_rate: float, max_gap: int, rows: int = 5, seconds: int = 10) -> pa.Table:
+    """``CLASSIFIED`` of one flight's fixes, which are in file order."""
+    clock = c["raw_t"]
+    n = len(clock)
+    t = clock + DAY * np.cumsum(np.diff(clock, prepend=clock[:1]) < -3600)
+    order = np.argsort(t, kind="stable")
+    t = t[order]
     lat_mm, lon_mm, palt, galt = (c[name][order] for name in ("lat_mm", "lon_mm", "palt", "galt"))
     low, high = palt.min(), palt.max()
     source, alt = ("pressure", palt) if high - low > 100 and -500 < low < 15000 else ("GNSS", galt)
@@ -121,17 +122,19 @@ def _classified(flight: pa.Table, min_circle_rate: float, max_gap: int, rows: in
     dtrk = np.full(n, np.nan)
     dtrk[:-1] = np.where(good[:-1], _around(np.diff(trk) + 180.0) - 180.0, np.nan)
     rate = dtrk / time
+    known = ~np.isnan(rate)
+    rate = np.where(known, rate, 0.0)
     total, used = np.zeros(n), np.zeros(n, int)
-    for k in range(-rows, rows + 1):
+    for k in range(-min(rows, n - 1), min(rows, n - 1) + 1):
         here, there = slice(max(-k, 0), n - max(k, 0)), slice(max(k, 0), n - max(-k, 0))
-        if abs(k) < n:
-            use = (np.abs(t[there] - t[here]) <= seconds) & ~np.isnan(rate[there])
-            total[here] += np.where(use, rate[there], 0.0)
-            used[here] += use
+        near = np.abs(t[there] - t[here]) <= seconds
+        dense = near.all()
+        total[here] += rate[there] if dense else np.where(near, rate[there], 0.0)
+        used[here] += known[there] if dense else known[there] & near
     circ = np.abs(total / np.maximum(used, 1)) > min_circle_rate
     run = np.cumsum(np.diff(circ, prepend=circ[0]), dtype=np.int32)
     same = lambda v: pa.repeat(v, n)
-    columns = [same(flight["flight_id"][0]), np.arange(n), t, lat, lon, alt, same(pa.scalar(source)), x, y, dt, step, dx / time, dy / time, dz / time, step / time, good, pa.array(dtrk, from_pandas=True), circ, run]
+    columns = [same(flight_id), np.arange(n), t, lat, lon, alt, same(pa.scalar(source)), x, y, dt, step, dx / time, dy / time, dz / time, step / time, good, pa.array(dtrk, from_pandas=True), circ, run]
     return pa.table([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], names=[v.split()[0] for v in CLASSIFIED.split(", ")])
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import climbs as climb_ops
-from ..operators import kinematics, launch, legs, parse, phase, polars, quality, segments, task
-from ..sources import kept
+from ..operators import kinematics, launch, legs, parse, phase, polars, quality, segments, task, whole_logs
+from ..sources import kept, logs
 
 
 @dataclass
@@ -36,11 +36,16 @@ class Debrief:
     ``close`` (or leaving a ``with`` block) drops all of them.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None):
-        self.lines, self.options = lines, options or Options()
+    def __init__(self, lines: DataFrame, options: Options | None = None, texts: DataFrame | None = None):
+        self.lines, self.texts, self.options = lines, texts, options or Options()
         self.kept = kept.Kept(lines.sparkSession)
         self._keep = self.kept.stored
 
+    @classmethod
+    def of_texts(cls, texts: DataFrame, options: Options | None = None) -> Debrief:
+        """Of whole logs, one row a flight: no line of theirs is exchanged, and a flight's records are read together."""
+        return cls(logs.split_lines(texts), options, texts)
+
     def __enter__(self) -> Debrief:
         return self
 
@@ -52,6 +57,10 @@ class Debrief:
 
     @cached_property
     def classified(self) -> DataFrame:
+        if self.texts is not None:
+            width = kept.width_for(self.texts, "text")
+            moving = whole_logs.classified_fixes(kept.dealt(self.texts, "flight_id", width), self.options.min_circle_rate)
+            return self.kept.bucketed(moving, "classified", "flight_id", width)
         width = kept.width_for(self.lines, "line")
         moving = kinematics.classified_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id", width), self.options.min_circle_rate)
         return self.kept.bucketed(moving, "classified", "flight_id", width)
