@@ -559,3 +559,9 @@ def test_flights_are_made_and_read_as_whole_logs(spark, tmp_path):
         assert d.texts is not None and d.classified.groupBy("flight_id").count().count() == 3
         with debrief.Debrief(d.lines) as by_lines:
             assert d.classified.exceptAll(by_lines.classified).count() == 0 and d.classified.count() == by_lines.classified.count()
+
+
+def test_launch_is_planned_with_few_windows_over_the_fixes(spark):
+    with debrief.Debrief(lines(spark, B)) as d:
+        plan = launch.find_launch(d.classified)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Window [") <= 4

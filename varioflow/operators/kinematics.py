@@ -23,6 +23,11 @@ def in_order():
     return by_flight().orderBy("idx")
 
 
+def beside(kin: DataFrame, per: DataFrame) -> DataFrame:
+    """Each fix with its flight's row: those rows are few, so they are hashed and the fixes not sorted for it."""
+    return kin.join(per.hint("shuffle_hash"), "flight_id")
+
+
 def choose_altitude(fixes: DataFrame) -> DataFrame:
     """``alt`` and ``altitude_source``: pressure if it moves more than 100 m and starts plausibly."""
     low, high = F.min("palt").over(by_flight()), F.max("palt").over(by_flight())

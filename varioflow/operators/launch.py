@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import FEET
-from .kinematics import by_flight, in_order
+from .kinematics import beside, by_flight, in_order
 
 # The launch kinds as users know them.
 NO_LAUNCH = "no launch in this file - the trace appears to start airborne"
@@ -17,40 +17,40 @@ UNCLEAR = "unclear - possibly a self-launch or a partial trace"
 
 
 def takeoff(kin: DataFrame) -> DataFrame:
-    """The fixes with ``to_idx`` and ``to_alt``, and the number of fixes ``n``."""
-    first = F.coalesce(F.min(F.when((F.col("gs") * 3.6 > 25) & F.col("good"), F.col("idx"))).over(by_flight()), F.lit(0))
-    at = lambda c, i: F.max(F.when(F.col("idx") == i, F.col(c))).over(by_flight())
-    f = kin.withColumn("__first", first).withColumn("n", F.count("*").over(by_flight()))
-    f = f.withColumn("__alt0", at("alt", F.lit(0))).withColumn("__alt1", at("alt", F.col("__first")))
-    started = (F.col("__first") > 0) & (F.col("__alt0") < F.col("__alt1") - 30)
-    f = f.withColumn("to_idx", F.when(started, 0).otherwise(F.col("__first"))).withColumn("to_alt", F.when(started, F.col("__alt0")).otherwise(F.col("__alt1")))
-    return f.drop("__first", "__alt0", "__alt1")
+    """Per flight ``to_idx, to_t, to_alt`` and its number of fixes ``n``."""
+    fast = F.when((F.col("gs") * 3.6 > 25) & F.col("good"), F.col("idx"))
+    ends = [f(c, i).alias(f"{c}{k}") for k, i in enumerate((F.col("idx"), fast)) for f, c in ((F.min_by, "t"), (F.min_by, "alt"))]
+    per = kin.groupBy("flight_id").agg(F.count("*").alias("n"), F.min(fast).alias("first"), *ends)
+    waits = F.col("first").isNull() | (F.col("first") > 0) & (F.col("alt0") < F.col("alt1") - 30)
+    at = lambda start, fast: F.when(waits, start).otherwise(fast)
+    return per.select("flight_id", "n", at(F.lit(0).cast("long"), F.col("first")).alias("to_idx"), at(F.col("t0"), F.col("t1")).alias("to_t"), at(F.col("alt0"), F.col("alt1")).alias("to_alt"))
 
 
-def initial_climb(flown: DataFrame) -> DataFrame:
-    """``top_idx``: the last fix at the running maximum before the first drop of more than 60 m below it."""
-    since = F.when(F.col("idx") >= F.col("to_idx"), F.col("alt"))
-    f = flown.withColumn("__max", F.max(since).over(in_order().rowsBetween(W.unboundedPreceding, 0)))
-    f = f.withColumn("__break", F.min(F.when(since < F.col("__max") - 60, F.col("idx"))).over(by_flight()))
-    top = F.max(F.when((since == F.col("__max")) & (F.col("idx") < F.coalesce("__break", F.lit(1 << 60))), F.col("idx"))).over(by_flight())
-    return f.withColumn("top_idx", top).drop("__max", "__break")
+def initial_climb(kin: DataFrame, started: DataFrame) -> DataFrame:
+    """``started`` with ``top``: the last fix (alt, idx, t) at the running maximum before the first drop of more than 60 m below it."""
+    flown = beside(kin.select("flight_id", "idx", "t", "alt"), started.select("flight_id", "to_idx")).where("idx >= to_idx")
+    best = F.max(F.struct("alt", "idx", "t")).over(in_order().rowsBetween(W.unboundedPreceding, 0))
+    f = flown.select("flight_id", "idx", "alt", best.alias("best"))
+    fell = F.when(F.col("alt") < F.col("best.alt") - 60, F.col("idx"))
+    return started.join(f.groupBy("flight_id").agg(F.coalesce(F.min_by("best", fell), F.max("best")).alias("top")), "flight_id")
 
 
 def find_launch(kin: DataFrame) -> DataFrame:
-    """``takeoff_idx, release_idx``, their times, type, note, confident; with n, top and the mean speed."""
-    f = initial_climb(takeoff(kin))
-    inside = F.col("good") & (F.col("idx") >= F.col("to_idx")) & (F.col("idx") < F.col("top_idx"))
+    """``takeoff_idx, release_idx``, their times, type, note, confident; with n, top and the mean speed.
+
+    Take-off and top are a row per flight, so that speeds ahead are worked out
+    for the fixes of the initial climb alone.
+    """
+    climb = initial_climb(kin, takeoff(kin)).select("flight_id", "n", "to_idx", "to_t", "to_alt", F.col("top.idx").alias("top_idx"), F.col("top.t").alias("top_t"), F.col("top.alt").alias("top_alt"))
+    # a fix up to 40 past the top may be slow, and that is told from the seven after it
+    f = beside(kin.select("flight_id", "idx", "t", "gs", "good"), climb).where((F.col("idx") >= F.col("to_idx")) & (F.col("idx") < F.col("top_idx") + 47))
     kmh = F.col("gs") * 3.6
-    f = f.withColumn("mspd", F.coalesce(F.avg(F.when(inside, kmh)).over(by_flight()), F.lit(0.0)))
     ahead = in_order().rowsBetween(0, 7)
     f = f.withColumn("__n", F.count(F.when(F.col("good"), 1)).over(ahead)).withColumn("__v", F.avg(F.when(F.col("good"), kmh)).over(ahead))
+    f = f.withColumn("mspd", F.coalesce(F.avg(F.when(F.col("good") & (F.col("idx") < F.col("top_idx")), kmh)).over(by_flight()), F.lit(0.0)))
     slow = F.col("good") & (F.col("idx") >= F.col("to_idx") + 5) & (F.col("idx") < F.least(F.col("top_idx") + 40, F.col("n") - 3)) & (F.col("__n") >= 4) & (F.col("__v") < F.col("mspd") - 15)
-    at = lambda c, i: F.max(F.when(F.col("idx") == F.col(i), F.col(c)))
-    per = f.groupBy("flight_id").agg(
-        F.first("n").alias("n"), F.first("to_idx").cast("long").alias("takeoff_idx"), F.first("top_idx").alias("top_idx"), F.first("mspd").alias("mspd"),
-        at("t", "to_idx").alias("takeoff_t"), at("t", "top_idx").alias("top_t"), at("alt", "top_idx").alias("top_alt"), F.first("to_alt").alias("to_alt"),
-        F.min(F.when(slow, F.struct("idx", "t"))).alias("slow"),
-    )
+    same = [F.first(c).alias(n) for c, n in (("to_idx", "takeoff_idx"), ("to_t", "takeoff_t"), ("to_alt", "to_alt"), ("top_idx", "top_idx"), ("top_t", "top_t"), ("top_alt", "top_alt"), ("mspd", "mspd"))]
+    per = f.groupBy("flight_id").agg(*same, F.min(F.when(slow, F.struct("idx", "t"))).alias("slow"))
     per = per.withColumn("dur", F.col("top_t") - F.col("takeoff_t")).withColumn("gain", F.col("top_alt") - F.col("to_alt"))
     kind = F.when(F.col("gain") < 50, NO_LAUNCH).when((F.col("dur") <= 100) & (F.col("gain") > 100), WINCH).when(F.col("mspd").between(90, 155) & (F.col("dur") > 100), TOW).otherwise(UNCLEAR)
     per = per.withColumn("type", kind)
