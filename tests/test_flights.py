@@ -565,3 +565,19 @@ def test_launch_is_planned_with_few_windows_over_the_fixes(spark):
     with debrief.Debrief(lines(spark, B)) as d:
         plan = launch.find_launch(d.classified)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and plan.count("Window [") <= 4
+
+
+def test_runs_meet_the_kept_fixes_without_sorting_them(spark):
+    """Nor when the runs are too many to be sent to every task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with debrief.Debrief(lines(spark, *[B.replace("150853", "1508%02d" % k) for k in range(50)])) as d:
+            runs = d.runs
+            for met in (d.fixes, segments.within(d.fixes, runs, "a", "b")):
+                assert "SortMergeJoin" not in met._jdf.queryExecution().executedPlan().toString()
+            found = segments.within(d.fixes, runs.where("run_id = 0"), "a", "b").collect()
+            assert [(r.a, r.b) for r in found] == [(0, 49)] * 50
+            twice = runs.unionByName(runs)
+            assert segments.within(d.fixes, twice, "a", "b").count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

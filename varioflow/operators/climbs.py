@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import GRAVITY, KNOTS, compass
+from .segments import within
 
 
 def climb_runs(runs: DataFrame, launch: DataFrame, least_s: int = 30) -> DataFrame:
@@ -18,14 +19,14 @@ def climb_runs(runs: DataFrame, launch: DataFrame, least_s: int = 30) -> DataFra
 def circle_stats(fixes: DataFrame, climbs: DataFrame, wind: DataFrame | None = None) -> DataFrame:
     """Geometry of each climb.  Airspeed is held against the flight's wind, or the climb's own drift without one."""
     key = ["flight_id", "run_id"]
-    steps = fixes.join(climbs.select(*key, "a", "b", "t_a", "t_b", "alt_a", "alt_b"), key).where("idx < b")
+    steps = within(fixes, climbs, "a", "b", "t_a", "t_b", "alt_a", "alt_b").where("idx < b")
     good = F.col("good")
     own = W.partitionBy(*key)
     seconds = F.sum(F.when(good, F.col("dt"))).over(own)
     per = lambda c: F.coalesce(F.sum(F.when(good, F.col(c) * F.col("dt"))).over(own), F.lit(0.0)) / F.when(seconds > 0, seconds).otherwise(1)
     steps = steps.withColumn("drift_vx", per("vx")).withColumn("drift_vy", per("vy"))
     if wind is not None:
-        steps = steps.join(wind.select("flight_id", "wx", "wy"), "flight_id", "left").withColumn("drift_vx", F.coalesce("wx", "drift_vx")).withColumn("drift_vy", F.coalesce("wy", "drift_vy"))
+        steps = steps.join(wind.select("flight_id", "wx", "wy").hint("shuffle_hash"), "flight_id", "left").withColumn("drift_vx", F.coalesce("wx", "drift_vx")).withColumn("drift_vy", F.coalesce("wy", "drift_vy"))
     air = F.hypot(F.col("vx") - F.col("drift_vx"), F.col("vy") - F.col("drift_vy"))
     g = steps.groupBy(*key).agg(
         F.first("a").alias("a"), F.first("b").alias("b"), F.first("t_a").alias("start"), F.first("t_b").alias("end"), F.first("alt_a").alias("alt_bottom_m"), F.first("alt_b").alias("alt_top_m"),
@@ -77,7 +78,7 @@ def full_circles(fixes: DataFrame, climbs: DataFrame) -> DataFrame:
     """
     key = ["flight_id", "run_id"]
     turn = F.floor(F.col("dtrk") * 1e9 + 0.5).cast("long").alias("turn")
-    own = fixes.join(climbs.select(*key), key).select(*key, F.struct("idx", "t", "alt", "x", "y", turn).alias("fix"))
+    own = within(fixes, climbs.withColumn("__in", F.lit(True)), "__in").select(*key, F.struct("idx", "t", "alt", "x", "y", turn).alias("fix"))
     zero = F.from_json(F.lit('{"turned":0,"n":0,"x":0,"y":0,"t":0,"circles":[]}'), WALK)
 
     def step(w: Column, f: Column) -> Column:
@@ -100,7 +101,7 @@ def best_rate(fixes: DataFrame, climbs: DataFrame, win: int = 30) -> DataFrame:
     for the time ``win`` later; questions and fixes are read backwards together.
     """
     key = ["flight_id", "run_id"]
-    own = fixes.join(climbs.select(*key), key)
+    own = within(fixes, climbs.withColumn("__in", F.lit(True)), "__in")
     here = F.struct("t", "alt")
     none = F.lit(None).cast("struct<t:bigint,alt:int>")
     event = lambda t, fix, asks: F.struct(t.alias("at"), fix.alias("fix"), asks.alias("asks"), F.col("idx").cast("long").alias("idx"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import sigma
+from .kinematics import beside
+from .segments import within
 
 def by_leg():
     return W.partitionBy("flight_id").orderBy("a")
@@ -19,7 +21,7 @@ def leg_runs(runs: DataFrame, launch: DataFrame, least_s: int = 60) -> DataFrame
 
 def circuit_entry(kin: DataFrame, summary: DataFrame, height: int = 300) -> DataFrame:
     """First fix from which the trace stays below its last altitude + ``height``; null if it did not land."""
-    f = kin.select("flight_id", "idx", "t", "alt").join(summary.select("flight_id", "last_alt", "landed"), "flight_id")
+    f = beside(kin.select("flight_id", "idx", "t", "alt"), summary.select("flight_id", "last_alt", "landed"))
     above = F.max(F.when(F.col("alt") >= F.col("last_alt") + height, F.col("idx"))).over(W.partitionBy("flight_id"))
     f = f.withColumn("entry", F.when(F.col("landed"), F.coalesce(above, F.lit(-1)) + 1))
     return f.groupBy("flight_id").agg(F.first("entry").alias("entry"), F.max(F.when(F.col("idx") == F.col("entry"), F.col("t"))).alias("entry_t"), F.max(F.when(F.col("idx") == F.col("entry"), F.col("alt"))).alias("entry_alt"))
@@ -45,7 +47,7 @@ def analyse_legs(kin: DataFrame, legs: DataFrame, polars: DataFrame, wind: DataF
     """
     key = ["flight_id", "leg"]
     each = legs.select("flight_id", "run_id", "leg", "a", "b", "t_a", "t_b", "alt_a", "alt_b").join(polars.select("flight_id", "c0", "c1", "c2"), "flight_id", "left").join(wind.select("flight_id", "wx", "wy"), "flight_id", "left")
-    steps = kin.join(each, ["flight_id", "run_id"]).where((F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b")))
+    steps = within(kin, each, *[c for c in each.columns if c not in ("flight_id", "run_id")]).where((F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b")))
     root = F.sqrt(sigma(F.col("alt")))
     steps = steps.withColumn("eas", F.hypot(F.col("vx") - F.coalesce("wx", F.lit(0.0)), F.col("vy") - F.coalesce("wy", F.lit(0.0))) * root)
     steps = steps.withColumn("w", F.col("vz") + (F.col("c0") + F.col("c1") * F.col("eas") + F.col("c2") * F.col("eas") * F.col("eas")) / root)

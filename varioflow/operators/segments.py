@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .kinematics import beside
+
 
 def classify(kin: DataFrame, min_circle_rate: float = 6.0) -> DataFrame:
     """``circ`` by the smoothed turn rate, and ``raw_run`` counting its changes from 0."""
@@ -43,7 +45,20 @@ def relabelled(classified: DataFrame, runs: DataFrame) -> DataFrame:
     """The fixes with the final ``run_id`` and ``circ`` of their original run."""
     per_flight = runs.groupBy("flight_id").agg(F.sort_array(F.collect_list(F.struct("raw_run", "run_id", "circ"))).alias("__runs"))
     own = F.element_at("__runs", F.col("raw_run") + 1)
-    return classified.drop("circ").join(per_flight, "flight_id").withColumn("run_id", own["run_id"]).withColumn("circ", own["circ"]).drop("__runs", "raw_run")
+    return beside(classified.drop("circ"), per_flight).withColumn("run_id", own["run_id"]).withColumn("circ", own["circ"]).drop("__runs", "raw_run")
+
+
+def within(fixes: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The fixes of each row's run (``flight_id, run_id``) with the row's ``columns``.
+
+    A join by flight and run would exchange and sort all fixes, which are dealt
+    by flight, once the rows are too many to be sent to every task; so a
+    flight's rows come to its fixes as one map.
+    """
+    run = rows.groupBy("flight_id", "run_id").agg(F.collect_list(F.struct(*columns)).alias("own"))
+    per_flight = run.groupBy("flight_id").agg(F.map_from_entries(F.collect_list(F.struct("run_id", "own"))).alias("__own"))
+    met = beside(fixes, per_flight).withColumn("__met", F.try_element_at("__own", F.col("run_id")))
+    return met.where("__met is not null").select(*fixes.columns, F.inline("__met"))
 
 
 def segment(kin: DataFrame, min_circle_rate: float = 6.0, min_run: int = 25, passes: int = 4) -> DataFrame:
