@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varioflow.functions import geo, units
-from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, parse, polars, quality, segments, task, whole_logs
+from varioflow.operators import climbs, diff, kinematics, launch, legs, links, lookup, outline, parse, polars, quality, segments, task, whole_logs
 from varioflow.bench import queries, trace_binding
 from varioflow.plans import debrief, sinks
 from varioflow.sources import kept, logs
@@ -581,3 +581,42 @@ def test_runs_meet_the_kept_fixes_without_sorting_them(spark):
             assert segments.within(d.fixes, twice, "a", "b").count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_of_kinds_are_those_of_the_split(spark):
+    texts = ["AXY\r\nHFx\rCabc\n\nB1A2H\nhfA:b C", "BA\nCC\n aC\nA", "", None, "h", "\n\u0085A\u2028H\nA\u0085C\r\n\r\nLCA"]
+    df = spark.createDataFrame([(str(k), "s", x) for k, x in enumerate(texts)], "flight_id string, source string, text string")
+    want = [(r.flight_id, r.line) for r in logs.split_lines(df).where(parse.kind(F.col("line")).isin("A", "H", "C")).orderBy("flight_id", "line_no").collect()]
+    got = [(r.flight_id, r.line) for r in logs.lines_of_kinds(df, "AHC").orderBy("flight_id", "line_no").collect()]
+    assert got == want and len(got) == 8
+
+
+def wandering(r, n, t=50000, turning=1.0):
+    """A log that waits, climbs out, circles, glides and lands at random."""
+    lat, lon, alt, way, out = 43108.0, 50575.0, 500.0, 0.0, []
+    for k in range(n):
+        t += r.choice([1, 1, 1, 1, 2, 4, 13])
+        phase = k * 7 // n
+        way += turning * (0, 0, 0.01, 0.35, 0.02, -0.4, 0.01)[phase] * r.uniform(0.7, 1.3)
+        flying = phase > 0 and k < n - 20
+        lat, lon = lat + flying * 18 * math.cos(way), lon + flying * 26 * math.sin(way)
+        alt += (0, 3, -2, 2, -1.5, 2, -3)[phase] + r.uniform(-1, 1)
+        out.append("B%02d%02d%02d51%05dN002%05dWA%05d%05d" % (t // 3600 % 24, t // 60 % 60, t % 60, lat, lon, alt, alt + 30))
+    return "\n".join(["HFGTYGLIDERTYPE:ASK-21", *out])
+
+
+def test_outlines_give_what_the_kept_fixes_give(spark):
+    """Runs, launch, landing, wind and legs of whole logs, without a row per fix."""
+    r = random.Random(11)
+    logged = [(f"f{k}", "s", wandering(r, n, turning=turning)) for k, (n, turning) in enumerate([(900, 1), (900, 0), (1400, 1), (700, -1), (60, 1), (9, 0), (2, 0), (1, 0)])]
+    df = spark.createDataFrame([*logged, ("none", "s", "HFDTE010124"), ("null", "s", None)], "flight_id string, source string, text string")
+    with debrief.Debrief.of_texts(df) as own, debrief.Debrief(logs.split_lines(df)) as other:
+        for name, order in (("runs", "run_id"), ("launch", "takeoff_idx"), ("climb_runs", "run_id"), ("wind_estimates", "time"), ("entry", "entry"), ("phase", "soaring_s"), ("legs", "leg"), ("rising_air", "flight_id")):
+            columns = [c for c in getattr(other, name).columns]
+            a, b = (getattr(d, name).select(columns).orderBy("flight_id", order).collect() for d in (own, other))
+            assert len(a) == len(b) > 0, name
+            for x, y in zip(a, b):
+                for p, q in zip(x, y):
+                    assert p == q or isinstance(p, float) and p == pytest.approx(q, rel=1e-9, abs=1e-9), (name, x, y)
+        assert "classified" not in vars(own), "a row per fix was kept"
+        assert own.launch.where("confident").count() + own.climb_runs.count() > 2 and own.legs.where("kind <> 'cruise'").count() > 0

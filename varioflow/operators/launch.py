@@ -50,7 +50,11 @@ def find_launch(kin: DataFrame) -> DataFrame:
     f = f.withColumn("mspd", F.coalesce(F.avg(F.when(F.col("good") & (F.col("idx") < F.col("top_idx")), kmh)).over(by_flight()), F.lit(0.0)))
     slow = F.col("good") & (F.col("idx") >= F.col("to_idx") + 5) & (F.col("idx") < F.least(F.col("top_idx") + 40, F.col("n") - 3)) & (F.col("__n") >= 4) & (F.col("__v") < F.col("mspd") - 15)
     same = [F.first(c).alias(n) for c, n in (("to_idx", "takeoff_idx"), ("to_t", "takeoff_t"), ("to_alt", "to_alt"), ("top_idx", "top_idx"), ("top_t", "top_t"), ("top_alt", "top_alt"), ("mspd", "mspd"))]
-    per = f.groupBy("flight_id").agg(*same, F.min(F.when(slow, F.struct("idx", "t"))).alias("slow"))
+    return judged(f.groupBy("flight_id").agg(*same, F.min(F.when(slow, F.struct("idx", "t"))).alias("slow")))
+
+
+def judged(per: DataFrame) -> DataFrame:
+    """Kind, release and note from take-off, top, mean speed and the first slow fix of each flight."""
     per = per.withColumn("dur", F.col("top_t") - F.col("takeoff_t")).withColumn("gain", F.col("top_alt") - F.col("to_alt"))
     kind = F.when(F.col("gain") < 50, NO_LAUNCH).when((F.col("dur") <= 100) & (F.col("gain") > 100), WINCH).when(F.col("mspd").between(90, 155) & (F.col("dur") > 100), TOW).otherwise(UNCLEAR)
     per = per.withColumn("type", kind)

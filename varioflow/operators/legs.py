@@ -45,9 +45,23 @@ def analyse_legs(kin: DataFrame, legs: DataFrame, polars: DataFrame, wind: DataF
 
     ``polars`` has the coefficients c0, c1, c2 of each flight (null: no airmass).
     """
+    each = airs(legs, polars, wind)
+    return analyse_steps(within(kin, each, *[c for c in each.columns if c not in ("flight_id", "run_id")]).where((F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b"))))
+
+
+def airs(legs: DataFrame, polars: DataFrame, wind: DataFrame) -> DataFrame:
+    """Each leg with the polar and the wind of its flight."""
+    own = legs.select("flight_id", "run_id", "leg", "a", "b", "t_a", "t_b", "alt_a", "alt_b")
+    return own.join(polars.select("flight_id", "c0", "c1", "c2"), "flight_id", "left").join(wind.select("flight_id", "wx", "wy"), "flight_id", "left")
+
+
+#: What a leg's balance is made from, of each of its fixes.
+STEP = ["alt", "dt", "step", "vx", "vy", "vz", "good"]
+
+
+def analyse_steps(steps: DataFrame) -> DataFrame:
+    """The balance of the legs from their fixes, each with ``airs`` of its leg."""
     key = ["flight_id", "leg"]
-    each = legs.select("flight_id", "run_id", "leg", "a", "b", "t_a", "t_b", "alt_a", "alt_b").join(polars.select("flight_id", "c0", "c1", "c2"), "flight_id", "left").join(wind.select("flight_id", "wx", "wy"), "flight_id", "left")
-    steps = within(kin, each, *[c for c in each.columns if c not in ("flight_id", "run_id")]).where((F.col("idx") >= F.col("a")) & (F.col("idx") < F.col("b")))
     root = F.sqrt(sigma(F.col("alt")))
     steps = steps.withColumn("eas", F.hypot(F.col("vx") - F.coalesce("wx", F.lit(0.0)), F.col("vy") - F.coalesce("wy", F.lit(0.0))) * root)
     steps = steps.withColumn("w", F.col("vz") + (F.col("c0") + F.col("c1") * F.col("eas") + F.col("c2") * F.col("eas") * F.col("eas")) / root)

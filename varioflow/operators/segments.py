@@ -26,10 +26,15 @@ ENDS = ("a", "b", "t_a", "t_b", "alt_a", "alt_b")
 
 
 def absorbed(classified: DataFrame, min_run: int = 25, passes: int = 4) -> DataFrame:
-    """Original run, its ends, final run and kind.  A pass flips every short run of its snapshot together."""
+    """Original run, its ends, final run and kind."""
     runs = classified.groupBy("flight_id", "raw_run").agg(
         F.first("circ").alias("circ"), F.min("idx").alias("a"), F.max("idx").alias("b"), F.min("t").alias("t_a"), F.max("t").alias("t_b"), F.min_by("alt", "idx").alias("alt_a"), F.max_by("alt", "idx").alias("alt_b")
     )
+    return absorb(runs, min_run, passes)
+
+
+def absorb(runs: DataFrame, min_run: int = 25, passes: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Original runs with their final one.  A pass flips every short run of its snapshot together."""
     order = W.partitionBy("flight_id").orderBy("raw_run")
     runs = runs.withColumn("run_id", F.col("raw_run")).withColumn("__a", F.col("t_a")).withColumn("__b", F.col("t_b"))
     for _ in range(passes):
@@ -38,7 +43,7 @@ def absorbed(classified: DataFrame, min_run: int = 25, passes: int = 4) -> DataF
         runs = runs.withColumn("__c", change).withColumn("run_id", F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
         whole = W.partitionBy("flight_id", "run_id")
         runs = runs.withColumn("__a", F.min("t_a").over(whole)).withColumn("__b", F.max("t_b").over(whole))
-    return runs.select("flight_id", "raw_run", "run_id", "circ", *ENDS)
+    return runs.select("flight_id", "raw_run", "run_id", "circ", *ENDS, *(keep or []))
 
 
 def relabelled(classified: DataFrame, runs: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from .kinematics import CLASSIFIED, classified
 RECORD = 35
 #: Where a record holds the parts of its numbers: hour, minute, second, latitude and longitude in degrees and thousandths of a minute, altitudes.
 PARTS = ((1, 3), (3, 5), (5, 7), (7, 9), (9, 14), (15, 18), (18, 23), (25, 30), (30, 35))
+#: A record of the smallest kind.
+ONE = "B0000000000000N00100000E" + "A0000000000"
 NUMBER = re.compile(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*")
 DIGITS = np.concatenate([np.arange(*p) for p in PARTS])
 
@@ -24,12 +26,19 @@ def classified_fixes(texts: DataFrame, min_circle_rate: float = 6.0, max_gap: in
     A flight is bounded by the file limit.
     """
 
-    def one(flight: pa.Table) -> pa.Table:
-        read = records("\n".join(x for x in flight["text"].to_pylist() if x is not None))
-        return classified(flight["flight_id"][0], read, min_circle_rate, max_gap) if len(read["raw_t"]) else nothing.schema.empty_table()
+    return texts.select("flight_id", "text").groupBy("flight_id").applyInArrow(lambda flight: read(flight, min_circle_rate, max_gap), CLASSIFIED)
 
-    nothing = classified(pa.scalar(""), records("B0000000000000N00100000E" + "A0000000000"), 0.0, 1)
-    return texts.select("flight_id", "text").groupBy("flight_id").applyInArrow(one, CLASSIFIED)
+
+def read(flight: pa.Table, min_circle_rate: float = 6.0, max_gap: int = 12) -> pa.Table:
+    """``CLASSIFIED`` of the texts of one flight."""
+    return read_text(flight["flight_id"][0], "\n".join(x for x in flight["text"].to_pylist() if x is not None), min_circle_rate, max_gap)
+
+
+def read_text(flight_id: pa.Scalar | str, text: str, min_circle_rate: float = 6.0, max_gap: int = 12) -> pa.Table:
+    found = records(text)
+    one = found if len(found["raw_t"]) else records(ONE)
+    fixes = classified(pa.scalar(flight_id), one, min_circle_rate, max_gap)
+    return fixes if one is found else fixes.slice(0, 0)
 
 
 def records(text: str) -> dict[str, np.ndarray]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import climbs as climb_ops
-from ..operators import kinematics, launch, legs, parse, phase, polars, quality, segments, task, whole_logs
+from ..operators import kinematics, launch, legs, outline, parse, phase, polars, quality, segments, task, whole_logs
 from ..sources import kept, logs
 
 
@@ -30,7 +30,9 @@ class Debrief:
     The classified fixes are the one large table.  They come out of a single
     exchange by flight and are kept dealt by flight, so that what is derived
     from them is not exchanged again; tables with a few rows per flight that
-    several results share are kept too.
+    several results share are kept too.  Of whole logs, runs, launch, landing,
+    wind and legs come from the flights' outlines and from the logs, and need no
+    kept fixes.
 
     So reading a property may run jobs and write tables to the shared folder;
     ``close`` (or leaving a ``with`` block) drops all of them.
@@ -38,6 +40,8 @@ class Debrief:
 
     def __init__(self, lines: DataFrame, options: Options | None = None, texts: DataFrame | None = None):
         self.lines, self.texts, self.options = lines, texts, options or Options()
+        # headers and declarations stand in few lines, most are fixes
+        self.heads = lines if texts is None else logs.lines_of_kinds(texts, "AHC")
         self.kept = kept.Kept(lines.sparkSession)
         self._keep = self.kept.stored
 
@@ -55,19 +59,30 @@ class Debrief:
     def close(self) -> None:
         self.kept.close()
 
+    @cached_property
+    def _width(self) -> int:
+        return kept.width_for(self.texts, "text")
+
+    @property
+    def _dealt(self) -> DataFrame:
+        return kept.dealt(self.texts, "flight_id", self._width)
+
+    @cached_property
+    def _outlines(self) -> DataFrame:
+        return self._keep(outline.outlined(self._dealt, self.options.min_circle_rate), "outlines")
+
     @cached_property
     def classified(self) -> DataFrame:
         if self.texts is not None:
-            width = kept.width_for(self.texts, "text")
-            moving = whole_logs.classified_fixes(kept.dealt(self.texts, "flight_id", width), self.options.min_circle_rate)
-            return self.kept.bucketed(moving, "classified", "flight_id", width)
+            moving = whole_logs.classified_fixes(self._dealt, self.options.min_circle_rate)
+            return self.kept.bucketed(moving, "classified", "flight_id", self._width)
         width = kept.width_for(self.lines, "line")
         moving = kinematics.classified_fixes(kept.dealt(parse.parse_b(self.lines), "flight_id", width), self.options.min_circle_rate)
         return self.kept.bucketed(moving, "classified", "flight_id", width)
 
     @cached_property
     def _absorbed(self) -> DataFrame:
-        return self._keep(segments.absorbed(self.classified), "absorbed")
+        return self._keep(segments.absorbed(self.classified) if self.texts is None else outline.absorbed(self._outlines), "absorbed")
 
     @cached_property
     def fixes(self) -> DataFrame:
@@ -75,7 +90,7 @@ class Debrief:
 
     @cached_property
     def headers(self) -> DataFrame:
-        return self._keep(parse.headers(self.lines), "headers")
+        return self._keep(parse.headers(self.heads), "headers")
 
     @cached_property
     def warnings(self) -> DataFrame:
@@ -83,11 +98,11 @@ class Debrief:
 
     @cached_property
     def declared(self) -> DataFrame:
-        return self._keep(parse.declarations(self.lines), "declared")
+        return self._keep(parse.declarations(self.heads), "declared")
 
     @cached_property
     def task_points(self) -> DataFrame:
-        return self._keep(parse.task_points(self.lines, self.declared), "task_points")
+        return self._keep(parse.task_points(self.heads, self.declared), "task_points")
 
     @cached_property
     def task_legs(self) -> DataFrame:
@@ -103,7 +118,7 @@ class Debrief:
 
     @cached_property
     def launch(self) -> DataFrame:
-        found = launch.find_launch(self.classified)
+        found = launch.find_launch(self.classified) if self.texts is None else outline.launches(self._outlines)
         if self.options.release_times is not None:
             found = launch.override_release(found, self.classified, self.options.release_times)
         return self._keep(found, "launch")
@@ -112,13 +127,25 @@ class Debrief:
     def summary(self) -> DataFrame:
         return self._keep(quality.trace_summary(self.classified), "summary")
 
+    @cached_property
+    def extent(self) -> DataFrame:
+        """``flight_id, end, last_alt, landed``."""
+        return self.summary if self.texts is None else outline.extents(self._outlines)
+
     @cached_property
     def climb_runs(self) -> DataFrame:
         return self._keep(climb_ops.climb_runs(self.runs, self.launch), "climb_runs")
 
     @cached_property
     def wind_estimates(self) -> DataFrame:
-        return self._keep(climb_ops.wind_estimates(climb_ops.circle_stats(self.fixes, self.climb_runs)), "wind_estimates")
+        return self._keep(climb_ops.wind_estimates(self.turns), "wind_estimates")
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        """``flight_id, run_id, start, circles`` and the own drift of each climb."""
+        if self.texts is not None:
+            return outline.turns(self._absorbed, self.climb_runs)
+        return climb_ops.circle_stats(self.fixes, self.climb_runs).select("flight_id", "run_id", "start", "circles", "drift_vx", "drift_vy")
 
     @cached_property
     def wind(self) -> DataFrame:
@@ -126,24 +153,27 @@ class Debrief:
 
     @cached_property
     def phase(self) -> DataFrame:
-        return phase.phase_split(self.runs, self.launch, self.climb_runs, self.summary)
+        return phase.phase_split(self.runs, self.launch, self.climb_runs, self.extent)
 
     @cached_property
     def polars(self) -> DataFrame:
         table = self.options.polar_table if self.options.polar_table is not None else polars.bundled(self.lines.sparkSession)
-        types = self.summary.select("flight_id").join(self.headers.select("flight_id", "glider_type"), "flight_id", "left")
+        types = self.extent.select("flight_id").join(self.headers.select("flight_id", "glider_type"), "flight_id", "left")
         return self._keep(polars.match_polars(types, table, self.options.polar_overrides), "polars")
 
     @cached_property
     def entry(self) -> DataFrame:
-        return self._keep(legs.circuit_entry(self.classified, self.summary), "entry")
+        return self._keep(legs.circuit_entry(self.classified, self.summary) if self.texts is None else outline.circuit_entry(self._outlines), "entry")
 
     @cached_property
     def legs(self) -> DataFrame:
         whole = self.options.split_circuit
         split = legs.split_legs(legs.leg_runs(self.runs, self.launch), self.entry, split_circuit=whole)
-        analysed = legs.analyse_legs(self.fixes, split, self.polars, self.wind)
-        return self._keep(legs.leg_kinds(analysed, self.entry, self.summary, whole), "legs")
+        if self.texts is None:
+            analysed = legs.analyse_legs(self.fixes, split, self.polars, self.wind)
+        else:
+            analysed = legs.analyse_steps(outline.steps(self._dealt, legs.airs(split, self.polars, self.wind), legs.STEP, self.options.min_circle_rate))
+        return self._keep(legs.leg_kinds(analysed, self.entry, self.extent, whole), "legs")
 
     @cached_property
     def rising_air(self) -> DataFrame:

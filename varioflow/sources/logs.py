@@ -39,6 +39,15 @@ def split_lines(texts: DataFrame) -> DataFrame:
     return lines.where("line <> ''")
 
 
+def lines_of_kinds(texts: DataFrame, kinds: str) -> DataFrame:
+    """``split_lines`` of the records of some ``kinds``, letters in capitals, alone; ``line_no`` counts these.
+
+    The others are not cut out of the text, as most lines are fixes.
+    """
+    own = rf"[{kinds}{kinds.lower()}](?<![^\r\n].)[^\r\n]*"
+    return texts.select("flight_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(own), F.lit(0))).alias("line_no", "line"))
+
+
 def looks_like_log(text: Column) -> Column:
     return text.rlike("(?m)^B[0-9]{6}[0-9]{7}[NS]")
 
