@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections import Counter
+from urllib.parse import unquote, urlsplit
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import kept
+
 #: Rows of one file at most, whatever the session's advisory partition size is.
 MAX_RECORDS = 5_000_000
-#: Of very many small files: tasks move their own into place, not the driver all of them, one after the other.  A failed job may leave some; only ``_SUCCESS`` tells that all are there.
+#: Of very many small files that Spark writes: tasks move their own into place, not the driver all of them, one after the other.  A failed job may leave some; only ``_SUCCESS`` tells that all are there.
 MANY = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
@@ -44,12 +53,53 @@ def named_apart(documents: DataFrame) -> DataFrame:
     return documents.join(shared, "bundle", "left").withColumn("bundle", F.when(F.col("__shared"), F.concat_ws("-", "bundle", F.md5("flight_id"))).otherwise(F.col("bundle"))).drop("__shared")
 
 
+def write_each(rows: DataFrame, path: str, name: str, value: str, end: str = "\n") -> None:
+    """A file per row of ``value`` and ``end`` under ``path``, in the folder ``name=<its name>``, laid out as by ``partitionBy``.
+
+    Where ``path`` is a mounted folder its tasks write the files themselves:
+    for each file Spark's writer starts three to four programs that set its
+    rights (without Hadoop's native library), which takes most of a run.
+    Other stores get their files from Spark's writer.  A task that runs again
+    writes the same files; ``_SUCCESS`` comes last.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = urlsplit(store.makeQualified(place).toUri().toString())
+    if folder.scheme != "file":
+        rows.select(name, value).write.options(**MANY).partitionBy(name).option("lineSep", end).text(path)
+        return
+    top = unquote(folder.path)
+    text = F.concat(F.coalesce(F.col(value), F.lit("")), F.lit(end)).cast("binary")
+    rows.select(F.col(name).cast("string"), text).foreachPartition(lambda own: _write_own(own, f"{top}/{name}="))
+    store.create(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")).close()
+
+
+def _write_own(rows, prefix: str) -> None:
+    """The files of one task, each moved into place when it is whole."""
+    part, seen = TaskContext.get().partitionId(), Counter()
+    for name, value in rows:
+        folder = prefix + escaped(name)
+        os.makedirs(folder, exist_ok=True)
+        hidden = f"{folder}/.{uuid.uuid4().hex}"
+        with open(hidden, "wb") as f:
+            f.write(value)
+        os.replace(hidden, f"{folder}/part-{part:05}-c{seen[name]:03}.txt")
+        seen[name] += 1
+
+
+def escaped(name: str | None) -> str:
+    """A partition's value as it stands in a folder's name."""
+    return re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{[\]^]""", lambda m: f"%{ord(m[0]):02X}", name or "__HIVE_DEFAULT_PARTITION__")
+
+
 def write_bundles(documents: DataFrame, path: str) -> None:
     """One folder ``bundle=<name>`` per flight under ``path`` with its document; all of ``path`` is replaced.
 
     ``documents`` has flight_id, bundle and document, as ``flight_documents`` makes them.
     """
-    named_apart(documents).select("bundle", F.col("document").alias("value")).repartition("bundle").write.mode("overwrite").options(**MANY).partitionBy("bundle").text(path)
+    kept.removed(documents.sparkSession, path)
+    write_each(named_apart(documents), path, "bundle", "document")
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
