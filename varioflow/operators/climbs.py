@@ -32,16 +32,21 @@ def circle_stats(fixes: DataFrame, climbs: DataFrame, wind: DataFrame | None = N
         F.first("a").alias("a"), F.first("b").alias("b"), F.first("t_a").alias("start"), F.first("t_b").alias("end"), F.first("alt_a").alias("alt_bottom_m"), F.first("alt_b").alias("alt_top_m"),
         F.coalesce(F.sum(F.when(good, F.col("dtrk"))), F.lit(0.0)).alias("turned"), F.coalesce(F.median(F.when(good, air)), F.lit(0.0)).alias("va"), F.first("drift_vx").alias("drift_vx"), F.first("drift_vy").alias("drift_vy"),
     )
+    return geometry(g)
+
+
+def geometry(g: DataFrame, *more: str) -> DataFrame:
+    """The geometry of climbs from their ends, turns, drift and median airspeed, and the columns ``more``."""
     dur = F.col("end") - F.col("start")
     rate = F.when(dur > 0, F.abs("turned") / dur).otherwise(0.0)
     g = g.withColumn("turn_rate_deg_s", rate)
     turning = lambda v: F.when(F.col("turn_rate_deg_s") > 0.5, v)
     gain = F.col("alt_top_m") - F.col("alt_bottom_m")
     return g.select(
-        *key, "a", "b", "start", "end", dur.alias("duration_s"), gain.alias("gain_m"), "alt_bottom_m", "alt_top_m", F.when(dur > 0, gain / dur).otherwise(0.0).alias("avg_climb_ms"),
+        "flight_id", "run_id", "a", "b", "start", "end", dur.alias("duration_s"), gain.alias("gain_m"), "alt_bottom_m", "alt_top_m", F.when(dur > 0, gain / dur).otherwise(0.0).alias("avg_climb_ms"),
         (F.abs("turned") / 360).alias("circles"), F.when(F.col("turned") > 0, "right").otherwise("left").alias("direction"),
         turning(F.lit(360.0) / F.col("turn_rate_deg_s")).alias("circle_time_s"), turning(F.col("va") / F.radians("turn_rate_deg_s")).alias("radius_m"),
-        turning(F.degrees(F.atan(F.col("va") * F.radians("turn_rate_deg_s") / GRAVITY))).alias("bank_deg"), (F.col("va") * 3.6).alias("airspeed_kmh"), "turn_rate_deg_s", "drift_vx", "drift_vy",
+        turning(F.degrees(F.atan(F.col("va") * F.radians("turn_rate_deg_s") / GRAVITY))).alias("bank_deg"), (F.col("va") * 3.6).alias("airspeed_kmh"), "turn_rate_deg_s", "drift_vx", "drift_vy", *more,
     )
 
 
@@ -116,7 +121,17 @@ def best_rate(fixes: DataFrame, climbs: DataFrame, win: int = 30) -> DataFrame:
 def climb_table(fixes: DataFrame, runs: DataFrame, wind: DataFrame) -> DataFrame:
     """All climbs in time order, numbered from 1."""
     key = ["flight_id", "run_id"]
-    stats = circle_stats(fixes, runs, wind).join(best_rate(fixes, runs), key).join(full_circles(fixes, runs), key)
+    return numbered(circle_stats(fixes, runs, wind).join(best_rate(fixes, runs), key).join(full_circles(fixes, runs), key))
+
+
+def measured_table(measured: DataFrame, runs: DataFrame) -> DataFrame:
+    """``climb_table`` from what ``outline.measured`` adds up along the climbs."""
+    ends = [F.col(c).alias(n) for c, n in (("t_a", "start"), ("t_b", "end"), ("alt_a", "alt_bottom_m"), ("alt_b", "alt_top_m"))]
+    own = measured.select("flight_id", F.inline("climbs")).join(runs.select("flight_id", "run_id", "a", "b", *ends), ["flight_id", "run_id"])
+    return numbered(geometry(own, "best_30s_ms", "per_circle"))
+
+
+def numbered(stats: DataFrame) -> DataFrame:
     return stats.withColumn("climb", F.row_number().over(W.partitionBy("flight_id").orderBy("start", "a")))
 
 

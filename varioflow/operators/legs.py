@@ -55,10 +55,6 @@ def airs(legs: DataFrame, polars: DataFrame, wind: DataFrame) -> DataFrame:
     return own.join(polars.select("flight_id", "c0", "c1", "c2"), "flight_id", "left").join(wind.select("flight_id", "wx", "wy"), "flight_id", "left")
 
 
-#: What a leg's balance is made from, of each of its fixes.
-STEP = ["alt", "dt", "step", "vx", "vy", "vz", "good"]
-
-
 def analyse_steps(steps: DataFrame) -> DataFrame:
     """The balance of the legs from their fixes, each with ``airs`` of its leg."""
     key = ["flight_id", "leg"]
@@ -71,9 +67,14 @@ def analyse_steps(steps: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("dt") > 0, F.col("step")).otherwise(0.0)).alias("distance_m"), F.avg(F.when(good, F.col("eas") * 3.6)).alias("mean_ias_kmh"), F.stddev_pop(F.when(good, F.col("eas") * 3.6)).alias("sd"), F.count(F.when(good, 1)).alias("n"),
         F.sum(F.when(good & F.col("w").isNotNull(), F.col("dt"))).alias("sampled_s"), F.sum(F.when(good, F.col("w") * F.col("dt"))).alias("wt"), F.coalesce(F.sum(F.when(good & (F.col("w") > 0), F.col("dt"))), F.lit(0)).alias("up"),
     )
+    return balance(g)
+
+
+def balance(g: DataFrame) -> DataFrame:
+    """The balance of the legs from what adds up along them."""
     dh = F.col("alt_b") - F.col("alt_a")
     return g.select(
-        *key, "run_id", "a", "b", F.col("t_a").alias("start"), F.col("t_b").alias("end"), (F.col("t_b") - F.col("t_a")).alias("duration_s"), "distance_m", dh.alias("dh_m"), F.when(dh < 0, F.col("distance_m") / -dh).alias("ld_over_ground"),
+        "flight_id", "leg", "run_id", "a", "b", F.col("t_a").alias("start"), F.col("t_b").alias("end"), (F.col("t_b") - F.col("t_a")).alias("duration_s"), "distance_m", dh.alias("dh_m"), F.when(dh < 0, F.col("distance_m") / -dh).alias("ld_over_ground"),
         "mean_ias_kmh", F.when(F.col("n") > 2, F.col("sd")).alias("sd_ias_kmh"), F.col("alt_a").alias("alt_start_m"), F.col("alt_b").alias("alt_end_m"),
         (F.col("wt") / F.col("sampled_s")).alias("mean_airmass_ms"), F.when(F.col("sampled_s") > 0, F.col("up") / F.col("sampled_s")).alias("frac_rising_air"), "sampled_s",
     )

@@ -158,10 +158,19 @@ def assign_roles(points: DataFrame, declared: DataFrame) -> DataFrame:
 def extension_warnings(lines: DataFrame) -> DataFrame:
     """``flight_id, warning``: the last I record declares another line length than the longest B line has."""
     line = F.col("line")
+    return _unlike(lines.where(kind(line).isin("I", "B")).groupBy("flight_id").agg(F.max_by(F.when(kind(line) == "I", stripped(line)), F.when(kind(line) == "I", F.col("line_no"))).alias("i"), F.max(F.when(line.startswith("B"), F.length(line))).alias("actual")))
+
+
+def warnings_of_heads(heads: DataFrame) -> DataFrame:
+    """``extension_warnings`` from the ``logs.heads`` of whole logs."""
+    last = F.try_element_at(F.filter("own", lambda x: kind(x) == "I"), F.lit(-1))
+    return _unlike(heads.select("flight_id", stripped(last).alias("i"), F.col("longest").alias("actual")))
+
+
+def _unlike(per: DataFrame) -> DataFrame:
     n = digits(part(F.col("i"), 1, 3))
     end = lambda k: F.substr("i", k * 7 + 6, F.lit(2))
     ends = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(end(k).rlike("^[0-9]{1,2}$"), end(k).try_cast("int")))
-    per = lines.where(kind(line).isin("I", "B")).groupBy("flight_id").agg(F.max_by(F.when(kind(line) == "I", stripped(line)), F.when(kind(line) == "I", F.col("line_no"))).alias("i"), F.max(F.when(line.startswith("B"), F.length(line))).alias("actual"))
     declared = F.when(n > 0, F.when(~F.exists(ends, lambda e: e.isNull()), F.array_max(ends)))
     found = per.withColumn("declared", declared).where("declared <> actual")
     # The warning's wording.

@@ -30,9 +30,9 @@ class Debrief:
     The classified fixes are the one large table.  They come out of a single
     exchange by flight and are kept dealt by flight, so that what is derived
     from them is not exchanged again; tables with a few rows per flight that
-    several results share are kept too.  Of whole logs, runs, launch, landing,
-    wind and legs come from the flights' outlines and from the logs, and need no
-    kept fixes.
+    several results share are kept too.  Of whole logs, summaries, runs, launch,
+    landing, wind, climbs, legs and profiles come from the flights' outlines and
+    from the logs, and need no kept fixes.
 
     So reading a property may run jobs and write tables to the shared folder;
     ``close`` (or leaving a ``with`` block) drops all of them.
@@ -40,8 +40,6 @@ class Debrief:
 
     def __init__(self, lines: DataFrame, options: Options | None = None, texts: DataFrame | None = None):
         self.lines, self.texts, self.options = lines, texts, options or Options()
-        # headers and declarations stand in few lines, most are fixes
-        self.heads = lines if texts is None else logs.lines_of_kinds(texts, "AHC")
         self.kept = kept.Kept(lines.sparkSession)
         self._keep = self.kept.stored
 
@@ -69,7 +67,7 @@ class Debrief:
 
     @cached_property
     def _outlines(self) -> DataFrame:
-        return self._keep(outline.outlined(self._dealt, self.options.min_circle_rate), "outlines")
+        return self._keep(outline.outlined(self.texts, self.options.min_circle_rate), "outlines")
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -88,13 +86,22 @@ class Debrief:
     def fixes(self) -> DataFrame:
         return segments.relabelled(self.classified, self._absorbed)
 
+    @cached_property
+    def _heads(self) -> DataFrame:
+        return self._keep(logs.heads(self.texts), "heads")
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        """Lines among which headers and declarations are; of whole logs these few alone, as most lines are fixes."""
+        return self.lines if self.texts is None else self._heads.select("flight_id", "source", F.posexplode("own").alias("line_no", "line"))
+
     @cached_property
     def headers(self) -> DataFrame:
         return self._keep(parse.headers(self.heads), "headers")
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return parse.extension_warnings(self.lines)
+        return parse.extension_warnings(self.lines) if self.texts is None else parse.warnings_of_heads(self._heads)
 
     @cached_property
     def declared(self) -> DataFrame:
@@ -125,7 +132,7 @@ class Debrief:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return self._keep(quality.trace_summary(self.classified), "summary")
+        return self._keep(quality.trace_summary(self.classified), "summary") if self.texts is None else outline.summaries(self._outlines)
 
     @cached_property
     def extent(self) -> DataFrame:
@@ -165,15 +172,38 @@ class Debrief:
     def entry(self) -> DataFrame:
         return self._keep(legs.circuit_entry(self.classified, self.summary) if self.texts is None else outline.circuit_entry(self._outlines), "entry")
 
+    @cached_property
+    def _split(self) -> DataFrame:
+        return legs.split_legs(legs.leg_runs(self.runs, self.launch), self.entry, split_circuit=self.options.split_circuit)
+
+    @cached_property
+    def _airs(self) -> DataFrame:
+        return legs.airs(self._split, self.polars, self.wind)
+
+    def _measured(self, legs: bool, climbs: bool, with_profile: bool = False) -> DataFrame:
+        blown = self.climb_runs.join(self.wind.select("flight_id", "wx", "wy"), "flight_id", "left") if climbs else None
+        return outline.measured(self._dealt, self._airs if legs else None, blown, with_profile, self.options.min_circle_rate)
+
+    @cached_property
+    def details(self) -> DataFrame:
+        """Of whole logs, what ``legs`` and ``climbs`` are made from and each flight's profile, out of one reading; without it each takes its own."""
+        return self.kept.bucketed(self._measured(True, True, True), "details", "flight_id", self._width)
+
+    def _own(self, name: str) -> DataFrame:
+        return vars(self).get("details") or vars(self).get("sums") or self._measured(name == "legs", name == "climbs")
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        """``details`` without the profile."""
+        return self._keep(self._measured(True, True), "sums")
+
     @cached_property
     def legs(self) -> DataFrame:
-        whole = self.options.split_circuit
-        split = legs.split_legs(legs.leg_runs(self.runs, self.launch), self.entry, split_circuit=whole)
         if self.texts is None:
-            analysed = legs.analyse_legs(self.fixes, split, self.polars, self.wind)
+            analysed = legs.analyse_legs(self.fixes, self._split, self.polars, self.wind)
         else:
-            analysed = legs.analyse_steps(outline.steps(self._dealt, legs.airs(split, self.polars, self.wind), legs.STEP, self.options.min_circle_rate))
-        return self._keep(legs.leg_kinds(analysed, self.entry, self.extent, whole), "legs")
+            analysed = legs.balance(self._own("legs").select("flight_id", F.inline("legs")).join(self._airs, ["flight_id", "leg"]))
+        return self._keep(legs.leg_kinds(analysed, self.entry, self.extent, self.options.split_circuit), "legs")
 
     @cached_property
     def rising_air(self) -> DataFrame:
@@ -181,7 +211,8 @@ class Debrief:
 
     @cached_property
     def climbs(self) -> DataFrame:
-        return self._keep(climb_ops.climb_table(self.fixes, self.climb_runs, self.wind), "climbs")
+        table = climb_ops.climb_table(self.fixes, self.climb_runs, self.wind) if self.texts is None else climb_ops.measured_table(self._own("climbs"), self.climb_runs)
+        return self._keep(table, "climbs")
 
     @property
     def flags(self) -> DataFrame:
@@ -190,4 +221,11 @@ class Debrief:
     @property
     def profile(self) -> DataFrame:
         """Per-fix time, height, position to five places, and kind."""
+        if self.texts is not None:
+            return outline.unpacked(self.profiles)
         return self.fixes.select("flight_id", "t", F.col("alt").alias("alt_m"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.col("circ").alias("circling"))
+
+    @property
+    def profiles(self) -> DataFrame:
+        """Of whole logs, the profile as a row per flight."""
+        return outline.profiled(self.texts, self.options.min_circle_rate)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import instant, to_fixed, zulu
+from ..operators import outline
 from ..operators.climbs import geometry_or_null
 from ..operators.task import scoring_points
 from .debrief import Debrief
@@ -14,6 +15,8 @@ SCHEMA_VERSION = 1
 #: Key and unit of the drawn figures, as the format documents them.
 FIGURES = {"trace": "trace.svg", "barogram": "barogram.svg", "renderedUnits": "imperial", "barogramHeightUnit": "ft"}
 
+PROFILE = outline.names(outline.PROFILE)
+
 
 def _listed(rows: DataFrame, order: list[str], name: str, fields: list[Column]) -> DataFrame:
     """Children of a flight as one array, in order; a flight's children are few."""
@@ -41,6 +44,9 @@ def flight_documents(d: Debrief, generated_at: str, filename: str | Column | Non
 
     ``filename`` is one name, or a column over flight_id; ``include_profile`` adds every fix as ``[t, altM, lat, lon, circling]``.
     """
+    if d.texts is not None:
+        # legs, climbs and the profile out of one reading of the logs
+        told = d.details if include_profile else d.sums
     lit = lambda v: F.lit(v).cast("string")
     circle = lambda p: F.struct(p["k"].alias("index"), zulu(p["start"]).alias("startTime"), p["duration_s"].alias("durationS"), p["gain_m"].alias("gainM"), _r(p["climb_ms"], 3).alias("climbMs"), p["alt_m"].alias("altM"))
     thick = lambda c, k: geometry_or_null(F.col("circles"), _r(c, k))
@@ -92,9 +98,13 @@ def flight_documents(d: Debrief, generated_at: str, filename: str | Column | Non
         F.struct(*[lit(v).alias(k) for k, v in FIGURES.items()]).alias("figures"),
     ]
     if include_profile:
-        profile = _listed(d.fixes, ["idx"], "profile", [c("t"), c("alt").alias("altM"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), c("circ").cast("int").alias("circling")])
-        f = f.join(profile, "flight_id", "left")
-        document += [F.transform("profile", lambda p: F.array(*[p[k].cast("double") for k in ("t", "altM", "lat", "lon", "circling")])).alias("profile"), F.array(*map(lit, ("t", "altM", "lat", "lon", "circling"))).alias("profileColumns")]
+        if d.texts is None:
+            profile = _listed(d.fixes, ["idx"], "profile", [c("t"), c("alt").alias("alt_m"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), c("circ").alias("circling")])
+            f = f.join(profile, "flight_id", "left")
+        else:
+            # the profiles lie dealt by flight, so the other parts come to them
+            f = told.select("flight_id", F.arrays_zip(*PROFILE).alias("profile")).join(f.hint("shuffle_hash"), "flight_id")
+        document += [F.transform("profile", lambda p: F.array(*[p[k].cast("double") for k in PROFILE[:-1]], p["circling"].cast("int").cast("double"))).alias("profile"), F.array(*map(lit, ("t", "altM", "lat", "lon", "circling"))).alias("profileColumns")]
     return f.select("flight_id", bundle_name(c("date"), c("glider_id"), c("glider_type")).alias("bundle"), F.to_json(F.struct(*document), {"ignoreNullFields": "false"}).alias("document"))
 
 

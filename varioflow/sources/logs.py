@@ -48,6 +48,13 @@ def lines_of_kinds(texts: DataFrame, kinds: str) -> DataFrame:
     return texts.select("flight_id", "source", F.posexplode(F.regexp_extract_all("text", F.lit(own), F.lit(0))).alias("line_no", "line"))
 
 
+def heads(texts: DataFrame, kinds: str = "AHCI") -> DataFrame:
+    """``flight_id, source, own, longest``, a row per log: its lines of some ``kinds``, letters in capitals, and the length of its longest B line."""
+    split = texts.select("flight_id", "source", F.split("text", ENDS).alias("lines"))
+    own = F.filter("lines", lambda x: parse.kind(x).isin(*kinds))
+    return split.select("flight_id", "source", own.alias("own"), F.array_max(F.transform(F.filter("lines", lambda x: x.startswith("B")), F.length)).alias("longest"))
+
+
 def looks_like_log(text: Column) -> Column:
     return text.rlike("(?m)^B[0-9]{6}[0-9]{7}[NS]")
 
