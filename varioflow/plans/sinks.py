@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from urllib.parse import unquote, urlsplit
 
 from pyspark import TaskContext
@@ -20,7 +21,7 @@ MAX_RECORDS = 5_000_000
 MANY = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
-def write_by_date(rows: DataFrame, dates: DataFrame, path: str, corpus: str = "flights", whole: bool = False, max_records: int = MAX_RECORDS) -> None:
+def write_by_date(rows: DataFrame, dates: DataFrame, path: str, corpus: str = "flights", whole: bool = False, max_records: int = MAX_RECORDS, unpack: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write rows keyed by ``flight_id`` as Parquet under ``path``, by corpus and the date of their flight.
 
     ``dates`` has one (flight_id, date) per flight; flights without a date go to a
@@ -31,11 +32,16 @@ def write_by_date(rows: DataFrame, dates: DataFrame, path: str, corpus: str = "f
     A date is split by size: the rows are rebalanced, so a busy date becomes many
     files of about the advisory partition size and quiet ones one file each.
     Within a file rows lie by flight, so that a reader skips to a flight.
+
+    ``rows`` may hold several records each, as arrays; ``unpack`` makes them
+    single once they are dealt, so that fewer bytes are exchanged.
     """
-    order = ["date", "flight_id", *[c for c in ("t", "idx") if c in rows.columns]]
-    dated = rows.join(dates.select("flight_id", F.col("date").cast("date").alias("date")), "flight_id", "left")
-    out = dated.hint("rebalance", "date").sortWithinPartitions(*order).write.option("maxRecordsPerFile", max_records).mode("overwrite").partitionBy("date")
-    out.option("partitionOverwriteMode", "static" if whole else "dynamic").parquet(f"{path}/corpus={corpus}")
+    dated = rows.join(dates.select("flight_id", F.col("date").cast("date").alias("date")), "flight_id", "left").hint("rebalance", "date")
+    dated = unpack(dated) if unpack else dated
+    order = ["date", "flight_id", *[c for c in ("t", "idx") if c in dated.columns]]
+    out = dated.sortWithinPartitions(*order).write.option("maxRecordsPerFile", max_records).mode("overwrite").partitionBy("date")
+    with kept.exchanges_removed(rows.sparkSession):
+        out.options(partitionOverwriteMode="static" if whole else "dynamic", **kept.SMALL).parquet(f"{path}/corpus={corpus}")
 
 
 def read_by_date(spark: SparkSession, path: str) -> DataFrame:
